@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skimmer.llm.mixing import op8_budget_mixing
 from skimmer.llm.packing import op10_pattern_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_pattern_packing,)}
+    return {f.__name__: f for f in (op8_budget_mixing, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

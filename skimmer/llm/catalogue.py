@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from skimmer.llm.mixing import op8_budget_mixing
 from skimmer.llm.packing import op10_pattern_packing
 from skimmer.llm.repair import op5_repair_shards
+from skimmer.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_repair_shards, op8_budget_mixing, op10_pattern_packing)}
+    return {f.__name__: f for f in (op5_repair_shards, op8_budget_mixing, op9_toxicity, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

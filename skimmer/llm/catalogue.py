@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skimmer.llm.jaccard import op6_jaccard_forest
+from skimmer.llm.merkle import op3_merkle_tree
 from skimmer.llm.mixing import op8_budget_mixing
 from skimmer.llm.packing import op10_pattern_packing
 from skimmer.llm.repair import op5_repair_shards
@@ -13,7 +15,7 @@ from skimmer.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_repair_shards, op8_budget_mixing, op9_toxicity, op10_pattern_packing)}
+    return {f.__name__: f for f in (op3_merkle_tree, op5_repair_shards, op6_jaccard_forest, op8_budget_mixing, op9_toxicity, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skimmer.llm.jaccard import op6_jaccard_forest
+from skimmer.llm.licenses import op2_license_scan
 from skimmer.llm.merkle import op3_merkle_tree
 from skimmer.llm.mixing import op8_budget_mixing
 from skimmer.llm.neighbours import op7_nn_descent
 from skimmer.llm.packing import op10_pattern_packing
+from skimmer.llm.preferences import OP4_SQL, op4_preference_chat
+from skimmer.llm.rendering import op1_html_text
 from skimmer.llm.repair import op5_repair_shards
 from skimmer.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_merkle_tree, op5_repair_shards, op6_jaccard_forest, op7_nn_descent, op8_budget_mixing, op9_toxicity, op10_pattern_packing)}
+    return {f.__name__: f for f in (op1_html_text, op2_license_scan, op3_merkle_tree, op4_preference_chat, op5_repair_shards, op6_jaccard_forest, op7_nn_descent, op8_budget_mixing, op9_toxicity, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_preference_chat": OP4_SQL}

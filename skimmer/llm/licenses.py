@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Every template holds one of these, and so does every text that is looked at.
-CUES = r"licen[sc]|copyright|permission|redistribut|warrant|public domain|creative commons|\bcc0\b|\bcc[ -]by|\bspdx|\b[al]?gpl|\bapache\b"
+CUES = r"licen[sc]|copyright|permission|redistribut|warrant|public\s+domain|creative\s+commons|\bcc0\b|\bcc[ -]by|\bspdx|\b[al]?gpl|\bapache\b"
 #: A template is looked at if it saves this share of its own compressed size, and confirmed if so many of its words differ at most.
 SHARE, DIFFERENCES = 0.4, 0.1
-#: Templates up to this many words are sought in sentences and lines, longer ones in paragraphs.
-SHORT_WORDS = 24
+#: Templates up to this many words are sought in sentences and lines, and all of them in paragraphs.
+SHORT_WORDS = 16
 #: Blocks that a worker remembers.
 CACHE_BLOCKS = 100_000
 LEVEL = 3
@@ -68,7 +68,7 @@ NOTICES = {
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _CUE = re.compile(CUES, re.I)
-_BREAK = re.compile(r"\n|(?<=[.!?;:])\s+")
+_BREAK = re.compile(r"\n|(?<=[.!?;])\s+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 _ARTICLES = frozenset(("the", "a", "an"))
 
@@ -147,7 +147,7 @@ class Scanner:
             self.primed.append(zstandard.ZstdCompressor(dict_data=d, **plain))
             self.own.append(len(self.alone.compress(raw)))
         self.short = [k for k, own in enumerate(self.words) if len(own) <= SHORT_WORDS]
-        self.long = [k for k, own in enumerate(self.words) if len(own) > SHORT_WORDS]
+        self.every = [*range(len(self.words))]
         self.known: dict[tuple[str, bool], list[Match]] = {}
 
     def ranked(self, block: list[str], among: list[int]) -> list[tuple[int, float, int]]:
@@ -163,7 +163,7 @@ class Scanner:
             return self.known[text, long]
         words, spans = words_of(text)
         out: list[Match] = []
-        for saved, share, k in self.ranked(words, self.long if long else self.short) if words else ():
+        for saved, share, k in self.ranked(words, self.every if long else self.short) if words else ():
             if share < self.share:
                 continue
             n, begin, end = differences(self.words[k], words)
@@ -180,7 +180,7 @@ class Scanner:
         if not text or not _CUE.search(text):
             return []
         found: list[Match] = []
-        for long, breaks, reach in ((False, _BREAK, 3 * SHORT_WORDS), (True, _PARAGRAPH, 3 * max((len(self.words[k]) for k in self.long), default=1))):
+        for long, breaks, reach in ((False, _BREAK, 3 * SHORT_WORDS), (True, _PARAGRAPH, 3 * max(map(len, self.words), default=1))):
             at = 0
             for m in [*breaks.finditer(text), None]:
                 a, b = at, m.start() if m else len(text)

@@ -34,6 +34,7 @@ UNSEEN = frozenset("head script style template noscript iframe noembed noframes
 CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul xmp".split())
 BLOCKS = CLOSE_P | frozenset("html body caption legend optgroup option tr tbody thead tfoot td th".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl menu dir pre figure table hr fieldset".split())
+TABLE_PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
 LISTS = frozenset("ul ol menu dir".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag ends if it is open, and where looking for it stops.
@@ -156,6 +157,8 @@ class Builder:
                 self.body()
                 self.stack[1].attributes = own | self.stack[1].attributes
             return ""
+        if tag in TABLE_PARTS and "table" not in names:
+            return ""
         if names[-1] == "head" or len(names) < 2:
             if tag not in HEAD_ONLY:
                 self.body()

@@ -8,6 +8,7 @@ cuts might not be exact goes to the library whole, so the ids equal ``Tokenizer.
 from __future__ import annotations
 
 import struct
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,14 @@ _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: b for b in _SHOWN} | {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+@lru_cache(maxsize=1)
+def _opening() -> str:
+    """A pattern for letters that normal form or lower case turns into a letter and a mark: a sign after them joins the mark."""
+    ends = lambda c: unicodedata.normalize("NFC", c).lower()[-1:]
+    points = [p for p in range(0x80, 0x10000) if unicodedata.category(chr(p))[0] in "LN" and unicodedata.category(ends(chr(p)))[0] == "M"]
+    return "[" + "".join(rf"\x{{{p:x}}}" for p in points) + "]"
+
+
 class PieceEncoder:
     """ids of texts for one tokenizer file; keeps the pieces that it has seen."""
 
@@ -79,7 +88,7 @@ class PieceEncoder:
             cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x01 "), "\n", "\x01\n\x01")
             cut = pc.replace_substring_regex(cut, _SIGN, r"\1" "\x01" r"\2")
         else:
-            whole = pc.match_substring(texts, "\x01")
+            whole = pc.match_substring_regex(texts, rf"\x01|{_opening()}")
             cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x01"), "\n", "\x01")
             cut = pc.replace_substring_regex(cut, _SIGN, r"\1" "\x01" r"\2")
             cut = pc.if_else(pc.match_substring_regex(texts, r"[^\x00-\x{ff}]"), cut, pc.utf8_lower(cut))

@@ -84,7 +84,7 @@ def with_next(docs: DataFrame, id_column: str, columns: list[str], bucket_rows:
     k = max(1, min(buckets, -(-n // bucket_rows)))
     width = (high - low) // k + 1
     # differences of 64-bit ids may need more than 64 bits
-    place = F.floor((F.col(id_column).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int") if high - low >= 1 << 62 else F.floor((F.col(id_column) - F.lit(low)) / F.lit(width)).cast("int")
+    place = F.floor((F.col(id_column).cast("decimal(20,0)") - F.lit(str(low)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int") if high - low >= 1 << 62 else F.floor((F.col(id_column) - F.lit(low)) / F.lit(width)).cast("int")
     bucket = F.coalesce(place, F.lit(-1))
     firsts = docs.select(F.col(id_column).alias("_id"), bucket.alias("_bucket")).groupBy("_bucket").agg(F.min("_id").alias("_id"))
     in_order = Window.orderBy("_bucket")  # at most `buckets` + 1 rows

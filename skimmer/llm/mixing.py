@@ -135,14 +135,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         slots = quota.withColumn("_slice", F.lit(0).cast("long")).withColumn("_first", F.lit(0).cast("long"))
     else:
         slice_of = F.pmod(F.shiftrightunsigned(F.col("_hash"), 20), F.coalesce(F.col("_slices"), F.lit(1).cast("long")))
-        c = F.broadcast(crowded) if crowded.count() <= 100_000 else crowded
-        keyed = docs.join(c, same(docs, c, "_source", "_size"), "left").drop(c["_source"]).drop(c["_size"]).withColumn("_slice", slice_of).drop("_slices")
+        c = crowded.select(F.col("_source").alias("_c_source"), F.col("_size").alias("_c_size"), "_slices")
+        c = F.broadcast(c) if c.count() <= 100_000 else c
+        keyed = docs.join(c, F.col("_source").eqNullSafe(F.col("_c_source")) & (F.col("_size") == F.col("_c_size")), "left").withColumn("_slice", slice_of).drop("_slices", "_c_source", "_c_size")
         counted = keyed.groupBy("_source", "_size", "_slice").agg(F.count("*").alias("_c"))
         before = Window.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         counted = counted.withColumn("_first", F.coalesce(F.sum("_c").over(before), F.lit(0).cast("long"))).drop("_c")
-        slots = counted.join(quota, same(counted, quota, "_source", "_size")).drop(quota["_source"]).drop(quota["_size"])
+        q = quota.withColumnsRenamed({"_source": "_q_source", "_size": "_q_size"})
+        slots = counted.join(q, F.col("_source").eqNullSafe(F.col("_q_source")) & (F.col("_size") == F.col("_q_size"))).drop("_q_source", "_q_size")
     keyed = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "_size", "_slice").orderBy("_hash", "_id")) - 1)
-    out = keyed.join(slots, same(keyed, slots, "_source", "_size", "_slice"), "left").drop(slots["_source"]).drop(slots["_size"]).drop(slots["_slice"])
+    slots = slots.withColumnsRenamed({"_source": "_s_source", "_size": "_s_size", "_slice": "_s_slice"})
+    here = F.col("_source").eqNullSafe(F.col("_s_source")) & (F.col("_size") == F.col("_s_size")) & (F.col("_slice") == F.col("_s_slice"))
+    out = keyed.join(slots, here, "left").drop("_s_source", "_s_size", "_s_slice")
     copies = F.col("_full") + F.when(F.col("_rank") + F.col("_first") < F.col("_more"), 1).otherwise(0)
     return out.withColumn("_copies", copies).drop("_hash", "_n", "_full", "_more", "_slice", "_first", "_rank")
 

@@ -278,13 +278,15 @@ def word_key(text: Column) -> Column:
 def jaccard_classes(docs: DataFrame, **how) -> DataFrame:
     """``docs`` (_row, _text and others) with class_row, n_links, n_text_links and n_copies of ``text_classes``; _text is left out.
 
-    A row without words is a class of its own.
+    A row without words is a class of its own. Other columns are kept, but for those of these names.
     """
-    classes = written(text_classes(docs, **how), "classes")
-    rows = docs.withColumn("_key", word_key(F.col("_text"))).drop("_text")
+    new = ("class_row", "n_links", "n_text_links", "n_copies")
+    classes = written(text_classes(docs, **how), "classes").withColumnsRenamed({c: f"_found_{c}" for c in ("key", *new)})
+    rows = docs.withColumn("_own_key", word_key(F.col("_text")))
+    both = rows.join(classes, F.col("_own_key") == F.col("_found_key"), "left")
     zero = F.lit(0).cast("long")
-    own = [F.when(F.col("key").isNull(), F.col("_row")).otherwise(F.col("class_row")).alias("class_row"), *(F.coalesce(c, zero).alias(c) for c in ("n_links", "n_text_links", "n_copies"))]
-    return rows.join(classes, F.col("_key") == F.col("key"), "left").select(*[c for c in rows.columns if c != "_key"], *own)
+    first = F.when(F.col("_found_key").isNull(), F.col("_row")).otherwise(F.col("_found_class_row")).alias("class_row")
+    return both.select(*[c for c in docs.columns if c != "_text" and c not in new], first, *(F.coalesce(f"_found_{c}", zero).alias(c) for c in new[1:]))
 
 
 def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

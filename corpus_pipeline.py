@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skimmer.llm.jaccard import jaccard_classes
@@ -21,19 +21,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
 
 
+def _met(rows: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``settled`` on ``keys``, nulls equal, dealt by _place, a hash of the keys: what follows by _place needs no other shuffle of the texts."""
+    small = settled.select(F.xxhash64(*keys).alias("_place"), F.struct(*keys).alias("_settled"), *[c for c in settled.columns if c not in keys])
+    return rows.withColumn("_place", F.xxhash64(*keys)).join(small, "_place").where(F.array_contains(F.array("_settled"), F.struct(*keys)))
+
+
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id; of repeated rows one. Documents without words all stay."""
     classes = jaccard_classes(docs.select(F.col("doc_id").alias("_row"), F.col("text").alias("_text")))
-    kept = classes.where(F.col("_row").eqNullSafe(F.col("class_row"))).select(F.col("_row").alias("_kept")).distinct()
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"])
+    kept = classes.where(F.col("_row").eqNullSafe(F.col("class_row"))).select(F.col("_row").alias("_id")).distinct()
+    first = _met(docs.withColumn("_id", F.col("doc_id")), kept, ["_id"])
+    turn = F.row_number().over(Window.partitionBy("_place", "_settled", "text").orderBy("lang", "source"))
+    return first.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those that it does not take go."""
-    sized = written(docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source"), "_size": word_count()}), "sized")
-    taken = mix(sized).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it; those that it does not take go.
+
+    The mix is settled over ids, sources and sizes alone; the texts move once, to meet what was settled for them. Rows
+    that agree in all three share their copies as evenly as can be.
+    """
+    own = {"_id": F.col("doc_id"), "_source": F.col("source"), "_size": word_count()}
+    narrow = written(docs.select(*[c.alias(n) for n, c in own.items()]), "sized")
+    settled = mix(narrow).groupBy(*own).agg(F.sum("_copies").alias("_total"), F.count("*").alias("_rows")).where("_total > 0")
+    both = _met(docs.withColumns(own), settled, [*own])
+    turn = F.row_number().over(Window.partitionBy("_place", "_settled").orderBy("text")) - 1
+    copies = F.floor(F.col("_total") / F.col("_rows")) + F.when(turn < F.col("_total") % F.col("_rows"), 1).otherwise(0)
+    taken = both.withColumn("_copies", copies.cast("int")).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

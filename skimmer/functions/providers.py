@@ -47,7 +47,7 @@ def hashed_embedding(size: int = 64) -> Embed:
             v = np.zeros(size)
             for w in re.findall(r"\w+", text.lower()):
                 h = hashlib.md5(w.encode()).digest()
-                v[h[0] % size] += 1 if h[1] % 2 else -1
+                v[h[0] % size] += 1 + h[1] / 255
             norm = float(np.linalg.norm(v))
             out.append((v / norm).tolist() if norm else None)
         return out

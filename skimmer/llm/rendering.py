@@ -328,8 +328,7 @@ def marker(kind: str, n: int) -> str:
             s = chr(97 + r) + s
         return (s.upper() if kind == "A" else s) + "."
     if kind in ("i", "I") and 0 < n < 4000:
-        s = "".join(roman * (n // value % (10 if not k else limit)) for k, (value, roman, limit) in enumerate(((1000, "m", 10),))) if n >= 1000 else ""
-        n %= 1000
+        s, n = "m" * (n // 1000), n % 1000
         for value, signs in ((100, "cdm"), (10, "xlc"), (1, "ivx")):
             d, n = divmod(n, value)
             one, five, ten = signs
@@ -550,7 +549,7 @@ class Renderer:
                 text = self.block(cell, how == "visible" or shows and how != "hidden", kept)
                 cells.append((at, span, text))
                 for k in range(at, at + span) if down != 1 else ():
-                    busy[k] = (down if down > 0 else 1 << 30) + 0
+                    busy[k] = down if down > 0 else 1 << 30  # 0: all rows that follow
                 at += span
             for k in list(busy):
                 busy[k] -= 1

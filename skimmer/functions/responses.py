@@ -22,7 +22,6 @@ def unfenced(raw: Column, compat: bool = False) -> Column:
 def parsed_scores(raw: Column, compat: bool = False) -> Column:
     """(id, score) of each item with a string id and a number as score, kept in [0, 1]; an empty array if it is no JSON array."""
     whole = F.try_parse_json(unfenced(raw, compat))
-    items = F.when(F.startswith(F.schema_of_variant(whole), F.lit("ARRAY")), F.expr("CAST(NULL AS ARRAY<VARIANT>)"))
     items = F.try_variant_get(whole, "$", "array<variant>")
     kind = lambda x, path: F.schema_of_variant(F.try_variant_get(x, path, "variant"))
     numeric = lambda x: kind(x, "$.score").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")

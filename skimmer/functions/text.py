@@ -138,7 +138,7 @@ def upper_entries(c: Column) -> Column:
 
 def number_entry(c: Column) -> Column:
     """The first two digits of an entry as a number from 1 to 99; 0 if there are none."""
-    return F.coalesce(F.expr("1") * F.substring(F.regexp_replace(c, "[^0-9]", ""), 1, 2).try_cast("int"), F.lit(0))
+    return F.coalesce(F.substring(F.regexp_replace(c, "[^0-9]", ""), 1, 2).try_cast("int"), F.lit(0))
 
 
 #: A formula in a text: two dollars, one dollar on a line, brackets, parentheses.

@@ -39,57 +39,63 @@ def grammar(ids: np.ndarray, first_of: np.ndarray, base: int, rounds: int = ROUN
     (``first_of``: ascending positions, one for each document), so that each document has symbols of its own.
     Ties go to the smaller pair. Fewer than two ids leave the input as it is.
     """
-    symbols = ids.astype(np.int64)
+    # inside, symbols are numbered without gaps, so that pairs of them fit small integers
+    used = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
+    number = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
+    number[used] = np.arange(len(used))
+    first_new, room = len(used), len(used) + rounds * round_pairs
+    kind = np.uint32 if room < 1 << 16 else np.int64
+    inside = np.iinfo(kind).max  # stands for a pair that crosses a document's start
+    symbols = number[ids].astype(kind)
     starts = np.asarray(first_of, np.int64).copy()
     rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
-    top = base
+    lengths = np.ones(first_new, np.int64)
+    top = first_new
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        span = top
-        keys = symbols[:-1] * span + symbols[1:]
-        inner = starts[(starts > 0) & (starts < len(symbols))] - 1
-        keys[inner] = -1
+        keys = symbols[:-1] * kind(top) + symbols[1:]
+        keys[starts[(starts > 0) & (starts < len(symbols))] - 1] = inside
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         n = np.diff(np.append(edge, len(ordered)))
         pairs = ordered[edge]
-        good = (n >= least) & (pairs >= 0)
-        pairs, n = pairs[good], n[good]
+        good = (n >= least) & (pairs != inside)
+        pairs, n = pairs[good].astype(np.int64), n[good]
         if not len(pairs):
             break
         if len(pairs) > round_pairs:
-            keep = np.lexsort((pairs, -n))[:round_pairs]
-            pairs = pairs[keep]
+            pairs = pairs[np.lexsort((pairs, -n))[:round_pairs]]
         pairs = np.sort(pairs)
-        left = np.zeros(top, bool)
-        left[pairs // span] = True
-        at = np.flatnonzero(left[symbols[:-1]])
-        where = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
-        hit = pairs[where] == keys[at]
+        # where a chosen pair stands: by the ranks of its two symbols among the chosen ones
+        lefts, rights = np.unique(pairs // top), np.unique(pairs % top)
+        row, column = np.full(top, -1, np.int32), np.full(top, -1, np.int32)
+        row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
+        chosen = np.full((len(lefts), len(rights)), -1, np.int32)
+        chosen[row[pairs // top], column[pairs % top]] = np.arange(len(pairs))
+        at = np.flatnonzero((row >= 0)[symbols[:-1]] & (column >= 0)[symbols[1:]])
+        where = chosen[row[symbols[at]], column[symbols[at + 1]]]
+        hit = (where >= 0) & (keys[at] != inside)
         at, where = at[hit], where[hit]
-        new_chain = np.concatenate([[True], np.diff(at) != 1])
-        begin = np.flatnonzero(new_chain)
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
         place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
         at, where = at[place % 2 == 0], where[place % 2 == 0]
-        used, where = np.unique(where, return_inverse=True)
-        pairs = pairs[used]
-        a, b = pairs // span, pairs % span
-        known = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        size = lambda s: np.where(s < base, 1, known[np.maximum(s - base, 0)] if len(known) else 1)
-        rules.append(np.stack([a, b], 1))
-        lengths.append(size(a) + size(b))
+        times = np.bincount(where, minlength=len(pairs))
+        pairs = pairs[times > 0]
+        where = (np.cumsum(times > 0) - 1)[where]
+        rules.append(np.stack([pairs // top, pairs % top], 1))
+        lengths = np.concatenate([lengths, lengths[pairs // top] + lengths[pairs % top]])
         symbols[at] = top + where
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         starts -= np.searchsorted(at + 1, starts)
         symbols = symbols[keep]
         top += len(pairs)
+    outside = np.concatenate([used, base + np.arange(top - first_new)])
     return (
-        symbols.astype("<u4"),
-        (np.concatenate(rules) if rules else np.zeros((0, 2))).astype("<u4"),
-        (np.concatenate(lengths) if lengths else np.zeros(0)).astype("<u4"),
+        outside[symbols].astype("<u4"),
+        (outside[np.concatenate(rules)] if rules else np.zeros((0, 2))).astype("<u4"),
+        lengths[first_new:].astype("<u4"),
         starts,
     )
 

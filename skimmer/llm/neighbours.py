@@ -20,7 +20,7 @@ from skimmer.llm.shared import written
 LIST, MEET, ROUNDS, STILL = 30, 24, 9, 0.002
 #: Places of the first lists: hyperplane cells of about this many vectors, so many times.
 CELL, CELLS = 96, 3
-TOP, BEAM, HOPS = 20, 60, 4
+TOP, BEAM, HOPS = 20, 100, 7
 SEED = 11
 
 _LISTS = "id long, other long, score double"

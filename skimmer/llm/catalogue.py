@@ -15,6 +15,7 @@ from skimmer.llm.packing import op10_pattern_packing
 from skimmer.llm.preferences import OP4_SQL, op4_preference_chat
 from skimmer.llm.rendering import op1_html_text
 from skimmer.llm.repair import op5_repair_shards
+from skimmer.llm.sql import OP3_SQL, OP6_SQL
 from skimmer.llm.toxicity import op9_toxicity
 
 
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_chat": OP4_SQL}
+    return {"op3_merkle_tree": OP3_SQL, "op4_preference_chat": OP4_SQL, "op6_jaccard_forest": OP6_SQL}

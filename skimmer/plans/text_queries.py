@@ -77,12 +77,14 @@ def feed_dedup(spark: SparkSession, d: str) -> DataFrame:
     return feeds.first_of_each(rows, "n", "item_no").select("id", "n")
 
 
-_LINKS = """'https://arxiv.org/abs/hep-ph/' || lpad(CAST(doc_id AS VARCHAR), 7, '0'), 'http://arxiv.org/pdf/2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || '.pdf', 'https://ar5iv.org/html/2402.00001', 'https://example.org/' || CAST(doc_id AS VARCHAR)"""
-
-
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id < 100000").select("doc_id")
-    return docs.select("doc_id", F.posexplode(F.expr(f"array({_LINKS.replace('VARCHAR', 'STRING')})")).alias("k", "url"))
+    """Four links of each document; an id of more digits than a link holds gives its last ones."""
+    new, old = F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lpad((F.col("doc_id") % 10000000).cast("string"), 7, "0")
+    urls = F.array(
+        F.concat(F.lit("https://arxiv.org/abs/hep-ph/"), old), F.concat(F.lit("http://arxiv.org/pdf/2401."), new, F.lit(".pdf")),
+        F.lit("https://ar5iv.org/html/2402.00001"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")),
+    )
+    return table(spark, d, "documents").select("doc_id", F.posexplode(urls).alias("k", "url"))
 
 
 @query(f"""SELECT doc_id, CAST(k AS INTEGER) AS k, CASE k WHEN 0 THEN 'hep-ph/' || lpad(CAST(doc_id AS VARCHAR), 7, '0') WHEN 1 THEN '2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') WHEN 2 THEN '2402.00001' END AS id,

@@ -2,7 +2,8 @@
 
 Every vector holds a list of near others. A round sends each vector, with its list's worst score, to the
 places where it is listed, compares what meets there, and keeps what improves a list. Rounds are Spark
-joins: no vector table is broadcast or collected, and a popular vector is dealt over slices.
+joins: no vector table is broadcast or collected, and a popular vector is dealt over slices. Equal vectors are
+one point of the graph; what is found is unfolded to the smallest ids of each point.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skimmer.llm.shared import written
@@ -43,15 +44,18 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
-def _pairs(ids: np.ndarray, scores: np.ndarray, worst: np.ndarray, new: np.ndarray, n: int) -> pd.DataFrame:
-    """Of all that meet at a place, for each its n best others that are better than its list's worst entry; pairs of two old ones were compared before."""
-    s = scores.copy()
+def _pairs(ids: np.ndarray, scores: np.ndarray, worst: np.ndarray, last: np.ndarray, new: np.ndarray, n: int) -> pd.DataFrame:
+    """Of all that meet at a place, for each its n best others that are better than its list's worst entry, whose id is ``last``.
+
+    A smaller id is better among equal scores. Pairs of two old ones were compared before.
+    """
+    by_id = np.argsort(ids, kind="stable")
+    ids, s, worst, last, new = ids[by_id], scores[np.ix_(by_id, by_id)], worst[by_id], last[by_id], new[by_id]
     np.fill_diagonal(s, -np.inf)
     s[ids[:, None] == ids[None, :]] = -np.inf
     s[~(new[:, None] | new[None, :])] = -np.inf
-    s[s <= worst[:, None]] = -np.inf
-    k = min(n, len(ids))
-    at = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(ids) else np.tile(np.arange(len(ids)), (len(ids), 1))
+    s[(s < worst[:, None]) | ((s == worst[:, None]) & (ids[None, :] >= last[:, None]))] = -np.inf
+    at = np.argsort(-s, axis=1, kind="stable")[:, :n]
     score = np.take_along_axis(s, at, 1)
     ok = np.isfinite(score)
     return pd.DataFrame({"id": np.repeat(ids, ok.sum(1)), "other": ids[at][ok], "score": score[ok]})
@@ -112,7 +116,7 @@ def first_lists(vectors: DataFrame, n: int = LIST, cell: int = CELL, cells: int
 
     def meet(df: pd.DataFrame) -> pd.DataFrame:
         v, ids = _matrix(df["v"]), df["id"].to_numpy()
-        return _pairs(ids, v @ v.T, np.full(len(ids), -np.inf), np.ones(len(ids), bool), n)
+        return _pairs(ids, v @ v.T, np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64), np.ones(len(ids), bool), n)
 
     found = _grouped(placed, ["table", "cell", "part"], ["id", "v"], meet, _LISTS)
     return _best(found.distinct(), n)
@@ -137,14 +141,14 @@ def neighbour_graph(vectors: DataFrame, n: int = LIST, meet: int = MEET, rounds:
         order = Window.partitionBy("place", "kind").orderBy(F.desc("fresh"), "h")
         who = listed.union(listing).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= meet)
         who = who.groupBy("place", "id").agg(F.max("fresh").alias("fresh"))
-        worst = lists.groupBy("id").agg(F.when(F.count("*") >= n, F.min("score")).otherwise(F.lit(float("-inf"))).alias("worst"))
-        state = vectors.join(worst, "id", "left").select("id", "v", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
+        worst = lists.groupBy("id").agg(F.when(F.count("*") >= n, F.min(F.struct("score", F.negative("other").alias("less")))).alias("w"))
+        state = vectors.join(worst, "id", "left").select("id", "v", F.coalesce("w.score", F.lit(float("-inf"))).alias("worst"), F.coalesce(F.negative("w.less"), F.lit(0)).alias("last"))
 
         def compare(df: pd.DataFrame) -> pd.DataFrame:
             v = _matrix(df["v"])
-            return _pairs(df["id"].to_numpy(), v @ v.T, df["worst"].to_numpy(), df["fresh"].to_numpy(), 8)
+            return _pairs(df["id"].to_numpy(), v @ v.T, df["worst"].to_numpy(), df["last"].to_numpy(), df["fresh"].to_numpy(), 8)
 
-        found = _grouped(who.join(state, "id"), ["place"], ["id", "v", "worst", "fresh"], compare, _LISTS)
+        found = _grouped(who.join(state, "id"), ["place"], ["id", "v", "worst", "last", "fresh"], compare, _LISTS)
         both = lists.select("id", "other", "score", F.lit(False).alias("fresh")).union(found.select("id", "other", "score", F.lit(True).alias("fresh")))
         lists = written(_best(both.groupBy("id", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh")), n), "lists")
         if lists.where("fresh").count() <= still * n * max(1, total):
@@ -161,8 +165,9 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, top: int =
     blocks against the table, so lists are short only if the table is.
     """
     q = queries.select(F.col("id").alias("query"), F.col("v").alias("qv"))
-    seen = graph.join(q.select(F.col("query").alias("id")), "id", "left_semi").select(F.col("id").alias("query"), F.col("other").alias("id"), "score", F.lit(False).alias("done"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    dot = _dot("qv", "v")
+    own = graph.select(F.col("id").alias("query"), F.col("other").alias("id")).join(q, "query")
+    seen = own.join(vectors, "id").select("query", "id", dot.alias("score"), F.lit(False).alias("done"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     state = written(seen, "beam")
     links = graph.select("id", "other")
@@ -209,13 +214,44 @@ def _against_all(vectors: DataFrame, queries: DataFrame, top: int, block: int =
     return q.groupBy("block", "slice").cogroup(v.groupBy("block", "slice")).applyInPandas(nearest, "query long, id long, score double")
 
 
+def points(vectors: DataFrame, top: int = TOP) -> DataFrame:
+    """(id, v, ids): each different vector once, with the smallest ids that have it, one more than ``top``; id is the first of them."""
+    order = Window.partitionBy("v").orderBy("id")  # cut before it is dealt, so that a group of any size is few rows
+    few = vectors.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= top + 1)
+    return few.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``top`` nearest others of each query, a part of ``vectors`` (id, v); ties to the smaller id.
+
+    The graph and its search see each different vector once. A point that is among the ``top`` nearest stands for all ids that
+    have its vector, and a query's own point for its copies. Queries with one vector share one search.
+    """
+    groups = written(points(vectors, top), "points")
+    single = groups.select("id", "v")
+    graph = written(neighbour_graph(single), "graph")
+    asked = written(queries.join(groups, "v").select(queries["id"].alias("query_id"), groups["id"].alias("point")).distinct(), "asked")
+    wanted = single.join(asked.select(F.col("point").alias("id")).distinct(), "id", "left_semi")
+    found = search(single, graph, wanted, top).select(F.col("query_id").alias("point"), F.col("vec_id").alias("id"))
+    both = found.union(wanted.select("id", "id"))
+    both = both.join(groups, "id").join(single.select(F.col("id").alias("point"), F.col("v").alias("qv")), "point")
+    # the measure in full: products summed in order of the components
+    each = both.select("point", _dot("qv", "v").alias("score"), F.explode("ids").alias("vec_id"))
+    best = Window.partitionBy("point").orderBy(F.desc("score"), "vec_id")
+    each = each.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top + 1).groupBy("point").agg(F.collect_list(F.struct("score", "vec_id")).alias("near"))
+    # its own id is one of the entries, or one of them is too many
+    mine = asked.join(each, "point").select("query_id", F.slice(F.array_sort(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), _nearer), 1, top).alias("near"))
+    return mine.select("query_id", F.posexplode("near").alias("k", "x")).select("query_id", (F.col("k") + 1).alias("rank"), "x.vec_id", "x.score")
+
+
+def _nearer(a: Column, b: Column) -> Column:
+    return F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).when(a["vec_id"] > b["vec_id"], 1).otherwise(0)
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = written(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"), "vectors")
-    graph = written(neighbour_graph(vectors), "graph")
-    found = search(vectors, graph, vectors.where("id % 20 = 0"))
-    # the measure in full: products summed in order of the components
-    v, q = vectors.select(F.col("id").alias("vec_id"), "v"), vectors.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    exact = found.select("query_id", "vec_id").join(v, "vec_id").join(q, "query_id").select("query_id", "vec_id", dot.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return exact.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score")
+    return nearest(vectors, vectors.where("id % 20 = 0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from skimmer.llm.neighbours import TOP, neighbour_graph, op7_nn_descent, search, usable
+from skimmer.llm.neighbours import TOP, _pairs, neighbour_graph, op7_nn_descent, search, usable
 
 
 def nearest(ids, v, query, top=TOP):
@@ -62,3 +62,39 @@ def test_empty_and_single(spark):
     for rows in ([], [(0, [1.0, 2.0])]):
         frame = usable(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
         assert search(frame, neighbour_graph(frame), frame).count() == 0
+
+
+def test_copies_are_found_by_id(spark, tmp_path):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(700, 16))
+    v[r.permutation(700)[:300]] = v[7]  # more copies than a list holds, dealt over the ids
+    v[r.permutation(700)[:90]] = v[11]
+    v[690] = -v[7]
+    # distinct vectors that are equally near to one another
+    v = np.concatenate([v, np.eye(16)[r.integers(0, 16, 100)] * 9])
+    ids = r.permutation(len(v))
+    frame = spark.createDataFrame([(int(i), x.tolist(), 0) for i, x in zip(ids, v)], "vec_id long, embedding array<double>, label int")
+    frame.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got: dict[int, list[int]] = {}
+    for row in op7_nn_descent(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        own = got.setdefault(row["query_id"], [])
+        own.append(row["vec_id"])
+        assert row["rank"] == len(own)
+    assert sorted(got) == [k for k in range(len(v)) if k % 20 == 0] and all(len(set(x)) == TOP and q not in x for q, x in got.items())
+    at = {int(i): k for k, i in enumerate(ids)}
+    s = np.array([[sum((a * b).tolist()) for b in v] for a in v[[at[q] for q in sorted(got)]]])
+    share = {}
+    for row, q in zip(s, sorted(got)):
+        best = [int(ids[k]) for k in np.lexsort((ids, -row)) if ids[k] != q][:TOP]
+        share[q] = len(set(best) & set(got[q])) / TOP
+    copied = [q for q in got if sum((v == v[at[q]]).all(1)) > TOP]
+    assert len(copied) >= 10 and all(share[q] == 1 for q in copied)
+    assert np.mean(list(share.values())) >= 0.95
+
+
+def test_a_full_list_takes_an_equal_one_with_a_smaller_id():
+    ids, scores = np.array([5, 1, 9]), np.ones((3, 3))
+    got = _pairs(ids, scores, np.ones(3), np.array([9, 9, 1]), np.ones(3, bool), 8)
+    assert sorted(zip(got["id"], got["other"])) == [(1, 5), (5, 1)]
+    first = _pairs(ids, scores, np.full(3, -np.inf), np.zeros(3, np.int64), np.ones(3, bool), 1)
+    assert sorted(zip(first["id"], first["other"])) == [(1, 5), (5, 1), (9, 1)]

@@ -1,7 +1,7 @@
 """Toxicity (operator 9): noisy-channel restoration of disguised words, then a score of the restored text.
 
 A token that is not plain letters is a lattice: a sign or digit may stand for letters, a repeated letter
-may be one, a separator may be nothing. Viterbi decoding under a character trigram model of all the texts picks
+may be one, a separator or a space between letters may be nothing. Viterbi decoding under a character trigram model of all the texts picks
 the paths. The model of toxic wording is learned from labelled rows: the words and word beginnings that mark
 toxic texts, and a logistic curve over how many of them a text holds.
 """
@@ -28,6 +28,12 @@ CANDIDATES = 50_000
 RATIO = 12
 #: Paths of a lattice that count besides the best: within so many nats of it, at most so many.
 MARGIN, PATHS = 5.0, 8
+#: One letter for a doubled one costs so many nats, a word end between letters that are written apart so many.
+UNDOUBLED, APART = -3.0, -1.0
+#: Longer tokens are decoded in windows of this many characters, each half over the next.
+WINDOW = 40
+#: Neighbouring fragments of at most so many letters are one word if that is likelier by so many nats; beside a single letter a longer one may stand.
+FRAGMENT, LONGER, JOINED = 4, 8, 1.0
 BEGINNINGS = (3, 4, 5, 6, 7)
 CODES = 64
 OTHER = CODES - 1
@@ -35,7 +41,7 @@ OTHER = CODES - 1
 # What a sign or digit may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiou", "€": "e"}
 
-_THRICE = re.compile(r"(.)\1\1")
+_TWICE, _THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 _NOISE = re.compile(r"([^\w\s])\1+$")
 #: Single letters with one separator between them.
 _SPACED = r"(?:^|\s)(?:[\pL\pN@$!][ ._*\-]){3,}[\pL\pN@$!](?:$|[\s.,;:!?])"
@@ -115,24 +121,86 @@ class Restorer:
     def readings(self, token: str) -> list[list[str]]:
         """The likely word lists of a lower-case token, best first: itself if it is plain letters, an empty one if nothing in it can be a letter."""
         if token.isalpha() and not _THRICE.search(token):
-            return [[token]]
+            return self.undoubled(token)
         core = _NOISE.sub("", token).strip(".,;:?\"'()[]{}<>&%=~`^/\\")
         core = _NOISE.sub("", core).strip(".,;:?\"'[]{}<>&%=~`^/\\")
         if core.isalpha() and not _THRICE.search(core):
-            return [[core]]
+            return self.undoubled(core)
         if not any(map(str.isalpha, core)) and sum(c in LEET for c in core) < 3:
             return [[]]
         if core not in self.known:
             if len(self.known) > 300_000:
                 self.known.clear()
-            # a long string of letters and digits is a key or address, not a word: its parts are looked at as they stand
-            self.known[core] = [re.findall(r"[^\W\d_]+", core)] if len(core) > 40 else [t.split() for t in self.decode(core)]
+            self.known[core] = [self.windows(core)] if len(core) > WINDOW else [t.split() for t in self.decode(core)]
         return self.known[core]
 
-    def decode(self, token: str) -> list[str]:
+    def undoubled(self, word: str) -> list[list[str]]:
+        """A plain word, and before it what it is with one letter for a doubled one, where that is likelier."""
+        if not _TWICE.search(word) or len(word) > WINDOW:
+            return [[word]]
+        key = f"{word} "  # no token holds a space
+        if key not in self.known:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            found = self.decode(word, UNDOUBLED)
+            self.known[key] = [[t] for t in found[: found.index(word) if word in found else None]] + [[word]]
+        return self.known[key]
+
+    def windows(self, token: str) -> list[str]:
+        """The words of a long token: a word that a window cuts is taken from the window that holds it, or as far as it goes if none does."""
+        out: list[str] = []
+        half = WINDOW // 2
+        for k in range(0, len(token) - half, half):
+            words = self.decode(token[k : k + WINDOW])[0].split()
+            cut = k > 0 and token[k].isalnum() and token[k - 1].isalnum()
+            if words and cut:
+                words = words[1:]
+            more = k + WINDOW < len(token) and token[k + WINDOW].isalnum() and token[k + WINDOW - 1].isalnum()
+            if words and more and len(words[-1]) < half:
+                words = words[:-1]
+            out += [w for w in words if w not in out]
+        return out
+
+    def apart(self, run: str) -> str:
+        """Letters written apart, with spaces only where words most likely end; signs and digits stay for ``readings``."""
+        log = self.model
+        beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        for ch in re.sub(r"[ ._*\-]", "", run):
+            letters = [ch] if ch.isalpha() else list(LEET.get(ch, ""))
+            new: dict[tuple[int, int], tuple[float, str]] = {}
+            for (a, b), (score, text) in beams.items():
+                ways = [(a, b, score, text)]
+                if b:
+                    ways.append((b, 0, score + APART + float(log[a, b, 0]), text + " "))
+                for x, y, so, t in ways:
+                    for c in letters or [None]:
+                        code = int(codes_of(c)[0]) if c else y
+                        key, s = ((y, code), so + float(log[x, y, code])) if c else ((x, y), so)
+                        if key not in new or s > new[key][0]:
+                            new[key] = (s, t + ch)
+            beams = new
+        return max((s + (float(log[a, b, 0]) if b else 0.0), t) for (a, b), (s, t) in beams.items())[1]
+
+    def gains(self, tokens: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """By how many nats each pair of tokens (numbers) is likelier as one word; minus infinity where it cannot be one."""
+        size = np.array([len(t) if len(t) <= LONGER and t.isalpha() else 0 for t in tokens], np.int64)
+        m, n = size[left], size[right]
+        fit = (m > 0) & (n > 0) & (((m <= FRAGMENT) & (n <= FRAGMENT)) | (m == 1) | (n == 1)) & (m + n >= 3)
+        out = np.full(len(left), -np.inf)
+        at = np.flatnonzero(fit)
+        if len(at):
+            ends = np.zeros((len(tokens), 4), np.int64)  # the first two letters and the last two
+            for k in np.unique(np.concatenate([left[at], right[at]])).tolist():
+                c = codes_of(tokens[k])
+                ends[k] = c[0], c[1] if len(c) > 1 else 0, c[-2] if len(c) > 1 else 0, c[-1]
+            (y, z), (b, c), log = ends[left[at], 2:].T, ends[right[at], :2].T, self.model
+            out[at] = log[y, z, b] + log[z, b, c] - log[y, z, 0] - log[z, 0, b] - log[0, b, c]
+        return out
+
+    def decode(self, token: str, once: float = -0.5) -> list[str]:
         """Likely paths through the lattice, best first, words apart by a space.
 
-        A state is the last two letters; it keeps its few best paths.
+        A state is the last two letters; it keeps its few best paths. ``once`` is what a letter costs that repeats the one before and is left out.
         """
         log = self.model
         beams: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
@@ -142,7 +210,7 @@ class Restorer:
             if ch.isalpha():
                 ways.append((ch, 0.0))
                 if ch == before:
-                    ways.append(("", -0.5))
+                    ways.append(("", once))
             elif ch.isdigit():
                 ways += [(c, -0.5) for c in LEET.get(ch, "")]
                 ways.append((" ", -8.0))
@@ -168,21 +236,41 @@ class Restorer:
         return [t for t in sorted(ended, key=lambda t: (-ended[t], t)) if ended[t] >= best - MARGIN][:PATHS]
 
 
-def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def tokens_of(texts: pa.Array, restorer: Restorer | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different lower-case tokens, the index of each token of all texts, and the first token of each text.
 
-    Letters that are written apart are joined first. A null is an empty text.
+    Letters that are written apart are joined first, to the words that ``restorer`` finds in them, and then fragments of a word:
+    the joined word stands in the place of the first, an empty token in those of the others. A null is an empty text.
     """
+    join = restorer.apart if restorer else lambda run: re.sub(r"[ ._*\-]", "", run)
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     spaced = np.flatnonzero(pc.match_substring_regex(texts, _SPACED).to_numpy(zero_copy_only=False))
     if len(spaced):
         rows = texts.to_pylist()
         for k in spaced.tolist():
-            rows[k] = _SPACED_RUN.sub(lambda m: re.sub(r"[ ._*\-]", "", m[0]), rows[k])
+            rows[k] = _SPACED_RUN.sub(lambda m: join(m[0]), rows[k])
         texts = pa.array(rows, pa.large_string())
     lists = pc.utf8_split_whitespace(texts)
     coded = pc.dictionary_encode(pc.list_flatten(lists))
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    tokens, index, first = coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    if restorer and len(index) > 1:
+        inside = np.ones(len(index), bool)
+        inside[first[:-1][first[:-1] < len(index)]] = False  # no word goes from one text to the next
+        gain = restorer.gains(tokens, index[:-1], index[1:])
+        gaps = np.flatnonzero((gain > JOINED) & inside[1:])
+        if len(gaps):
+            index, own, empty = index.astype(np.int64), {}, len(tokens)
+            tokens.append("")
+            start, old = -1, index.copy()
+            for k in gaps.tolist():
+                if start < 0 or index[k] != empty:
+                    start, word = k, tokens[old[k]]
+                word += tokens[old[k + 1]]
+                if word not in own:
+                    own[word] = len(tokens)
+                    tokens.append(word)
+                index[start], index[k + 1] = own[word], empty
+    return tokens, index, first
 
 
 def marks(word: str) -> list[str]:
@@ -206,7 +294,7 @@ class ToxicModel:
 
     def evidence(self, texts: pa.Array, restorer: Restorer) -> np.ndarray:
         """log(1 + what a text's tokens tell together)."""
-        tokens, index, first = tokens_of(texts)
+        tokens, index, first = tokens_of(texts, restorer)
         worth = np.array([self.hits(restorer, t) for t in tokens], np.float64)
         total = np.zeros(len(texts))
         if len(index):
@@ -262,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     sample = sample.select("text", "_toxic").persist()
 
     def shown(batch: pa.RecordBatch, restorer: Restorer, wanted: dict[str, int] | None) -> Iterator[tuple[int, set, tuple[int, int]]]:
-        tokens, index, first = tokens_of(batch.column(0))
+        tokens, index, first = tokens_of(batch.column(0), restorer)
         own = [{m for w in restorer.words(t) for m in marks(w) if wanted is None or m in wanted} for t in tokens]
         for k, label in enumerate(batch.column(1).to_pylist()):
             row = index[first[k] : first[k + 1]].tolist()

@@ -35,6 +35,23 @@ def test_spaced_letters_are_joined():
     assert rows[0] == ["you", "are", "stupid", "today"] and rows[3] == ["idiot"] and rows[1] == ["a", "b"]
 
 
+def _said(restorer, text):
+    import pyarrow as pa
+
+    tokens, index, _ = X.tokens_of(pa.array([text]), restorer)
+    return [w for k in index for w in restorer.words(tokens[k])]
+
+
+@pytest.mark.parametrize("text, words", [
+    ("y o u m o r o n", ["you", "moron"]), ("y-o-u a r e s t u p i d", ["you", "are", "stupid"]), ("their idi ot with", ["their", "idiot", "with"]), ("the mo ron is", ["the", "moron", "is"]),
+    ("morron", ["moron"]), ("sstupid", ["stupid"]), ("little green letter", ["little", "green", "letter"]), ("you are not the", ["you", "are", "not", "the"]),
+    ("with_about_house_people_reader_green_m0r0n_letter", ["moron"]),
+])
+def test_spaces_doubles_and_long_tokens_are_decoded(restorer, text, words):
+    said = _said(restorer, text)
+    assert said == words or "_" in text and set(words) <= set(said)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}

@@ -48,6 +48,6 @@ def weighted_means(rows: DataFrame, vectors: DataFrame, key: str = "vec_id") ->
     kind = F.when(F.col("status") == DISLIKED, "negative").otherwise("positive")
     weight = F.when(F.col("status") == LIKED, 2.0).otherwise(1.0)
     rated = rows.where(F.col("status").isin(CLICKED, LIKED, DISLIKED)).groupBy(key, kind.alias("type")).agg(F.sum(weight).alias("w"))
-    parts = rated.join(F.broadcast(vectors), key).select("type", "label", "w", F.posexplode("embedding").alias("k", "x"))  # a fixed number of vectors
+    parts = rated.join(vectors, key).select("type", "label", "w", F.posexplode("embedding").alias("k", "x"))
     means = parts.groupBy("type", "label", "k").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("c"))
     return means.groupBy("type", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda p: p["c"]).alias("centroid"))

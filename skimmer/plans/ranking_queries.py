@@ -9,19 +9,19 @@ from skimmer.operators import clusters as C
 from skimmer.operators import ranking as R
 from skimmer.operators import store as S
 from skimmer.plans.registry import query
-from skimmer.sources.tables import ARTICLES_SQL, articles, vectors
+from skimmer.sources.tables import ARTICLES_SQL, articles, dealt_articles, vectors
 
 A = f"WITH {ARTICLES_SQL}"
 BATCH_DATE = "2024-02-15"
 
 
 def _centroids(spark: SparkSession, d: str) -> DataFrame:
-    return C.weighted_means(articles(spark, d), vectors(spark, d))
+    return C.weighted_means(dealt_articles(spark, d), vectors(spark, d))
 
 
 def with_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Articles with their vector; the shared vectors are a fixed number of rows."""
-    return articles(spark, d).join(F.broadcast(vectors(spark, d).select("vec_id", F.col("embedding").alias("vector"))), "vec_id", "left")
+    """Articles with their vector."""
+    return dealt_articles(spark, d).join(vectors(spark, d).select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left")
 
 
 def vector_scores(spark: SparkSession, d: str, centroids: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def vector_scores(spark: SparkSession, d: str, centroids: DataFrame) -> DataFram
 
 
 def scored_articles(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).drop("score").join(F.broadcast(vector_scores(spark, d, _centroids(spark, d))), "vec_id")
+    return dealt_articles(spark, d).drop("score").join(vector_scores(spark, d, _centroids(spark, d)), "vec_id")
 
 
 CENTROIDS_SQL = A + """,

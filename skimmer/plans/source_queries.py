@@ -19,7 +19,7 @@ from skimmer.operators import store as S
 from skimmer.plans.ranking_queries import CENTROIDS_SQL, with_vectors
 from skimmer.plans.registry import query
 from skimmer.sources import feeds
-from skimmer.sources.tables import ARTICLES_SQL, articles, conform, table, vectors
+from skimmer.sources.tables import ARTICLES_SQL, articles, conform, dealt_articles, table, vectors
 from skimmer.streaming import feedback as W
 
 A = f"WITH {ARTICLES_SQL}"
@@ -142,7 +142,7 @@ SELECT a.id, round(CASE WHEN t.id IS NOT NULL THEN s.score ELSE a.score END, 6)
 def rescore_unread(spark: SparkSession, d: str) -> DataFrame:
     """New scores for the best unread rows by old score; the others keep theirs."""
     rows = articles(spark, d)
-    centroids = C.weighted_means(rows, vectors(spark, d))
+    centroids = C.weighted_means(dealt_articles(spark, d), vectors(spark, d))
     top = R.best(with_vectors(spark, d).where("status = 0")).select("id", "vector", "score")
     new = R.score_all(top, centroids).select("id", "score")
     return S.merge(rows, new, ["score"]).select("id", F.round("score", 6).alias("score"))

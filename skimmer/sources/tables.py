@@ -22,8 +22,6 @@ ARTICLE = T.StructType(
     ]
 )
 
-#: Vectors of the driver tables that articles share.
-SHARED_VECTORS = 500
 #: What "now" is in the queries over the driver tables.
 AS_OF = "2024-02-15 00:00:00"
 
@@ -40,7 +38,7 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` with ``labels`` as articles (id, title, abstract, link, source, category, status, score, timestamp, vec_id).
+    """``documents`` with ``labels`` as articles (id, title, abstract, link, source, category, status, score, timestamp).
 
     Status comes from the labels, score and age from the number, so that every query has an SQL counterpart.
     """
@@ -56,13 +54,19 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(marks, "doc_id", "left").select(
         n.cast("string").alias("id"), F.substring("text", 1, 80).alias("title"), F.substring("text", 1, 2000).alias("abstract"),
         F.concat(F.lit("https://arxiv.org/abs/"), n.cast("string")).alias("link"), "source", F.col("lang").alias("category"), status.cast("int").alias("status"),
-        ((n * 7919 % 1000) / F.lit(1000.0) - F.lit(0.2)).alias("score"), F.timestamp_add("DAY", (n % 45).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("timestamp"), (n % SHARED_VECTORS).alias("vec_id"),
+        ((n * 7919 % 1000) / F.lit(1000.0) - F.lit(0.2)).alias("score"), F.timestamp_add("DAY", (n % 45).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("timestamp"),
     )
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, embedding, label) of the vectors that articles share: at most SHARED_VECTORS rows."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < SHARED_VECTORS).select("vec_id", "embedding", "label")
+    """(vec_id, embedding, label) of all vectors, which articles share."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+def dealt_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with vec_id, the number of their vector: they are dealt over all numbers that vectors have."""
+    last = vectors(spark, sf_dir).agg(F.max("vec_id")).first()[0]
+    return articles(spark, sf_dir).withColumn("vec_id", F.col("id").cast("long") % F.lit(1 if last is None else last + 1))
 
 
 #: The same adapter in DuckDB's SQL, as a common table expression.

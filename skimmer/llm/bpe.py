@@ -15,10 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; beyond it starts afresh. About 200 bytes each.
-CACHE_PIECES = 1_000_000
-#: Bytes of text that are cut at once.
-CHUNK_BYTES = 8 << 20
+from skimmer.llm.shared import Kept, slices
+
+#: Bytes of pieces that a worker remembers.
+CACHE_BYTES = 48 << 20
+#: Bytes of text that are cut at once, about.
+CHUNK_BYTES = 2 << 20
 
 _OTHER = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space that touches white space other than one line end pair inside a text: its runs are cut by context.
@@ -48,7 +50,7 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         #: whether white space yields ids (byte-level) or only separates words
         self.keeps_space = self._ids("a b") != self._ids("a") + self._ids("b")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = Kept(CACHE_BYTES)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -56,30 +58,29 @@ class PieceEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _coded(self, pieces: list[str]) -> dict[str, bytes]:
         """Letters with at most one space before them are one unit of the pre-tokenizer; the rest goes through all steps."""
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.known.clear()
-        unit, odd = self.tokenizer.model.tokenize, []
+        unit, odd, out = self.tokenizer.model.tokenize, [], {}
         for p in pieces:
             word = p[1:] if p[:1] == " " else p
             if word.isalpha() and (self.keeps_space or word < "\u0100" and word.islower() and max(word) < "\u0100"):
                 ids = [t.id for t in unit(p.encode().decode("latin-1").translate(_BYTES))]
-                self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
+                out[p] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 odd.append(p)
         for k in range(0, len(odd), 2000):
             part = odd[k : k + 2000]
-            self.known.update(zip(part, self._whole(part)))
+            out.update(zip(part, self._whole(part)))
+        for p, b in out.items():
+            self.known.keep(p, b, len(b))
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text. A null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        size = np.cumsum(pc.binary_length(texts).to_numpy())
-        bounds = [0, *(np.flatnonzero(np.diff(size // CHUNK_BYTES)) + 1).tolist(), len(texts)]
-        parts = [self._encode(texts[a:b]) for a, b in zip(bounds, bounds[1:])]
+        parts = [self._encode(part) for part in slices(texts, size=CHUNK_BYTES)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +100,9 @@ class PieceEncoder:
         coded = pc.dictionary_encode(pc.list_flatten(lists))
         pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         raw = [*map(self.known.get, pieces)]
-        new = [p for p, b in zip(pieces, raw) if b is None]
+        new = self._coded([p for p, b in zip(pieces, raw) if b is None])
         if new:
-            before = len(self.known)
-            self._learn(new)
-            if len(self.known) < before:  # it started afresh
-                self._learn([p for p in pieces if p not in self.known])
-            raw = [*map(self.known.get, pieces)]
+            raw = [new[p] if b is None else b for p, b in zip(pieces, raw)]
         long = np.fromiter(map(len, raw), np.int32, len(raw)) >> 2
         flat = np.frombuffer(b"".join(raw), "<u4")
         first = np.cumsum(long, dtype=np.int32) - long

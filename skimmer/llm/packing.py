@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skimmer.llm.bpe import encoder
-from skimmer.llm.shared import written
+from skimmer.llm.bpe import CHUNK_BYTES, encoder
+from skimmer.llm.shared import slices, small_batches, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -39,17 +39,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, counts = enc.encode(batch.column(1))
+        for part in (part for batch in batches for part in slices(batch, batch.column(1), CHUNK_BYTES)):
+            ids, counts = enc.encode(part.column(1))
             ends = np.cumsum(counts)
             own = np.empty(len(ids) + len(counts), "<u4")
             at = ends + np.arange(len(counts))
             keep = np.ones(len(own), bool)
             keep[at] = False
             own[keep], own[at] = ids, end_id
-            raw, sizes = memoryview(own.tobytes()), counts + 1
+            raw, sizes = memoryview(own).cast("B"), counts + 1
             n = -(-sizes // capacity)
             doc = np.repeat(np.arange(len(counts)), n)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
@@ -58,11 +56,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
             first = ((at + 1 - sizes)[doc] + start) * 4
             crc = [zlib.crc32(raw[a : a + b]) for a, b in zip(first.tolist(), (length * 4).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                [part.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
         pieces, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 

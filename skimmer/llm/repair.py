@@ -20,22 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skimmer.llm.bpe import encoder
-from skimmer.llm.shared import scratch_path, written
+from skimmer.llm.bpe import CHUNK_BYTES, encoder
+from skimmer.llm.shared import give_back, scratch_path, slices, small_batches, written
 
 MAGIC = b"RPG1"
 END_ID = 0
 #: Ids of a shard, about.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, pairs in each, and how often a pair must occur.
-ROUNDS, ROUND_PAIRS, LEAST = 10, 1024, 32
+#: Pairs that a round replaces together, at most, and how often a pair must occur to save more than its rule takes: 12 bytes.
+ROUND_PAIRS, LEAST = 1024, 8
 
 
-def grammar(ids: np.ndarray, first_of: np.ndarray, base: int, rounds: int = ROUNDS, round_pairs: int = ROUND_PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, first_of: np.ndarray, base: int, round_pairs: int = ROUND_PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, rules, expansion lengths, first symbol of each document).
 
     A round takes the most frequent pairs, at most ``round_pairs``, no two of which could claim the same id:
-    of each chain of overlapping places every second is replaced. Pairs do not cross document starts
+    of each chain of overlapping places every second is replaced. Rounds end when no pair occurs ``least`` times. Pairs do not cross document starts
     (``first_of``: ascending positions, one for each document), so that each document has symbols of its own.
     Ties go to the smaller pair. Fewer than two ids leave the input as it is.
     """
@@ -43,18 +43,16 @@ def grammar(ids: np.ndarray, first_of: np.ndarray, base: int, rounds: int = ROUN
     used = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
     number = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
     number[used] = np.arange(len(used))
-    first_new, room = len(used), len(used) + rounds * round_pairs
-    kind = np.uint32 if room < 1 << 16 else np.int64
-    inside = np.iinfo(kind).max  # stands for a pair that crosses a document's start
-    symbols = number[ids].astype(kind)
+    first_new = len(used)
+    symbols = number[ids].astype(np.uint32)
     starts = np.asarray(first_of, np.int64).copy()
     rules: list[np.ndarray] = []
     lengths = np.ones(first_new, np.int64)
     top = first_new
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        keys = symbols[:-1] * kind(top) + symbols[1:]
+    while len(symbols) > 1:
+        kind = np.uint32 if top < 1 << 16 else np.uint64
+        inside = np.iinfo(kind).max  # stands for a pair that crosses a document's start
+        keys = symbols[:-1].astype(kind) * kind(top) + symbols[1:]
         keys[starts[(starts > 0) & (starts < len(symbols))] - 1] = inside
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -189,8 +187,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             )
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                piece = batch.slice(k, 1000)
+            for piece in slices(batch, batch.column(1), CHUNK_BYTES):
                 ids, counts = enc.encode(piece.column(1))
                 full = np.insert(ids, np.cumsum(counts), end_id)
                 own += piece.column(0).to_pylist()
@@ -201,10 +198,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                     yield record()
                     own, held, sizes, n = [], [], [], 0
                     shard += 1
+                    give_back()
         if own:
             yield record()
 
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = narrow.repartitionByRange(parts, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
@@ -228,6 +227,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for part, shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 record = Record(raw.as_py())
                 ids = record.all_ids()

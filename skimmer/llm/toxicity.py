@@ -1,7 +1,7 @@
 """Toxicity (operator 9): noisy-channel restoration of disguised words, then a score of the restored text.
 
-A token that is not plain letters is a lattice: a sign or digit may stand for letters, a repeated letter
-may be one, a separator or a space between letters may be nothing. Viterbi decoding under a character trigram model of all the texts picks
+What is not plain words is a lattice: a sign or digit may stand for letters, a repeated letter may be one, a separator
+or white space between letters or fragments may be nothing. Viterbi decoding under a character trigram model of all the texts picks
 the paths. The model of toxic wording is learned from labelled rows: the words and word beginnings that mark
 toxic texts, and a logistic curve over how many of them a text holds.
 """
@@ -13,6 +13,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +22,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skimmer.llm.shared import Kept, slices, small_batches
+
 #: Labelled rows that are learned from, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
-#: Words and beginnings that are looked at, at most.
-CANDIDATES = 50_000
 #: A mark is so many times likelier in toxic texts than in others, at least.
 RATIO = 12
-#: Paths of a lattice that count besides the best: within so many nats of it, at most so many.
+#: Readings of a lattice: the best so many, and of them those within so many nats of the best.
 MARGIN, PATHS = 5.0, 8
 #: One letter for a doubled one costs so many nats, a word end between letters that are written apart so many.
 UNDOUBLED, APART = -3.0, -1.0
-#: Longer tokens are decoded in windows of this many characters, each half over the next.
-WINDOW = 40
-#: Neighbouring fragments of at most so many letters are one word if that is likelier by so many nats; beside a single letter a longer one may stand.
+#: Neighbouring fragments of at most so many letters are one word if that is likelier by so many nats; beside a single letter a longer one may stand, for twice as many.
 FRAGMENT, LONGER, JOINED = 4, 8, 1.0
+#: Bytes that a worker keeps of what it has decoded.
+CACHE_BYTES = 32 << 20
 BEGINNINGS = (3, 4, 5, 6, 7)
 CODES = 64
 OTHER = CODES - 1
@@ -43,9 +45,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 
 _TWICE, _THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 _NOISE = re.compile(r"([^\w\s])\1+$")
-#: Single letters with one separator between them.
-_SPACED = r"(?:^|\s)(?:[\pL\pN@$!][ ._*\-]){3,}[\pL\pN@$!](?:$|[\s.,;:!?])"
-_SPACED_RUN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!])(?:[ ._*\-](?:[^\W_]|[@$!])){3,}(?![^\s.,;:!?])")
+#: A letter alone, or letters with one separator between them, and what may follow.
+_SPELLED = re.compile(r"((?:[^\W_]|[@$!])(?:[._*\-](?:[^\W_]|[@$!]))*)([.,;:!?]*)$")
 
 
 def _letters() -> np.ndarray:
@@ -68,7 +69,12 @@ LETTERS = _letters()
 
 def codes_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 0x250, LETTERS[np.minimum(points, 0x24F)], OTHER).astype(np.int64)
+    return np.where(points < 0x250, LETTERS[np.minimum(points, 0x24F)], OTHER).astype(np.int32)
+
+
+@lru_cache(maxsize=4096)
+def _code(letter: str) -> int:
+    return int(codes_of(letter)[0])
 
 
 def character_counts(docs: DataFrame, text_column: str = "text") -> np.ndarray:
@@ -80,9 +86,8 @@ def character_counts(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CODES**3, np.int64)
         for batch in batches:
-            texts = batch.column(0).drop_null()
-            for k in range(0, len(texts), 500):
-                c = codes_of("\n\n" + "\n\n".join(texts[k : k + 500].to_pylist()) + "\n")
+            for texts in slices(batch.column(0).drop_null()):
+                c = codes_of("\n\n" + "\n\n".join(texts.to_pylist()) + "\n")
                 keep = np.ones(len(c), bool)
                 keep[2:] = (c[2:] != 0) | (c[1:-1] != 0)
                 c = c[keep]
@@ -112,14 +117,19 @@ class Restorer:
     """Decodes tokens; remembers what it has decoded."""
 
     model: np.ndarray
-    known: dict[str, list[list[str]]] = field(default_factory=dict)
+    known: dict[str, list[list[str]]] = field(default_factory=lambda: Kept(CACHE_BYTES))
 
     def words(self, token: str) -> list[str]:
         """The words that a lower-case token most likely stands for."""
         return self.readings(token)[0]
 
     def readings(self, token: str) -> list[list[str]]:
-        """The likely word lists of a lower-case token, best first: itself if it is plain letters, an empty one if nothing in it can be a letter."""
+        """The likely word lists of a lower-case token, best first: itself if it is plain letters, an empty one if nothing in it can be a letter.
+
+        A token with spaces in it is a stretch of ``tokens_of``.
+        """
+        if " " in token:
+            return self._kept(token, lambda: [t.split() for t in self.decode(token)])
         if token.isalpha() and not _THRICE.search(token):
             return self.undoubled(token)
         core = _NOISE.sub("", token).strip(".,;:?\"'()[]{}<>&%=~`^/\\")
@@ -128,58 +138,25 @@ class Restorer:
             return self.undoubled(core)
         if not any(map(str.isalpha, core)) and sum(c in LEET for c in core) < 3:
             return [[]]
-        if core not in self.known:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[core] = [self.windows(core)] if len(core) > WINDOW else [t.split() for t in self.decode(core)]
-        return self.known[core]
+        return self._kept(core, lambda: [t.split() for t in self.decode(core)])
+
+    def _kept(self, key: str, work) -> list[list[str]]:
+        found = self.known.get(key)
+        if found is None:
+            found = work()
+            self.known.keep(key, found, sum(64 + 56 * len(x) for x in found))
+        return found
 
     def undoubled(self, word: str) -> list[list[str]]:
         """A plain word, and before it what it is with one letter for a doubled one, where that is likelier."""
-        if not _TWICE.search(word) or len(word) > WINDOW:
+        if not _TWICE.search(word):
             return [[word]]
-        key = f"{word} "  # no token holds a space
-        if key not in self.known:
-            if len(self.known) > 300_000:
-                self.known.clear()
+
+        def work() -> list[list[str]]:
             found = self.decode(word, UNDOUBLED)
-            self.known[key] = [[t] for t in found[: found.index(word) if word in found else None]] + [[word]]
-        return self.known[key]
-
-    def windows(self, token: str) -> list[str]:
-        """The words of a long token: a word that a window cuts is taken from the window that holds it, or as far as it goes if none does."""
-        out: list[str] = []
-        half = WINDOW // 2
-        for k in range(0, len(token) - half, half):
-            words = self.decode(token[k : k + WINDOW])[0].split()
-            cut = k > 0 and token[k].isalnum() and token[k - 1].isalnum()
-            if words and cut:
-                words = words[1:]
-            more = k + WINDOW < len(token) and token[k + WINDOW].isalnum() and token[k + WINDOW - 1].isalnum()
-            if words and more and len(words[-1]) < half:
-                words = words[:-1]
-            out += [w for w in words if w not in out]
-        return out
+            return [[t] for t in found[: found.index(word) if word in found else None]] + [[word]]
 
-    def apart(self, run: str) -> str:
-        """Letters written apart, with spaces only where words most likely end; signs and digits stay for ``readings``."""
-        log = self.model
-        beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for ch in re.sub(r"[ ._*\-]", "", run):
-            letters = [ch] if ch.isalpha() else list(LEET.get(ch, ""))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in beams.items():
-                ways = [(a, b, score, text)]
-                if b:
-                    ways.append((b, 0, score + APART + float(log[a, b, 0]), text + " "))
-                for x, y, so, t in ways:
-                    for c in letters or [None]:
-                        code = int(codes_of(c)[0]) if c else y
-                        key, s = ((y, code), so + float(log[x, y, code])) if c else ((x, y), so)
-                        if key not in new or s > new[key][0]:
-                            new[key] = (s, t + ch)
-            beams = new
-        return max((s + (float(log[a, b, 0]) if b else 0.0), t) for (a, b), (s, t) in beams.items())[1]
+        return self._kept(f"{word}\n", work)  # no token holds a line end
 
     def gains(self, tokens: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """By how many nats each pair of tokens (numbers) is likelier as one word; minus infinity where it cannot be one."""
@@ -197,79 +174,88 @@ class Restorer:
             out[at] = log[y, z, b] + log[z, b, c] - log[y, z, 0] - log[z, 0, b] - log[0, b, c]
         return out
 
+    @staticmethod
+    def ways(token: str, k: int, once: float) -> list[tuple[str, float]]:
+        """What the k-th character of a token or stretch may stand for: a letter, ' ' for a word end, or nothing; and its cost in nats."""
+        ch = token[k]
+        if ch == " ":
+            alone = (k < 2 or token[k - 2] == " ") + (token[k + 2 : k + 3] in ("", " "))  # letters beside it that stand alone
+            return [(" ", APART), ("", 0.0)] if alone == 2 else [(" ", 0.0), ("", -JOINED * (1 + alone))]
+        if ch.isalpha():
+            return [(ch, 0.0), ("", once)] if k and token[k - 1] == ch else [(ch, 0.0)]
+        if ch.isdigit():
+            return [*((c, -0.5) for c in LEET.get(ch, "")), (" ", -8.0)]
+        return [*((c, -2.0 if ch in "*#" else -0.5) for c in LEET.get(ch, "")), ("", -5.0 if ch in LEET else -2.5), (" ", -2.0 if ch in LEET else -0.3)]
+
     def decode(self, token: str, once: float = -0.5) -> list[str]:
-        """Likely paths through the lattice, best first, words apart by a space.
+        """The PATHS best readings of a lattice, words apart by a space, best first, as far as they are within MARGIN of the best: list Viterbi, exact.
 
-        A state is the last two letters; it keeps its few best paths. ``once`` is what a letter costs that repeats the one before and is left out.
+        A state is the last two letters of a reading; each keeps its PATHS best readings, and a reading is in one state only, so
+        none of the best can be lost. ``once`` is what a letter costs that repeats the one before and is left out. Equally good ones go by text.
         """
         log = self.model
-        beams: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-        before = ""
-        for ch in token:
-            ways: list[tuple[str, float]] = []
-            if ch.isalpha():
-                ways.append((ch, 0.0))
-                if ch == before:
-                    ways.append(("", once))
-            elif ch.isdigit():
-                ways += [(c, -0.5) for c in LEET.get(ch, "")]
-                ways.append((" ", -8.0))
-            else:
-                ways += [(c, -2.0 if ch in "*#" else -0.5) for c in LEET.get(ch, "")]
-                ways += [("", -5.0 if ch in LEET else -2.5), (" ", -2.0 if ch in LEET else -0.3)]
-            new: dict[tuple[int, int], list[tuple[float, str]]] = {}
-            for (a, b), paths in beams.items():
+        beams: dict[tuple[int, int], dict[str, float]] = {(0, 0): {"": 0.0}}
+        settled = ""  # what all readings begin with, so that they stay short however long the token is
+        for k in range(len(token)):
+            ways = self.ways(token, k, once)
+            new: dict[tuple[int, int], dict[str, float]] = {}
+            for (a, b), readings in beams.items():
                 for c, cost in ways:
                     if not c or (c == " " and not b):
                         key, add, tail = (a, b), cost, ""
                     else:
-                        code = 0 if c == " " else int(codes_of(c)[0])
+                        code = 0 if c == " " else _code(c)
                         key, add, tail = (b, code), cost + float(log[a, b, code]), c
-                    new.setdefault(key, []).extend((s + add, t + tail) for s, t in paths)
-            beams = {k: sorted(set(v), reverse=True)[:PATHS] for k, v in new.items()}
-            before = ch
-        ended: dict[str, float] = {}
-        for (a, b), paths in beams.items():
-            for s, t in paths:
-                ended[t] = max(ended.get(t, -math.inf), s + (float(log[a, b, 0]) if b else 0.0))
+                    own = new.setdefault(key, {})
+                    for text, score in readings.items():
+                        text, score = text + tail, score + add
+                        if score > own.get(text, -math.inf):
+                            own[text] = score
+            beams = {s: own if len(own) <= PATHS else dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:PATHS]) for s, own in new.items()}
+            if k % 64 == 63:
+                start = commonprefix([t for own in beams.values() for t in own])
+                settled += start
+                beams = {s: {t[len(start) :]: score for t, score in own.items()} for s, own in beams.items()}
+        ended = {t: score + (float(log[a, b, 0]) if b else 0.0) for (a, b), own in beams.items() for t, score in own.items()}
         best = max(ended.values())
-        return [t for t in sorted(ended, key=lambda t: (-ended[t], t)) if ended[t] >= best - MARGIN][:PATHS]
+        return [settled + t for t in sorted(ended, key=lambda t: (-ended[t], t)) if ended[t] >= best - MARGIN][:PATHS]
 
 
 def tokens_of(texts: pa.Array, restorer: Restorer | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different lower-case tokens, the index of each token of all texts, and the first token of each text.
 
-    Letters that are written apart are joined first, to the words that ``restorer`` finds in them, and then fragments of a word:
-    the joined word stands in the place of the first, an empty token in those of the others. A null is an empty text.
+    With a ``restorer``, letters that are written apart (three at least) and neighbouring fragments that may be one word make a
+    stretch: one token with spaces in it, for the lattice to tell where words end. It stands in the place of the first,
+    an empty token in those of the others. A null is an empty text.
     """
-    join = restorer.apart if restorer else lambda run: re.sub(r"[ ._*\-]", "", run)
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    spaced = np.flatnonzero(pc.match_substring_regex(texts, _SPACED).to_numpy(zero_copy_only=False))
-    if len(spaced):
-        rows = texts.to_pylist()
-        for k in spaced.tolist():
-            rows[k] = _SPACED_RUN.sub(lambda m: join(m[0]), rows[k])
-        texts = pa.array(rows, pa.large_string())
     lists = pc.utf8_split_whitespace(texts)
     coded = pc.dictionary_encode(pc.list_flatten(lists))
     tokens, index, first = coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    if restorer and len(index) > 1:
-        inside = np.ones(len(index), bool)
-        inside[first[:-1][first[:-1] < len(index)]] = False  # no word goes from one text to the next
-        gain = restorer.gains(tokens, index[:-1], index[1:])
-        gaps = np.flatnonzero((gain > JOINED) & inside[1:])
-        if len(gaps):
-            index, own, empty = index.astype(np.int64), {}, len(tokens)
-            tokens.append("")
-            start, old = -1, index.copy()
-            for k in gaps.tolist():
-                if start < 0 or index[k] != empty:
-                    start, word = k, tokens[old[k]]
-                word += tokens[old[k + 1]]
-                if word not in own:
-                    own[word] = len(tokens)
-                    tokens.append(word)
-                index[start], index[k + 1] = own[word], empty
+    if not restorer or not len(index):
+        return tokens, index, first
+    spelled = [_SPELLED.match(t) if len(t) < 3 or t[1] in "._*-" else None for t in tokens]
+    letters = np.array([(len(m[1]) + 1) // 2 if m else 0 for m in spelled], np.int64)
+    goes_on = np.array([bool(m) and not m[2] for m in spelled])
+    follows = np.zeros(len(index), bool)  # whether a token belongs to the stretch of the one before it
+    follows[1:] = (goes_on[index[:-1]] & (letters[index[1:]] > 0)) | (restorer.gains(tokens, index[:-1], index[1:]) > JOINED)
+    follows[first[:-1][first[:-1] < len(index)]] = False  # no word goes from one text to the next
+    begin = np.flatnonzero(~follows)
+    size = np.diff(np.append(begin, len(index)))
+    apart = np.add.reduceat(letters[index], begin)
+    plain = np.add.reduceat((letters[index] == 0).astype(np.int64), begin)
+    chosen = np.flatnonzero((apart >= 3) & ((size > 1) | (letters[index[begin]] >= 3)) | (plain > 0) & (size > 1))
+    if len(chosen):
+        index, own, empty = index.astype(np.int64), {}, len(tokens)
+        tokens.append("")
+        for k in chosen.tolist():
+            a, b = int(begin[k]), int(begin[k] + size[k])
+            parts = [tokens[t] for t in index[a:b].tolist()]
+            word = " ".join(" ".join(re.sub(r"[._*\-]", "", m[1])) if (m := _SPELLED.match(p)) else p for p in parts)
+            if word not in own:
+                own[word] = len(tokens)
+                tokens.append(word)
+            index[a], index[a + 1 : b] = own[word], empty
     return tokens, index, first
 
 
@@ -342,6 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     At most ``sample_rows`` labelled rows are used; rows with equal texts count once. Rows without text or label
     are no evidence. The language model counts every text. Without toxic or clean rows the score is a constant.
     """
+    small_batches(docs.sparkSession)
     model = language_model(character_counts(docs))
     named = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -360,19 +347,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     def toxic_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                for _, own, _ in shown(batch.slice(k, 200), restorer, None):
+            for part in slices(batch, batch.column(0)):
+                for _, own, _ in shown(part, restorer, None):
                     yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], names=["mark"])
 
     least = 5
     found = sample.where("_toxic = 1").mapInArrow(toxic_marks, "mark string").groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    wanted = {r["mark"]: k for k, r in enumerate(found.orderBy(F.desc("n"), "mark").limit(CANDIDATES).collect())}
+    wanted = {r["mark"]: k for k, r in enumerate(found.orderBy(F.desc("n"), "mark").collect())}  # of at most sample_rows rows
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                rows = list(shown(batch.slice(k, 200), restorer, wanted))
+            for part in slices(batch, batch.column(0)):
+                rows = list(shown(part, restorer, wanted))
                 clean = np.zeros(len(wanted), np.int64)
                 for label, own, _ in rows:
                     if label != 1 and own:
@@ -408,8 +395,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for part in slices(batch, batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(model_.evidence(part.column(0), restorer)), part.column(1).cast(pa.int32())], names=["x", "label"])
 
     rows = sample.mapInArrow(evidence, "x double, label int").toPandas()  # at most sample_rows pairs of numbers
@@ -425,7 +411,7 @@ def scorer(model: ToxicModel):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         restorer = Restorer(model.character)
         for texts in batches:
-            parts = [model.score(texts[k : k + 1000], restorer) for k in range(0, len(texts), 1000)]
+            parts = [model.score(part, restorer) for part in slices(texts)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score

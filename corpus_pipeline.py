@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skimmer.llm.jaccard import jaccard_classes
 from skimmer.llm.mixing import mix, word_count
 from skimmer.llm.packing import best_fit_packing
-from skimmer.llm.shared import scratch_path, written
+from skimmer.llm.shared import done_with, written
 from skimmer.llm.toxicity import score_toxicity
 
 
@@ -71,14 +71,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = scratch_path(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        done_with(*made)
+        made = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

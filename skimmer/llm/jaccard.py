@@ -1,46 +1,63 @@
 """N-gram Jaccard join (operator 6): a MinHash LSH forest with exact verification.
 
-Equal word sequences are one text first. Each text's signature is cut into trees; a tree sorts the texts by
-its part of the signature, a trie of prefixes. Two texts meet if they share a prefix in some tree. The prefix
-is shortened, from its full depth on, until a pair at the threshold itself meets with the target recall.
-Texts that meet are verified by their shingle sets, in blocks, where each pair is counted once; the output
-has a row for each document and never the pairs.
+Equal word sequences are one text first. Each text's signature is cut into trees. A tree is a trie of the texts: those
+below one node share a prefix of the tree's part of the signature. Texts meet that share a full prefix in some tree, and are
+verified by their shingle sets. What the links found so far tell about the links that such prefixes miss decides
+whether all prefixes are shortened by one value; then only pairs that had not met before are verified, until the
+target recall is reached. The output has a row for each document and never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skimmer.llm.components import components
-from skimmer.llm.shared import written
-
-WORDS, THRESHOLD, RECALL = 5, 0.8, 0.998
-TREES, DEPTH = 20, 8
-#: Texts of a block; two blocks are compared in one step.
-BLOCK = 256
+from skimmer.llm.shared import done_with, give_back, slices, small_batches, written
+
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
+#: Trees, and values of a tree. A pair at the threshold shares a full prefix in one of them with probability 0.9995.
+TREES, DEPTH = 32, 7
+#: What the links found tell is heeded only where a pair at the threshold is met with so much probability.
+HEEDED = 0.999
+#: Shingles and texts of a block, about; two blocks are compared in one step.
+BLOCK, BLOCK_TEXTS = 1 << 19, 1024
+#: Bands of similarity, from the threshold to 1, in which links are counted.
+BANDS = 20
 #: Stands for a null row, which counts as the smallest.
 NO_ID = -(1 << 63)
 
 
-def prefix_depth(threshold: float, recall: float, trees: int, depth: int) -> int:
-    """The longest prefix for which a pair at the threshold meets in one of the trees with the recall: ``depth``, shortened step by step."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def meeting(similarity: float | np.ndarray, trees: int, depth: int) -> float | np.ndarray:
+    """The probability that a pair shares a prefix of ``depth`` values in one of the trees."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def estimated_recall(bands: np.ndarray, threshold: float, trees: int, depth: int) -> float:
+    """The share of all links that have been found, by how many were found in each band of similarity from the threshold up.
+
+    A link of similarity s was found with probability p(s), so it stands for 1 / p(s) links; a band counts at its lower end.
+    Without links it is 1.
+    """
+    found = float(np.sum(bands))
+    if not found:
+        return 1.0
+    low = threshold + (1 - threshold) * np.arange(len(bands)) / len(bands)
+    return found / float(np.sum(np.asarray(bands) / meeting(low, trees, depth)))
 
 
 @lru_cache(maxsize=1)
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240101)
-    return r.integers(1, 1 << 32, n, np.uint64) | np.uint64(1), r.integers(0, 1 << 63, n, np.uint64)
+    return (r.integers(0, 1 << 32, n, np.uint64) | np.uint64(1)).astype(np.uint32), r.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)
 
 
 class Shingler:
@@ -62,11 +79,6 @@ class Shingler:
             h = hashes[a:b]
             yield h[:0] if len(h) == 1 and h[0] == empty else h
 
-    def keys(self, texts: pa.Array) -> Iterator[bytes]:
-        """A digest of each text's word sequence; empty if it has no words."""
-        for h in self._words(texts):
-            yield xxhash.xxh3_128_digest(h.tobytes()) if len(h) else b""
-
     def sets(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
         """For each text its sorted different shingle hashes, and the digest of its word sequence.
 
@@ -85,194 +97,247 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray, n: int) -> np.ndarray:
-    """n minimum hashes, of 32 bits each."""
+    """n minimum hashes, of 16 bits each."""
     a, b = _multipliers(n)
     out = np.full(n, np.iinfo(np.uint32).max, np.uint32)
-    for k in range(0, len(shingles), 512):
-        part = shingles[k : k + 512]
-        out = np.minimum(out, ((part[None, :] * a[:, None] + b[:, None]) >> np.uint64(32)).astype(np.uint32).min(1))
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(short), 512):
+        out = np.minimum(out, (short[k : k + 512][None, :] * a[:, None] + b[:, None]).min(1))
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")  # a minimum is small: its bits are spread first
+
+
+def prefix_marks(signatures: list[bytes], trees: int, depth: int, length: int) -> np.ndarray:
+    """A number for each signature's prefix of ``length`` values in each tree, equal for equal prefixes."""
+    values = np.frombuffer(b"".join(signatures), ">u2").reshape(len(signatures), trees, depth)[:, :, :length].astype(np.uint64)
+    out = np.zeros(values.shape[:2], np.uint64)
+    for k in range(length):
+        out = (out ^ values[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
     return out
 
 
-def _prefixes(sig: np.ndarray, trees: int, depth: int, length: int) -> list[int]:
-    """A hash of each tree's first ``length`` values."""
-    part = sig.reshape(trees, depth)[:, :length]
-    return [xxhash.xxh3_64_intdigest(np.ascontiguousarray(row).tobytes(), seed=k) - (1 << 63) for k, row in enumerate(part)]
+def _met(marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(left), len(right)), bool)
+    for t in range(marks.shape[1]):
+        out |= marks[left, t][:, None] == marks[right, t][None, :]
+    return out
 
 
-def _blocks(keys: np.ndarray, shingles: list[np.ndarray], prefixes: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Links of the texts ``left`` with the texts ``right`` (positions): number of texts, number of documents, and a spanning part of the pairs."""
-    meet = np.zeros((len(left), len(right)), bool)
-    for t in range(prefixes.shape[1]):
-        meet |= prefixes[left, t][:, None] == prefixes[right, t][None, :]
-    if same:
-        meet = np.triu(meet, 1)
+def compare(shingles: list[np.ndarray], meet: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs ``meet`` (texts ``left`` by texts ``right``, positions), those that are linked, and the similarity of each pair that is."""
     size = np.array([len(s) for s in shingles], np.int64)
     small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
-    meet &= small >= threshold * large - 1e-9
-    links = np.zeros_like(meet)
-    n = int(meet.sum())
-    if not n:
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), []
-    if n < 4 * (len(left) + len(right)):
-        for i, j in zip(*np.nonzero(meet)):
+    meet = meet & (small >= threshold * large - 1e-9)
+    both = np.zeros(meet.shape, np.float32)
+    rows, columns = np.nonzero(meet)
+    if len(rows) < 4 * (len(left) + len(right)):
+        for i, j in zip(rows.tolist(), columns.tolist()):
             a, b = shingles[left[i]], shingles[right[j]]
             if len(a) > len(b):
                 a, b = b, a
             at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-            links[i, j] = both >= threshold * (len(a) + len(b) - both) - 1e-9
+            both[i, j] = (b[np.minimum(at, len(b) - 1)] == a).sum()
     else:
-        both = np.zeros(meet.shape, np.float32)
-        own = np.unique(np.concatenate([left[meet.any(1)], right[meet.any(0)]]))
-        row = np.full(len(keys), -1)
-        every = np.concatenate([shingles[k] for k in own])
-        of = np.repeat(np.arange(len(own)), size[own])
+        own = np.unique(np.concatenate([left[rows], right[columns]]))
+        row = np.full(len(shingles), len(own))
         row[own] = np.arange(len(own))
+        every, of = np.concatenate([shingles[k] for k in own]), np.repeat(np.arange(len(own)), size[own])
         order = np.argsort(every, kind="stable")
         every, of = every[order], of[order]
         column = np.cumsum(np.concatenate([[0], every[1:] != every[:-1]]))
-        cuts = np.searchsorted(column, np.arange(0, column[-1] + 2048, 2048))
+        cuts = np.searchsorted(column, np.arange(0, column[-1] + 1025, 1024))
         l, r = row[left], row[right]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            has = np.zeros((len(own) + 1, 2048), np.float32)  # the last row stands for texts that meet none
-            has[of[a:b], column[a:b] % 2048] = 1
-            both += has[l] @ has[r].T
-        union = size[left][:, None] + size[right][None, :] - both
-        links = meet & (both >= threshold * union - 1e-4)
-    n_texts, n_docs = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    n_texts[left] += links.sum(1)
-    n_docs[left] += links @ weights[right]
-    n_texts[right] += links.sum(0)
-    n_docs[right] += weights[left] @ links
-    return n_texts, n_docs, _span(keys, left, right, links)
-
-
-def _span(keys: np.ndarray, left: np.ndarray, right: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (node, smallest node of its part) that connect what the links connect."""
-    parent: dict[int, int] = {}
-
-    def top(k: int) -> int:
-        while parent.setdefault(k, k) != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
-    for i, j in zip(*(x.tolist() for x in np.nonzero(links))):
-        a, b = top(int(keys[left[i]])), top(int(keys[right[j]]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [(k, top(k)) for k in parent if top(k) != k]
-
-
-def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """(key, class_row, n_links, n_text_links, n_copies) for each word sequence of ``docs`` (_row, a long; _text); ``word_key`` gives a text's key.
+            if a < b:
+                has = np.zeros((len(own) + 1, 1024), np.float32)  # the last row stands for texts that meet none
+                has[of[a:b], column[a:b] % 1024] = 1
+                both += has[l] @ has[r].T
+    union = size[left][:, None] + size[right][None, :] - both
+    links = meet & (both >= threshold * union - 1e-4)
+    return links, (both / np.maximum(union, 1))[links]
+
+
+def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts the smallest position that ``links`` connect it with, over any path."""
+    low = np.arange(n)
+    has_left, has_right = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
+    if not len(has_left):
+        return low
+    part = links[np.ix_(has_left, has_right)]
+    l, r = left[has_left], right[has_right]
+    while True:
+        before = low.copy()
+        np.minimum.at(low, l, np.where(part, low[r][None, :], n).min(1))
+        np.minimum.at(low, r, np.where(part, low[l][:, None], n).min(0))
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (_row, a long; _text; other columns) with _key, a digest of their words, instead of _text; and for
+    each key (key, class_row, n_links, n_text_links, n_copies).
 
     Two rows are linked if the Jaccard similarity of their sets of word n-grams is at least ``threshold``.
     A class holds what links connect; class_row is its smallest row. n_links counts the other rows that a row is linked
     with, n_text_links the other word sequences, n_copies the other rows with the same words. Rows without any words (or
-    null) are linked with none and are left out. Repeated rows are copies. An empty table gives an empty result.
+    null) have a null key and are linked with none. Repeated rows are copies. An empty table gives an empty result.
     """
-    length = prefix_depth(threshold, recall, trees, depth)
+    spark = docs.sparkSession
+    small_batches(spark)
+    kept = [c for c in docs.columns if c != "_text"]
+    order = [*kept, "_text"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                rows, keys, marks = [], [], []
-                for row, (shingles, key) in zip(part.column(0).to_pylist(), shingler.sets(part.column(1))):
-                    if key:
-                        rows.append(row)
-                        keys.append(key)
-                        marks.append(_prefixes(signature(shingles, trees * depth), trees, depth, length))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=["_row", "_key", "_marks"])
-
-    narrow = docs.select(F.coalesce("_row", F.lit(NO_ID)).alias("_row"), "_text")
-    signs = written(narrow.mapInArrow(signed, "_row long, _key binary, _marks array<long>"), "signatures")
-    texts = signs.groupBy(F.col("_key").alias("_node")).agg(F.min("_row").alias("_row"), F.count("*").alias("_weight"), F.first("_marks").alias("_marks"))
+            for part in slices(batch, batch.column(len(kept))):
+                keys, marks, sizes = [], [], []
+                for shingles, key in shingler.sets(part.column(len(kept))):
+                    keys.append(key or None)
+                    marks.append(signature(shingles, trees * depth).tobytes() if key else None)
+                    sizes.append(len(shingles))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())], names=[*kept, "_key", "_marks", "_size"])
+
+    new = [T.StructField("_key", T.BinaryType()), T.StructField("_marks", T.BinaryType()), T.StructField("_size", T.LongType())]
+    signs = written(docs.select(*order).mapInArrow(signed, T.StructType([*docs.select(*kept).schema.fields, *new])), "signatures")
+    # a null row is the smallest
+    lowest = F.min(F.coalesce("_row", F.lit(NO_ID))).alias("_row")
+    texts = signs.where(F.col("_key").isNotNull()).groupBy(F.col("_key").alias("_node")).agg(lowest, F.count("*").alias("_weight"), F.first("_marks").alias("_marks"), F.first("_size").alias("_size"))
     texts = written(texts, "texts")
-    # Texts that share a prefix point at its smallest text.
-    marks = texts.select("_node", F.posexplode("_marks").alias("_tree", "_mark"))
-    low = marks.groupBy("_tree", "_mark").agg(F.min("_node").alias("_low"), F.count("*").alias("_n")).where("_n > 1").select("_tree", "_mark", "_low")
-    stars = marks.join(low, ["_tree", "_mark"]).where(F.col("_node") != F.col("_low")).select(F.col("_node").alias("a"), F.col("_low").alias("b")).distinct()
-    groups = written(components(stars), "candidates")
-    size = groups.groupBy("root").agg(F.count("*").alias("_size"))
-    # Large groups are dealt into blocks; each pair of blocks is a unit of work.
-    dealt = groups.join(size, "root").withColumn("_blocks", F.ceil(F.col("_size") / block).cast("int")).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    dealt = dealt.join(texts, dealt["node"] == texts["_node"]).select("node", "root", "_blocks", "_block", "_weight", "_marks")
-    dealt = written(dealt, "dealt")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                sets = [s for s, _ in shingler.sets(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_node", "_shingles"])
-
-    # one row's text for each text that met another
-    key = word_key(F.col("_text"))
-    chosen = narrow.join(dealt.join(texts, dealt["node"] == texts["_node"]).select("_row").distinct(), "_row", "left_semi")
-    chosen = chosen.select(key.alias("_node"), "_text").join(dealt.select(F.col("node").alias("_node")), "_node", "left_semi").dropDuplicates(["_node"])
-    with_sets = chosen.mapInArrow(shingled, "_node binary, _shingles binary").join(dealt, F.col("_node") == F.col("node"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    spread = with_sets.select("node", "root", "_block", "_weight", "_marks", "_shingles", other)
-    spread = spread.select("root", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "node", "_weight", "_marks", "_shingles")
-    unit = ["root", "_i", "_j"]
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = spread.repartition(parts, *unit).sortWithinPartitions(*unit)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            rows = sorted(rows, key=lambda r: r[4])
-            keys = np.arange(len(rows))
-            sets = [np.frombuffer(r[7], np.uint64) for r in rows]
-            prefixes, weights, at = np.array([r[6] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), np.array([r[3] for r in rows])
-            i, j = rows[0][1], rows[0][2]
-            left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-            n_texts, n_docs, span = _blocks(keys, sets, prefixes, weights, left, right, i == j, threshold)
-            own = np.flatnonzero(n_texts)
-            linked = dict(span)
-            names = [r[4] for r in rows]
-            return pa.RecordBatch.from_pydict({"node": pa.array([names[k] for k in own.tolist()], pa.binary()), "low": pa.array([names[linked.get(k, k)] for k in own.tolist()], pa.binary()), "n_texts": pa.array(n_texts[own]), "n_docs": pa.array(n_docs[own])})
-
-        held: list[tuple] = []
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                for row in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns)):
-                    if held and held[0][:3] != row[:3]:
-                        if len(held) > 1:
-                            yield done(held)
-                        held = []
-                    held.append(row)
-        if len(held) > 1:
-            yield done(held)
 
-    links = written(ordered.mapInArrow(verify, "node binary, low binary, n_texts long, n_docs long"), "links")
-    classes = components(links.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    counts = links.groupBy("node").agg(F.sum("n_texts").alias("_texts"), F.sum("n_docs").alias("_docs"))
+    links: list[DataFrame] = []
+    sets: DataFrame | None = None
+    bands = np.zeros(BANDS)
+    for length in range(depth, 0, -1):
+        met = written(_members(texts, length, depth, trees, block), "met")
+        if not met.isEmpty():
+            fresh = met.select("_node") if sets is None else met.select("_node").join(sets, "_node", "left_anti")
+            more = written(_shingle_sets(docs, texts, fresh, words), "sets")
+            sets = more if sets is None else sets.union(more)
+            found = written(_verified(met, sets, length, depth, trees, threshold), "links")
+            links.append(found)
+            rows = found.select(F.posexplode("bands").alias("band", "n")).groupBy("band").agg(F.sum("n").alias("n")).collect()  # BANDS rows
+            for r in rows:
+                bands[r["band"]] += r["n"]
+        done_with(met)
+        met_at_threshold = meeting(threshold, trees, length)
+        if met_at_threshold >= recall or met_at_threshold >= HEEDED and estimated_recall(bands, threshold, trees, length) >= recall:
+            break
+    schema = "node binary, low binary, n_texts long, n_docs long"
+    all_links = reduce(DataFrame.union, [x.where("node is not null").select("node", "low", "n_texts", "n_docs") for x in links]) if links else spark.createDataFrame([], schema)
+    classes = components(all_links.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    counts = all_links.groupBy("node").agg(F.sum("n_texts").alias("_texts"), F.sum("n_docs").alias("_docs"))
     zero = F.lit(0).cast("long")
     found = texts.select("_node", "_row", "_weight").join(classes, F.col("_node") == F.col("node"), "left").drop("node").join(counts, F.col("_node") == F.col("node"), "left").drop("node")
     found = found.withColumn("_class", F.coalesce("root", "_node"))
     first = found.where(F.col("root").isNotNull()).groupBy(F.col("_class").alias("_c")).agg(F.min("_row").alias("_first"))
     copies = F.col("_weight") - 1
-    return found.join(first, F.col("_class") == F.col("_c"), "left").select(
+    out = found.join(first, F.col("_class") == F.col("_c"), "left").select(
         F.col("_node").alias("key"), F.nullif(F.coalesce("_first", "_row"), F.lit(NO_ID)).alias("class_row"), (F.coalesce("_docs", zero) + copies).alias("n_links"), F.coalesce("_texts", zero).alias("n_text_links"), copies.alias("n_copies")
     )
+    return signs.drop("_marks", "_size"), out
+
+
+def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int) -> DataFrame:
+    """The texts that share a prefix of ``length`` values with another, dealt into blocks: (_node, _row, _weight, _marks, _block, _meets).
+
+    Of its trie nodes that hold others, a text lives in the one that holds most; a node that holds more than ``block`` shingles, or
+    very many texts, is dealt into blocks by hash. _meets are the trie nodes of a text in all trees, each a number. When prefixes have been shortened before, only trie
+    nodes count that have more than one child: all pairs below a child have met.
+    """
+    part = lambda n: F.xxhash64("_tree", F.substring("_label", 1, 2 * n))
+    label = F.expr(f"substring(_marks, 1 + {2 * depth} * _tree, {2 * depth})")
+    forest = texts.select("_node", "_size", "_marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")).select("_node", "_size", "_tree", label.alias("_label"))
+    forest = forest.select("_node", "_size", part(length).alias("_trie"), part(min(depth, length + 1)).alias("_child"))
+    held = forest.groupBy("_trie").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"), F.min("_child").alias("_a"), F.max("_child").alias("_b"))
+    held = held.where("_n > 1" if length == depth else "_n > 1 and _a <> _b").select("_trie", "_n", "_sum")
+    own = forest.select("_node", "_trie").join(held, "_trie").groupBy("_node").agg(F.max(F.struct("_n", "_sum", "_trie")).alias("_home"), F.collect_set("_trie").alias("_meets"))  # at most `trees` of them
+    parts = F.ceil(F.greatest(F.col("_home._sum") / block, F.col("_home._n") / BLOCK_TEXTS)).cast("long")
+    place = F.xxhash64("_home._trie", F.pmod(F.xxhash64("_node"), parts))
+    return own.join(texts, "_node").select("_node", "_row", "_weight", "_marks", place.alias("_block"), "_meets")
+
+
+def _shingle_sets(docs: DataFrame, texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(_node, _shingles) for the texts ``wanted``: one row of each is read again."""
+    rows = texts.join(wanted, "_node", "left_semi").select("_row").distinct()
+    chosen = docs.select(F.coalesce("_row", F.lit(NO_ID)).alias("_row"), "_text").join(rows, "_row", "left_semi").select("_text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            for part in slices(batch, batch.column(0)):
+                sets = [(k, s.tobytes()) for s, k in shingler.sets(part.column(0)) if k]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.binary()), pa.array([s for _, s in sets], pa.binary())], names=["_node", "_shingles"])
+
+    # rows may repeat their id with other words
+    return chosen.mapInArrow(shingled, "_node binary, _shingles binary").join(wanted, "_node", "left_semi").dropDuplicates(["_node"])
 
 
-def word_key(text: Column) -> Column:
-    """A digest of the text's words; null if it has none."""
+def _verified(met: DataFrame, sets: DataFrame, length: int, depth: int, trees: int, threshold: float) -> DataFrame:
+    """(node, low, n_texts, n_docs, bands) of the texts that are linked with a text that they first meet at prefixes of ``length``.
 
-    @F.arrow_udf("binary")
-    def key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        shingler = Shingler()
-        for texts in batches:
-            yield pa.array([k or None for part in range(0, len(texts), 500) for k in shingler.keys(texts[part : part + 500])], pa.binary())
+    ``low`` is a text that links connect the node with; the counts are of this step's links. A unit of work is two blocks that
+    share a trie node, or one; each pair of texts is in one unit. ``bands`` stands once for each unit, with a null node.
+    """
+    spark = met.sparkSession
+    shared = met.select("_block", F.explode("_meets").alias("_trie")).distinct()
+    many = shared.groupBy("_trie").agg(F.count("*").alias("_n")).where("_n > 1").select("_trie")
+    crossed = shared.join(many, "_trie")
+    other = crossed.withColumnRenamed("_block", "_j")
+    pairs = crossed.join(other, "_trie").where("_block < _j").select(F.col("_block").alias("_i"), "_j").distinct()
+    alone = met.groupBy(F.col("_block").alias("_i")).agg(F.count("*").alias("_n")).where("_n > 1").select("_i", F.col("_i").alias("_j"))
+    units = pairs.union(alone)
+    rows = met.join(sets, "_node").select("_node", "_weight", "_marks", "_block", "_shingles")
+    sides = units.select("_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_block"))
+    spread = rows.join(sides, "_block").select("_i", "_j", "_block", "_node", "_weight", "_marks", "_shingles")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = spread.repartition(parts, "_i", "_j").sortWithinPartitions("_i", "_j")
+
+    def unit(rows: list[tuple]) -> pa.RecordBatch:
+        rows = sorted(rows, key=lambda r: r[3])
+        i, j = rows[0][0], rows[0][1]
+        at = np.array([r[2] for r in rows])
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        own, weights = [r[5] for r in rows], np.array([r[4] for r in rows], np.int64)
+        meet = _met(prefix_marks(own, trees, depth, length), left, right)
+        if length < depth:
+            meet &= ~_met(prefix_marks(own, trees, depth, length + 1), left, right)
+        if i == j:
+            meet = np.triu(meet, 1)
+        links, likeness = compare([np.frombuffer(r[6], np.uint64) for r in rows], meet, left, right, threshold)
+        n_texts, n_docs = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        np.add.at(n_texts, left, links.sum(1))
+        np.add.at(n_texts, right, links.sum(0))
+        np.add.at(n_docs, left, links @ weights[right])
+        np.add.at(n_docs, right, weights[left] @ links)
+        low = spanning(links, left, right, len(rows))
+        linked = np.flatnonzero(n_texts).tolist()
+        band = np.clip(((likeness - threshold) / (1 - threshold) * BANDS + 1e-6).astype(np.int64), 0, BANDS - 1)
+        counts = np.bincount(band, minlength=BANDS).tolist()
+        names = [r[3] for r in rows]
+        return pa.RecordBatch.from_pydict(
+            {
+                "node": pa.array([*(names[k] for k in linked), None], pa.binary()), "low": pa.array([*(names[low[k]] for k in linked), None], pa.binary()),
+                "n_texts": pa.array([*n_texts[linked].tolist(), 0], pa.int64()), "n_docs": pa.array([*n_docs[linked].tolist(), 0], pa.int64()),
+                "bands": pa.array([*([None] * len(linked)), counts], pa.list_(pa.int64())),
+            }
+        )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for part in slices(batch, batch.column(6)):
+                for row in zip(*(c.to_pylist() for c in part.columns)):
+                    if held and held[0][:2] != row[:2]:
+                        yield unit(held)
+                        held = []
+                    held.append(row)
+        if held:
+            yield unit(held)
+        give_back()
 
-    return key(text)
+    return ordered.mapInArrow(verify, "node binary, low binary, n_texts long, n_docs long, bands array<long>")
 
 
 def jaccard_classes(docs: DataFrame, **how) -> DataFrame:
@@ -281,12 +346,13 @@ def jaccard_classes(docs: DataFrame, **how) -> DataFrame:
     A row without words is a class of its own. Other columns are kept, but for those of these names.
     """
     new = ("class_row", "n_links", "n_text_links", "n_copies")
-    classes = written(text_classes(docs, **how), "classes").withColumnsRenamed({c: f"_found_{c}" for c in ("key", *new)})
-    rows = docs.withColumn("_own_key", word_key(F.col("_text")))
-    both = rows.join(classes, F.col("_own_key") == F.col("_found_key"), "left")
+    own = [c for c in docs.columns if c not in new]
+    safe = {c: f"_own_{k}" for k, c in enumerate(own) if c not in ("_row", "_text")}  # names that cannot clash
+    rows, classes = text_classes(docs.select(*[F.col(f"`{c}`").alias(safe.get(c, c)) for c in own]), **how)
+    both = rows.join(classes, F.col("_key") == F.col("key"), "left")
     zero = F.lit(0).cast("long")
-    first = F.when(F.col("_found_key").isNull(), F.col("_row")).otherwise(F.col("_found_class_row")).alias("class_row")
-    return both.select(*[c for c in docs.columns if c != "_text" and c not in new], first, *(F.coalesce(f"_found_{c}", zero).alias(c) for c in new[1:]))
+    first = F.when(F.col("key").isNull(), F.col("_row")).otherwise(F.col("class_row")).alias("class_row")
+    return both.select(*[F.col(safe.get(c, c)).alias(c) for c in own if c != "_text"], first, *(F.coalesce(c, zero).alias(c) for c in new[1:]))
 
 
 def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from skimmer.llm import components as C
+from skimmer.llm import jaccard as J
 from skimmer.llm.components import components
-from skimmer.llm.jaccard import RECALL, THRESHOLD, TREES, jaccard_classes, op6_jaccard_forest, prefix_depth
+from skimmer.llm.jaccard import THRESHOLD, jaccard_classes, op6_jaccard_forest
 
 
 def grams(text, n=5):
@@ -70,7 +73,7 @@ def corpus(seed, groups=12, of=14):
     return [*rows, (n, None), (n + 1, ""), (n + 2, "  \n"), (n + 3, "one"), (n + 4, "One")]
 
 
-@pytest.mark.parametrize("seed, block", [(1, 256), (2, 3), (3, 8)])
+@pytest.mark.parametrize("seed, block", [(1, 1 << 19), (2, 300), (3, 1000)])
 def test_against_all_pairs(spark, seed, block):
     rows = corpus(seed)
     assert found(spark, rows, block=block) == brute(rows)
@@ -84,13 +87,62 @@ def test_one_large_group_loses_no_link(spark):
         w = list(base)
         w[r.randrange(200)] = f"new{k % 350}"
         rows.append((k, " ".join(w)))
-    assert found(spark, rows, block=64) == brute(rows)
+    assert found(spark, rows, block=4000) == brute(rows)
 
 
-def test_prefix_is_shortened_until_recall():
-    depth = prefix_depth(THRESHOLD, RECALL, TREES, 8)
-    assert 1 - (1 - THRESHOLD**depth) ** TREES >= RECALL
-    assert prefix_depth(0.8, 0.5, 20, 8) >= depth >= prefix_depth(0.8, 0.99999, 20, 8)
+@pytest.fixture
+def lengths(monkeypatch):
+    """The prefix lengths that a join matched, in order."""
+    seen = []
+    real = J._members
+    monkeypatch.setattr(J, "_members", lambda texts, length, *rest: (seen.append(length), real(texts, length, *rest))[1])
+    return seen
+
+
+def pairs_of(share, n, words=200, seed=4):
+    """n pairs of texts whose sets of shingles have about ``share`` in common."""
+    r = random.Random(seed)
+    rows, cut = [], round(words * (1 - share) / (1 + share))
+    for k in range(n):
+        base = [f"p{k}w{r.randrange(10**6)}" for _ in range(words)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[: words - cut], *(f"q{k}x{x}" for x in range(cut))]))]
+    return rows
+
+
+@pytest.mark.parametrize("share, wanted", [(0.96, [7]), (0.806, [7, 6])])
+def test_prefixes_are_shortened_as_the_links_found_tell(spark, lengths, share, wanted):
+    rows = pairs_of(share, 40)
+    assert found(spark, rows) == brute(rows)
+    assert lengths == wanted
+
+
+def test_other_thresholds_shorten_further(spark, lengths):
+    rows = pairs_of(0.55, 30)
+    assert found(spark, rows, threshold=0.5) == brute(rows, 0.5)
+    assert lengths == [7, 6, 5, 4, 3, 2]
+
+
+def test_no_pair_is_counted_twice_over_rounds(spark, lengths):
+    rows = [*corpus(7), *((1000 + k, t) for k, t in pairs_of(0.806, 40))]
+    assert found(spark, rows, block=500) == brute(rows)
+    assert lengths == [7, 6]
+
+
+def test_recall_is_estimated_by_what_was_found():
+    assert J.estimated_recall(np.zeros(20), 0.8, 32, 7) == 1.0
+    low, high = np.zeros(20), np.zeros(20)
+    low[0], high[-1] = 100, 100
+    assert J.estimated_recall(low, 0.8, 32, 7) == pytest.approx(J.meeting(0.8, 32, 7))
+    assert J.estimated_recall(high, 0.8, 32, 7) > 0.999999
+
+
+def test_minima_agree_as_often_as_sets_do():
+    r = np.random.default_rng(0)
+    every = r.integers(0, 1 << 63, 3000).astype(np.uint64)
+    for share in (0.5, 0.8, 0.95):
+        n = round(1000 * (1 - share) / (1 + share))
+        a, b = (J.signature(np.unique(every[k : 1000 + k]), 4000) for k in (0, n))
+        assert abs(np.mean(a == b) - share) < 0.05
 
 
 def test_edges_of_tables(spark):
@@ -100,7 +152,7 @@ def test_edges_of_tables(spark):
     assert Counter((r["_row"], r["class_row"], r["n_copies"]) for r in jaccard_classes(repeated).collect()) == {(1, None, 2): 2, (None, None, 2): 1}
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     r = random.Random(5)
     edges = [(k, k + 1) for k in range(120)] + [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(50)] + [(2000, 2000 + k) for k in range(1, 80)]
     parent = {}
@@ -114,8 +166,10 @@ def test_components(spark):
         if a != b:
             a, b = sorted((top(a), top(b)))
             parent[b] = a
-    got = {row["node"]: row["root"] for row in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: top(x) for x in parent}
+    for bound in (512, 7):
+        monkeypatch.setattr(C, "HUB_LINKS", bound)
+        got = {row["node"]: row["root"] for row in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: top(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -4,8 +4,8 @@ A page becomes a tree, with the tags that HTML leaves out (html, head, body, tbo
 the tree is laid out: white space collapses as a browser's does, blocks stand on lines of their own with
 blank lines where their margins are, list items get markers and indents, and the cells of a table line up.
 
-What is hidden is left out: the head, scripts, styles, templates, comments, elements that are hidden by an
-attribute, by a style of their own or by a simple rule of the page's style sheet.
+What is hidden is left out: the head, scripts, styles, templates, comments, and elements that an attribute, a style of their own
+or the page's style sheets hide, by the cascade of ``styles``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skimmer.llm.shared import slices, small_batches
+from skimmer.llm.styles import INLINE, KEYWORDS, Sheet, shows_on_screen
+
 #: Elements are nested so deep at most; what is deeper joins the deepest, so that no text is lost.
 DEPTH = 200
 #: Characters up to which a cell widens its column; a longer one runs over.
@@ -58,10 +61,6 @@ ENDS = {
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|<[!?/][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/=>\"'][^\s/=>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?([.#][\w-]+)?$", re.I)
-_NONE, _HIDDEN, _SHOWN = (re.compile(x, re.I) for x in (r"(?:^|;)\s*display\s*:\s*none\b", r"(?:^|;)\s*visibility\s*:\s*(?:hidden|collapse)\b", r"(?:^|;)\s*visibility\s*:\s*visible\b"))
-_KEPT = re.compile(r"(?:^|;)\s*white-space\s*:\s*(?:pre|break-spaces)", re.I)
 
 
 @dataclass(slots=True)
@@ -69,6 +68,12 @@ class Node:
     tag: str
     attributes: dict[str, str]
     children: list = field(default_factory=list)
+    # set when the tree is whole: where an element stands, among all of its parent's and among those of its name
+    parent: Node | None = None
+    elements: list | None = None
+    kinds: dict[str, int] | None = None
+    place: int = 0
+    kin: int = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -87,6 +92,18 @@ class Builder:
         self.names = ["html"]
         self.styles: list[str] = []
 
+    def tree(self) -> Node:
+        """The root, with every element's place in the tree."""
+        stack = [self.root]
+        while stack:
+            node = stack.pop()
+            node.elements, node.kinds = [x for x in node.children if not isinstance(x, str)], {}
+            for k, child in enumerate(node.elements):
+                child.parent, child.place, child.kin = node, k, node.kinds.get(child.tag, 0)
+                node.kinds[child.tag] = child.kin + 1
+            stack += node.elements
+        return self.root
+
     def _push(self, node: Node) -> None:
         self._place().append(node)
         if len(self.stack) < DEPTH:
@@ -259,7 +276,8 @@ def parse(page: str) -> Builder:
                 if raw in RCDATA:
                     inside = html.unescape(inside)
                 if raw == "style":
-                    tree.styles.append(inside)
+                    if shows_on_screen(tree.stack[-1].attributes.get("media") or "all"):
+                        tree.styles.append(inside)
                 elif inside:
                     tree.stack[-1].children.append(inside)
             if stop is None:
@@ -273,38 +291,22 @@ def parse(page: str) -> Builder:
 
 
 class Hidden:
-    """What the rules of a page's style sheets hide: those that name one element, class or id."""
+    """What shows of an element: its style sheets' say, and above all what a browser never shows."""
 
     def __init__(self, styles: list[str]):
-        self.rules: dict[str, str] = {}
-        for sheet in styles:
-            if "none" not in sheet and "hidden" not in sheet and "collapse" not in sheet:
-                continue
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-                what = "none" if _NONE.search(body) else "hidden" if _HIDDEN.search(body) else ""
-                for s in selectors.split(",") if what else ():
-                    if (m := _SIMPLE.match(s.strip())) and m[0] and "@" not in selectors:
-                        self.rules[f"{(m[1] or '*').lower()}{m[2] or ''}"] = what
-
-    def of(self, node: Node) -> str:
-        """'none', 'hidden', 'visible' or ''."""
+        self.sheet = Sheet(styles)
+
+    def of(self, node: Node) -> tuple[str, dict[str, str]]:
+        """('none', 'hidden', 'visible' or '', what its styles say)."""
         tag, own = node.tag, node.attributes
-        if tag in UNSEEN or "hidden" in own or tag == "dialog" and "open" not in own or tag == "input" and own.get("type", "").lower() == "hidden":
-            return "none"
-        out = ""
-        if self.rules:
-            keys = [f"{t}{s}" for t in (tag, "*") for s in ("", *(f".{c}" for c in own.get("class", "").split()), f"#{own.get('id', '')}")]
-            found = {self.rules[k] for k in keys if k in self.rules}
-            out = "none" if "none" in found else "hidden" if found else ""
-        style = own.get("style", "")
-        if style:
-            if _NONE.search(style):
-                return "none"
-            if out != "none":
-                out = "hidden" if _HIDDEN.search(style) else "visible" if _SHOWN.search(style) else out
-            elif re.search(r"(?:^|;)\s*display\s*:", style, re.I):
-                out = ""
-        return out
+        if tag in UNSEEN or tag == "input" and own.get("type", "").lower() == "hidden":
+            return "none", {}
+        says = self.sheet.of(node) if self.sheet.by or "style" in own else {}
+        display = says.get("display", "")
+        if display == "none" or (not display or display == "revert") and ("hidden" in own or tag == "dialog" and "open" not in own):
+            return "none", says
+        seen = says.get("visibility", "")
+        return "hidden" if seen in ("hidden", "collapse") else "visible" if seen in ("visible", "initial") else "", says
 
 
 def width(s: str) -> int:
@@ -435,7 +437,7 @@ class Renderer:
 
     def element(self, node: Node, flow: Flow, seen: bool, kept: bool) -> None:
         tag = node.tag
-        how = self.hidden.of(node)
+        how, says = self.hidden.of(node)
         if how == "none":
             return
         seen = how == "visible" or seen and how != "hidden"
@@ -449,8 +451,14 @@ class Renderer:
             return
         if tag == "details" and "open" not in node.attributes:
             node = Node(tag, node.attributes, [x for x in node.children if isinstance(x, Node) and x.tag == "summary"][:1])
-        kept = kept or tag in ("pre", "textarea", "xmp") or bool(node.attributes.get("style")) and bool(_KEPT.search(node.attributes["style"]))
-        if tag not in BLOCKS:
+        space, display = says.get("white-space", ""), says.get("display", "")
+        kept = space in ("pre", "pre-wrap", "pre-line", "break-spaces") if space not in ("", "inherit", "unset") else kept or tag in ("pre", "textarea", "xmp")
+        if display in KEYWORDS["display"] and display not in INLINE and display not in ("initial", "inherit", "unset", "revert") and tag not in BLOCKS:
+            flow.block(False)
+            self.inside(node, flow, seen, kept)
+            flow.block(False)
+            return
+        if tag not in BLOCKS or display in INLINE and tag not in LISTS and tag != "table":
             self.inside(node, flow, seen, kept)
             return
         spaced = tag in SPACED and not (tag in LISTS and self.lists)
@@ -466,7 +474,7 @@ class Renderer:
         elif tag in ("pre", "xmp"):
             if node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
                 node = Node(tag, node.attributes, [node.children[0][1:], *node.children[1:]])
-            flow.put(self.block(node, seen, True))
+            flow.put(self.block(node, seen, kept))
         else:
             self.inside(node, flow, seen, kept)
         flow.block(spaced)
@@ -481,7 +489,7 @@ class Renderer:
                 if seen:
                     flow.word(_SPACE.sub(" ", child))
                 continue
-            how = self.hidden.of(child)
+            how, _ = self.hidden.of(child)
             if child.tag != "li" or how == "none":
                 self.element(child, flow, seen, kept)
                 continue
@@ -508,7 +516,7 @@ class Renderer:
                     if seen and child.strip():
                         into.append((None, [_SPACE.sub(" ", child).strip()], seen))
                     continue
-                how = self.hidden.of(child)
+                how, _ = self.hidden.of(child)
                 if how == "none":
                     continue
                 shows = how == "visible" or seen and how != "hidden"
@@ -539,7 +547,7 @@ class Renderer:
                         cells.append((at, 1, [_SPACE.sub(" ", cell).strip()]))
                         at += 1
                     continue
-                how = self.hidden.of(cell)
+                how, _ = self.hidden.of(cell)
                 if how == "none":
                     continue
                 while busy.get(at, 0) > 0:
@@ -589,7 +597,7 @@ def render(page: str | None, column: int = COLUMN) -> str | None:
         return None
     tree = parse(page)
     flow = Flow()
-    Renderer(Hidden(tree.styles), column).element(tree.root, flow, True, False)
+    Renderer(Hidden(tree.styles), column).element(tree.tree(), flow, True, False)
     return "\n".join(flow.end()).replace("\x00", "�")
 
 
@@ -602,7 +610,9 @@ def extract_text(pages: DataFrame, html_column: str = "html", text_column: str =
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages_ in batches:
-            yield pa.array([render(p.as_py(), column) for p in pages_], pa.string())
+            yield pa.array([render(p.as_py(), column) for part in slices(pages_) for p in part], pa.string())
+
+    small_batches(pages.sparkSession)
 
     return pages.withColumn(text_column, text(F.col(html_column).cast("string")))
 

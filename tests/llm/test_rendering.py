@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -23,6 +26,113 @@ def test_render(page, wanted):
     assert render(page) == wanted
 
 
+@pytest.mark.parametrize("css, body, wanted", [
+    ("@media print{p{display:none}}", "<p>visible on screen</p>", "visible on screen"), ("@media screen{p{display:none}}", "<p>no<div>yes", "yes"), ("@media all and (max-width:600px){p{display:none}} @media (min-width:40em){.w{display:none}}", "<p>1<p class=w>2", "1"),
+    ("@media not print{.a{display:none}} @media print, screen{.b{display:none}}", "<p class=a>1<p class=b>2<p>3", "3"), ("@media print{@media screen{p{display:none}}}", "<p>1", "1"), ("@supports (display:grid){p{display:none}}", "<p>1<div>2", "2"),
+    ("p.x{display:none} p.x{display:block}", "<p class=x>1", "1"), ("p.x{display:none} p{display:block}", "<p class=x>1</p>2", "2"), ("p{display:none!important} #a{display:block}", "<p id=a>1</p>2", "2"), ("#a{display:block} p{display:none}", "<p id=a>1</p>2", "1\n\n2"),
+    (".a .b{display:none}", "<div class=a><i><b class=b>no</b></i>yes</div><b class=b>also</b>", "yes\nalso"), (".x.y{display:none}", "<p class='x y'>no<p class=x>yes", "yes"), ("div>p{display:none}", "<div><p>1</p><span><p>2</p></span></div>", "2"),
+    ("h1+p{display:none} h1~div{display:none}", "<h1>h</h1><p>1</p><p>2</p><div>3</div>", "h\n\n2"), ("p:first-child{display:none} p:not(.k):last-child{display:none}", "<div><p>1<p>2<p>3</div>", "2"), ("li:nth-child(2n+1){display:none}", "<ul><li>1<li>2<li>3<li>4</ul>", "- 2\n- 4"),
+    ("[data-x=y]{display:none} [lang|=de]{display:none} a[href^=http]{display:none}", "<p data-x=y>1<p lang=de-AT>2<p><a href=http://a>3</a><a href=b>4</a>", "4"), ("p:hover, p::before{display:none}", "<p>1", "1"), ("/* p{display:none} */ p{color:red}", "<p>1", "1"),
+    ("p{display:none} [hidden]{display:block}", "<p>1<div hidden>2</div>", "2"), (".v{visibility:hidden} .v b{visibility:visible}", "<p class=v>no <b>yes</b> no", "yes"), ("p{display:nonsense;display:none;display:what}", "<p>1</p>2", "2"), ("@font-face{x:y} @keyframes k{from{display:none}} p{display:none", "<p>1</p>2", "2"),
+    ("span{display:block} div{display:inline}", "<span>1</span><span>2</span><div>3</div><div>4</div>", "1\n2\n34"), ("pre{white-space:normal} .k{white-space:pre}", "<pre>a\n b</pre><p class=k>c\n d", "a b\n\nc\n d"), ("p{content:'}p{display:none}'}", "<p>1", "1"),
+])
+def test_style_sheets(css, body, wanted):
+    assert render(f"<style>{css}</style>{body}") == wanted
+    assert render(f"<style media=print>p,div,b,i,span,a,h1,pre,li{{display:none}}</style><style>{css}</style>{body}") == wanted
+
+
+def test_own_styles_stand_above_rules():
+    assert render("<style>p{display:none}</style><p style='display:block'>1<p>2") == "1"
+    assert render("<style>p{display:none!important}</style><p style='display:block'>1</p>2") == "2"
+    assert render("<style>p{display:none!important}</style><p style='display:block ! important'>1</p>2") == "1\n\n2"
+
+
+class Slow(HTMLParser):
+    """The words that show of a page whose tags are all closed: every rule is tried on every element, in order of the cascade."""
+
+    def __init__(self, rules):
+        super().__init__()
+        self.rules, self.stack, self.words = rules, [], []
+
+    @staticmethod
+    def one(simple, tag, attrs):
+        classes = (attrs.get("class") or "").split()
+        parts = re.findall(r"[.#]?\w+", simple)
+        return all(p[1:] in classes if p[0] == "." else attrs.get("id") == p[1:] if p[0] == "#" else p == tag for p in parts)
+
+    def chain(self, sel, path):
+        if not sel:
+            return True
+        if not self.one(sel[-1], *path[-1]):
+            return False
+        rest = sel[:-1]
+        if not rest:
+            return True
+        if rest[-1] == ">":
+            return len(path) > 1 and self.chain(rest[:-1], path[:-1])
+        return any(self.chain(rest, path[:k]) for k in range(1, len(path)))
+
+    def handle_starttag(self, tag, attrs):
+        path = [(t, a) for t, a, _, _ in self.stack] + [(tag, dict(attrs))]
+        found = {"display": ((-1,), "none" if "hidden" in dict(attrs) else ""), "visibility": ((-1,), "")}
+        for n, (sel, prop, value, important) in enumerate(self.rules):
+            weight = (important, sel.count("#"), sel.count("."), len(re.findall(r"(?<![.#\w])[a-z]\w*", sel)), n)
+            if self.chain(sel.split(), path) and weight > found[prop][0]:
+                found[prop] = (weight, value)
+        _, _, none, seen = self.stack[-1] if self.stack else ("", {}, False, True)
+        v = found["visibility"][1]
+        self.stack.append((tag, dict(attrs), none or found["display"][1] == "none", v == "visible" or seen and v != "hidden"))
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if not self.stack or not self.stack[-1][2] and self.stack[-1][3]:
+            self.words += data.split()
+
+
+def test_what_shows_against_a_slow_renderer():
+    r = random.Random(12)
+    for _ in range(400):
+        simple = lambda: r.choice(["div", "span", "b", "i", ".a", ".b", ".c", "#u", "#v", "div.a", "span.b", "b.c", ".a.b", "div#u"])
+        rules = []
+        for _ in range(r.randint(0, 8)):
+            sel = simple()
+            for _ in range(r.choice([0, 0, 1, 1, 2])):
+                sel = f"{simple()} {r.choice(['', '> '])}{sel}"
+            prop = r.choice(["display", "visibility"])
+            rules.append((sel, prop, r.choice(["none", "inline", "none"] if prop == "display" else ["hidden", "visible"]), r.random() < 0.2))
+        n = 0
+
+        def part(depth):
+            nonlocal n
+            out = ""
+            for _ in range(r.randint(1, 3)):
+                n += 1
+                out += f" w{n} "
+                if depth < 5:
+                    t = r.choice(["div", "span", "b", "i"])
+                    attrs = r.choice(["", "", " class=a", " class='b c'", " class='a b'", " id=u", " id=v class=c", " hidden"])
+                    out += f"<{t}{attrs}>{part(depth + r.choice([1, 2, 5]))}</{t}>"
+            return out
+
+        page = f"<div>{part(0)}</div>"
+        css = " ".join(f"{s}{{{p}:{v}{'!important' * i}}}" for s, p, v, i in rules)
+        slow = Slow(rules)
+        slow.feed(page)
+        assert render(f"<style>{css}</style>{page}").split() == slow.words, (css, page)
+
+
+def test_hostile_styles_end_soon():
+    start = time.time()
+    deep = "<div class=a>" * 180
+    assert render(f"<style>{'.a ' * 40}.z{{display:none}} {'.a > ' * 30}.a .z{{display:none}}</style>{deep}<p class=z>x") == ""
+    assert render("<style>" + "@media screen{" * 5000 + "p{display:none}</style><p>x").strip() in ("", "x")
+    assert "x" in render(f"<style>li + li b{{display:none}} li:last-child{{display:none}} {'p{display:block}' * 3000}</style>" + "<li>x" * 20_000)
+    assert render("<style>" + "{" * 50_000 + "</style>x") == "x"
+    assert time.time() - start < 30
+
+
 def test_cells_line_up():
     rows = [("name", "n"), ("漢字", "1"), ("ab", "22"), ("", "333")]
     lines = render("<table>" + "".join(f"<tr><td>{a}<td>{b}" for a, b in rows) + "</table>").split("\n")
@@ -38,8 +148,6 @@ def test_hostile_pages_end_soon(page):
 
 
 def test_no_text_is_lost_however_markup_is_broken():
-    import random
-
     r = random.Random(4)
     tags = "p div b i ul ol li table tr td th tbody h1 span a blockquote pre dl dt dd section".split()
     for _ in range(300):

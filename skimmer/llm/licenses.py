@@ -1,14 +1,16 @@
 """License scans (operator 2): conditional compression against license templates.
 
-Candidate blocks are the sentences, lines and paragraphs that hold a cue word of licensing. Each block is compressed alone and with
-each template as zstandard raw dictionary; templates are ranked by the bytes that they save. What saves enough of its own size is
-confirmed by its exact wording: the words of the template that the block words differently, found by word alignment.
+Candidate blocks are the sentences, lines, paragraphs and stretches of text that hold a cue word of licensing. Each block is compressed
+alone and with each template as zstandard raw dictionary; templates are ranked by the bytes that they save. In this order, what saves
+enough of its own size is confirmed by its exact wording: few words of the template may be worded differently, found by word alignment, and
+none that tells it from a similar template of another license. The first that is confirmed is the notice of its place.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,14 +21,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skimmer.llm.shared import Kept, slices, small_batches
+
 #: Every template holds one of these, and so does every text that is looked at.
 CUES = r"licen[sc]|copyright|permission|redistribut|warrant|public\s+domain|creative\s+commons|\bcc0\b|\bcc[ -]by|\bspdx|\b[al]?gpl|\bapache\b"
 #: A template is looked at if it saves this share of its own compressed size, and confirmed if so many of its words differ at most.
 SHARE, DIFFERENCES = 0.4, 0.1
-#: Templates up to this many words are sought in sentences and lines, and all of them in paragraphs.
+#: Templates up to this many words are sought in sentences and lines, too.
 SHORT_WORDS = 16
-#: Blocks that a worker remembers.
-CACHE_BLOCKS = 100_000
+#: Templates of two licenses are similar if so much of the longer one's words differ at most.
+SIMILAR = 0.5
+#: Bytes of blocks that a worker remembers.
+CACHE_BYTES = 16 << 20
 LEVEL = 3
 
 # License identifiers with the names that notices give them.
@@ -42,6 +48,7 @@ NAMES = {
     "EPL-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License, Version 2.0"],
     "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "GPLv2"],
     "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "GPLv3"],
+    "LGPL-2.0": ["the GNU Library General Public License, version 2", "LGPLv2.0"],
     "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "LGPLv2.1"],
     "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "LGPLv3"],
     "AGPL-3.0": ["the GNU Affero General Public License, version 3", "AGPLv3"],
@@ -54,29 +61,58 @@ NAMES = {
     "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
 }
 LEADS = ("licensed under", "released under", "available under", "distributed under", "under the terms of")
-# The wording of longer notices.
+# The wording of longer notices, of one paragraph.
 NOTICES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "MIT-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0": "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.0": "is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+# The wording of whole licenses, of several paragraphs.
+FULL = {
+    "MIT": f"{NOTICES['MIT']} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}",
+    "MIT-0": f"{NOTICES['MIT-0']} {_AS_IS}",
+    "ISC": f"{NOTICES['ISC']} {_ISC_AS_IS}",
+    "0BSD": f"{NOTICES['0BSD']} {_ISC_AS_IS}",
+    "BSD-2-Clause": " ".join([*_BSD[:3], _BSD[4]]),
+    "BSD-3-Clause": " ".join(_BSD),
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _CUE = re.compile(CUES, re.I)
 _BREAK = re.compile(r"\n|(?<=[.!?;])\s+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
+_NEVER = re.compile(r"(?!)")
+#: Each whole license and longer notice holds one of these.
+_LONG_CUE = re.compile(r"hereby\s+granted|permission\s+is|permission\s+to\s+use|redistribut|warrant|free\s+software|public\s+license|apache\s+license|public\s+domain|boost\s+software|licensed\s+under", re.I)
 _ARTICLES = frozenset(("the", "a", "an"))
 
 
 def templates() -> list[tuple[str, str]]:
-    """(license, wording): every name after every lead, and the longer notices."""
+    """(license, wording): every name after every lead, identifiers, the longer notices, and whole licenses."""
     short = [(k, f"{lead} {name}") for k, names in NAMES.items() for name in names for lead in LEADS]
-    return [*short, *((k, f"SPDX-License-Identifier: {k}") for k in NAMES), *NOTICES.items()]
+    return [*short, *((k, f"SPDX-License-Identifier: {k}") for k in NAMES), *NOTICES.items(), *FULL.items()]
 
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -115,6 +151,24 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+def telling_words(licenses: list[str], words: list[list[str]]) -> list[tuple[frozenset[str], frozenset[str]]]:
+    """For each template, the words that must be in its place, and those that may not be there.
+
+    Of two similar templates of different licenses, the words that only one has tell them apart. Numbers always must be there.
+    """
+    counts = [Counter(w) for w in words]
+    sizes = np.array([len(w) for w in words])
+    out = []
+    for k, own in enumerate(counts):
+        must, never = {w for w in own if w[0].isdigit()}, set()
+        for j in np.flatnonzero(np.abs(sizes - sizes[k]) <= SIMILAR * np.maximum(sizes, sizes[k])).tolist():
+            if licenses[j] != licenses[k] and max((own - counts[j]).total(), (counts[j] - own).total()) <= SIMILAR * max(sizes[j], sizes[k]):
+                must |= own.keys() - counts[j].keys()
+                never |= counts[j].keys() - own.keys()
+        out.append((frozenset(must), frozenset(never)))
+    return out
+
+
 @dataclass(frozen=True)
 class Match:
     license: str
@@ -133,7 +187,7 @@ class Scanner:
     def __init__(self, of: list[tuple[str, str]] | None = None, share: float = SHARE, most: float = DIFFERENCES, level: int = LEVEL):
         self.of = templates() if of is None else of
         for _, wording in self.of:
-            if not _CUE.search(wording):
+            if not _CUE.search(wording) or len(words_of(wording)[0]) > SHORT_WORDS and not _LONG_CUE.search(wording):
                 raise ValueError(f"no cue word in {wording!r}")
         self.share, self.most = share, most
         self.words = [words_of(w)[0] for _, w in self.of]
@@ -146,9 +200,12 @@ class Scanner:
             d.precompute_compress(level=level)
             self.primed.append(zstandard.ZstdCompressor(dict_data=d, **plain))
             self.own.append(len(self.alone.compress(raw)))
-        self.short = [k for k, own in enumerate(self.words) if len(own) <= SHORT_WORDS]
-        self.every = [*range(len(self.words))]
-        self.known: dict[tuple[str, bool], list[Match]] = {}
+        self.telling = telling_words([k for k, _ in self.of], self.words)
+        # what is sought in blocks of each kind: sentences and lines, paragraphs, and text over paragraph ends
+        size = [len(own) for own in self.words]
+        one = max((len(words_of(w)[0]) for w in NOTICES.values()), default=1)
+        self.kinds = [(_BREAK, [k for k, n in enumerate(size) if n <= SHORT_WORDS]), (_PARAGRAPH, [k for k, n in enumerate(size) if n <= one]), (_NEVER, [k for k, n in enumerate(size) if n > SHORT_WORDS])]
+        self.known: dict[str, list[Match]] = Kept(CACHE_BYTES, 4096)
 
     def ranked(self, block: list[str], among: list[int]) -> list[tuple[int, float, int]]:
         """(bytes saved, share of the template's own size, template), the most bytes first."""
@@ -157,22 +214,30 @@ class Scanner:
         saved = [(size - len(self.primed[k].compress(raw)), k) for k in among]
         return sorted(((s, s / self.own[k], k) for s, k in saved if s > 0), key=lambda x: (-x[0], x[2]))
 
-    def block(self, text: str, long: bool) -> list[Match]:
-        """The notices of a block: in order of bytes saved, those whose wording is confirmed and that no better one covers."""
-        if (text, long) in self.known:
-            return self.known[text, long]
+    def confirmed(self, k: int, words: list[str]) -> tuple[int, int, int] | None:
+        """(n differing words, begin, end) of the stretch of ``words`` that is a template's wording; None if none is."""
+        must, never = self.telling[k]
+        if not must.issubset(words):
+            return None
+        n, begin, end = differences(self.words[k], words)
+        if n > self.most * len(self.words[k]) or begin >= end:
+            return None
+        own = set(words[begin:end])
+        return (n, begin, end) if must <= own and never.isdisjoint(own) else None
+
+    def block(self, text: str, kind: int) -> list[Match]:
+        """The notices of a block: in order of bytes saved, those whose wording is confirmed and that none before them overlaps."""
+        key = f"{kind}{text}"
+        if key in self.known:
+            return self.known[key]
         words, spans = words_of(text)
         out: list[Match] = []
-        for saved, share, k in self.ranked(words, self.every if long else self.short) if words else ():
-            if share < self.share:
-                continue
-            n, begin, end = differences(self.words[k], words)
-            if n <= self.most * len(self.words[k]) and begin < end:
+        for saved, share, k in self.ranked(words, self.kinds[kind][1]) if words else ():
+            if share >= self.share and (found := self.confirmed(k, words)):
+                n, begin, end = found
                 out.append(Match(self.of[k][0], k, spans[begin][0], spans[end - 1][1], saved, share, n, len(self.words[k])))
         out = best(out)
-        if len(self.known) >= CACHE_BLOCKS:
-            self.known.clear()
-        self.known[text, long] = out
+        self.known.keep(key, out, 150 * len(out))
         return out
 
     def scan(self, text: str | None) -> list[Match]:
@@ -180,18 +245,19 @@ class Scanner:
         if not text or not _CUE.search(text):
             return []
         found: list[Match] = []
-        for long, breaks, reach in ((False, _BREAK, 3 * SHORT_WORDS), (True, _PARAGRAPH, 3 * max(map(len, self.words), default=1))):
+        for kind, (breaks, among) in enumerate(self.kinds):
+            reach = 3 * max((len(self.words[k]) for k in among), default=1)
             at = 0
             for m in [*breaks.finditer(text), None]:
                 a, b = at, m.start() if m else len(text)
                 at = m.end() if m else b
-                for c, d in self._windows(text, a, b, reach):
-                    found += [Match(x.license, x.template, x.begin + c, x.end + c, x.saved, x.share, x.differing, x.words) for x in self.block(text[c:d], long)]
+                for c, d in self._windows(text, a, b, reach, self.kinds[kind][0] is _NEVER):
+                    found += [Match(x.license, x.template, x.begin + c, x.end + c, x.saved, x.share, x.differing, x.words) for x in self.block(text[c:d], kind)]
         return sorted(best(found), key=lambda x: (x.begin, x.end))
 
-    def _windows(self, text: str, a: int, b: int, reach: int) -> Iterator[tuple[int, int]]:
+    def _windows(self, text: str, a: int, b: int, reach: int, long: bool) -> Iterator[tuple[int, int]]:
         """A block as it is, if it has a cue; a very long one as windows of three steps around the cues, so that a notice lies whole in one."""
-        cues = [m.start() for m in _CUE.finditer(text, a, b)]
+        cues = [m.start() for m in (_LONG_CUE if long else _CUE).finditer(text, a, b)]
         if not cues:
             return
         if b - a <= 40 * reach:
@@ -208,9 +274,9 @@ class Scanner:
 
 
 def best(matches: list[Match]) -> list[Match]:
-    """Of matches that overlap, the one with the fewest differing words for its length; then the one that covers most; then the first."""
+    """Of matches that overlap, the one that saves the most bytes; then the one with the fewest differing words; then the longer; then the first."""
     out: list[Match] = []
-    for x in sorted(matches, key=lambda x: (-(x.words - 2 * x.differing), -(x.end - x.begin), x.begin, x.template)):
+    for x in sorted(matches, key=lambda x: (-x.saved, x.differing, x.begin - x.end, x.begin, x.template)):
         if all(x.end <= y.begin or x.begin >= y.end for y in out):
             out.append(x)
     return out
@@ -231,11 +297,12 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", of: list[tuple[str
     def notices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(pairs, share, most)
         kind = pa.list_(pa.struct([("license", pa.string()), ("wording", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("saved_bytes", pa.int32()), ("share", pa.float64()), ("n_differing", pa.int32()), ("n_words", pa.int32())]))
-        for texts in batches:
+        for texts in (part for batch in batches for part in slices(batch)):
             cued = pc.fill_null(pc.match_substring_regex(texts, f"(?i){CUES}"), False).to_pylist()
             found = [scanner.scan(t.as_py()) if c else [] for t, c in zip(texts, cued)]
             yield pa.array([[(x.license, pairs[x.template][1], x.begin, x.end, x.saved, x.share, x.differing, x.words) for x in own] for own in found], kind)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn("_notices", notices(F.col(text_column).cast("string")))
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
+import zstandard
 
-from skimmer.llm.licenses import NOTICES, Scanner, differences, op2_license_scan, scan_licenses, templates
+from skimmer.llm.licenses import DIFFERENCES, FULL, NOTICES, SHARE, Scanner, differences, op2_license_scan, scan_licenses, templates, words_of
 
 SCANNER = Scanner()
 
@@ -52,6 +54,85 @@ def test_every_template_finds_itself():
         assert found[0].differing == 0
 
 
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize("text, licenses", [
+    (GPL.format("", "3"), ["GPL-3.0"]), (GPL.format("", "2"), ["GPL-2.0"]), (GPL.format("", "1"), []), (GPL.format("", "4"), []), (GPL.format("Affero ", "3"), ["AGPL-3.0"]), (GPL.format("Lesser ", "3"), ["LGPL-3.0"]), (GPL.format("Lesser ", "2.1"), ["LGPL-2.1"]),
+    (GPL.format("Library ", "2"), ["LGPL-2.0"]), (GPL.format("Affero ", "1"), []), (FULL["BSD-3-Clause"], ["BSD-3-Clause"]), (FULL["BSD-2-Clause"], ["BSD-2-Clause"]), (FULL["MIT"], ["MIT"]), (FULL["MIT-0"], ["MIT-0"]), (FULL["ISC"], ["ISC"]), (FULL["0BSD"], ["0BSD"]), (FULL["Zlib"], ["Zlib"]),
+    (NOTICES["Apache-2.0"].replace("2.0", "1.1"), []), (NOTICES["MPL-2.0"].replace("2.0", "1.1"), []), ("Licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]), ("Licensed under the GNU Affero General Public License, version 3", ["AGPL-3.0"]),
+    ("Released under the New BSD License; see also the Simplified BSD License, distributed under the BSD 2-Clause License", ["BSD-3-Clause", "BSD-2-Clause"]), ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]), ("Licensed under CC BY-NC-SA 4.0", ["CC-BY-NC-SA-4.0"]), ("Licensed under CC BY 3.0", []),
+    ("Copyright (c) 1999 Somebody\n\n" + FULL["BSD-3-Clause"].replace("conditions are met: ", "conditions are met:\n\n 1. ").replace("disclaimer. ", "disclaimer.\n\n 2. ").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS"), ["BSD-3-Clause"]),
+])
+def test_licenses_that_are_worded_alike(text, licenses):
+    assert [x.license for x in SCANNER.scan(text)] == licenses
+    assert [x.license for x in SCANNER.scan(f"Before it.\n\n{text}\n\nAfter it.")] == licenses
+
+
+def by_force(text, of):
+    """The licenses of a text of one block: every template against every stretch, each compressed anew; what tells two licenses apart is worked out by pairs."""
+    words = words_of(text)[0]
+    raw = " ".join(words).encode()
+
+    def size(raw, own=None):
+        how = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        given = {"dict_data": zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if own else {}
+        return len(zstandard.ZstdCompressor(**how, **given).compress(raw))
+
+    found = []
+    for k, (license_, wording) in enumerate(of):
+        own = words_of(wording)[0]
+        saved = size(raw) - size(raw, own)
+        if saved < SHARE * size(" ".join(own).encode()) or saved <= 0:
+            continue
+        best_ = min((edit(own, words[a:b]), b, a) for a in range(len(words)) for b in range(a + 1, min(len(words), a + 2 * len(own)) + 1))
+        n, b, a = best_
+        if n > DIFFERENCES * len(own):
+            continue
+        there = Counter(words[a:b])
+        ok = all(there[w] for w in own if w[0].isdigit())
+        for other, said in of:
+            rest = words_of(said)[0]
+            if other != license_:
+                gone, new = Counter(own) - Counter(rest), Counter(rest) - Counter(own)
+                if max(gone.total(), new.total(), abs(len(rest) - len(own))) <= 0.5 * max(len(rest), len(own)):
+                    ok &= all(there[w] for w in gone if w not in rest) and not any(there[w] for w in new if w not in own)
+        if ok:
+            found.append((-saved, n, a - b, a, k, b, license_))
+    out = []
+    for x in sorted(found):
+        if all(x[5] <= y[3] or x[3] >= y[5] for y in out):
+            out.append(x)
+    return [x[6] for x in sorted(out, key=lambda x: x[3])]
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j - 1] + (x != y), old[j] + 1, row[j - 1] + 1))
+    return row[-1]
+
+
+def test_against_all_templates_and_stretches():
+    r = random.Random(5)
+    of = [x for x in templates() if len(words_of(x[1])[0]) <= 8]
+    names = [w for _, w in of]
+    scanner = Scanner(of)
+    for _ in range(60):
+        text = r.choice(names)
+        if r.random() < 0.6:
+            own = text.split()
+            k = r.randrange(len(own))
+            own[k] = r.choice(["the", "3", "2.0", "Lesser", "Affero", "NC", "License", "GNU", own[k]])
+            text = " ".join(own)
+        if r.random() < 0.4:
+            text = f"{text} and {r.choice(names)}"
+        text = f"{r.choice(['See', 'Text that is', ''])} {text}".strip()
+        assert [x.license for x in sorted(scanner.block(text, 1), key=lambda x: x.begin)] == by_force(text, of), text
+
+
 def test_few_words_may_differ_in_long_notices():
     wording = NOTICES["MIT"].replace("hereby", "gladly").replace("Software", "Program")
     found = SCANNER.scan(f"Intro.\n\n{wording}\n\nBody.")

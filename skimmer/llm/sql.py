@@ -16,16 +16,24 @@ joined AS (
   SELECT doc_id, kind, array_to_string(list_transform(ps, lambda p, i: p || CASE WHEN i = len(ps) THEN '' WHEN p[1] IN ('0', '1') THEN ';' ELSE ' ' END), '') AS s FROM paragraphs),
 bodies AS (
   SELECT doc_id, kind, array_to_string(list_transform(string_split(s, ';'), lambda x: substring(sha256(x), 1, 16) || '{' || x || '}'), ';') AS b FROM joined),
-prints AS (SELECT doc_id, kind, sha256(b) || ';' || b AS f, list_distinct(regexp_extract_all(b, '[=.]([0-9a-f]{8})', 1)) AS own FROM bodies),
+prints AS (SELECT doc_id, kind, sha256(b) || ';' || b AS f, list_distinct(regexp_extract_all(b, '[=.]([0-9a-f]{8})', 1)) AS own, regexp_extract_all(b, '([0-9a-f]{16})=', 1) AS ps FROM bodies),
 both_ AS (
-  SELECT e.doc_id, e.text, e.edited, a.f AS fingerprint, b.f AS edited_fingerprint, a.own AS x, b.own AS y,
+  SELECT e.doc_id, e.text, e.edited, a.f AS fingerprint, b.f AS edited_fingerprint, a.own AS x, b.own AS y, a.ps AS p, b.ps AS q,
          coalesce(lead(a.f) OVER w, first_value(a.f) OVER w) AS next_f, coalesce(lead(a.own) OVER w, first_value(a.own) OVER w) AS z
   FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 1 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 2
-  WINDOW w AS (ORDER BY e.doc_id))
+  WINDOW w AS (ORDER BY e.doc_id)),
+fronts AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, least(len(p), len(q)) + 1), lambda i: p[i] <> q[i]), true), 0) - 1, least(len(p), len(q))) AS front FROM both_),
+rests AS (SELECT *, list_reverse(p[front + 1:]) AS r, list_reverse(q[front + 1:]) AS s FROM fronts),
+backs AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, least(len(r), len(s)) + 1), lambda i: r[i] <> s[i]), true), 0) - 1, least(len(r), len(s))) AS back FROM rests),
+stretches AS (SELECT *, fingerprint <> edited_fingerprint AS other, r[back + 1:] AS gone, s[back + 1:] AS come FROM backs)
 SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
        CASE WHEN fingerprint = edited_fingerprint THEN 1 ELSE CAST(2 * len(list_intersect(x, y)) AS DOUBLE) / greatest(1, len(x) + len(y)) END AS near_edited,
-       CASE WHEN fingerprint = next_f THEN 1 ELSE CAST(2 * len(list_intersect(x, z)) AS DOUBLE) / greatest(1, len(x) + len(z)) END AS near_next
-FROM both_
+       CASE WHEN fingerprint = next_f THEN 1 ELSE CAST(2 * len(list_intersect(x, z)) AS DOUBLE) / greatest(1, len(x) + len(z)) END AS near_next,
+       CAST(CASE WHEN other THEN front END AS INTEGER) AS first_changed, CAST(CASE WHEN other THEN len(gone) END AS INTEGER) AS n_before, CAST(CASE WHEN other THEN len(come) END AS INTEGER) AS n_after,
+       CAST(CASE WHEN other THEN len(list_filter(list_distinct(gone), lambda d: NOT list_contains(come, d))) END AS INTEGER) AS n_deleted,
+       CAST(CASE WHEN other THEN len(list_filter(list_distinct(come), lambda d: NOT list_contains(gone, d))) END AS INTEGER) AS n_inserted,
+       CAST(CASE WHEN other THEN len(list_intersect(gone, come)) END AS INTEGER) AS n_moved
+FROM stretches
 """
 
 OP6_SQL = r"""

@@ -34,6 +34,28 @@ def test_changed_paragraphs_and_likeness(spark):
     assert got[1]["c"] == [] and got[1]["l"] == 1.0 and got[2]["l"] == 0.0 and got[3]["l"] == 1.0
 
 
+def test_edits_tell_what_came_went_and_moved(spark):
+    cases = [("a\nb", "a\nb\na", 2, 0, 1, 0, 1, 0), ("a\nb\nc", "a\nc", 1, 1, 0, 1, 0, 0), ("a\nb", "b\na", 0, 2, 2, 0, 0, 2), ("a\nb\nc", "a\nx\nc", 1, 1, 1, 1, 1, 0), ("a\na\na", "a", 1, 2, 0, 1, 0, 0), ("", "a", 0, 1, 1, 1, 1, 0)]
+    lines = [f"line {k} of some text" for k in range(300)]
+    text = "\n".join
+    cases += [(text(lines), text([*lines[:100], "new", *lines[100:]]), 100, 0, 1, 0, 1, 0), (text(lines), text([*lines[:100], *lines[130:]]), 100, 30, 0, 30, 0, 0), (text(lines), text([*lines[:50], *lines[60:200], *lines[50:60], *lines[200:]]), 50, 150, 150, 0, 0, 150)]
+    rows = spark.createDataFrame([(k, *x[:2]) for k, x in enumerate(cases)], "k int, a string, b string")
+    e = M.edits(M.fingerprint(F.col("a")), M.fingerprint(F.col("b")))
+    got = {r["k"]: r["e"] for r in rows.select("k", e.alias("e")).collect()}
+    for k, x in enumerate(cases):
+        assert (got[k]["first"], got[k]["before"], got[k]["after"], len(got[k]["deleted"]), len(got[k]["inserted"]), len(got[k]["moved"])) == x[2:], x
+    assert rows.where("k = 0").select(M.edits(M.fingerprint(F.col("a")), M.fingerprint(F.col("a"))).alias("e")).first()["e"] is None
+
+
+def test_one_far_id_makes_no_bucket_large(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows = rows.union(spark.createDataFrame([((1 << 61), "far"), (-(1 << 62), "low")], "doc_id long, text string"))
+    size = rows.groupBy(M._bucket(F.col("doc_id"), M._quantiles(rows, "doc_id", 10)).alias("b")).count().collect()
+    assert len(size) >= 9 and max(r["count"] for r in size) <= 3000
+    got = {r["doc_id"]: r["next_text"] for r in M.with_next(rows, "doc_id", ["text"]).collect()}
+    assert got == {k: str(k + 1) for k in range(19_999)} | {19_999: "far", 1 << 61: "low", -(1 << 62): "0"}
+
+
 def test_next_document_over_any_buckets(spark):
     ids = [5, 1, 9, None, 9, -(1 << 62), (1 << 62) + 5, 3, 3, 2]
     rows = [(i, f"t{k}") for k, i in enumerate(ids)]

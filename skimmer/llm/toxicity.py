@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from os.path import commonprefix
@@ -112,6 +112,12 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def core_of(token: str) -> str:
+    """A token without the signs around it; a bracket after the first pass stays, for it may be a letter."""
+    core = _NOISE.sub("", token).strip(".,;:?\"'()[]{}<>&%=~`^/\\")
+    return _NOISE.sub("", core).strip(".,;:?\"'[]{}<>&%=~`^/\\")
+
+
 @dataclass
 class Restorer:
     """Decodes tokens; remembers what it has decoded."""
@@ -132,8 +138,7 @@ class Restorer:
             return self._kept(token, lambda: [t.split() for t in self.decode(token)])
         if token.isalpha() and not _THRICE.search(token):
             return self.undoubled(token)
-        core = _NOISE.sub("", token).strip(".,;:?\"'()[]{}<>&%=~`^/\\")
-        core = _NOISE.sub("", core).strip(".,;:?\"'[]{}<>&%=~`^/\\")
+        core = core_of(token)
         if core.isalpha() and not _THRICE.search(core):
             return self.undoubled(core)
         if not any(map(str.isalpha, core)) and sum(c in LEET for c in core) < 3:
@@ -264,6 +269,29 @@ def marks(word: str) -> list[str]:
     return [f"={word}", *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)]
 
 
+class Heads:
+    """Tells tokens apart that no mark of a set can fit, however they are read; a plain word is read with or without each of its doubled letters."""
+
+    def __init__(self, names: Iterable[str]):
+        self.names = frozenset(names)
+        self.first = {(m[1:] if m[0] == "=" else m[:-1])[:3] for m in self.names}
+
+    def fit(self, token: str) -> bool:
+        if not token.isalpha():
+            token = token and core_of(token)
+            if not token.isalpha():
+                return bool(token)
+        doubled = [m.start() for m in _TWICE.finditer(token)]
+        if not doubled:
+            return token[:3] in self.first
+        if len(doubled) > 4 or _THRICE.search(token):
+            return True
+        words = {token}
+        for at in reversed(doubled):
+            words |= {w[:at] + w[at + 1 :] for w in words}
+        return any(w[:3] in self.first and not self.names.isdisjoint(marks(w)) for w in words)
+
+
 @dataclass
 class ToxicModel:
     """Marks with their log-likelihood ratios, and the curve; ``character`` is the language model."""
@@ -272,9 +300,15 @@ class ToxicModel:
     worth: dict[str, float]
     intercept: float
     slope: float
+    heads: Heads = field(init=False)
+
+    def __post_init__(self):
+        self.heads = Heads(self.worth)
 
     def hits(self, restorer: Restorer, token: str) -> float:
         """What a token tells: of its likely readings the strongest, each word by its strongest mark."""
+        if not self.heads.fit(token):
+            return 0.0
         get = self.worth.get
         return max(sum(max(get(m, 0.0) for m in marks(w)) for w in words) for words in restorer.readings(token))
 
@@ -338,7 +372,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
 
     def shown(batch: pa.RecordBatch, restorer: Restorer, wanted: dict[str, int] | None) -> Iterator[tuple[int, set, tuple[int, int]]]:
         tokens, index, first = tokens_of(batch.column(0), restorer)
-        own = [{m for w in restorer.words(t) for m in marks(w) if wanted is None or m in wanted} for t in tokens]
+        heads = Heads(wanted) if wanted is not None else None
+        own = [{m for w in restorer.words(t) for m in marks(w) if wanted is None or m in wanted} if heads is None or heads.fit(t) else set() for t in tokens]
         for k, label in enumerate(batch.column(1).to_pylist()):
             row = index[first[k] : first[k + 1]].tolist()
             ends = tuple(zlib.crc32(" ".join(tokens[t] for t in part).encode()) for part in (row[:4], row[-4:]))

@@ -77,6 +77,14 @@ def test_spaces_doubles_and_long_tokens_are_decoded(restorer, text, words):
     assert said == words or "_" in text and set(words) <= set(said)
 
 
+def test_tokens_that_no_mark_fits_tell_nothing(restorer):
+    worth = {"=stupid": 3.0, "mor*": 1.0, "tras*": 2.0, "=at": 1.0}
+    heads = X.Heads(worth)
+    for token in ["stupid", "sstupid", "stuppid", "moron", "morron", "mmorrons", "trash", "traash", "letter", "greenn", "at", "att", "st1p", "y o u", "house", "aat", "ssttuuppiidd", "mooron"]:
+        told = max(sum(max(worth.get(m, 0.0) for m in X.marks(w)) for w in words) for words in restorer.readings(token))
+        assert heads.fit(token) or told == 0, token
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}

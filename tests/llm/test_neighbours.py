@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from skimmer.llm.neighbours import TOP, _pairs, neighbour_graph, op7_nn_descent, search, usable
+from skimmer.llm.neighbours import TOP, neighbour_graph, op7_nn_descent, search, told, usable
 
 
 def nearest(ids, v, query, top=TOP):
@@ -93,8 +93,62 @@ def test_copies_are_found_by_id(spark, tmp_path):
 
 
 def test_a_full_list_takes_an_equal_one_with_a_smaller_id():
-    ids, scores = np.array([5, 1, 9]), np.ones((3, 3))
-    got = _pairs(ids, scores, np.ones(3), np.array([9, 9, 1]), np.ones(3, bool), 8)
-    assert sorted(zip(got["id"], got["other"])) == [(1, 5), (5, 1)]
-    first = _pairs(ids, scores, np.full(3, -np.inf), np.zeros(3, np.int64), np.ones(3, bool), 1)
-    assert sorted(zip(first["id"], first["other"])) == [(1, 5), (5, 1), (9, 1)]
+    ids, v, edges = np.array([5, 1, 9]), np.ones((3, 1), np.float32), np.array([0, 3])
+    of = lambda worst, last, n: sorted((i, o) for b in told(ids, v, worst, last, np.ones(3, bool), edges, n) for i, o, _ in zip(*(c.to_pylist() for c in b.columns)))
+    assert of(np.ones(3, np.float32), np.array([9, 9, 1]), 8) == [(1, 5), (5, 1)]
+    assert of(np.full(3, -np.inf, np.float32), np.zeros(3, np.int64), 1) == [(1, 5), (5, 1), (9, 1)]
+
+
+def test_places_are_compared_as_one_by_one():
+    r = np.random.default_rng(2)
+    sizes = r.integers(1, 40, 50)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    n = int(edges[-1])
+    ids, v, fresh = r.permutation(n), r.normal(size=(n, 8)).astype(np.float32), r.random(n) < 0.5
+    worst = r.normal(size=n).astype(np.float32)
+    got = {(i, o) for b in told(ids, v, worst, np.zeros(n, np.int64), fresh, edges, 5) for i, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    wanted = set()
+    for a, b in zip(edges, edges[1:]):
+        for k in range(a, b):
+            near = sorted((-float(v[k] @ v[j]), int(ids[j])) for j in range(a, b) if j != k and (fresh[k] or fresh[j]) and v[k] @ v[j] > worst[k])[:5]
+            wanted |= {(int(ids[k]), o) for _, o in near}
+    assert got == wanted
+
+
+def test_repeated_and_ragged_rows(spark, tmp_path):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(120, 6))
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    rows += [(0, v[0].tolist()), (20, (v[20] + 1).tolist()), (40, v[41].tolist()), (500, [1.0, 2.0]), (520, [1.0] * 7), (60, [1.0])]
+    spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, id int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    by: dict[int, list] = {}
+    for i, x in rows:
+        if len(x) == 6:
+            by.setdefault(i, []).append(x)
+    one = {i: min(x) for i, x in by.items()}
+    got: dict[int, list] = {}
+    for row in op7_nn_descent(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"]))
+    assert sorted(got) == [0, 20, 40, 60, 80, 100]
+    for q, found in got.items():
+        best = sorted((-sum(a * b for a, b in zip(one[q], one[i])), i) for i in one if i != q)[:TOP]
+        assert found == [(k + 1, i) for k, (_, i) in enumerate(best)]
+
+
+def test_large_components(spark, tmp_path):
+    v = np.random.default_rng(8).normal(size=(300, 4)) * 1e100
+    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got: dict[int, list[int]] = {}
+    for row in op7_nn_descent(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append(row["vec_id"])
+    assert len(got) == 15 and recall(got, np.arange(300), v) >= 0.95
+
+
+def test_recall_on_the_largest_table(spark):
+    d = "/root/testdata/sf0.1"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    got: dict[int, list[int]] = {}
+    for r in op7_nn_descent(spark, d).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert recall(got, ids, v) >= 0.9

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skimmer.llm.shared import written
+from skimmer.llm.shared import done_with, written
 
 #: Budgets up to this many words are filled by dynamic programming; what is larger is first dealt in proportion.
 DP_WORDS = 1 << 16
 #: Documents of one source and size that are ranked together.
-GROUP_ROWS = 100_000
+GROUP_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,12 +77,19 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.
     source's size, and what is cut off goes to the others by weight, until no target is above. If all sources stop, the
     targets add up to less. No row of the sources is collected: each round asks for two sums.
     """
-    ordered = totals.orderBy(F.col("source").asc_nulls_last())
-    ranked = ordered.rdd.zipWithIndex().map(lambda x: (x[0]["source"], x[0]["source_size"], x[1]))
     spark = totals.sparkSession
-    table = spark.createDataFrame(ranked, T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("_rank", T.LongType())]))
+    # sources in order: range partitions, and in each a rank; what the partitions before hold is a few numbers
+    source = F.col("source").asc_nulls_first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    null_last = F.col("source").isNull()
+    dealt = written(totals.repartitionByRange(parts, null_last, source).withColumn("_part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    first = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(null_last, source)) - 1
+    table = dealt.withColumn("_rank", rank).join(first, "_part").withColumn("_rank", F.col("_rank") + F.col("_first"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    table = written(table.withColumn("_weight", weight), "sources")
+    table = written(table.select("source", "source_size", weight.alias("_weight")), "weights")
+    done_with(dealt)
     goal = share * float(table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     level = 0.0
     while True:  # the level only rises, and each round stops at least one more source
@@ -111,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     targets = written(source_targets(totals, weights, share, most), "targets")
     t = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
-    joined = sizes.join(t, same(sizes, t, "_source"), "left").drop(t["_source"])
+    joined = sizes.join(t.hint("merge"), same(sizes, t, "_source"), "left").drop(t["_source"])
 
     def quotas(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("_size", ignore_index=True)
@@ -124,7 +131,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     schema = T.StructType(
         [T.StructField("_source", T.StringType())] + [T.StructField(k, kind) for k, kind in (("_size", T.LongType()), ("_n", T.LongType()), ("_source_size", T.LongType()), ("_target", T.DoubleType()), ("_full", T.LongType()), ("_more", T.LongType()))]
     )
-    quota = written(joined.select("_source", "_size", "_n", "_source_size", "_target").groupBy("_source").applyInPandas(quotas, schema), "quotas")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    by_source = joined.select("_source", "_size", "_n", "_source_size", "_target").repartition(parts, "_source")  # not merged again: each source's knapsack is work
+    quota = written(by_source.groupBy("_source").applyInPandas(quotas, schema), "quotas")
     # Documents of a source and size rank by hash. Where there are many, slices of the hash's range are ranked apart,
     # and a slice's first rank is what the slices before it hold.
     slices = F.greatest(F.lit(1), F.ceil(F.col("_n") / group_rows)).cast("long")
@@ -141,12 +150,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         counted = keyed.groupBy("_source", "_size", "_slice").agg(F.count("*").alias("_c"))
         before = Window.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         counted = counted.withColumn("_first", F.coalesce(F.sum("_c").over(before), F.lit(0).cast("long"))).drop("_c")
-        q = quota.withColumnsRenamed({"_source": "_q_source", "_size": "_q_size"})
+        q = quota.withColumnsRenamed({"_source": "_q_source", "_size": "_q_size"}).hint("merge")
         slots = counted.join(q, F.col("_source").eqNullSafe(F.col("_q_source")) & (F.col("_size") == F.col("_q_size"))).drop("_q_source", "_q_size")
     keyed = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "_size", "_slice").orderBy("_hash", "_id")) - 1)
     slots = slots.withColumnsRenamed({"_source": "_s_source", "_size": "_s_size", "_slice": "_s_slice"})
     here = F.col("_source").eqNullSafe(F.col("_s_source")) & (F.col("_size") == F.col("_s_size")) & (F.col("_slice") == F.col("_s_slice"))
-    out = keyed.join(slots, here, "left").drop("_s_source", "_s_size", "_s_slice")
+    # the histogram grows with the sources: it is sorted beside the documents, never broadcast
+    out = keyed.join(slots.hint("merge"), here, "left").drop("_s_source", "_s_size", "_s_slice")
     copies = F.col("_full") + F.when(F.col("_rank") + F.col("_first") < F.col("_more"), 1).otherwise(0)
     return out.withColumn("_copies", copies).drop("_hash", "_n", "_full", "_more", "_slice", "_first", "_rank")
 

@@ -14,7 +14,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -196,34 +195,44 @@ class Restorer:
         """The PATHS best readings of a lattice, words apart by a space, best first, as far as they are within MARGIN of the best: list Viterbi, exact.
 
         A state is the last two letters of a reading; each keeps its PATHS best readings, and a reading is in one state only, so
-        none of the best can be lost. ``once`` is what a letter costs that repeats the one before and is left out. Equally good ones go by text.
+        none of the best can be lost. Readings are told apart by a hash of 61 bits. ``once`` is what a letter costs that repeats the one before and is left out. Equally good ones go by text.
         """
         log = self.model
-        beams: dict[tuple[int, int], dict[str, float]] = {(0, 0): {"": 0.0}}
-        settled = ""  # what all readings begin with, so that they stay short however long the token is
+        # state: {hash of a reading: (score, what was settled of it, its end)}; ends are moved to what is settled from time to time, so that a step costs the same in tokens of any length
+        beams: dict[tuple[int, int], dict[int, tuple[float, tuple | None, str]]] = {(0, 0): {0: (0.0, None, "")}}
         for k in range(len(token)):
             ways = self.ways(token, k, once)
-            new: dict[tuple[int, int], dict[str, float]] = {}
+            new: dict[tuple[int, int], dict[int, tuple[float, tuple | None, str]]] = {}
             for (a, b), readings in beams.items():
                 for c, cost in ways:
                     if not c or (c == " " and not b):
-                        key, add, tail = (a, b), cost, ""
+                        key, add, tail, point = (a, b), cost, "", 0
                     else:
                         code = 0 if c == " " else _code(c)
-                        key, add, tail = (b, code), cost + float(log[a, b, code]), c
+                        key, add, tail, point = (b, code), cost + float(log[a, b, code]), c, ord(c)
                     own = new.setdefault(key, {})
-                    for text, score in readings.items():
-                        text, score = text + tail, score + add
-                        if score > own.get(text, -math.inf):
-                            own[text] = score
-            beams = {s: own if len(own) <= PATHS else dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:PATHS]) for s, own in new.items()}
+                    for h, (score, settled, end) in readings.items():
+                        h, score = (h * 1_000_003 + point) % _PRIME if tail else h, score + add
+                        if h not in own or score > own[h][0]:
+                            own[h] = (score, settled, end + tail)
+            beams = {s: own if len(own) <= PATHS else dict(sorted(own.items(), key=lambda x: (-x[1][0], x[0]))[:PATHS]) for s, own in new.items()}
             if k % 64 == 63:
-                start = commonprefix([t for own in beams.values() for t in own])
-                settled += start
-                beams = {s: {t[len(start) :]: score for t, score in own.items()} for s, own in beams.items()}
-        ended = {t: score + (float(log[a, b, 0]) if b else 0.0) for (a, b), own in beams.items() for t, score in own.items()}
-        best = max(ended.values())
-        return [settled + t for t in sorted(ended, key=lambda t: (-ended[t], t)) if ended[t] >= best - MARGIN][:PATHS]
+                beams = {s: {h: (score, (settled, end), "") for h, (score, settled, end) in own.items()} for s, own in beams.items()}
+        ended = [(-score - (float(log[a, b, 0]) if b else 0.0), settled, end) for (a, b), own in beams.items() for score, settled, end in own.values()]
+        ended = sorted(ended, key=lambda x: x[0])[: 2 * PATHS]
+        said = sorted((score, _text(settled, end)) for score, settled, end in ended if score <= ended[0][0] + MARGIN)
+        return [t for _, t in said[:PATHS]]
+
+
+_PRIME = (1 << 61) - 1
+
+
+def _text(settled: tuple | None, end: str) -> str:
+    parts = [end]
+    while settled is not None:
+        settled, part = settled
+        parts.append(part)
+    return "".join(reversed(parts))
 
 
 def tokens_of(texts: pa.Array, restorer: Restorer | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:

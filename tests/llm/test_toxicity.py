@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,9 @@ def test_decoding_is_exact(restorer, token):
 def test_long_tokens_are_decoded_whole(restorer):
     token = "the_m0r0n_" * 3000 + "stup1d"
     assert restorer.decode(token)[0].split() == ["the", "moron"] * 3000 + ["stupid"]
+    start = time.time()
+    assert len(restorer.decode("edin " * 20_000)) == X.PATHS and restorer.readings("a1" * 50_000)
+    assert time.time() - start < 60
 
 
 def test_spaced_letters_are_one_stretch(restorer):

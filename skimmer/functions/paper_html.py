@@ -13,6 +13,13 @@ from skimmer.functions.text import collapse, replaced_in_order, substituted_in_o
 # Class names of the page format, and the entities in the order in which they are decoded.
 CLASSES = {"title": "ltx_title_document", "authors": "ltx_authors", "abstract": "ltx_abstract", "navbar": "ltx_page_navbar", "toc": "ltx_TOC", "pages": "ltx_pagination", "bibliography": "ltx_bibliography", "entry": "ltx_bibitem"}
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]
+# What the page format's elements look like; they say what is picked.
+MATH = r'(?s)<math[^>]*>.*?<annotation[^>]*encoding="application/x-tex"[^>]*>\s*(.*?)\s*</annotation>.*?</math>'
+TITLE = rf'(?is)<[^>]*class="[^"]*{CLASSES["title"]}[^"]*"[^>]*>(.*?)</[^>]+>'
+AUTHORS = rf'(?is)<div[^>]*class="[^"]*{CLASSES["authors"]}[^"]*"[^>]*>(.*?)</div>'
+ABSTRACT = rf'(?is)<div[^>]*class="[^"]*{CLASSES["abstract"]}[^"]*"[^>]*>(.*?)</div>'
+SECTION, PARAGRAPH, HEADING = r"(?is)<section[^>]*>(.*?)</section>", r"(?is)<p[^>]*>(.*?)</p>", r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"
+REFERENCE = r'(?is)<a[^>]*href="#bib[^"]*"[^>]*>.*?</a>'
 
 
 def _element(tag: str, css: str = "") -> str:
@@ -22,7 +29,7 @@ def _element(tag: str, css: str = "") -> str:
 
 def math_to_latex(page: Column) -> Column:
     """Formulas become the TeX that their annotation holds, between dollars."""
-    return F.regexp_replace(page, r'(?s)<math[^>]*>.*?<annotation[^>]*encoding="application/x-tex"[^>]*>\s*(.*?)\s*</annotation>.*?</math>', r"\$$1\$")
+    return F.regexp_replace(page, MATH, r"\$$1\$")
 
 
 def without_unwanted(page: Column) -> Column:
@@ -32,7 +39,7 @@ def without_unwanted(page: Column) -> Column:
 
 
 def without_references(page: Column) -> Column:
-    rules = [_element("section", CLASSES["bibliography"]), _element("div", CLASSES["entry"]), r'(?is)<a[^>]*href="#bib[^"]*"[^>]*>.*?</a>']
+    rules = [_element("section", CLASSES["bibliography"]), _element("div", CLASSES["entry"]), REFERENCE]
     return substituted_in_order(page, [(r, "") for r in rules])
 
 
@@ -47,33 +54,32 @@ def without_tags(c: Column) -> Column:
 
 def title(page: Column) -> Column:
     """Text of the first element with the title's class, up to its first end tag of any kind; null if there is none."""
-    pattern = rf'(?is)<[^>]*class="[^"]*{CLASSES["title"]}[^"]*"[^>]*>(.*?)</[^>]+>'
-    return F.when(F.regexp_like(page, F.lit(pattern)), without_tags(F.regexp_extract(page, pattern, 1)))
+    return F.when(F.regexp_like(page, F.lit(TITLE)), without_tags(F.regexp_extract(page, TITLE, 1)))
 
 
 def authors(page: Column) -> Column:
     """Names, joined by ', '; pieces of 80 bytes or more or with an address go. Null if none is left."""
-    text = without_tags(F.regexp_extract(page, rf'(?is)<div[^>]*class="[^"]*{CLASSES["authors"]}[^"]*"[^>]*>(.*?)</div>', 1))
+    text = without_tags(F.regexp_extract(page, AUTHORS, 1))
     names = F.transform(F.split(text, ", | and "), lambda x: F.trim(x))
     return F.nullif(F.array_join(F.filter(names, lambda x: (x != "") & (F.octet_length(x) < 80) & ~F.contains(x, F.lit("@"))), ", "), F.lit(""))
 
 
 def abstract(page: Column) -> Column:
-    return F.nullif(without_tags(F.regexp_extract(page, rf'(?is)<div[^>]*class="[^"]*{CLASSES["abstract"]}[^"]*"[^>]*>(.*?)</div>', 1)), F.lit(""))
+    return F.nullif(without_tags(F.regexp_extract(page, ABSTRACT, 1)), F.lit(""))
 
 
 def paragraphs(page: Column) -> Column:
     """Texts of all p elements that are not empty."""
-    return F.filter(F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), without_tags), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(page, F.lit(PARAGRAPH), F.lit(1)), without_tags), lambda x: x != "")
 
 
 def first_heading(page: Column) -> Column:
-    return without_tags(F.regexp_extract(page, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1))
+    return without_tags(F.regexp_extract(page, HEADING, 1))
 
 
 def sections(page: Column) -> Column:
     """Of each section its first heading, then its paragraphs; a section ends at the first end tag."""
-    bodies = F.regexp_extract_all(page, F.lit(r"(?is)<section[^>]*>(.*?)</section>"), F.lit(1))
+    bodies = F.regexp_extract_all(page, F.lit(SECTION), F.lit(1))
     return F.flatten(F.transform(bodies, lambda b: F.filter(F.concat(F.array(first_heading(b)), paragraphs(b)), lambda x: x != "")))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,6 +73,27 @@ def asked(prompts: DataFrame, provider: Answer, key: str = "batch", size: int =
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} {kind}, response string")
 
 
+def translated(rows: DataFrame, provider: Answer, key: str = "id", text: str = "text", cut: int = 6000, attempts: int = 3, pause: float = 0.0) -> DataFrame:
+    """(key, signature, translation) for each (key, text): the first ``cut`` letters, asked for up to ``attempts`` times, with growing pauses of ``pause``
+    seconds and more between; null where all fail. The md5 of what is asked is the signature, by which answers can be kept; equal texts of a batch are asked for once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            asked_, known = [(t or "")[:cut] for t in df[text].tolist()], {}
+            for t in asked_:
+                for k in range(0 if t in known else attempts):
+                    try:
+                        known[t] = provider([t])[0]
+                        break
+                    except Exception:  # tried again, then left untranslated
+                        known[t] = None
+                        time.sleep(pause * 2**k)
+            yield pd.DataFrame({key: df[key].to_numpy(), "signature": [hashlib.md5(t.encode()).hexdigest() for t in asked_], "translation": [known[t] for t in asked_]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, signature string, translation string")
+
+
 def embedded(rows: DataFrame, provider: Embed, key: str = "id", text: str = "text", size: int = 256) -> DataFrame:
     """(key, vector) for each (key, text); null where the provider gives none."""
 

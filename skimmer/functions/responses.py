@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skimmer.functions.text import trim_all, truncated
@@ -55,6 +55,16 @@ def profile_prompt(feedback: DataFrame, profile: str = "") -> DataFrame:
     return feedback.agg(F.concat(F.lit(head), F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]), "\n\n")).alias("prompt"))
 
 
+def profile_prompts(feedback: DataFrame, profile: str = "", size: int = 20) -> DataFrame:
+    """(day, part, chunk, prompt): as ``profile_prompt``, over feedback of any size: a day's rows are dealt by a hash of their id, and a prompt has ``size`` entries at most, newest first."""
+    rows = feedback.withColumns({"day": F.date_format("timestamp", "yyyy-MM-dd"), "part": F.substring(F.md5("id"), 1, 2)})
+    turn = F.row_number().over(Window.partitionBy("day", "part").orderBy(F.desc("timestamp"), "id"))
+    entry = F.struct((-F.unix_seconds("timestamp")).alias("k"), F.col("id").alias("id"), feedback_entry(F.col("status"), F.col("title"), F.col("abstract"), F.col("comment")).alias("e"))
+    head = f"Current profile:\n{profile}\n\n" if profile else ""
+    prompt = F.concat(F.lit(head), F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]), "\n\n"))
+    return rows.withColumn("chunk", F.floor((turn - 1) / size).cast("int")).groupBy("day", "part", "chunk").agg(prompt.alias("prompt"))
+
+
 def first_profile_prompt(liked: DataFrame, most: int = 100) -> DataFrame:
     """One row (prompt) of titles and short abstracts of liked papers; '' without any."""
     top = liked.orderBy("id").limit(most)
@@ -71,6 +81,15 @@ def translations(raw: Column, compat: bool = False) -> Column:
     return F.when(whole, F.transform(items, lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x[key].alias("abstract"))))
 
 
+def with_translations(rows: DataFrame, responses: DataFrame, compat: bool = False) -> DataFrame:
+    """``rows`` (id, title, abstract and others) with translated_title and translated_abstract from ``responses`` (response); where no response
+    that parses names the id, the originals stand there. Of several translations of an id the smallest counts."""
+    key = "abstract_text" if compat else "abstract"
+    each = responses.select(F.explode(translations(F.col("response"), compat)).alias("t")).groupBy(F.col("t.id").alias("_id")).agg(F.min(F.struct("t.title", F.col("t.abstract").alias(key))).alias("_t"))
+    both = rows.join(each, F.col("id") == F.col("_id"), "left")
+    return both.withColumns({"translated_title": F.coalesce("_t.title", "title"), "translated_abstract": F.coalesce(f"_t.{key}", "abstract")}).drop("_id", "_t")
+
+
 def translated_pair(raw: Column) -> Column:
     """First line as title, the rest as abstract: a JSON object as a string."""
     parts = F.split(trim_all(raw), "\n", 2)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,6 +162,26 @@ def math_tokens(c: Column) -> Column:
     return F.filter(F.transform(parts, token), lambda t: t["math"] | (t["content"] != ""))
 
 
+def vector_of_bytes(c: Column) -> Column:
+    """A vector of little-endian 32-bit floats from its bytes; null for null, or where bytes are left over."""
+
+    @F.pandas_udf("array<float>")
+    def read(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist())
+
+    return read(c)
+
+
+def bytes_of_vector(c: Column) -> Column:
+    """The little-endian bytes of a vector's 32-bit floats; null for null."""
+
+    @F.pandas_udf("binary")
+    def write(vector: pd.Series) -> pd.Series:
+        return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return write(c)
+
+
 def replaced_in_order(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda s, p: F.replace(s, F.lit(p[0]), F.lit(p[1])), pairs, c)
 

@@ -68,6 +68,11 @@ def flat_sources(files: DataFrame) -> DataFrame:
     return trees.join(main_files(files), "paper").mapInPandas(run, "paper string, latex string")
 
 
+def write_texts(texts: DataFrame, path: str, text: str = "text") -> None:
+    """Texts as text files below ``path``, a form feed after each; rows without text are left out."""
+    texts.where(F.col(text).isNotNull()).select(F.col(text).alias("value")).write.option("lineSep", "\f").text(path)
+
+
 def paper_texts(pages: DataFrame, sources: DataFrame, force_tex: bool = False, no_references: bool = True, compat: bool = False) -> DataFrame:
     """(paper, text) from (paper, html) and (paper, latex): the page if there is one, else the source; or the source first."""
     html = pages.select("paper", paper_text(F.col("html"), no_references).alias("_html"))

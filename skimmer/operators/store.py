@@ -54,6 +54,29 @@ def merge_scores(stored: DataFrame, scores: DataFrame, order: str) -> DataFrame:
     return merge(stored, last, ["score"])
 
 
+def update_translations(stored: DataFrame, translations: DataFrame) -> DataFrame:
+    """Translated title and abstract by id, both at once."""
+    return merge(stored, translations, ["translated_title", "translated_abstract"])
+
+
+def update_votes(stored: DataFrame, scrapes: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Three counters by id, and when they were asked for. A scrape that failed writes nulls, and the time all the same."""
+    counters = ["hf_upvotes", "ax_upvotes", "ax_downvotes"]
+    new = scrapes.select("id", *counters, (F.current_timestamp() if as_of is None else as_of).alias("votes_updated_at"))
+    return merge(stored, new, [*counters, "votes_updated_at"])
+
+
+def stamped(rows: DataFrame, as_of: Column | None = None, column: str = "timestamp") -> DataFrame:
+    """``rows`` with the time of their writing where they bring none."""
+    now = F.current_timestamp() if as_of is None else as_of
+    return rows.withColumn(column, F.coalesce(F.col(column), now) if column in rows.columns else now)
+
+
+def cleared(stored: DataFrame, settings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What clearing all leaves: the tables without rows."""
+    return stored.where(F.lit(False)), settings.where(F.lit(False))
+
+
 def set_comment(stored: DataFrame, comments: DataFrame) -> DataFrame:
     """Comments by id; an empty one becomes null."""
     return merge(stored, comments.select("id", F.nullif(F.col("comment"), F.lit("")).alias("comment")), ["comment"])

@@ -41,7 +41,7 @@ parts AS (SELECT r.type, e.label, CAST(r.w AS DOUBLE) AS w, generate_subscripts(
 means AS (SELECT type, label, k, sum(w * x) / sum(w) AS c FROM parts GROUP BY 1, 2, 3),
 centroids AS (SELECT type, label, list(c ORDER BY k) AS centroid FROM means GROUP BY 1, 2),
 products AS (SELECT e.vec_id, c.type, list_dot_product(CAST(e.embedding AS DOUBLE[]), c.centroid) AS sim
-  FROM embeddings e, centroids c WHERE e.vec_id < 500),
+  FROM embeddings e, centroids c),
 sims AS (SELECT vec_id, max(sim) FILTER (type = 'positive') AS p, coalesce(max(sim) FILTER (type = 'negative'), 0) AS n FROM products GROUP BY vec_id),
 scored AS (SELECT a.* EXCLUDE (score), coalesce(s.p - 1.5 * s.n, 0) AS score FROM articles a JOIN sims s USING (vec_id))
 """
@@ -112,7 +112,7 @@ def maxsim_no_negative(spark: SparkSession, d: str) -> DataFrame:
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id, CAST(0 AS DOUBLE) AS score FROM embeddings WHERE vec_id < 500")
+@query("SELECT vec_id, CAST(0 AS DOUBLE) AS score FROM embeddings")
 def maxsim_no_positive(spark: SparkSession, d: str) -> DataFrame:
     return vector_scores(spark, d, _centroids(spark, d).where("type = 'negative'"))
 
@@ -142,13 +142,13 @@ def _rated(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_weighted_positive(spark: SparkSession, d: str) -> DataFrame:
-    found = C.fit_centroids(_rated(spark, d), "positive", restarts=3)
+    found = C.fit_centroids(_rated(spark, d), "positive")
     return found if found is not None else spark.createDataFrame([], C.CENTROIDS)
 
 
 @query()
 def kmeans_negative(spark: SparkSession, d: str) -> DataFrame:
-    found = C.fit_centroids(_rated(spark, d), "negative", restarts=3)
+    found = C.fit_centroids(_rated(spark, d), "negative")
     return found if found is not None else spark.createDataFrame([], C.CENTROIDS)
 
 

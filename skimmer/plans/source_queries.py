@@ -62,9 +62,9 @@ def page_available(spark: SparkSession, d: str) -> DataFrame:
     return feeds.with_pages(ids, table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id")))
 
 
-@query("SELECT 'https://rss.arxiv.org/rss/' || c AS url FROM (VALUES ('cs.AI'), ('cs.LG'), ('stat.ML')) t(c)")
+@query("SELECT DISTINCT 'https://rss.arxiv.org/rss/' || lang AS url FROM documents WHERE lang IS NOT NULL")
 def feed_urls(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(u,) for u in feeds.feed_urls(["cs.AI", "cs.LG", "stat.ML"])], "url string")
+    return feeds.feed_urls_of(table(spark, d, "documents"), "lang")
 
 
 def _archive(kind: int) -> bytes:
@@ -148,13 +148,14 @@ def rescore_unread(spark: SparkSession, d: str) -> DataFrame:
     return S.merge(rows, new, ["score"]).select("id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT type, CAST(n AS BIGINT) AS n FROM (VALUES ('negative', 2), ('positive', 1)) t(type, n)")
+@query(CENTROIDS_SQL + """SELECT type, CAST(label AS INTEGER) AS cluster_id, round(centroid[1], 6) AS first FROM centroids WHERE type = 'negative'
+UNION ALL SELECT 'positive', CAST(label AS INTEGER), round(centroid[1], 6) FROM centroids WHERE type = 'negative'""")
 def replace_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Stored: two of either type; new: one positive."""
-    row = lambda kind, k: (kind, k, [float(k)])
-    stored = spark.createDataFrame([row(kind, k) for kind in ("positive", "negative") for k in range(2)], C.CENTROIDS)
-    kept = C.replace_centroids(C.replace_centroids(stored, "positive", spark.createDataFrame([row("positive", 7)], C.CENTROIDS)), "negative", None)
-    return kept.groupBy("type").agg(F.count("*").alias("n"))
+    """Stored: the means of either type; new positive ones, which have the negative ones' places; no new negative ones."""
+    stored = C.weighted_means(dealt_articles(spark, d), vectors(spark, d)).select("type", F.col("label").cast("int").alias("cluster_id"), F.col("centroid").cast("array<float>").alias("centroid"))
+    new = stored.where("type = 'negative'").withColumn("type", F.lit("positive"))
+    kept = C.replace_centroids(C.replace_centroids(stored, "positive", new), "negative", None)
+    return kept.select("type", "cluster_id", F.round(F.col("centroid")[0].cast("double"), 6).alias("first"))
 
 
 @query(A + "SELECT id, category, 0 AS status_, CAST(0 AS DOUBLE) AS score, comment IS NULL AS empty FROM (SELECT *, NULL AS comment FROM articles)")
@@ -171,16 +172,18 @@ def html_math_sections(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", H.math_to_latex(math).alias("text"), F.array_join(H.sections(page), "|").alias("parts"))
 
 
-@query("SELECT doc_id % 3 = 0 AS empty, count(*) AS n FROM documents GROUP BY 1")
+@query()
 def embed_with_provider(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors from the stand-in for a model; texts without words have none."""
-    text = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("word "), F.col("doc_id").cast("string"))).otherwise(" .")
-    made = P.embedded(table(spark, d, "documents").select("doc_id", text.alias("text")), P.hashed_embedding(), "doc_id")
-    return made.groupBy(F.col("vector").isNull().alias("empty")).agg(F.count("*").alias("n"))
+    """The vector of each text, cut as embeddings are asked for, from the stand-in for a model; texts without words have none."""
+    rows = table(spark, d, "documents").select("doc_id", T.embed_input(F.lit(None).cast("string"), F.col("text")).alias("text"))
+    return P.embedded(rows, P.hashed_embedding(), "doc_id")
 
 
-@query(A + "SELECT count(*) AS articles, 0 AS after FROM articles")
+@query(A + "SELECT 'articles' AS name, (SELECT count(*) FROM articles) AS before, CAST(0 AS BIGINT) AS after UNION ALL SELECT 'settings', (SELECT count(DISTINCT event_type) FROM events), 0")
 def clear_all(spark: SparkSession, d: str) -> DataFrame:
-    """Counts before and after all rows go."""
-    rows = articles(spark, d)
-    return rows.agg(F.count("*").alias("articles")).join(F.broadcast(rows.limit(0).agg(F.count("*").cast("int").alias("after"))))  # one row each
+    """Counts of articles and settings before and after all rows go."""
+    rows, settings = articles(spark, d), table(spark, d, "events").select("event_type").where("event_type IS NOT NULL").distinct()
+    tagged = lambda name, df, when: df.select(F.lit(name).alias("name"), F.lit(when).alias("at"))
+    every = [tagged(n, df, k) for k, pair in enumerate(((rows, settings), S.cleared(rows, settings))) for n, df in zip(("articles", "settings"), pair)]
+    both = every[0].union(every[1]).union(every[2]).union(every[3])
+    return both.groupBy("name").agg(F.count_if(F.col("at") == 0).alias("before"), F.count_if(F.col("at") == 1).alias("after"))

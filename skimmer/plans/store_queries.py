@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from skimmer.functions import text as T
 from skimmer.operators import store as S
 from skimmer.plans.registry import query
-from skimmer.sources.tables import AS_OF, ARTICLES_SQL, FEEDBACK_SQL, articles, feedback_events, table
+from skimmer.sources.tables import AS_OF, ARTICLES_SQL, EVENT_ARTICLE_SQL, FEEDBACK_SQL, articles, dealt_events, table
 
 A = f"WITH {ARTICLES_SQL}\n"
-#: Articles that the event table's numbers are dealt over.
-EVENT_ARTICLES = 200
 
 
 def _time(c: str = "timestamp"):
@@ -73,15 +71,15 @@ def retention_delete_count(spark: SparkSession, d: str) -> DataFrame:
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Stored: ids that 3 does not divide; incoming: ids that 2 does not divide, each in two versions."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("title"), "source")
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"), "source")
     stored = docs.where("doc_id % 3 <> 0").select("id", "title", "source")
     again = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("").alias("mark")), F.struct(F.lit(1).alias("k"), F.lit(" (again)").alias("mark")))).alias("v")
     new = docs.where("doc_id % 2 <> 0").select("doc_id", "id", "title", "source", again)
     return stored, new.select("id", F.concat("title", "v.mark").alias("title"), "source", (F.col("doc_id") * 2 + F.col("v.k")).alias("seq"))
 
 
-_SPLIT_SQL = """WITH stored AS (SELECT CAST(doc_id AS VARCHAR) AS id, substring(text, 1, 40) AS title, source FROM documents WHERE doc_id % 3 <> 0),
-incoming AS (SELECT CAST(doc_id AS VARCHAR) AS id, substring(text, 1, 40) || mark AS title, source, doc_id * 2 + k AS seq
+_SPLIT_SQL = """WITH stored AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS title, source FROM documents WHERE doc_id % 3 <> 0),
+incoming AS (SELECT CAST(doc_id AS VARCHAR) AS id, text || mark AS title, source, doc_id * 2 + k AS seq
   FROM documents, (VALUES (0, ''), (1, ' (again)')) v(k, mark) WHERE doc_id % 2 <> 0),
 fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS r FROM incoming WHERE title IS NOT NULL AND source IS NOT NULL)
   WHERE r = 1 AND id NOT IN (SELECT id FROM stored))
@@ -135,9 +133,9 @@ def score_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {FEEDBACK_SQL}
-SELECT event_id % {EVENT_ARTICLES} AS article, arg_max(status, (ts, event_id)) AS status FROM feedback WHERE event_id IS NOT NULL GROUP BY 1""")
+SELECT {EVENT_ARTICLE_SQL} AS article, arg_max(status, (ts, event_id)) AS status FROM feedback WHERE event_id IS NOT NULL GROUP BY 1""")
 def status_latest_wins(spark: SparkSession, d: str) -> DataFrame:
-    changes = feedback_events(table(spark, d, "events")).withColumn("article", F.col("event_id") % EVENT_ARTICLES)
+    changes = dealt_events(table(spark, d, "events"), spark, d)
     return S.latest_status(changes, "article", ["ts", "event_id"])
 
 
@@ -170,12 +168,17 @@ def settings_upsert(spark: SparkSession, d: str) -> DataFrame:
     return S.upsert_settings(stored, events.select(F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("value"), "event_id"), "event_id")
 
 
-@query("""SELECT * FROM (VALUES ('cs.AI|cs.LG', 20, CAST(1 AS DOUBLE), true, false), ('', 15, CAST(0.25 AS DOUBLE), false, true))
-  t(categories, daily_papers, diversity_ratio, auto_batch, initialized)""")
+@query("""SELECT event_id, event_type || CASE WHEN event_id % 3 = 0 THEN '' ELSE '|u' || coalesce(CAST(user_id AS VARCHAR), '') END AS categories, CAST(CASE WHEN event_id % 7 = 0 THEN 20 ELSE event_id % 60 END AS INTEGER) AS daily_papers,
+  CASE WHEN value IS NULL THEN 0.3 ELSE greatest(0, least(1, CAST(value AS DOUBLE))) END AS diversity_ratio, event_id % 2 = 0 AS auto_batch, event_id % 5 = 0 AS initialized FROM events""")
 def settings_parse(spark: SparkSession, d: str) -> DataFrame:
-    raw = spark.sql("""SELECT explode(array(map('categories', ' cs.AI ,,cs.LG', 'daily_papers', 'many', 'diversity_ratio', '1.5', 'auto_batch', 'true', 'initialized', 'True'),
-      map('daily_papers', '15', 'diversity_ratio', '0.25', 'auto_batch', 'yes', 'initialized', 'true'))) AS settings""")
-    return raw.select(*S.parsed_settings(F.col("settings")))
+    """Settings made of each event: numbers that do not parse, ratios out of range, flags that are not exactly 'true'."""
+    n = F.col("event_id")
+    raw = F.create_map(
+        F.lit("categories"), F.concat(F.lit(" "), F.col("event_type"), F.lit(" ,,"), F.when(n % 3 != 0, F.concat(F.lit("u"), F.coalesce(F.col("user_id").cast("string"), F.lit("")))).otherwise(" ")),
+        F.lit("daily_papers"), F.when(n % 7 == 0, "many").otherwise((n % 60).cast("string")), F.lit("diversity_ratio"), F.col("value").cast("string"),
+        F.lit("auto_batch"), F.when(n % 2 == 0, "true").otherwise("yes"), F.lit("initialized"), F.when(n % 5 == 0, "true").otherwise("True"),
+    )
+    return table(spark, d, "events").withColumn("settings", raw).select("event_id", *S.parsed_settings(F.col("settings")))
 
 
 @query(A + """SELECT id, CASE WHEN length(title) > 60 THEN substring(title, 1, 60) || '...' ELSE title END AS short,
@@ -187,12 +190,12 @@ def display_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {ARTICLES_SQL}, {FEEDBACK_SQL},
-latest AS (SELECT CAST(event_id % {EVENT_ARTICLES} AS VARCHAR) AS id, arg_max(status, (ts, event_id)) AS new FROM feedback GROUP BY 1)
+latest AS (SELECT CAST({EVENT_ARTICLE_SQL} AS VARCHAR) AS id, arg_max(status, (ts, event_id)) AS new FROM feedback GROUP BY 1)
 SELECT a.id, tab, a.status AS old, l.new,
   CASE WHEN a.status = l.new OR tab = 'all' THEN true WHEN tab = 'unread' THEN l.new IN (0, 1) WHEN tab = 'liked' THEN l.new = 2 ELSE false END AS stays
 FROM articles a JOIN latest l USING (id), (VALUES ('all'), ('unread'), ('liked'), ('clicked')) t(tab)""")
 def tab_visibility(spark: SparkSession, d: str) -> DataFrame:
-    changes = feedback_events(table(spark, d, "events")).withColumn("id", (F.col("event_id") % EVENT_ARTICLES).cast("string"))
+    changes = dealt_events(table(spark, d, "events"), spark, d).withColumn("id", F.col("article").cast("string"))
     latest = S.latest_status(changes, "id", ["ts", "event_id"]).withColumnRenamed("status", "new")
     rows = articles(spark, d).select("id", F.col("status").alias("old")).join(latest, "id")
     tabs = rows.withColumn("tab", F.explode(F.array(*map(F.lit, ("all", "unread", "liked", "clicked")))))

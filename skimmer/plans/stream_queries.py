@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from skimmer.operators.store import last_by
 from skimmer.plans.registry import query
-from skimmer.plans.store_queries import EVENT_ARTICLES
-from skimmer.sources.tables import FEEDBACK_SQL, feedback_events
+from skimmer.sources.tables import EVENT_ARTICLE_SQL, FEEDBACK_SQL, dealt_events
 from skimmer.streaming import feedback as W
 
 
 def _folder(spark: SparkSession, tag: str) -> str:
-    """A new folder below the shared one that spark.checkpoint.dir names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below the shared one that spark.checkpoint.dir names; on one machine without it, below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -26,12 +28,12 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {FEEDBACK_SQL}
-SELECT event_id % {EVENT_ARTICLES} AS article, arg_max(status, (ts, event_id)) AS status FROM feedback GROUP BY 1""")
+SELECT {EVENT_ARTICLE_SQL} AS article, arg_max(status, (ts, event_id)) AS status FROM feedback GROUP BY 1""")
 def feedback_stream_latest(spark: SparkSession, d: str) -> DataFrame:
     out = _folder(spark, "latest")
-    changes = feedback_events(_events(spark, d)).withColumn("article", F.col("event_id") % EVENT_ARTICLES)
-    # every batch's changes are kept; the last of each article counts
-    sink = lambda batch, k: batch.write.mode("append").parquet(f"{out}/rows")
+    changes = dealt_events(_events(spark, d), spark, d)
+    # each batch's changes are a folder of its number, so that a batch that comes again writes over itself; the last of each article counts
+    sink = lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={k}")
     W.drained(W.latest_status(changes).writeStream.outputMode("update").foreachBatch(sink), f"{out}/checkpoint")
     rows = spark.read.parquet(f"{out}/rows")
     return last_by(rows, ["article"], F.col("ts"), F.col("event_id")).select("article", "status")

@@ -15,7 +15,7 @@ from skimmer.operators import ranking as R
 from skimmer.operators import store as S
 from skimmer.plans.registry import query
 from skimmer.sources import feeds
-from skimmer.sources.tables import ARTICLES_SQL, articles, table
+from skimmer.sources.tables import ARTICLES_SQL, SPACE_SQL, articles, table, trimmed_sql
 
 A = f"WITH {ARTICLES_SQL}"
 KINDS = ("new", "cross", "replace", "")
@@ -23,7 +23,7 @@ KINDS = ("new", "cross", "replace", "")
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """(n, item, description): a feed item made of each document; every fourth kind of announcement is absent."""
-    n, line = F.col("doc_id"), F.substring(F.regexp_replace("text", r"[<>\n]", " "), 1, 60)
+    n, line = F.col("doc_id"), F.regexp_replace("text", r"[<>\n]", " ")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (n % 4 + 1).cast("int"))
     announce = F.when(kind != "", F.concat(F.lit("<arxiv:announce_type>"), kind, F.lit("</arxiv:announce_type>"))).otherwise("")
     marks = F.element_at(F.array(*map(F.lit, ("", "Abstract: ", "Abstract: one Abstract: "))), (n % 3 + 1).cast("int"))
@@ -33,7 +33,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(n.alias("n"), item.alias("item"), description.alias("description"), link.alias("link"))
 
 
-ITEMS_SQL = """WITH base AS (SELECT doc_id AS n, substring(regexp_replace(text, '[<>\\n]', ' ', 'g'), 1, 60) AS line, source, doc_id % 4 AS kind FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+ITEMS_SQL = """WITH base AS (SELECT doc_id AS n, regexp_replace(text, '[<>\\n]', ' ', 'g') AS line, source, doc_id % 4 AS kind FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
 items AS (SELECT n, line, kind, 'Announced. ' || CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN 'Abstract: ' ELSE 'Abstract: one Abstract: ' END || line AS description,
   'https://arxiv.org/abs/2401.' || lpad(CAST(n % 700 AS VARCHAR), 5, '0') || 'v' || CAST(n % 3 + 1 AS VARCHAR) AS link, source FROM base)
 """
@@ -50,11 +50,10 @@ def feed_announce_filter(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).select("n", T.announced(kind).alias("app"), T.announced(kind, absent_counts=False).alias("strict"))
 
 
-@query(ITEMS_SQL + """SELECT n, CASE n % 3 WHEN 0 THEN description WHEN 1 THEN regexp_replace(line, '^\\s+|\\s+$', '', 'g') ELSE 'one' END AS app,
-  CASE n % 3 WHEN 0 THEN description WHEN 1 THEN ' ' || line ELSE ' one Abstract: ' || line END AS after FROM items WHERE line NOT LIKE '%Abstract:%'""")
+@query(ITEMS_SQL + f"""SELECT n, substring(CASE WHEN contains(description, 'Abstract:') THEN {trimmed_sql("string_split(description, 'Abstract:')[2]")} ELSE description END, 1, 2000) AS app,
+  substring(CASE WHEN contains(description, 'Abstract:') THEN substring(description, position('Abstract:' IN description) + 9) ELSE description END, 1, 2000) AS after FROM items""")
 def feed_abstract_marker(spark: SparkSession, d: str) -> DataFrame:
-    rows = _items(spark, d).where(~F.contains(T.first_tag(F.col("item"), "title"), F.lit("Abstract:")))
-    return rows.select("n", T.abstract_of(F.col("description")).alias("app"), T.abstract_after(F.col("description")).alias("after"))
+    return _items(spark, d).select("n", T.abstract_of(F.col("description")).alias("app"), T.abstract_after(F.col("description")).alias("after"))
 
 
 @query(ITEMS_SQL + "SELECT n, 'cs.AI' || CASE WHEN trim(source) <> '' THEN ', ' || trim(source) ELSE '' END AS categories FROM items")
@@ -63,14 +62,13 @@ def feed_categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(ITEMS_SQL + """SELECT n, '2401.' || lpad(CAST(n % 700 AS VARCHAR), 5, '0') AS id, '2401.' || lpad(CAST(n % 700 AS VARCHAR), 5, '0') || 'v' || CAST(n % 3 + 1 AS VARCHAR) AS versioned,
-  md5(description) AS fallback FROM items WHERE description NOT LIKE '%/abs/%'""")
+  CASE WHEN contains(description, '/abs/') THEN regexp_replace(substring(description, position('/abs/' IN description) + 5), 'v[0-9]+$', '') ELSE md5(description) END AS fallback FROM items""")
 def feed_id(spark: SparkSession, d: str) -> DataFrame:
-    rows = _items(spark, d).where(~F.contains("description", F.lit("/abs/")))
-    return rows.select("n", T.id_from_link(F.col("link")).alias("id"), T.versioned_id_from_link(F.col("link")).alias("versioned"), T.id_from_link(F.col("description")).alias("fallback"))
+    return _items(spark, d).select("n", T.id_from_link(F.col("link")).alias("id"), T.versioned_id_from_link(F.col("link")).alias("versioned"), T.id_from_link(F.col("description")).alias("fallback"))
 
 
-@query(ITEMS_SQL + """, kept AS (SELECT *, row_number() OVER (PARTITION BY n % 700 ORDER BY n) AS r FROM items
-  WHERE kind <> 2 AND regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '')
+@query(ITEMS_SQL + f""", kept AS (SELECT *, row_number() OVER (PARTITION BY n % 700 ORDER BY n) AS r FROM items
+  WHERE kind <> 2 AND {trimmed_sql("line")} <> '')
 SELECT '2401.' || lpad(CAST(n % 700 AS VARCHAR), 5, '0') AS id, n FROM kept WHERE r = 1""")
 def feed_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = feeds.parsed_items(_items(spark, d).select("n", F.concat(F.lit("<item>"), "item", F.lit("</item>")).alias("content")))
@@ -87,16 +85,18 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(urls).alias("k", "url"))
 
 
-@query(f"""SELECT doc_id, CAST(k AS INTEGER) AS k, CASE k WHEN 0 THEN 'hep-ph/' || lpad(CAST(doc_id AS VARCHAR), 7, '0') WHEN 1 THEN '2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') WHEN 2 THEN '2402.00001' END AS id,
-  CASE k WHEN 0 THEN 'hep' WHEN 1 THEN '2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') WHEN 2 THEN '2402.00001' END AS older FROM documents, range(4) t(k) WHERE doc_id < 100000""")
+@query(f"""SELECT doc_id, CAST(k AS INTEGER) AS k, CASE k WHEN 0 THEN 'hep-ph/' || lpad(CAST(doc_id % 10000000 AS VARCHAR), 7, '0') WHEN 1 THEN '2401.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') WHEN 2 THEN '2402.00001' END AS id,
+  CASE k WHEN 0 THEN 'hep' WHEN 1 THEN '2401.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') WHEN 2 THEN '2402.00001' END AS older FROM documents, range(4) t(k)""")
 def id_from_url(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d).select("doc_id", "k", T.id_from_url(F.col("url")).alias("id"), T.id_from_url(F.col("url"), compat=True).alias("older"))
 
 
-@query("""SELECT doc_id, '2401.' || lpad(CAST(doc_id % 99999 AS VARCHAR), 5, '0') || 'v2|cs/' || lpad(CAST(doc_id % 9999999 AS VARCHAR), 7, '0') AS ids FROM documents""")
+@query("""WITH found AS (SELECT doc_id, regexp_extract_all('2401.' || lpad(CAST(doc_id % 99999 AS VARCHAR), 5, '0') || 'v2 and cs/' || lpad(CAST(doc_id % 9999999 AS VARCHAR), 7, '0') || ', again 2401.' || lpad(CAST(doc_id % 99999 AS VARCHAR), 5, '0')
+  || 'v2 ' || coalesce(text, ''), '[0-9]{4}\\.[0-9]{4,5}(?:v[0-9]+)?|[a-z-]+/[0-9]{7}') AS ids FROM documents)
+SELECT doc_id, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), '|') AS ids FROM found""")
 def id_harvest(spark: SparkSession, d: str) -> DataFrame:
     new, old = F.concat(F.lit("2401."), F.lpad((F.col("doc_id") % 99999).cast("string"), 5, "0"), F.lit("v2")), F.concat(F.lit("cs/"), F.lpad((F.col("doc_id") % 9999999).cast("string"), 7, "0"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.ids_in(F.concat(F.lit("see "), new, F.lit(" and "), old, F.lit(", again "), new)), "|").alias("ids"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.ids_in(F.concat(new, F.lit(" and "), old, F.lit(", again "), new, F.lit(" "), F.coalesce("text", F.lit("")))), "|").alias("ids"))
 
 
 @query("SELECT doc_id, '2401.' || lpad(CAST(doc_id % 99999 AS VARCHAR), 5, '0') || 'v1' AS a, 'cs/9901001' AS b, 'thing' AS c FROM documents")
@@ -123,21 +123,25 @@ def truncate_ellipsis(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.truncated(F.col("text"), 300).alias("short"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'A, B' WHEN 1 THEN 'a1, a2, a3, et. al., a' || CAST(doc_id % 7 + 5 AS VARCHAR) || ', a' || CAST(doc_id % 7 + 6 AS VARCHAR) ELSE '' END AS authors FROM documents""")
+@query("""WITH named AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 20) ELSE replace(text, ' ', ', ') END AS s FROM documents),
+split_ AS (SELECT doc_id, s, list_transform(string_split(s, ','), lambda x: trim(x)) AS names FROM named)
+SELECT doc_id, CASE WHEN s IS NULL THEN '' WHEN len(names) > 5 THEN names[1] || ', ' || names[2] || ', ' || names[3] || ', et. al., ' || names[-2] || ', ' || names[-1] ELSE s END AS authors FROM split_""")
 def authors_short(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("doc_id")
-    many = F.array_join(F.transform(F.sequence(F.lit(1), (n % 7 + 6).cast("int")), lambda k: F.concat(F.lit("a"), k.cast("string"))), ", ")
-    return table(spark, d, "documents").select("doc_id", T.short_authors(F.when(n % 3 == 0, "A, B").when(n % 3 == 1, many)).alias("authors"))
+    """The words of every text as names, but for every third document, whose first letters make few."""
+    names = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).otherwise(F.replace("text", F.lit(" "), F.lit(", ")))
+    return table(spark, d, "documents").select("doc_id", T.short_authors(names).alias("authors"))
 
 
-@query(A + "SELECT id, substring(concat_ws(' ', title, abstract), 1, 8000) AS input FROM articles")
+@query("SELECT doc_id, substring(concat_ws(' ', source, text), 1, 8000) AS input FROM documents")
 def embed_input(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).select("id", T.embed_input(F.col("title"), F.col("abstract")).alias("input"))
+    return table(spark, d, "documents").select("doc_id", T.embed_input(F.col("source"), F.col("text")).alias("input"))
 
 
-@query("SELECT doc_id, 'n=' || '$' || CAST(doc_id AS VARCHAR) || '$' AS inline_, 'T:n=|M:' || CAST(doc_id AS VARCHAR) || '|T: and |D:x|T:.' AS tokens FROM documents")
+@query("""SELECT doc_id, 'n=' || '$' || CAST(doc_id AS VARCHAR) || '$' AS inline_, 'T:' || plain || 'n=|M:' || CAST(doc_id AS VARCHAR) || '|T: and |D:' || plain || 'x|T:.' AS tokens
+FROM (SELECT doc_id, regexp_replace(text, '[$\\\\\x01]', ' ', 'g') AS plain FROM documents)""")
 def math_tokenize(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("n=$"), F.col("doc_id").cast("string"), F.lit("$ and $$x$$."))
+    plain = F.regexp_replace("text", r"[$\\\x01]", " ")
+    text = F.concat(plain, F.lit("n=$"), F.col("doc_id").cast("string"), F.lit("$ and $$"), plain, F.lit("x$$."))
     shown = F.transform(T.math_tokens(text), lambda t: F.concat(F.when(t["display"], "D:").when(t["math"], "M:").otherwise("T:"), t["content"]))
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("n=$"), F.col("doc_id").cast("string"), F.lit("$")).alias("inline_"), F.array_join(shown, "|").alias("tokens"))
 
@@ -179,37 +183,43 @@ def html_headings(spark: SparkSession, d: str) -> DataFrame:
 PAPER = (
     '<html><body><nav class="ltx_page_navbar">menu</nav><h1 class="ltx_title ltx_title_document">On <PAGE></h1>'
     '<div class="ltx_authors">Ann Lee, Bo Roe and c@d.org</div><div class="ltx_abstract"><h6>Abstract</h6><p>Short &amp; sweet.</p></div>'
-    '<section class="ltx_section"><h2>1 Start</h2><p>See <a href="#bib.1">[1]</a> <math alttext="x"><semantics><annotation encoding="application/x-tex">x^2</annotation></semantics></math>.</p><p> </p></section>'
+    '<section class="ltx_section"><h2>1 Start</h2><p><TEXT></p><p>See <a href="#bib.1">[1]</a> <math alttext="x"><semantics><annotation encoding="application/x-tex">x^2</annotation></semantics></math>.</p><p> </p></section>'
     '<section class="ltx_bibliography"><h2>References</h2><p>Old work.</p></section><footer>foot</footer></body></html>'
 )
 
 
 def _papers(spark: SparkSession, d: str) -> DataFrame:
-    """A paper for each page, its number in the title."""
-    return table(spark, d, "pages").select("page_id", F.replace(F.lit(PAPER), F.lit("<PAGE>"), F.col("page_id").cast("string")).alias("html"))
+    """A paper for each page, its number in the title, and all that the page holds as a paragraph."""
+    head, *rest = PAPER.split("<PAGE>")
+    before, after = "".join(rest).split("<TEXT>")
+    own = F.concat(F.lit("All of it: "), F.regexp_replace(F.coalesce("html", F.lit("")), "[<>&]", " "))
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit(head), F.col("page_id").cast("string"), F.lit(before), own, F.lit(after)).alias("html"))
 
 
-@query("""SELECT page_id, 'On ' || page_id || chr(10) || chr(10) || 'Authors: Ann Lee, Bo Roe' || chr(10) || chr(10) || 'Abstract' || chr(10) || 'Abstract Short & sweet.' || chr(10) || chr(10) || '1 Start' || chr(10) || chr(10)
-  || 'See [1] $x^2$.' || chr(10) || chr(10) || 'References' || chr(10) || chr(10) || 'Old work.' AS text FROM pages""")
+_OWN_SQL = f"trim(regexp_replace('All of it: ' || regexp_replace(coalesce(html, ''), '[<>&]', ' ', 'g'), '{SPACE_SQL}+', ' ', 'g'))"
+
+
+@query(f"""SELECT page_id, 'On ' || page_id || chr(10) || chr(10) || 'Authors: Ann Lee, Bo Roe' || chr(10) || chr(10) || 'Abstract' || chr(10) || 'Abstract Short & sweet.' || chr(10) || chr(10) || '1 Start' || chr(10) || chr(10)
+  || {_OWN_SQL} || chr(10) || chr(10) || 'See [1] $x^2$.' || chr(10) || chr(10) || 'References' || chr(10) || chr(10) || 'Old work.' AS text FROM pages""")
 def html_paper_full(spark: SparkSession, d: str) -> DataFrame:
     return _papers(spark, d).select("page_id", H.paper_text(F.col("html")).alias("text"))
 
 
-@query("""SELECT page_id, 'On ' || page_id || chr(10) || chr(10) || 'Authors: Ann Lee, Bo Roe' || chr(10) || chr(10) || 'Abstract' || chr(10) || 'Abstract Short & sweet.' || chr(10) || chr(10) || '1 Start' || chr(10) || chr(10)
-  || 'See $x^2$.' AS text FROM pages""")
+@query(f"""SELECT page_id, 'On ' || page_id || chr(10) || chr(10) || 'Authors: Ann Lee, Bo Roe' || chr(10) || chr(10) || 'Abstract' || chr(10) || 'Abstract Short & sweet.' || chr(10) || chr(10) || '1 Start' || chr(10) || chr(10)
+  || {_OWN_SQL} || chr(10) || chr(10) || 'See $x^2$.' AS text FROM pages""")
 def html_no_refs(spark: SparkSession, d: str) -> DataFrame:
     return _papers(spark, d).select("page_id", H.paper_text(F.col("html"), no_references=True).alias("text"))
 
 
 def _tex(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, line, tex): a LaTeX document made of each text's beginning."""
-    line = F.trim(F.substring(F.regexp_replace("text", r"[^A-Za-z ]", ""), 1, 50))
+    """(doc_id, line, tex): a LaTeX document made of each text's letters and spaces."""
+    line = F.trim(F.regexp_replace("text", r"[^A-Za-z ]", ""))
     head = "\\documentclass{article}\n% note\n\\newcommand{\\R}{\\mathbb{R}}\n\\begin{document}\n\\section{First}\n"
     tail = " % cut\n50\\% of \\textbf{bold} in \\cite{a}\n\\begin{thebibliography}{9}\\bibitem{a} A\\end{thebibliography}\n\\end{document}\nafter"
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", line.alias("line"), F.concat(F.lit(head), line, F.lit(tail)).alias("tex"))
 
 
-TEX_SQL = "WITH t AS (SELECT doc_id, trim(substring(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 50)) AS line FROM documents WHERE text IS NOT NULL)\n"
+TEX_SQL = "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS line FROM documents WHERE text IS NOT NULL)\n"
 
 
 @query(TEX_SQL + """SELECT doc_id, '\\documentclass{article}' || chr(10) || '\\newcommand{\\R}{\\mathbb{R}}' || chr(10) || '\\begin{document}' || chr(10) || '\\section{First}' || chr(10) || line || chr(10)
@@ -257,10 +267,10 @@ def tex_accents(spark: SparkSession, d: str) -> DataFrame:
     return _tex(spark, d).select("doc_id", L.signs(made).alias("text"))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS paper, '\\documentclass{a} A' || doc_id || ' [once]  \\input{gone}' || chr(10) || '% \\input{part}' AS latex FROM documents""")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS paper, '\\documentclass{a} A' || doc_id || ' ' || coalesce(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '') || '.  \\input{gone}' || chr(10) || '% \\input{part}' AS latex FROM documents""")
 def tex_flatten(spark: SparkSession, d: str) -> DataFrame:
     main = F.concat(F.lit("\\documentclass{a} A"), F.col("doc_id").cast("string"), F.lit(" \\input{part} \\include{part.tex} \\input{gone}\n% \\input{part}"))
-    files = F.explode(F.array(F.struct(F.lit("main.tex").alias("path"), main.alias("content")), F.struct(F.lit("part.tex").alias("path"), F.lit("[once]").alias("content")))).alias("f")
+    files = F.explode(F.array(F.struct(F.lit("main.tex").alias("path"), main.alias("content")), F.struct(F.lit("part.tex").alias("path"), F.concat(F.coalesce(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit("")), F.lit(".")).alias("content")))).alias("f")
     trees = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper"), files).select("paper", "f.path", "f.content")
     return papers.flat_sources(trees)
 
@@ -277,9 +287,17 @@ def llm_parse_scores(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d).select("id", F.array_join(shown, "").alias("scores"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '[1]' WHEN 1 THEN '[1]' ELSE '[1]' END AS now, CASE doc_id % 3 WHEN 0 THEN '[1]' WHEN 1 THEN '[1]' || chr(10) || '```' ELSE '```json' || chr(10) || '[1]' END AS older FROM documents")
+def _unfenced_sql(raw: str) -> str:
+    for pattern in ("^(?:```json)+", "^(?:```)+", "(?:```)+\\z"):
+        raw = f"regexp_replace({raw}, '{pattern}', '')"
+    return trimmed_sql(raw)
+
+
+@query(f"""WITH raw AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '```json' || chr(10) || text || chr(10) || '```' WHEN 1 THEN '```' || chr(10) || text || chr(10) || '```' || chr(10) ELSE ' ```json' || chr(10) || text || chr(10) || '```' END AS r FROM documents)
+SELECT doc_id, {_unfenced_sql(trimmed_sql('r'))} AS now, {_unfenced_sql('r')} AS older FROM raw""")
 def llm_unfence(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.element_at(F.array(*map(F.lit, ("```json\n[1]\n```", "```\n[1]\n```\n", " ```json\n[1]\n```"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    open_ = F.element_at(F.array(*map(F.lit, ("```json\n", "```\n", " ```json\n"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    raw = F.concat(open_, F.col("text"), F.when(F.col("doc_id") % 3 == 1, "\n```\n").otherwise("\n```"))
     return table(spark, d, "documents").select("doc_id", G.unfenced(raw).alias("now"), G.unfenced(raw, compat=True).alias("older"))
 
 
@@ -307,13 +325,16 @@ def score_with_provider(spark: SparkSession, d: str) -> DataFrame:
     return S.merge_scores(rows, scores, "batch").select("id", "status", "score")
 
 
-@query(A + """SELECT 'Current profile:' || chr(10) || 'likes graphs' || chr(10) || chr(10) || string_agg('[' || CASE status WHEN 2 THEN 'liked' WHEN 1 THEN 'clicked' ELSE 'disliked' END || '] ' || title || chr(10)
+@query(A + """, rated AS (SELECT *, strftime(timestamp, '%Y-%m-%d') AS day, substring(md5(id), 1, 2) AS part FROM articles WHERE status IN (1, 2, -1) AND timestamp >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY),
+chunks AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY day, part ORDER BY timestamp DESC, id) - 1) / 20) AS INTEGER) AS chunk FROM rated)
+SELECT day, part, chunk, 'Current profile:' || chr(10) || 'likes graphs' || chr(10) || chr(10) || string_agg('[' || CASE status WHEN 2 THEN 'liked' WHEN 1 THEN 'clicked' ELSE 'disliked' END || '] ' || title || chr(10)
   || CASE WHEN length(abstract) > 300 THEN substring(abstract, 1, 300) || '...' ELSE abstract END || CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN chr(10) || 'Comment: c' || id ELSE '' END, chr(10) || chr(10) ORDER BY timestamp DESC, id) AS prompt
-FROM articles WHERE status IN (1, 2, -1) AND timestamp >= TIMESTAMP '2024-02-15' - INTERVAL 5 DAY AND timestamp < TIMESTAMP '2024-02-15' - INTERVAL 4 DAY""")
+FROM chunks GROUP BY day, part, chunk""")
 def profile_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """All feedback of 30 days, in prompts of 20 entries at most."""
     n = F.col("id").cast("long")
-    rows = S.recent_feedback(articles(spark, d), "2024-02-15 00:00:00", 5).where(F.col("timestamp") < F.lit("2024-02-11").cast("timestamp"))
-    return G.profile_prompt(rows.withColumn("comment", F.when(n % 2 == 0, F.concat(F.lit("c"), "id")).otherwise("")), "likes graphs")
+    rows = S.recent_feedback(articles(spark, d), "2024-02-15 00:00:00")
+    return G.profile_prompts(rows.withColumn("comment", F.when(n % 2 == 0, F.concat(F.lit("c"), "id")).otherwise("")), "likes graphs")
 
 
 @query(A + """SELECT coalesce(string_agg('Title: ' || title || chr(10) || 'Abstract: ' || CASE WHEN length(abstract) > 300 THEN substring(abstract, 1, 300) || '...' ELSE abstract END, chr(10) || chr(10) ORDER BY id), '') AS prompt
@@ -322,12 +343,15 @@ def first_profile_prompt(spark: SparkSession, d: str) -> DataFrame:
     return G.first_profile_prompt(articles(spark, d).where("status = 2"))
 
 
-@query("SELECT doc_id, '[' || doc_id || '|T|A]' AS now, NULL AS older, '{\"title\":\"Line\",\"abstract\":\"rest ' || doc_id || '\"}' AS pair FROM documents")
+@query(f"""WITH t AS (SELECT doc_id, text, {trimmed_sql('text')} AS whole FROM documents)
+SELECT doc_id, '[' || doc_id || '|' || string_split(text, chr(10))[1] || '|' || text || ']' AS now, NULL AS older,
+  {trimmed_sql("string_split(whole, chr(10))[1]")} || '|' || {trimmed_sql("substring(whole, length(string_split(whole, chr(10))[1]) + 2)")} AS pair FROM t""")
 def translation_parse(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("doc_id").cast("string")
-    raw = F.concat(F.lit('[{"id": "'), n, F.lit('", "title": "T", "abstract": "A"}]'))
+    """Each whole text as a translation that a model would return, with its first line as title."""
+    n, text = F.col("doc_id").cast("string"), F.col("text")
+    raw = F.to_json(F.array(F.struct(n.alias("id"), F.split(text, "\n", 2)[0].alias("title"), text.alias("abstract"))))
     shown = lambda compat: F.transform(G.translations(raw, compat), lambda x: F.concat(F.lit("["), x["id"], F.lit("|"), x["title"], F.lit("|"), x["abstract"], F.lit("]")))[0]
-    return table(spark, d, "documents").select("doc_id", shown(False).alias("now"), shown(True).alias("older"), G.translated_pair(F.concat(F.lit(" Line\nrest "), n, F.lit("\n"))).alias("pair"))
+    return table(spark, d, "documents").select("doc_id", shown(False).alias("now"), shown(True).alias("older"), F.concat_ws("|", *[F.get_json_object(G.translated_pair(text), f"$.{k}") for k in ("title", "abstract")]).alias("pair")).withColumn("pair", F.when(F.col("now").isNotNull(), F.col("pair")))
 
 
 @query("""SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS prompt FROM conversations GROUP BY conv_id""")

@@ -22,6 +22,11 @@ def feed_urls(categories: list[str]) -> list[str]:
     return [FEED_URL + c for c in categories]
 
 
+def feed_urls_of(rows: DataFrame, category: str) -> DataFrame:
+    """(url): the feed of each different category."""
+    return rows.where(F.col(category).isNotNull()).select(F.concat(F.lit(FEED_URL), F.col(category)).alias("url")).distinct()
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content): each file whole."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))

@@ -40,7 +40,7 @@ def conform(df: DataFrame) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with ``labels`` as articles (id, title, abstract, link, source, category, status, score, timestamp).
 
-    Status comes from the labels, score and age from the number, so that every query has an SQL counterpart.
+    The title is the text's first line, the abstract its first 2000 letters, as ingestion cuts it. Status comes from the labels, score and age from the number, so that every query has an SQL counterpart.
     """
     d, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("_labelled"))
     status = (
@@ -52,7 +52,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     n = F.col("doc_id")
     return d.join(marks, "doc_id", "left").select(
-        n.cast("string").alias("id"), F.substring("text", 1, 80).alias("title"), F.substring("text", 1, 2000).alias("abstract"),
+        n.cast("string").alias("id"), F.split("text", "\n", 2)[0].alias("title"), F.substring("text", 1, 2000).alias("abstract"),
         F.concat(F.lit("https://arxiv.org/abs/"), n.cast("string")).alias("link"), "source", F.col("lang").alias("category"), status.cast("int").alias("status"),
         ((n * 7919 % 1000) / F.lit(1000.0) - F.lit(0.2)).alias("score"), F.timestamp_add("DAY", (n % 45).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("timestamp"),
     )
@@ -71,11 +71,11 @@ def dealt_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same adapter in DuckDB's SQL, as a common table expression.
 ARTICLES_SQL = """articles AS (
-  SELECT CAST(d.doc_id AS VARCHAR) AS id, substring(d.text, 1, 80) AS title, substring(d.text, 1, 2000) AS abstract,
+  SELECT CAST(d.doc_id AS VARCHAR) AS id, string_split(d.text, chr(10))[1] AS title, substring(d.text, 1, 2000) AS abstract,
          'https://arxiv.org/abs/' || CAST(d.doc_id AS VARCHAR) AS link, d.source, d.lang AS category,
          CASE WHEN l.doc_id IS NULL THEN 0 WHEN l.quality = 1 AND l.toxic = 0 THEN 2 WHEN l.quality = 1 THEN 1 WHEN l.toxic = 1 THEN -1 ELSE 3 END AS status,
          CAST(d.doc_id * 7919 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) - CAST(0.2 AS DOUBLE) AS score,
-         TIMESTAMP '2024-01-01' + to_days(CAST(d.doc_id % 45 AS INTEGER)) AS timestamp, d.doc_id % 500 AS vec_id
+         TIMESTAMP '2024-01-01' + to_days(CAST(d.doc_id % 45 AS INTEGER)) AS timestamp, d.doc_id % (SELECT coalesce(max(vec_id) + 1, 1) FROM embeddings) AS vec_id
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
@@ -85,5 +85,21 @@ def feedback_events(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", "user_id", F.coalesce(kind[F.col("event_type")], F.lit(UNREAD)).alias("status"))
 
 
+def dealt_events(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as feedback with article, the number of the article that each is about: they are dealt over all numbers that documents have."""
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    return feedback_events(events).withColumn("article", F.col("event_id") % F.lit(1 if last is None else last + 1))
+
+
+#: White space of Unicode, for patterns of DuckDB.
+SPACE_SQL = r"[\s\x0B\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def trimmed_sql(x: str) -> str:
+    """``x`` without white space at either end, in DuckDB's SQL."""
+    return f"regexp_replace({x}, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g')"
+
+
+EVENT_ARTICLE_SQL = "event_id % (SELECT coalesce(max(doc_id) + 1, 1) FROM documents)"
 FEEDBACK_SQL = """feedback AS (
   SELECT event_id, ts, user_id, CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN -1 WHEN 'signup' THEN 3 ELSE 0 END AS status FROM events)"""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from skimmer.operators.store import new_rows
 
@@ -27,26 +26,40 @@ def due(last_run: Column, today: Column) -> Column:
     return F.coalesce(last_run != today, F.lit(True))
 
 
+def batch_due(settings: Column, last_run: Column, today: Column) -> Column:
+    """Whether the day's batch is to be made without being asked for: the flag and the first set-up are 'true', and the day's work is still to be done."""
+    on = lambda key: F.coalesce(settings[key] == "true", F.lit(False))
+    return on("auto_batch") & on("initialized") & due(last_run, today)
+
+
+class Progress(StreamingQueryListener):
+    """Keeps what streams of this session report: (name, batch, rows, state), the newest ``most``."""
+
+    def __init__(self, most: int = 1000):
+        self.events: deque[tuple[str, int, int, str]] = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:
+        self.events.append((event.name or str(event.id), -1, 0, "started"))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.events.append((p.name or str(p.id), p.batchId, p.numInputRows, "running"))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.events.append((str(event.id), -1, 0, "failed" if event.exception else "done"))
+
+
 def latest_status(changes: DataFrame, key: str = "article") -> DataFrame:
-    """(key, status, event_id, ts) for each key whenever its latest status changes; the state is one row for each key.
+    """(key, status, event_id, ts) for each key whenever changes of it come, in update mode: an aggregate whose state is one row for each key.
 
-    Latest is meant by ts, then event_id. A change that comes late and is older than the latest says nothing.
+    Latest is meant by ts, then event_id. A change that comes late and is older than the latest gives the latest once more.
     """
 
-    def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        before = best
-        for df in batches:
-            top = df.sort_values(["ts", "event_id"]).iloc[-1]
-            new = (int(top["ts"].value // 1000), int(top["event_id"]), int(top["status"]))
-            best = new if best is None or new[:2] > best[:2] else best
-        if best is not None and best != before:
-            state.update(best)
-            yield pd.DataFrame({key: [own[0]], "status": [best[2]], "event_id": [best[1]], "ts": [pd.Timestamp(best[0], unit="us")]})
-
-    return changes.select(key, "ts", "event_id", "status").groupBy(key).applyInPandasWithState(
-        step, f"{key} long, status int, event_id long, ts timestamp", "ts long, event_id long, status int", "update", GroupStateTimeout.NoTimeout
-    )
+    best = F.max(F.struct("ts", "event_id", "status")).alias("best")
+    return changes.groupBy(key).agg(best).select(key, "best.status", "best.event_id", "best.ts")
 
 
 def first_seen(rows: DataFrame, key: str = "id", ts: str = "ts", delay: str = "30 days") -> DataFrame:

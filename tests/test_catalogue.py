@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
+from skimmer.functions.providers import hashed_embedding
+from skimmer.operators import clusters as C
 from skimmer.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,6 +44,27 @@ def test_clusters_keep_what_must_hold(spark, sf_dir):
     assert catalogue.queries()["kmeans_negative"](spark, sf_dir).columns == ["type", "cluster_id", "centroid"]
 
 
+def test_clusters_are_weighted_means_of_their_vectors(spark):
+    r = np.random.default_rng(3)
+    v, w = r.normal(size=(120, 4)), np.array([2.0 if k % 3 else 1.0 for k in range(120)])
+    rows = spark.createDataFrame([(x.tolist(), 2 if k % 3 else 1) for k, x in enumerate(v)], "vector array<float>, status int")
+    centers = np.array([c["centroid"] for c in C.fit_centroids(rows, "positive", most=4).orderBy("cluster_id").collect()])
+    own = ((v[:, None, :] - centers[None]) ** 2).sum(2).argmin(1)
+    for k in range(len(centers)):
+        assert np.abs(np.average(v[own == k], axis=0, weights=w[own == k]) - centers[k]).max() < 0.05
+    cost = (w * ((v - centers[own]) ** 2).sum(1)).sum()
+    assert cost < (w * ((v - np.average(v, axis=0, weights=w)) ** 2).sum(1)).sum()
+
+
+def test_vectors_of_whole_texts_against_one_by_one(spark, sf_dir):
+    made = {r["doc_id"]: r["vector"] for r in catalogue.queries()["embed_with_provider"](spark, sf_dir).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert made.keys() == texts.keys()
+    for k, text in texts.items():
+        wanted = hashed_embedding()([(text or "")[:8000]])[0]
+        assert (made[k] is None) == (wanted is None) and (wanted is None or np.allclose(made[k], wanted, atol=1e-6))
+
+
 def test_provider_scores_only_the_unread(spark, sf_dir):
     before = {r["id"]: (r["status"], r["score"]) for r in catalogue.queries()["score_merge"](spark, sf_dir).collect()}
     found = catalogue.queries()["score_with_provider"](spark, sf_dir).collect()

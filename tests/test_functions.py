@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skimmer.functions import latex as L
 from skimmer.functions import paper_html as H
+from skimmer.functions import providers as P
 from skimmer.functions import responses as G
 from skimmer.functions import text as T
 from skimmer.operators import papers, store
@@ -120,6 +121,67 @@ def test_latex(spark, tex, wanted):
     assert on(spark, L.latex_text, tex) == wanted
 
 
+def test_environments_in_environments():
+    nested = "\\begin{itemize}\\item a\\begin{enumerate}\\item x\\item y\\end{enumerate}\\item b\\end{itemize}"
+    assert L.environments(nested) == "\n- a\n1. x\n2. y\n- b"
+    assert L.environments("\\begin{itemize}\\item a\\begin{itemize}\\item b\\end{itemize}\\end{itemize}") == "\n- a\n- b"
+    assert L.environments("a\\end{itemize}\\begin{align}x") == "a\\end{itemize}\\begin{align}x"
+    assert L.environments("\\begin{figure}\\begin{equation}x\\end{figure}y") == "y"
+    assert len(L.environments("\\begin{itemize}" * 20_000)) == 15 * 20_000
+
+
+def test_accents_of_any_letter():
+    assert L.accents("\\v{g} \\u{a} \\.z \\k{e} \\=o \\H o \\'{ n } \\d{s}") == "ǧ ă ż ę ō ő ń ṣ"
+    assert L.accents("\\'q") == "q\u0301" and L.accents("\\vspace \\c{c}") == "\\vspace ç"
+
+
+def test_vectors_as_bytes(spark):
+    rows = spark.createDataFrame([(b"\x00\x00\x80?\x00\x00\x00\xc0",), (None,), (b"abc",), (b"",)], "b binary")
+    got = rows.select(T.vector_of_bytes(F.col("b")).alias("v")).collect()
+    assert [r["v"] for r in got] == [[1.0, -2.0], None, None, []]
+    back = spark.createDataFrame([([1.0, -2.0],), (None,)], "v array<float>").select(T.bytes_of_vector(F.col("v")).alias("b")).collect()
+    assert [r["b"] for r in back] == [bytearray(b"\x00\x00\x80?\x00\x00\x00\xc0"), None]
+
+
+def test_translation_is_tried_again(spark):
+    calls = []
+
+    def flaky(texts):
+        calls.append(texts)
+        if texts[0].startswith("bad") or len(calls) % 2:
+            raise RuntimeError("no answer")
+        return [t.upper() for t in texts]
+
+    rows = spark.createDataFrame([("1", "hello"), ("2", "bad"), ("3", None), ("4", "x" * 7000)], "id string, text string").coalesce(1)
+    got = {r["id"]: (r["translation"], r["signature"]) for r in P.translated(rows, flaky).collect()}
+    assert got["1"][0] == "HELLO" and got["2"][0] is None and got["3"][0] == "" and got["4"][0] == "X" * 6000
+    assert all(len(s) == 32 for _, s in got.values())
+
+
+def test_translations_fall_back_to_the_originals(spark):
+    rows = spark.createDataFrame([("1", "a", "b"), ("2", "c", "d")], "id string, title string, abstract string")
+    said = spark.createDataFrame([('[{"id":"1","title":"A","abstract":"B"}]',), ("broken",), (None,)], "response string")
+    got = {r["id"]: (r["translated_title"], r["translated_abstract"]) for r in G.with_translations(rows, said).collect()}
+    assert got == {"1": ("A", "B"), "2": ("c", "d")}
+    assert {r["translated_title"] for r in G.with_translations(rows, said.limit(0)).collect()} == {"a", "c"}
+
+
+def test_writes(spark, tmp_path):
+    stored = spark.createDataFrame([("1", 5, 5, 5, None), ("2", 6, 6, 6, None)], "id string, hf_upvotes int, ax_upvotes int, ax_downvotes int, votes_updated_at timestamp")
+    failed = spark.createDataFrame([("2", None, None, None)], "id string, hf_upvotes int, ax_upvotes int, ax_downvotes int")
+    got = {r["id"]: r for r in store.update_votes(stored, failed).collect()}
+    assert got["1"]["hf_upvotes"] == 5 and got["1"]["votes_updated_at"] is None and got["2"]["hf_upvotes"] is None and got["2"]["votes_updated_at"] is not None
+    assert store.stamped(stored.select("id")).where("timestamp IS NULL").count() == 0
+    papers.write_texts(spark.createDataFrame([("a\nb",), (None,), ("c",)], "text string"), str(tmp_path / "texts"))
+    assert sorted(r["value"] for r in spark.read.option("lineSep", "\f").text(str(tmp_path / "texts")).collect()) == ["a\nb", "c"]
+
+
+def test_prompts_of_any_number_of_entries(spark):
+    rows = spark.createDataFrame([(str(k), "T", "x", 2, "", k) for k in range(500)], "id string, title string, abstract string, status int, comment string, t int").withColumn("timestamp", F.timestamp_seconds("t"))
+    got = [r["prompt"] for r in G.profile_prompts(rows, size=3).collect()]
+    assert sum(p.count("[liked]") for p in got) == 500 and max(p.count("[liked]") for p in got) <= 3
+
+
 def test_latex_older_order(spark):
     got = on(spark, lambda c: L.signs(c, True), "\\lambda \\chi cap \\Pi \\\"u \\'e")
     assert got == "łambda hi ∩ ¶i u é"

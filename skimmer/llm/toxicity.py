@@ -397,7 +397,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
 
     least = 5
     found = sample.where("_toxic = 1").mapInArrow(toxic_marks, "mark string").groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    wanted = {r["mark"]: k for k, r in enumerate(found.orderBy(F.desc("n"), "mark").collect())}  # of at most sample_rows rows
+    often = {r["mark"]: r["n"] for r in found.collect()}  # of at most sample_rows rows
+    n_rows = sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()
+    n_toxic, n_other = (sum(r["n"] for r in n_rows if (r["_toxic"] == 1) == t) for t in (True, False))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.column(0)):
+                tokens, index, first = tokens_of(part.column(0))
+                pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(first)) * len(tokens) + index)
+                n = np.bincount(pairs % max(1, len(tokens)), minlength=len(tokens))
+                at = [k for k in np.flatnonzero(n).tolist() if tokens[k].isalpha() and not _TWICE.search(tokens[k])]
+                yield pa.RecordBatch.from_arrays([pa.array([tokens[k] for k in at], pa.string()), pa.array(n[at])], names=["token", "n"])
+
+    # A mark that plain words of the other rows show too often to be likely in toxic ones needs no decoding to be ruled out; half of
+    # them are enough, for a word in a stretch may be read otherwise.
+    enough = least * n_other / (RATIO * max(1, n_toxic))
+    words = sample.where("_toxic <> 1").mapInArrow(plain, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > enough)
+    shown_by: dict[str, int] = {}
+    for r in words.toLocalIterator():  # of at most sample_rows rows
+        for m in marks(r["token"]):
+            if m in often:
+                shown_by[m] = max(shown_by.get(m, 0), r["n"])
+    likely = sorted(m for m, n in often.items() if (n + 0.5) / (n_toxic + 1) >= RATIO * (shown_by.get(m, 0) / 2) / (n_other + 1))
+    wanted = {m: k for k, m in enumerate(likely)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)

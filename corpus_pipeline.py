@@ -16,7 +16,11 @@ from skimmer.llm.toxicity import score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose text scores below one half; the model learns from the labelled rows that are not held out."""
+    """The documents whose text scores below one half; the model learns from the labelled rows that are not held out.
+
+    Null and empty texts score as texts without any mark, and so stay unless nearly all labelled rows are toxic; repeated rows share their fate. An
+    empty table gives an empty one; further columns are kept.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
 
@@ -28,19 +32,25 @@ def _met(rows: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id; of repeated rows one. Documents without words all stay."""
-    classes = jaccard_classes(docs.select(F.col("doc_id").alias("_row"), F.col("text").alias("_text")))
-    kept = classes.where(F.col("_row").eqNullSafe(F.col("class_row"))).select(F.col("_row").alias("_id")).distinct()
-    first = _met(docs.withColumn("_id", F.col("doc_id")), kept, ["_id"])
-    turn = F.row_number().over(Window.partitionBy("_place", "_settled", "text").orderBy("lang", "source"))
-    return first.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    """Of each class of near copies the document with the smallest id (a null id is the smallest); of repeated rows, which agree in id and text, one.
+
+    Documents without words, null texts among them, are no copies of each other: all of them with different ids stay. An empty table gives an empty one.
+    """
+    own = {"_id": F.col("doc_id"), "_sha": F.sha2("text", 256)}
+    classes = written(jaccard_classes(docs.select(F.col("doc_id").alias("_row"), F.col("text").alias("_text"), own["_sha"].alias("_sha"))), "classes")
+    first = classes.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("_row", "_sha")).alias("x")).select("x._row", "x._sha")
+    kept = first.union(classes.where("class_key IS NULL").select("_row", "_sha")).distinct().withColumnRenamed("_row", "_id")
+    both = _met(docs.withColumns(own), kept, [*own])
+    turn = F.row_number().over(Window.partitionBy("_place", "_settled").orderBy("lang", "source"))
+    return both.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those that it does not take go.
 
     The mix is settled over ids, sources and sizes alone; the texts move once, to meet what was settled for them. Rows
-    that agree in all three share their copies as evenly as can be.
+    that agree in all three share their copies as evenly as can be. Null sources are a source of their own; texts without words, null ones
+    among them, have size 0, are never taken, and go. An empty table gives an empty one.
     """
     own = {"_id": F.col("doc_id"), "_source": F.col("source"), "_size": word_count()}
     narrow = written(docs.select(*[c.alias(n) for n, c in own.items()]), "sized")
@@ -53,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences."""
+    """The pieces of the documents with their places in sequences. A null or empty text is one piece, its end id; repeated rows are packed each; an empty table gives no piece."""
     import public_tokenizers
 
     return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -176,10 +176,10 @@ def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) ->
 
 def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` (_row, a long; _text; other columns) with _key, a digest of their words, instead of _text; and for
-    each key (key, class_row, n_links, n_text_links, n_copies).
+    each key (key, class_key, class_row, n_links, n_text_links, n_copies).
 
     Two rows are linked if the Jaccard similarity of their sets of word n-grams is at least ``threshold``.
-    A class holds what links connect; class_row is its smallest row. n_links counts the other rows that a row is linked
+    A class holds what links connect; class_key is its smallest key, class_row its smallest row. n_links counts the other rows that a row is linked
     with, n_text_links the other word sequences, n_copies the other rows with the same words. Rows without any words (or
     null) have a null key and are linked with none. Repeated rows are copies. An empty table gives an empty result.
     """
@@ -234,7 +234,7 @@ def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     first = found.where(F.col("root").isNotNull()).groupBy(F.col("_class").alias("_c")).agg(F.min("_row").alias("_first"))
     copies = F.col("_weight") - 1
     out = found.join(first, F.col("_class") == F.col("_c"), "left").select(
-        F.col("_node").alias("key"), F.nullif(F.coalesce("_first", "_row"), F.lit(NO_ID)).alias("class_row"), (F.coalesce("_docs", zero) + copies).alias("n_links"), F.coalesce("_texts", zero).alias("n_text_links"), copies.alias("n_copies")
+        F.col("_node").alias("key"), F.col("_class").alias("class_key"), F.nullif(F.coalesce("_first", "_row"), F.lit(NO_ID)).alias("class_row"), (F.coalesce("_docs", zero) + copies).alias("n_links"), F.coalesce("_texts", zero).alias("n_text_links"), copies.alias("n_copies")
     )
     return signs.drop("_marks", "_size"), out
 
@@ -341,18 +341,18 @@ def _verified(met: DataFrame, sets: DataFrame, length: int, depth: int, trees: i
 
 
 def jaccard_classes(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` (_row, _text and others) with class_row, n_links, n_text_links and n_copies of ``text_classes``; _text is left out.
+    """``docs`` (_row, _text and others) with class_key, class_row, n_links, n_text_links and n_copies of ``text_classes``; _text is left out.
 
-    A row without words is a class of its own. Other columns are kept, but for those of these names.
+    A row without words is a class of its own, without a class_key. Other columns are kept, but for those of these names.
     """
-    new = ("class_row", "n_links", "n_text_links", "n_copies")
+    new = ("class_key", "class_row", "n_links", "n_text_links", "n_copies")
     own = [c for c in docs.columns if c not in new]
     safe = {c: f"_own_{k}" for k, c in enumerate(own) if c not in ("_row", "_text")}  # names that cannot clash
     rows, classes = text_classes(docs.select(*[F.col(f"`{c}`").alias(safe.get(c, c)) for c in own]), **how)
     both = rows.join(classes, F.col("_key") == F.col("key"), "left")
     zero = F.lit(0).cast("long")
     first = F.when(F.col("key").isNull(), F.col("_row")).otherwise(F.col("class_row")).alias("class_row")
-    return both.select(*[F.col(safe.get(c, c)).alias(c) for c in own if c != "_text"], first, *(F.coalesce(c, zero).alias(c) for c in new[1:]))
+    return both.select(*[F.col(safe.get(c, c)).alias(c) for c in own if c != "_text"], "class_key", first, *(F.coalesce(c, zero).alias(c) for c in new[2:]))
 
 
 def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

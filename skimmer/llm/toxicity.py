@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skimmer.llm.shared import Kept, slices, small_batches
+from skimmer.llm.shared import Kept, done_with, slices, small_batches, written
 
 #: Labelled rows that are learned from, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -415,7 +415,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     enough = least * n_other / (RATIO * max(1, n_toxic))
     words = sample.where("_toxic <> 1").mapInArrow(plain, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > enough)
     shown_by: dict[str, int] = {}
-    for r in words.toLocalIterator():  # of at most sample_rows rows
+    for r in words.collect():  # of at most sample_rows rows
         for m in marks(r["token"]):
             if m in often:
                 shown_by[m] = max(shown_by.get(m, 0), r["n"])
@@ -440,15 +440,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
                     }
                 )
 
-    seen = sample.mapInArrow(held, "label int, marks array<int>, n array<long>, rows long")
-    clean, n_clean, toxic, ends = np.zeros(len(wanted)), 0, [], []
-    for r in seen.toLocalIterator():  # of at most sample_rows rows
-        if r["label"] == 1:
-            toxic.append(np.array(r["marks"], np.int64))
-            ends.append(tuple(r["n"]))
-        else:
-            clean[r["marks"]] += r["n"]
-            n_clean += r["rows"]
+    seen = written(sample.mapInArrow(held, "label int, marks array<int>, n array<long>, rows long"), "marks")
+    counts = seen.where("label = 0").select(F.explode(F.arrays_zip("marks", "n")).alias("x")).groupBy("x.marks").agg(F.sum("x.n").alias("n"))
+    clean, n_clean = np.zeros(len(wanted)), seen.where("label = 0").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    for r in counts.collect():  # a row for each mark
+        clean[r["marks"]] = r["n"]
+    rows = seen.where("label = 1").select("marks", "n").collect()  # at most sample_rows rows
+    toxic, ends = [np.array(r["marks"], np.int64) for r in rows], [tuple(r["n"]) for r in rows]
+    done_with(seen)
     names = sorted(wanted, key=wanted.get)
     worth: dict[str, float] = {}
     if toxic and n_clean:

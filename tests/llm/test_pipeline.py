@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline as P
 from skimmer.llm.catalogue import queries
 
+sys.path.insert(0, str(Path(__file__).parent))
+from test_jaccard import brute  # noqa: E402
+from test_mixing import plain_targets  # noqa: E402
+from test_packing import check as check_packing  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -32,13 +40,52 @@ def test_odd_rows(spark, sf_dir):
     assert sorted(str(r["doc_id"]) for r in one) == ["1", "3", "4", "None"]
     assert P.mix_sources(spark, docs, sf_dir).columns == docs.columns
     assert P.pack_sequences(spark, docs, sf_dir).count() == 6
+    # null ids: one row of each class
+    near = " ".join(f"w{k}" for k in range(100))
+    lost = spark.createDataFrame([(None, near, "en", "s", 1), (None, near + " end", "en", "s", 1), (None, "quite another text of more words", "en", "s", 1), (5, near, "en", "s", 1)], SCHEMA)
+    texts = [r["text"] for r in P.one_of_each_class(spark, lost, sf_dir).collect()]
+    assert len(texts) == 2 and "quite another text of more words" in texts
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
 
 
-def test_run_is_the_stages_one_after_another(spark, sf_dir):
+def test_run_against_brute_force(spark, sf_dir):
+    """Each stage on what the one before it keeps: all pairs, targets by a plain loop, pieces by the library."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clean = P.drop_toxic(spark, docs, sf_dir).collect()
+    classes = brute([(r["doc_id"], r["text"]) for r in clean])
+    alone = {r["doc_id"]: r for r in clean if classes[r["doc_id"]][0] == r["doc_id"]}
+    sizes = {k: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for k, r in alone.items()}
+    totals: dict = {}
+    for k, r in alone.items():
+        totals[r["source"]] = totals.get(r["source"], 0) + sizes[k]
+    targets = plain_targets(totals)
     got = P.run(spark, sf_dir).collect()
-    assert len(got) > 0 and P.ORACLE_SQL is None and "pipeline" in P.queries()
-    fill = sum(r["length"] for r in got) / (4096 * len({r["sequence_id"] for r in got}))
-    assert fill > 0.9
+    copies = Counter(r["doc_id"] for r in got if r["piece"] == 0)
+    assert set(copies) <= set(alone) and max(copies.values()) <= 2
+    for source, target in targets.items():
+        own = [k for k, r in alone.items() if r["source"] == source]
+        assert abs(sum(sizes[k] * copies[k] for k in own) - target) <= max([1, *(sizes[k] for k in own)])
+    check_packing([(k, alone[k]["text"]) for k, n in copies.items() for _ in range(n)], got)
+    assert P.ORACLE_SQL is None and "pipeline" in P.queries()
+
+
+def _workers() -> float:
+    """Megabytes that this session's Python workers hold for themselves."""
+    total = 0
+    for own in Path("/proc").glob("[0-9]*"):
+        try:
+            if b"pyspark" in (own / "cmdline").read_bytes() and b"worker" in (own / "cmdline").read_bytes():
+                total += sum(int(x) for x in re.findall(r"\nPss_Anon:\s+(\d+)", (own / "smaps_rollup").read_text()))
+        except OSError:  # it has ended
+            continue
+    return total / 1024
+
+
+def test_memory_of_workers_does_not_grow_from_run_to_run(spark, sf_dir):
+    held = []
+    for _ in range(3):
+        P.run(spark, sf_dir).count()
+        held.append(_workers())
+    assert held[2] <= 1.1 * held[0] + 10, held

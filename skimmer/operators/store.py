@@ -116,6 +116,20 @@ def listing(stored: DataFrame, status: int | None = None, limit: int = 50, offse
     return rows.orderBy(F.desc(order), "id").offset(offset).limit(limit)
 
 
+#: What a client's copy of the table holds.
+SHOWN = ("id", "title", "link", "abstract", "source", "category", "status", "score", "author", "comment", "translated_title", "translated_abstract")
+
+
+def shown_rows(stored: DataFrame) -> DataFrame:
+    """All rows with the columns that a client shows, highest score first; ``persist`` keeps them for a session."""
+    return stored.select(*SHOWN).orderBy(F.desc("score"), "id")
+
+
+def local_date(ts: Column, zone: str) -> Column:
+    """The day that a time falls on in a zone, as YYYY-MM-DD."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd")
+
+
 def count_by_status(stored: DataFrame) -> DataFrame:
     return stored.groupBy("status").agg(F.count("*").alias("n"))
 

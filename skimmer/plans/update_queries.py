@@ -14,7 +14,7 @@ from skimmer.plans.registry import query
 from skimmer.plans.stream_queries import _events, _folder
 from skimmer.plans.text_queries import ITEMS_SQL, TEX_SQL, _items, _tex
 from skimmer.sources import feeds
-from skimmer.sources.tables import ARTICLES_SQL, EVENT_ARTICLE_SQL, FEEDBACK_SQL, articles, dealt_events, table, trimmed_sql
+from skimmer.sources.tables import ARTICLES_SQL, EVENT_ARTICLE_SQL, FEEDBACK_SQL, articles, conform, dealt_events, table, trimmed_sql
 from skimmer.streaming import feedback as W
 
 A = f"WITH {ARTICLES_SQL}"
@@ -66,6 +66,18 @@ def timestamp_default(spark: SparkSession, d: str) -> DataFrame:
     return S.stamped(rows, F.lit("2024-02-15").cast("timestamp")).select("id", F.date_format("timestamp", "yyyy-MM-dd").alias("day"))
 
 
+@query("SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS east, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d') AS west FROM events")
+def local_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", S.local_date(F.col("ts"), "Asia/Singapore").alias("east"), S.local_date(F.col("ts"), "America/Panama").alias("west"))
+
+
+@query(A + "SELECT id, title, link, abstract, source, category, status, score, NULL AS author, NULL AS comment, NULL AS translated_title, NULL AS translated_abstract FROM articles")
+def cache_load(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as a client's copy of it."""
+    rows = articles(spark, d)
+    return S.shown_rows(conform(rows))
+
+
 @query(A + "SELECT id, title, status, score FROM (SELECT * FROM articles WHERE status = 0 ORDER BY score DESC, id LIMIT 1000) ORDER BY score DESC, id LIMIT 50")
 def first_of_recommended(spark: SparkSession, d: str) -> DataFrame:
     """What a client shows of the ranked list: its first 50 rows."""

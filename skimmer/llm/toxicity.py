@@ -43,6 +43,7 @@ OTHER = CODES - 1
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiou", "€": "e"}
 
 _TWICE, _THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
+_PAIRS = "|".join(chr(k) * 2 for k in range(97, 123))
 _NOISE = re.compile(r"([^\w\s])\1+$")
 #: A letter alone, or letters with one separator between them, and what may follow.
 _SPELLED = re.compile(r"((?:[^\W_]|[@$!])(?:[._*\-](?:[^\W_]|[@$!]))*)([.,;:!?]*)$")
@@ -278,6 +279,9 @@ def marks(word: str) -> list[str]:
     return [f"={word}", *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)]
 
 
+_NO_MARKS: set[str] = set()
+
+
 class Heads:
     """Tells tokens apart that no mark of a set can fit, however they are read; a plain word is read with or without each of its doubled letters."""
 
@@ -285,7 +289,18 @@ class Heads:
         self.names = frozenset(names)
         self.first = {(m[1:] if m[0] == "=" else m[:-1])[:3] for m in self.names}
 
+    def among(self, tokens: list[str]) -> list[int]:
+        """Which of the tokens may fit a mark: plain words that begin like none are ruled out together."""
+        own = pc.utf8_trim(pa.array(tokens, pa.large_string()), characters=".,;:?\"'()")  # as ``core_of`` does
+        plain = pc.and_not(pc.match_substring_regex(own, "^[a-z]+$"), pc.match_substring_regex(own, _PAIRS))
+        begins = pc.is_in(pc.utf8_slice_codeunits(own, 0, 3), value_set=pa.array(sorted(self.first), pa.large_string()))
+        rest = np.flatnonzero(pc.invert(pc.and_not(plain, begins)).to_numpy(zero_copy_only=False))
+        return [k for k in rest.tolist() if self.fit(tokens[k])]
+
     def fit(self, token: str) -> bool:
+        parts = token.split(" ")
+        if 1 < len(parts) <= 4 and all(map(str.isalpha, parts)):  # a short stretch is read as words that some of its parts make
+            return any(self.fit("".join(parts[i:j])) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1))
         if not token.isalpha():
             token = token and core_of(token)
             if not token.isalpha():
@@ -316,15 +331,15 @@ class ToxicModel:
 
     def hits(self, restorer: Restorer, token: str) -> float:
         """What a token tells: of its likely readings the strongest, each word by its strongest mark."""
-        if not self.heads.fit(token):
-            return 0.0
         get = self.worth.get
         return max(sum(max(get(m, 0.0) for m in marks(w)) for w in words) for words in restorer.readings(token))
 
     def evidence(self, texts: pa.Array, restorer: Restorer) -> np.ndarray:
         """log(1 + what a text's tokens tell together)."""
         tokens, index, first = tokens_of(texts, restorer)
-        worth = np.array([self.hits(restorer, t) for t in tokens], np.float64)
+        worth = np.zeros(len(tokens))
+        for k in self.heads.among(tokens):
+            worth[k] = self.hits(restorer, tokens[k])
         total = np.zeros(len(texts))
         if len(index):
             sums = np.concatenate([[0], np.cumsum(worth[index])])
@@ -379,14 +394,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     sample = sample.groupBy(F.sha2("text", 256).alias("_key")).agg(F.first("text").alias("text"), F.max("_toxic").alias("_toxic"))
     sample = sample.select("text", "_toxic").persist()
 
-    def shown(batch: pa.RecordBatch, restorer: Restorer, wanted: dict[str, int] | None) -> Iterator[tuple[int, set, tuple[int, int]]]:
+    def shown(batch: pa.RecordBatch, restorer: Restorer, wanted: dict[str, int] | None, heads: Heads | None = None) -> Iterator[tuple[int, set, tuple[int, int]]]:
         tokens, index, first = tokens_of(batch.column(0), restorer)
-        heads = Heads(wanted) if wanted is not None else None
-        own = [{m for w in restorer.words(t) for m in marks(w) if wanted is None or m in wanted} if heads is None or heads.fit(t) else set() for t in tokens]
+        own: list[set[str]] = [_NO_MARKS] * len(tokens)
+        for k in heads.among(tokens) if heads else range(len(tokens)):
+            own[k] = {m for w in restorer.words(tokens[k]) for m in marks(w) if wanted is None or m in wanted}
         for k, label in enumerate(batch.column(1).to_pylist()):
             row = index[first[k] : first[k + 1]].tolist()
             ends = tuple(zlib.crc32(" ".join(tokens[t] for t in part).encode()) for part in (row[:4], row[-4:]))
-            yield label, set().union(*(own[t] for t in set(row))), ends
+            yield label, set().union(*(own[t] for t in set(row) if own[t])), ends
 
     def toxic_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
@@ -423,10 +439,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     wanted = {m: k for k, m in enumerate(likely)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
+        restorer, heads = Restorer(model), Heads(wanted)
         for batch in batches:
             for part in slices(batch, batch.column(0)):
-                rows = list(shown(part, restorer, wanted))
+                rows = list(shown(part, restorer, wanted, heads))
                 clean = np.zeros(len(wanted), np.int64)
                 for label, own, _ in rows:
                     if label != 1 and own:

@@ -84,7 +84,9 @@ def test_spaces_doubles_and_long_tokens_are_decoded(restorer, text, words):
 def test_tokens_that_no_mark_fits_tell_nothing(restorer):
     worth = {"=stupid": 3.0, "mor*": 1.0, "tras*": 2.0, "=at": 1.0}
     heads = X.Heads(worth)
-    for token in ["stupid", "sstupid", "stuppid", "moron", "morron", "mmorrons", "trash", "traash", "letter", "greenn", "at", "att", "st1p", "y o u", "house", "aat", "ssttuuppiidd", "mooron"]:
+    tokens = ["stupid", "house", "greenn", "at", "a", "", "étudiant", "st1p", "moron.", "y o u", "zebra", "ss", "tra", "\"house,", "(tra)", "stupid'", "x.tra", "...", "tra!!"]
+    assert heads.among(tokens) == [k for k, t in enumerate(tokens) if heads.fit(t)]
+    for token in ["stupid", "sstupid", "stuppid", "moron", "morron", "mmorrons", "trash", "traash", "letter", "greenn", "at", "att", "st1p", "y o u", "house", "aat", "ssttuuppiidd", "mooron", "stu pid", "mor on", "s tupid", "sstu pid", "the house", "tr ash", "a t", "mo r on", "stup pid"]:
         told = max(sum(max(worth.get(m, 0.0) for m in X.marks(w)) for w in words) for words in restorer.readings(token))
         assert heads.fit(token) or told == 0, token
 

@@ -242,20 +242,25 @@ def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int) -> DataFrame:
     """The texts that share a prefix of ``length`` values with another, dealt into blocks: (_node, _row, _weight, _marks, _block, _meets).
 
-    Of its trie nodes that hold others, a text lives in the one that holds most; a node that holds more than ``block`` shingles, or
-    very many texts, is dealt into blocks by hash. _meets are the trie nodes of a text in all trees, each a number. When prefixes have been shortened before, only trie
+    Of the trie nodes that it, or a text that it shares one with, is in, a text lives in the one that holds most; texts of one home with more than
+    ``block`` shingles, or very many of them, are dealt into blocks by hash. _meets are the trie nodes of a text in all trees, each a number. When prefixes have been shortened before, only trie
     nodes count that have more than one child: all pairs below a child have met.
     """
     part = lambda n: F.xxhash64("_tree", F.substring("_label", 1, 2 * n))
     label = F.expr(f"substring(_marks, 1 + {2 * depth} * _tree, {2 * depth})")
-    forest = texts.select("_node", "_size", "_marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")).select("_node", "_size", "_tree", label.alias("_label"))
-    forest = forest.select("_node", "_size", part(length).alias("_trie"), part(min(depth, length + 1)).alias("_child"))
-    held = forest.groupBy("_trie").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"), F.min("_child").alias("_a"), F.max("_child").alias("_b"))
-    held = held.where("_n > 1" if length == depth else "_n > 1 and _a <> _b").select("_trie", "_n", "_sum")
-    own = forest.select("_node", "_trie").join(held, "_trie").groupBy("_node").agg(F.max(F.struct("_n", "_sum", "_trie")).alias("_home"), F.collect_set("_trie").alias("_meets"))  # at most `trees` of them
-    parts = F.ceil(F.greatest(F.col("_home._sum") / block, F.col("_home._n") / BLOCK_TEXTS)).cast("long")
-    place = F.xxhash64("_home._trie", F.pmod(F.xxhash64("_node"), parts))
-    return own.join(texts, "_node").select("_node", "_row", "_weight", "_marks", place.alias("_block"), "_meets")
+    forest = texts.select("_node", "_marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")).select("_node", "_tree", label.alias("_label"))
+    forest = forest.select("_node", part(length).alias("_trie"), part(min(depth, length + 1)).alias("_child"))
+    held = forest.groupBy("_trie").agg(F.count("*").alias("_n"), F.min("_child").alias("_a"), F.max("_child").alias("_b"))
+    held = held.where("_n > 1" if length == depth else "_n > 1 and _a <> _b").select("_trie", "_n")
+    shares = written(forest.select("_node", "_trie").join(held, "_trie").select("_node", F.struct("_n", "_trie").alias("_at")), "shares")
+    # the trie node that holds most of the texts that a text shares any with: copies of each other agree on one, whatever else they share
+    largest = shares.groupBy("_node").agg(F.max("_at").alias("_home"))
+    near = shares.join(largest, "_node").groupBy("_at").agg(F.max("_home").alias("_home"))
+    own = shares.join(near, "_at").groupBy("_node").agg(F.max("_home").alias("_home"), F.collect_set("_at._trie").alias("_meets"))  # at most `trees` of them
+    lives = written(own.join(texts, "_node").select("_node", "_row", "_weight", "_marks", "_size", F.col("_home._trie").alias("_home"), "_meets"), "homes")
+    room = lives.groupBy("_home").agg(F.ceil(F.greatest(F.sum("_size") / block, F.count("*") / F.lit(BLOCK_TEXTS))).cast("long").alias("_parts"))
+    place = F.xxhash64("_home", F.pmod(F.xxhash64("_node"), F.col("_parts"))).alias("_block")
+    return lives.join(room, "_home").select("_node", "_row", "_weight", "_marks", place, "_meets")
 
 
 def _shingle_sets(docs: DataFrame, texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:

@@ -30,6 +30,8 @@ TREES, DEPTH = 32, 7
 HEEDED = 0.999
 #: Shingles and texts of a block, about; two blocks are compared in one step.
 BLOCK, BLOCK_TEXTS = 1 << 19, 1024
+#: A side of a join of up to so many rows, counted before, of a few numbers each, is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 100_000
 #: Bands of similarity, from the threshold to 1, in which links are counted.
 BANDS = 20
 #: Stands for a null row, which counts as the smallest.
@@ -239,6 +241,11 @@ def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     return signs.drop("_marks", "_size"), out
 
 
+def _small(side: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int) -> DataFrame:
     """The texts that share a prefix of ``length`` values with another, dealt into blocks: (_node, _row, _weight, _marks, _block, _meets).
 
@@ -252,7 +259,7 @@ def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int)
     forest = forest.select("_node", part(length).alias("_trie"), part(min(depth, length + 1)).alias("_child"))
     held = forest.groupBy("_trie").agg(F.count("*").alias("_n"), F.min("_child").alias("_a"), F.max("_child").alias("_b"))
     held = held.where("_n > 1" if length == depth else "_n > 1 and _a <> _b").select("_trie", "_n")
-    shares = written(forest.select("_node", "_trie").join(held, "_trie").select("_node", F.struct("_n", "_trie").alias("_at")), "shares")
+    shares = written(forest.select("_node", "_trie").join(_small(written(held, "tries")), "_trie").select("_node", F.struct("_n", "_trie").alias("_at")), "shares")
     # the trie node that holds most of the texts that a text shares any with: copies of each other agree on one, whatever else they share
     largest = shares.groupBy("_node").agg(F.max("_at").alias("_home"))
     near = shares.join(largest, "_node").groupBy("_at").agg(F.max("_home").alias("_home"))
@@ -265,8 +272,8 @@ def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int)
 
 def _shingle_sets(docs: DataFrame, texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(_node, _shingles) for the texts ``wanted``: one row of each is read again."""
-    rows = texts.join(wanted, "_node", "left_semi").select("_row").distinct()
-    chosen = docs.select(F.coalesce("_row", F.lit(NO_ID)).alias("_row"), "_text").join(rows, "_row", "left_semi").select("_text")
+    rows = written(texts.join(wanted, "_node", "left_semi").select("_row").distinct(), "rows")
+    chosen = docs.select(F.coalesce("_row", F.lit(NO_ID)).alias("_row"), "_text").join(_small(rows), "_row", "left_semi").select("_text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)

@@ -15,13 +15,14 @@ from skimmer.llm.packing import op10_pattern_packing
 from skimmer.llm.preferences import OP4_SQL, op4_preference_chat
 from skimmer.llm.rendering import op1_html_text
 from skimmer.llm.repair import op5_repair_shards
+from skimmer.llm.runs import op12_periodic_runs
 from skimmer.llm.sql import OP3_SQL, OP6_SQL
 from skimmer.llm.tokens import op11_token_counts
 from skimmer.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_license_scan, op3_merkle_tree, op4_preference_chat, op5_repair_shards, op6_jaccard_forest, op7_nn_descent, op8_budget_mixing, op9_toxicity, op10_pattern_packing, op11_token_counts)}
+    return {f.__name__: f for f in (op1_html_text, op2_license_scan, op3_merkle_tree, op4_preference_chat, op5_repair_shards, op6_jaccard_forest, op7_nn_descent, op8_budget_mixing, op9_toxicity, op10_pattern_packing, op11_token_counts, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

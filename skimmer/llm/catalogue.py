@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skimmer.llm.audit import OP13_SQL, op13_filter_audit
 from skimmer.llm.jaccard import op6_jaccard_forest
 from skimmer.llm.licenses import op2_license_scan
 from skimmer.llm.merkle import op3_merkle_tree
@@ -22,8 +23,8 @@ from skimmer.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_license_scan, op3_merkle_tree, op4_preference_chat, op5_repair_shards, op6_jaccard_forest, op7_nn_descent, op8_budget_mixing, op9_toxicity, op10_pattern_packing, op11_token_counts, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_html_text, op2_license_scan, op3_merkle_tree, op4_preference_chat, op5_repair_shards, op6_jaccard_forest, op7_nn_descent, op8_budget_mixing, op9_toxicity, op10_pattern_packing, op11_token_counts, op12_periodic_runs, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_merkle_tree": OP3_SQL, "op4_preference_chat": OP4_SQL, "op6_jaccard_forest": OP6_SQL}
+    return {"op3_merkle_tree": OP3_SQL, "op4_preference_chat": OP4_SQL, "op6_jaccard_forest": OP6_SQL, "op13_filter_audit": OP13_SQL}

@@ -11,7 +11,7 @@ from skimmer.llm import catalogue
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found, wanted = catalogue.queries()[name](spark, sf_dir), con.sql(catalogue.oracle_sql()[name])
     order = sorted(found.columns)

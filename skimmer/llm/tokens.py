@@ -2,8 +2,8 @@
 
 A first pass gathers the distinct pre-tokens of all texts; each is cut into pieces once. A second pass takes each
 document's pre-token frequencies to that dictionary and sums frequency times pieces: no token id is ever made for a
-text. Pre-tokens with at least one in ``SHARE`` of all occurrences are at most ``SHARE``, so those are broadcast; the others meet the
-rest of the dictionary in a shuffle, where none of them can be hot.
+text. Pre-tokens with at least one in ``SHARE`` of all occurrences are at most ``SHARE``, so those meet a broadcast part of the
+dictionary; the others meet the whole of it in a shuffle, where none of them can be hot.
 """
 
 from __future__ import annotations
@@ -17,18 +17,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skimmer.llm.bpe import _BYTES, _SIGN, _opening
 from skimmer.llm.shared import Kept, slices, small_batches, written
 
 LIMIT = 2048
-#: The dictionary's entries with at least one in so many of all occurrences are broadcast: at most as many, of at most LONGEST letters each.
-SHARE = 100_000
-#: Longer pre-tokens are known by a digest.
+#: The dictionary's entries with at least one in so many of all occurrences are broadcast: at most as many, of 20 bytes each (40 MB).
+SHARE = 1 << 21
+#: Longer pre-tokens meet the dictionary by a digest.
 LONGEST = 64
 CACHE_BYTES = 48 << 20
 CHUNK_BYTES = 2 << 20
+#: A pre-tokenizer that always cuts between a letter and a sign, and keeps letters together.
+WORDS_AND_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class PreTokens:
@@ -43,13 +47,19 @@ class PreTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            added = json.load(file)["added_tokens"]
+            made = json.load(file)
+        added = made["added_tokens"]
         odd = [t["content"] for t in added if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
         if odd or self.tokenizer.pre_tokenizer is None:
             raise ValueError(f"pre-tokens of {path} depend on more than themselves: {odd or 'no pre-tokenizer'}")
         contents = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, contents)) + ")" if contents else r"(?!)()")
         self.drops_space = not any(re.search(r"\s", c) for c in contents) and self._cut("a b \n c") == [*self._cut("a"), *self._cut("b"), *self._cut("c")]
+        steps = [x.get("pattern", {}).get("Regex") or x["type"] for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        forms = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+        #: letters are cut from signs beforehand, and Latin words are their own lower case
+        self.plain = steps == [WORDS_AND_SIGNS, "ByteLevel"] and forms == ["NFC", "Replace", "Lowercase"]
+        self.uncut = "|".join([r"\x01", _opening(), *("".join(rf"\x{{{ord(c):x}}}" for c in x) for x in contents)])
         self.known: dict[str, tuple[str, ...]] = Kept(CACHE_BYTES)
 
     def _cut(self, text: str) -> list[str]:
@@ -64,6 +74,11 @@ class PreTokens:
 
     def of(self, text: str) -> tuple[str, ...]:
         """The pre-tokens of ``text`` in order; an empty string stands for an added token."""
+        if self.plain and text.isalpha():
+            if text.isascii():
+                return (text.lower(),)
+            if max(text) < "\u0100":
+                return (text.lower().encode().decode("latin-1").translate(_BYTES),)
         found = self.known.get(text)
         if found is None:
             found = tuple(self._cut(text))
@@ -74,7 +89,10 @@ class PreTokens:
         """Distinct pre-tokens, and by (text, pre-token) that occur: place of the text, place of the pre-token, how often."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.drops_space:
-            lists = pc.split_pattern(pc.replace_substring_regex(texts, r"[\t\n\r]", " "), " ")
+            cut = pc.replace_substring_regex(texts, r"[\t\n\r]", " ")
+            if self.plain:
+                cut = pc.if_else(pc.match_substring_regex(texts, self.uncut), cut, pc.replace_substring_regex(cut, _SIGN, r"\1 \2"))
+            lists = pc.split_pattern(cut, " ")
             coded = pc.dictionary_encode(pc.list_flatten(lists))
             parts, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             words = np.diff(lists.offsets.to_numpy())
@@ -109,42 +127,65 @@ def _key(pre_token: str) -> str:
 
 
 def piece_counts(docs: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:
-    """The distinct pre-tokens of all texts: key, pre_token, n (occurrences), pieces. Null texts have none; an added token's key and pre_token are empty."""
+    """The distinct pre-tokens of all texts: key, hash (128 bits), n (occurrences), pieces. Null texts have none; an added token's key is empty."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pre_tokens(tokenizer)
         for part in (part for batch in batches for part in slices(batch, batch.column(0), CHUNK_BYTES)):
             names, _, at, total = own.counted(part.column(0))
             n = np.bincount(at, total, len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(map(_key, names), pa.string()), pa.array(names, pa.string()), pa.array(n)], names=["key", "pre_token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n)], names=["pre_token", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = pre_tokens(tokenizer).tokenizer.model.tokenize
         for batch in batches:
-            pieces = pa.array([len(tokenize(p)) if p else 1 for p in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pieces], names=["key", "pre_token", "n", "pieces"])
+            names = batch.column(0).to_pylist()
+            pieces = pa.array([len(tokenize(p)) if p else 1 for p in names], pa.int64())
+            keys, hashes = pa.array(map(_key, names), pa.string()), pa.array(map(xxhash.xxh3_128_digest, names), pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, hashes, batch.column(1), pieces], names=["key", "hash", "n", "pieces"])
 
     small_batches(docs.sparkSession)
-    found = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(gathered, "key string, pre_token string, n long")
-    return found.groupBy("key", "pre_token").agg(F.sum("n").alias("n")).mapInArrow(cut, "key string, pre_token string, n long, pieces long")
+    found = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(gathered, "pre_token string, n long")
+    return found.groupBy("pre_token").agg(F.sum("n").alias("n")).mapInArrow(cut, "key string, hash binary, n long, pieces long")
 
 
-def pre_token_frequencies(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document: doc_id, digest (of its text), n_bytes, and found, its distinct pre-tokens as structs of key and n."""
+class Common:
+    """The pieces of common pre-tokens, by 128-bit hash: one array of the first half, sorted, one of the second, one of pieces."""
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pre_tokens(tokenizer)
+    def __init__(self, table: pa.Table):
+        halves = np.frombuffer(b"".join(table.column("hash").to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+        order = np.argsort(halves[:, 0], kind="stable")
+        self.first, self.second = halves[order, 0], halves[order, 1]
+        self.pieces = table.column("pieces").to_numpy()[order].astype(np.int32)
+
+    def of(self, names: list[str]) -> np.ndarray:
+        """The pieces of each pre-token; -1 for those that are not here, which also says one whose first half another entry has."""
+        if not len(self.first):
+            return np.full(len(names), -1, np.int32)
+        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), ">u8").astype(np.uint64).reshape(-1, 2)
+        at = np.minimum(np.searchsorted(self.first, halves[:, 0]), len(self.first) - 1)
+        return np.where((self.first[at] == halves[:, 0]) & (self.second[at] == halves[:, 1]), self.pieces[at], -1)
+
+
+def pre_token_sums(docs: DataFrame, tokenizer: str, common, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row for each document: row (its number), doc_id, n_bytes, n (tokens of its pre-tokens that ``common``, a broadcast ``Common``, holds), rest (the others: key, times)."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = pre_tokens(tokenizer), common.value
         for part in (part for batch in batches for part in slices(batch, batch.column(3), CHUNK_BYTES)):
             names, doc, at, total = own.counted(part.column(3))
-            keys = pa.array(map(_key, names), pa.string()).take(pa.array(at))
-            ends = np.cumsum(np.bincount(doc, minlength=len(part)))
-            found = pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.StructArray.from_arrays([keys, pa.array(total)], ["key", "n"]))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], found], names=["doc_id", "digest", "n_bytes", "found"])
+            pieces = held.of(names)
+            here = pieces[at] >= 0
+            n = np.bincount(doc[here], (total * pieces[at])[here], len(part)).astype(np.int64)
+            keys = pa.array([_key(names[k]) for k in at[~here].tolist()], pa.string())
+            ends = np.cumsum(np.bincount(doc[~here], minlength=len(part)))
+            rest = pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.StructArray.from_arrays([keys, pa.array(total[~here])], ["key", "times"]))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n), rest], names=["row", "doc_id", "n_bytes", "n", "rest"])
 
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return narrow.mapInArrow(frequencies, "doc_id long, digest binary, n_bytes long, found array<struct<key string, n long>>")
+    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    return narrow.mapInArrow(summed, "row long, doc_id long, n_bytes long, n long, rest array<struct<key string, times long>>")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -154,25 +195,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_column:
     names; an empty table gives an empty one. Strings of added tokens inside a text are one token each. The tokenizer is a file of the tokenizers
     library with a pre-tokenizer; one whose added tokens strip space, ask for whole words or are sought in normal form raises ValueError.
     """
+    spark = docs.sparkSession
     counts = written(piece_counts(docs, tokenizer, text_column), "pieces")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    often = F.col("n") * SHARE >= F.lit(total)
-    common = counts.where(often).select("key", "pieces")  # at most SHARE rows
-    rows = pre_token_frequencies(docs, tokenizer, id_column, text_column).select("doc_id", "digest", "n_bytes", F.posexplode_outer("found").alias("pos", "x"))
-    rows = rows.select("doc_id", "digest", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("n_bytes")).alias("n_bytes"), F.col("x.key").alias("key"), F.col("x.n").alias("n"))
-    met = rows.join(F.broadcast(common), "key", "left")
-    # what the broadcast entries give is summed up for each document before anything moves; other pre-tokens stay rows
-    rest = F.when(F.col("pieces").isNull(), F.col("key"))
-    own = ["doc_id", "digest"]
-    sums = met.groupBy(*own, rest.alias("rest")).agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n"), F.count("n_bytes").alias("rows"), F.max("n_bytes").alias("n_bytes"))
-    sums = written(sums, "token-sums")
-    rare = counts.where(~often).select(F.col("key").alias("rest"), "pieces")
-    seldom = sums.where("rest IS NOT NULL").join(rare, "rest").select(*own, (F.col("n") * F.col("pieces")).alias("n"), "rows", "n_bytes")
-    every = sums.where("rest IS NULL").select(*own, "n", "rows", "n_bytes").unionByName(seldom)
-    # rows that agree in id and text were summed together
-    whole = every.groupBy(*own).agg(F.sum("rows").alias("rows"), F.max("n_bytes").alias("n_bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    out = whole.select("doc_id", "n_bytes", F.expr("n div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    common = spark.sparkContext.broadcast(Common(counts.where(F.col("n") * SHARE >= F.lit(total)).select("hash", "pieces").toArrow()))  # at most SHARE rows
+    # rows are numbered as they are written, once: whoever reads the table sees the same numbers
+    sums = written(pre_token_sums(docs, tokenizer, common, id_column, text_column), "token-sums")
+    rest = sums.select("row", F.explode("rest").alias("x")).select("row", "x.key", "x.times").join(counts.select("key", "pieces"), "key")
+    seldom = rest.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"), (F.col("times") * F.col("pieces")).alias("n"))
+    whole = sums.select("row", "doc_id", "n_bytes", "n").unionByName(seldom).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,8 +40,8 @@ def test_pre_tokens_add_up_to_the_library(name):
 def test_odd_tables(spark, monkeypatch):
     rows = [(1, "word " * 9000), (1, "word " * 9000), (2, None), (2, None), (None, "no id"), (None, "no id"), (None, None), (3, ""), (4, " \n\t "), (5, "x" * 70 + " " + "-" * 300 + " " + "x" * 70)]
     rows += [(k, f"text number {k} Überraschung " * (k % 50)) for k in range(10, 300)] + [(7, "Naïve <|endoftext|> \x01 İ ß\n\n  漢字<|startoftext|><|endoftext|>")]
-    docs = spark.createDataFrame([(*r, "y", 5, b"z") for r in rows], "doc_id long, text string, key string, n int, digest binary")
-    for share in (K.SHARE, 20):  # 20: most pre-tokens meet the dictionary in a shuffle
+    docs = spark.createDataFrame([(*r, "y", 5, b"z") for r in rows], "doc_id long, text string, row string, n int, n_bytes binary")
+    for share in (K.SHARE, 20, 0):  # 20: most pre-tokens meet the dictionary in a shuffle, 0: all do
         monkeypatch.setattr(K, "SHARE", share)
         assert Counter(map(tuple, K.count_tokens(docs, PATH).collect())) == expected(rows)
         assert Counter(map(tuple, K.count_tokens(docs.repartition(3), PATH, limit=9).collect())) == expected(rows, limit=9)
@@ -52,8 +52,8 @@ def test_odd_tables(spark, monkeypatch):
 def test_pieces_are_counted_once_for_each_pre_token(spark):
     docs = spark.createDataFrame([(k, f"Common words, {k} <|endoftext|>") for k in range(40)], "doc_id long, text string")
     found = K.piece_counts(docs.repartition(4), PATH).collect()
-    assert len({r["pre_token"] for r in found}) == len(found)
-    by = {r["pre_token"]: (r["n"], r["pieces"]) for r in found}
+    assert len({r["key"] for r in found}) == len(found) == len({bytes(r["hash"]) for r in found})
+    by = {r["key"]: (r["n"], r["pieces"]) for r in found}
     assert by["common"] == (40, 1) and by[""] == (40, 1) and by[","] == (40, 1)
     assert sum(n for n, _ in by.values()) == 40 * 4 + sum(len(str(k)) for k in range(40))
 

@@ -1,18 +1,20 @@
-"""Papers published as HTML, to plain text: column expressions only.
+"""Papers published as HTML, to plain text.
 
-The page is cleaned by patterns; title, authors, abstract and the sections' headings and paragraphs are picked and joined by blank lines.
+Title, authors, abstract and the sections' headings and paragraphs are picked and joined by blank lines: in one pass over a page's tags, or, with
+``compat=True``, by the older patterns, which end an element at the first end tag. Single steps are column expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skimmer.functions.tag_scanner import CLASSES, ENTITIES, Paper
 from skimmer.functions.text import collapse, replaced_in_order, substituted_in_order
 
-# Class names of the page format, and the entities in the order in which they are decoded.
-CLASSES = {"title": "ltx_title_document", "authors": "ltx_authors", "abstract": "ltx_abstract", "navbar": "ltx_page_navbar", "toc": "ltx_TOC", "pages": "ltx_pagination", "bibliography": "ltx_bibliography", "entry": "ltx_bibitem"}
-ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]
 # What the page format's elements look like; they say what is picked.
 MATH = r'(?s)<math[^>]*>.*?<annotation[^>]*encoding="application/x-tex"[^>]*>\s*(.*?)\s*</annotation>.*?</math>'
 TITLE = rf'(?is)<[^>]*class="[^"]*{CLASSES["title"]}[^"]*"[^>]*>(.*?)</[^>]+>'
@@ -83,8 +85,16 @@ def sections(page: Column) -> Column:
     return F.flatten(F.transform(bodies, lambda b: F.filter(F.concat(F.array(first_heading(b)), paragraphs(b)), lambda x: x != "")))
 
 
-def paper_text(page: Column, no_references: bool = False) -> Column:
-    """The paper as plain text; null for null."""
+def paper_text(page: Column, no_references: bool = False, compat: bool = False) -> Column:
+    """The paper as plain text; null for null. Sections in sections and elements without an end are read; ``compat`` ends each at its first end tag."""
+    if not compat:
+
+        @F.pandas_udf("string")
+        def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for pages in batches:
+                yield pages.map(lambda p: None if p is None else Paper(p, no_references).text())
+
+        return read(page)
     clean = without_unwanted(math_to_latex(page))
     if no_references:
         clean = without_references(clean)

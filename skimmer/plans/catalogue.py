@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skimmer.plans import ranking_queries, source_queries, store_queries, stream_queries, text_queries, update_queries  # noqa: F401
+from skimmer.plans import ranking_queries, source_queries, store_queries, stored_queries, stream_queries, text_queries, update_queries  # noqa: F401
 from skimmer.plans.registry import QUERIES, SQL
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from skimmer.operators.store import last_by
 from skimmer.plans.registry import query
-from skimmer.sources.tables import EVENT_ARTICLE_SQL, FEEDBACK_SQL, dealt_events
+from skimmer.sources.tables import EVENT_ARTICLE_SQL, FEEDBACK_SQL, dealt_events, table
 from skimmer.streaming import feedback as W
+from skimmer.streaming import stateful as K
 
 
 def _folder(spark: SparkSession, tag: str) -> str:
@@ -54,3 +55,42 @@ def events_hourly_window(spark: SparkSession, d: str) -> DataFrame:
     out = _folder(spark, "hourly")
     W.drained(W.hourly(_events(spark, d)).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows"), f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+def _fed(spark: SparkSession, rows: DataFrame, parts: list, folder: str) -> DataFrame:
+    """A stream of ``rows`` in as many micro-batches as ``parts``, conditions on them: one file each, written one after another."""
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+
+
+@query(f"""WITH {FEEDBACK_SQL}, latest AS (SELECT {EVENT_ARTICLE_SQL} AS article, arg_max(status, (ts, event_id)) AS status FROM feedback GROUP BY 1)
+SELECT status, count(*) AS n FROM latest GROUP BY 1""")
+def status_counts_stream(spark: SparkSession, d: str) -> DataFrame:
+    """How many articles have each status, kept by taking back what changed: the events come in three batches without order, and a third of them comes again."""
+    out = _folder(spark, "counts")
+    rows = dealt_events(table(spark, d, "events"), spark, d)
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    stream = _fed(spark, rows, [third == 2, third == 0, third == 1, third == 0], f"{out}/in")
+    with K.with_state(spark):
+        W.drained(K.status_changes(stream).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows"), f"{out}/checkpoint")
+    return K.counts_of(spark.read.schema("status int, change int").parquet(f"{out}/rows"))
+
+
+@query(f"""WITH {FEEDBACK_SQL}, e AS (SELECT {EVENT_ARTICLE_SQL} AS article, ts FROM feedback),
+begun AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 3 DAY THEN 1 ELSE 0 END AS anew FROM e WINDOW w AS (PARTITION BY article ORDER BY ts)),
+spans AS (SELECT *, sum(anew) OVER (PARTITION BY article ORDER BY ts ROWS UNBOUNDED PRECEDING) AS span FROM begun)
+SELECT article, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS n FROM spans GROUP BY article, span
+HAVING max(ts) + INTERVAL 3 DAY < (SELECT max(ts) FROM e) - INTERVAL 1 HOUR OR span < (SELECT max(s.span) FROM spans s WHERE s.article = spans.article)""")
+def feedback_forgotten(spark: SparkSession, d: str) -> DataFrame:
+    """What a memory of three days gives out of the feedback of a month, in four batches by time."""
+    out = _folder(spark, "forgotten")
+    rows = dealt_events(table(spark, d, "events"), spark, d)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.coalesce(F.min(us), F.lit(0)), F.coalesce(F.max(us), F.lit(0))).first()
+    week = F.floor((us - low) * 4 / (high - low + 1))
+    stream = _fed(spark, rows, [week == k for k in range(4)], f"{out}/in")
+    with K.with_state(spark):
+        W.drained(K.forgotten(stream, "article", days=3).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows"), f"{out}/checkpoint")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return spark.read.schema("article long, first_ts timestamp, last_ts timestamp, n long").parquet(f"{out}/rows").select("article", shown("first_ts"), shown("last_ts"), "n")

@@ -94,14 +94,37 @@ def translated(rows: DataFrame, provider: Answer, key: str = "id", text: str = "
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, signature string, translation string")
 
 
+def _each(provider, texts: list[str]) -> list:
+    """The provider's answers to ``texts``; if the call fails, each text alone, and None for those whose own call fails."""
+    try:
+        return list(provider(texts))
+    except Exception:  # one text may be the cause
+        if len(texts) == 1:
+            return [None]
+        return [_each(provider, [t])[0] for t in texts]
+
+
+def attempted(rows: DataFrame, provider: Answer, key: str = "id", text: str = "text", size: int = 20) -> DataFrame:
+    """(key, answer) for each (key, text), ``size`` texts a call; null where a text's call fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for k in range(0, len(df), size):
+                part = df.iloc[k : k + size]
+                yield pd.DataFrame({key: part[key].to_numpy(), "answer": _each(provider, [t or "" for t in part[text].tolist()])})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, answer string")
+
+
 def embedded(rows: DataFrame, provider: Embed, key: str = "id", text: str = "text", size: int = 256) -> DataFrame:
-    """(key, vector) for each (key, text); null where the provider gives none."""
+    """(key, vector) for each (key, text); null where the provider gives none or fails."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for k in range(0, len(df), size):
                 part = df.iloc[k : k + size]
-                yield pd.DataFrame({key: part[key].to_numpy(), "vector": provider([t or "" for t in part[text].tolist()])})
+                yield pd.DataFrame({key: part[key].to_numpy(), "vector": _each(provider, [t or "" for t in part[text].tolist()])})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<float>")

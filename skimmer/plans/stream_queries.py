@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skimmer.operators.store import last_by
@@ -57,7 +57,14 @@ def events_hourly_window(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-def _fed(spark: SparkSession, rows: DataFrame, parts: list, folder: str) -> DataFrame:
+def by_time(rows: DataFrame, n: int) -> list[Column]:
+    """Conditions that deal ``rows`` into ``n`` spans of equal time, in order."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.coalesce(F.min(us), F.lit(0)), F.coalesce(F.max(us), F.lit(0))).first()
+    return [F.floor((us - low) * n / (high - low + 1)) == k for k in range(n)]
+
+
+def _fed(spark: SparkSession, rows: DataFrame, parts: list[Column], folder: str) -> DataFrame:
     """A stream of ``rows`` in as many micro-batches as ``parts``, conditions on them: one file each, written one after another."""
     for part in parts:
         rows.where(part).coalesce(1).write.mode("append").parquet(folder)
@@ -86,10 +93,7 @@ def feedback_forgotten(spark: SparkSession, d: str) -> DataFrame:
     """What a memory of three days gives out of the feedback of a month, in four batches by time."""
     out = _folder(spark, "forgotten")
     rows = dealt_events(table(spark, d, "events"), spark, d)
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    low, high = rows.agg(F.coalesce(F.min(us), F.lit(0)), F.coalesce(F.max(us), F.lit(0))).first()
-    week = F.floor((us - low) * 4 / (high - low + 1))
-    stream = _fed(spark, rows, [week == k for k in range(4)], f"{out}/in")
+    stream = _fed(spark, rows, by_time(rows, 4), f"{out}/in")
     with K.with_state(spark):
         W.drained(K.forgotten(stream, "article", days=3).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows"), f"{out}/checkpoint")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)

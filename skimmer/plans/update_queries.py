@@ -10,12 +10,14 @@ from skimmer.functions import providers as P
 from skimmer.functions import responses as G
 from skimmer.functions import text as T
 from skimmer.operators import store as S
+from skimmer.operators.answers import AnswerCache
 from skimmer.plans.registry import query
-from skimmer.plans.stream_queries import _events, _folder
+from skimmer.plans.stream_queries import _events, _fed, _folder, by_time
 from skimmer.plans.text_queries import ITEMS_SQL, TEX_SQL, _items, _tex
 from skimmer.sources import feeds
 from skimmer.sources.tables import ARTICLES_SQL, EVENT_ARTICLE_SQL, FEEDBACK_SQL, articles, conform, dealt_events, table, trimmed_sql
 from skimmer.streaming import feedback as W
+from skimmer.streaming.profile import ProfileLedger
 
 A = f"WITH {ARTICLES_SQL}"
 
@@ -125,12 +127,52 @@ def batch_gate(spark: SparkSession, d: str) -> DataFrame:
 def feedback_profile(spark: SparkSession, d: str) -> DataFrame:
     """Feedback as a stream into profile updates: each micro-batch with feedback writes its entries under its number."""
     out = _folder(spark, "profile")
+    update = lambda _, batch, k: batch.select("event_id", "article", "status").write.mode("overwrite").parquet(f"{out}/rows/batch={k}")
+    W.drained(dealt_events(_events(spark, d), spark, d).writeStream.foreachBatch(ProfileLedger(spark, out, update).sink), f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows").groupBy("article").agg(F.count("*").alias("n"))
 
-    def sink(batch: DataFrame, k: int) -> None:
-        W.profile_updates(lambda feedback: feedback.select("event_id", "article", "status").write.mode("overwrite").parquet(f"{out}/rows/batch={k}"))(batch, k)
 
-    W.drained(dealt_events(_events(spark, d), spark, d).writeStream.foreachBatch(sink), f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/rows").groupBy("article").agg(F.count("*").alias("n"))
+_WEEK_SQL = "floor((epoch_us(ts) - lo) * 4 / (hi - lo + 1))"
+
+
+@query(f"""WITH {FEEDBACK_SQL}, e AS (SELECT event_id, {EVENT_ARTICLE_SQL} AS article, ts, status FROM feedback WHERE status <> 0),
+spans AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+ends AS (SELECT CAST({_WEEK_SQL} AS BIGINT) AS batch, max(ts) AS newest, count(*) AS n_new FROM e, spans GROUP BY 1),
+latest AS (SELECT x.batch, e.article, arg_max(e.status, (e.ts, e.event_id)) AS s FROM ends x JOIN e ON e.ts <= x.newest AND e.ts > x.newest - INTERVAL 10 DAY GROUP BY 1, 2)
+SELECT batch, any_value(n_new) AS n_new, count(*) FILTER (s IN (1, 2, -1)) AS n_window, count(*) FILTER (s = 2) AS n_liked FROM ends JOIN latest USING (batch) GROUP BY batch""")
+def feedback_profile_retry(spark: SparkSession, d: str) -> DataFrame:
+    """Four batches by time, a window of ten days, and a service that fails every second call: each batch is told once, whenever that succeeds."""
+    out, calls = _folder(spark, "retry"), []
+
+    def update(window: DataFrame, batch: DataFrame, k: int) -> None:
+        calls.append(k)
+        if len(calls) % 2:
+            raise ConnectionError("no answer")
+        told = window.agg(F.count("*").alias("n_window"), F.count_if(F.col("status") == 2).alias("n_liked"))
+        told.select(F.lit(k).cast("long").alias("batch"), F.lit(batch.count()).alias("n_new"), "n_window", "n_liked").write.mode("overwrite").parquet(f"{out}/told/{k}")
+
+    rows = dealt_events(table(spark, d, "events"), spark, d)
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    ledger = ProfileLedger(spark, out, update, days=10)
+    W.drained(_fed(spark, rows, by_time(rows, 4), f"{out}/in").writeStream.foreachBatch(ledger.sink), f"{out}/checkpoint")
+    while ledger.settle():
+        pass
+    return spark.read.parquet(f"{out}/told/*")
+
+
+@query("""WITH d AS (SELECT doc_id, substring(coalesce(text, ''), 1, 6000) AS t FROM documents), s AS (SELECT doc_id, md5(t) AS signature, CASE WHEN t NOT LIKE '%#%' THEN 'T:' || t END AS answer FROM d)
+SELECT doc_id, signature, answer, answer IS NOT NULL AND signature IN (SELECT signature FROM s WHERE doc_id % 2 = 0) AS cached FROM s""")
+def answers_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the texts are asked, then all of them half an hour later: only what is not known yet, and what failed, is asked again. The service fails at number signs."""
+
+    def service(texts: list[str]) -> list[str]:
+        if any("#" in t for t in texts):
+            raise ConnectionError("no answer")
+        return [f"T:{t}" for t in texts]
+
+    docs, cache = table(spark, d, "documents"), AnswerCache(spark, _folder(spark, "answers"))
+    cache.answered(docs.where("doc_id % 2 = 0"), service, "2024-02-15 10:00:00", "doc_id")
+    return cache.answered(docs, service, "2024-02-15 10:30:00", "doc_id")
 
 
 @query(TEX_SQL + """SELECT doc_id, 'Abstract' || chr(10) || line || '|' || chr(10) || '1. ' || line || ' ' || chr(10) || '2. - in' || chr(10) || '- ner' || '|' || '$ x ' || line || ' $' || '|' || '$ y $' || '|' || 'Caption: a {b} ' || line || chr(10) || 'Caption: two' AS text FROM t""")

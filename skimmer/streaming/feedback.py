@@ -81,18 +81,3 @@ def hourly(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Number and sum of values by kind and hour; an hour is given out once, when the watermark has passed it."""
     windowed = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return windowed.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
-
-
-def profile_updates(update: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that runs a profile update on batches that hold any feedback; its failure does not stop the stream."""
-
-    def sink(batch: DataFrame, _: int) -> None:
-        feedback = batch.where(F.col("status") != 0)
-        if feedback.isEmpty():
-            return
-        try:
-            update(feedback)
-        except Exception as e:  # the next change tries again
-            print(f"profile update failed: {e}")
-
-    return sink

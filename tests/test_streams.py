@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skimmer.operators.store import last_by
 from skimmer.streaming import feedback as W
+from skimmer.streaming.profile import ProfileLedger
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -37,17 +38,29 @@ def test_add_new_appends_each_id_once(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [("a", 1), ("b", 3), ("c", 6)]
 
 
-def test_profile_update_survives_failure(spark):
-    seen = []
-
-    def update(rows):
-        seen.append(rows.count())
-        raise RuntimeError("no network")
-
-    run = W.profile_updates(update)
-    run(spark.createDataFrame([(0,)], "status int"), 0)
-    run(spark.createDataFrame([(0,), (2,)], "status int"), 1)
-    assert seen == [1]
+def test_profile_updates_are_asked_again(spark, tmp_path):
+    schema = "event_id long, ts timestamp, article long, status int"
+    day = lambda n: T0 + dt.timedelta(days=n)
+    asked, told = [], {}
+
+    def update(window, batch, k):
+        asked.append(k)
+        if len(asked) % 2:
+            raise RuntimeError("no network")
+        told[k] = (sorted((r["article"], r["status"]) for r in window.collect()), sorted(r["event_id"] for r in batch.collect()))
+
+    ledger = ProfileLedger(spark, str(tmp_path), update)
+    ledger.sink(spark.createDataFrame([(1, day(0), 1, 0)], schema), 0)
+    assert asked == [] and ledger.open() == [] and ledger.settle() == []
+    ledger.sink(spark.createDataFrame([(2, day(0), 1, 2), (3, day(1), 2, 1), (4, day(1), 3, 0)], schema), 1)
+    assert asked == [1] and told == {} and ledger.open() == [1]
+    ledger.sink(spark.createDataFrame([(5, day(30), 1, -1), (6, day(31), 3, 3)], schema), 2)
+    assert asked == [1, 1, 2] and ledger.open() == [2]
+    again = ProfileLedger(spark, str(tmp_path), update)  # what is open outlives the program
+    assert again.settle() == []
+    assert told == {1: ([(1, 2), (2, 1)], [2, 3]), 2: ([(1, -1)], [5, 6])}  # 3 is only skipped, 2 is older than 30 days
+    again.sink(spark.createDataFrame([(5, day(30), 1, -1), (6, day(31), 3, 3)], schema), 2)
+    assert again.open() == [2] and again.settle() == [] and again.batch(2).count() == 2
 
 
 def test_due(spark):

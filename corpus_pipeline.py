@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skimmer.llm.jaccard import jaccard_classes
@@ -15,14 +15,23 @@ from skimmer.llm.shared import done_with, written
 from skimmer.llm.toxicity import score_toxicity
 
 
+#: In every stage the caller's row is one value, so that no column of it meets the stage's own, whatever their names.
+ROW = "_doc"
+
+
+def _held(docs: DataFrame, **own: Column) -> DataFrame:
+    """Each row of ``docs`` as one value, and the columns ``own`` made of it."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(ROW), *[c.alias(name) for name, c in own.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose text scores below one half; the model learns from the labelled rows that are not held out.
 
     Null and empty texts score as texts without any mark, and so stay unless nearly all labelled rows are toxic; repeated rows share their fate. An
-    empty table gives an empty one; further columns are kept.
+    empty table gives an empty one; further columns are kept as they are, whatever their names.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
+    return score_toxicity(_held(docs, doc_id=F.col("doc_id"), text=F.col("text")), labels).where("predicted = 0").select(f"{ROW}.*")
 
 
 def _met(rows: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,15 +43,16 @@ def _met(rows: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id (a null id is the smallest); of repeated rows, which agree in id and text, one.
 
-    Documents without words, null texts among them, are no copies of each other: all of them with different ids stay. An empty table gives an empty one.
+    Documents without words, null texts among them, are no copies of each other: all of them with different ids stay. An empty table gives an empty one. Further
+    columns are kept as they are, whatever their names.
     """
     own = {"_id": F.col("doc_id"), "_sha": F.sha2("text", 256)}
     classes = written(jaccard_classes(docs.select(F.col("doc_id").alias("_row"), F.col("text").alias("_text"), own["_sha"].alias("_sha"))), "classes")
     first = classes.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("_row", "_sha")).alias("x")).select("x._row", "x._sha")
     kept = first.union(classes.where("class_key IS NULL").select("_row", "_sha")).distinct().withColumnRenamed("_row", "_id")
-    both = _met(docs.withColumns(own), kept, [*own])
-    turn = F.row_number().over(Window.partitionBy("_place", "_settled").orderBy("lang", "source"))
-    return both.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    both = _met(_held(docs, **own), kept, [*own])
+    turn = F.row_number().over(Window.partitionBy("_place", "_settled").orderBy(f"{ROW}.lang", f"{ROW}.source"))
+    return both.withColumn("_turn", turn).where("_turn = 1").select(f"{ROW}.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,20 +60,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The mix is settled over ids, sources and sizes alone; the texts move once, to meet what was settled for them. Rows
     that agree in all three share their copies as evenly as can be. Null sources are a source of their own; texts without words, null ones
-    among them, have size 0, are never taken, and go. An empty table gives an empty one.
+    among them, have size 0, are never taken, and go. An empty table gives an empty one. Further columns are kept as they are, whatever their names.
     """
     own = {"_id": F.col("doc_id"), "_source": F.col("source"), "_size": word_count()}
     narrow = written(docs.select(*[c.alias(n) for n, c in own.items()]), "sized")
     settled = mix(narrow).groupBy(*own).agg(F.sum("_copies").alias("_total"), F.count("*").alias("_rows")).where("_total > 0")
-    both = _met(docs.withColumns(own), settled, [*own])
-    turn = F.row_number().over(Window.partitionBy("_place", "_settled").orderBy("text")) - 1
+    both = _met(_held(docs, **own), settled, [*own])
+    turn = F.row_number().over(Window.partitionBy("_place", "_settled").orderBy(f"{ROW}.text")) - 1
     copies = F.floor(F.col("_total") / F.col("_rows")) + F.when(turn < F.col("_total") % F.col("_rows"), 1).otherwise(0)
     taken = both.withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(f"{ROW}.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences. A null or empty text is one piece, its end id; repeated rows are packed each; an empty table gives no piece."""
+    """The pieces of the documents with their places in sequences. A null or empty text is one piece, its end id; repeated rows are packed each; an empty table gives no piece. Further columns are left out."""
     import public_tokenizers
 
     return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -50,6 +50,24 @@ def test_odd_rows(spark, sf_dir):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+CLASHING = (
+    "_doc", "_id", "_sha", "_place", "_settled", "_turn", "_source", "_size", "_copies", "_copy", "_total", "_rows", "_row", "_text", "_key", "key", "class_key", "class_row", "n_links", "held_out", "score", "predicted", "row", "x",
+    "piece", "start", "length", "a.b",
+)
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = docs.select("*", *[P.F.concat_ws(":", P.F.lit(c), "doc_id").alias(c) for c in CLASHING])
+    for name, stage in P.STAGES[:-1]:
+        plain, got = stage(spark, docs, sf_dir), stage(spark, more, sf_dir)
+        assert got.columns == more.columns
+        rows = got.collect()
+        assert Counter(tuple(r)[:5] for r in rows) == Counter(map(tuple, plain.collect())), name
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHING), name
+    assert P.pack_sequences(spark, more, sf_dir).count() == P.pack_sequences(spark, docs, sf_dir).count()
+
+
 def test_run_against_brute_force(spark, sf_dir):
     """Each stage on what the one before it keeps: all pairs, targets by a plain loop, pieces by the library."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

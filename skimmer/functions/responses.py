@@ -94,3 +94,23 @@ def translated_pair(raw: Column) -> Column:
     """First line as title, the rest as abstract: a JSON object as a string."""
     parts = F.split(trim_all(raw), "\n", 2)
     return F.to_json(F.struct(trim_all(parts[0]).alias("title"), trim_all(F.coalesce(F.get(parts, 1), F.lit(""))).alias("abstract")))
+
+
+# A host that asks for a flag, and models whose system prompt asks them not to think aloud.
+FLAGGED_HOST, THINKING_MODELS, NO_THINKING = "modelscope", ("qwen", "qwq"), " /no_think"
+
+
+def chat_request(model: Column, base_url: Column, system: Column, user: Column, temperature: float = 0.3, max_tokens: int = 4000) -> Column:
+    """The body of a chat request as JSON: two messages, and what the host and the model ask for besides. Null if the model or a message is."""
+    thinks = F.coalesce(*[F.when(F.contains(model, F.lit(name)), True) for name in THINKING_MODELS], F.lit(False))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    body = F.struct(
+        model.alias("model"), F.array(message("system", F.when(thinks, F.concat(system, F.lit(NO_THINKING))).otherwise(system)), message("user", user)).alias("messages"),
+        F.lit(temperature).alias("temperature"), F.lit(max_tokens).alias("max_tokens"), F.when(F.contains(base_url, F.lit(FLAGGED_HOST)), False).alias("enable_thinking"),
+    )
+    return F.when(model.isNotNull() & system.isNotNull() & user.isNotNull(), F.to_json(body))
+
+
+def chat_answer(response: Column) -> Column:
+    """The assistant's text in the JSON of a chat response; null if there is none."""
+    return F.get_json_object(response, "$.choices[0].message.content")

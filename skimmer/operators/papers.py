@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skimmer.functions.latex import latex_text
 from skimmer.functions.paper_html import paper_text
+from skimmer.sources.paper_files import register
 
 MAIN_NAMES = ("main.tex", "paper.tex", "index.tex")
 _INCLUDE = re.compile(r"\\(?:input|include)\s*\{([^}]*)\}")
@@ -35,25 +36,26 @@ def commented(line: str) -> bool:
 
 
 def flattened(files: dict[str, str], main: str) -> str:
-    """The main file with its includes in place: each file once, missing ones as their directive, commented directives as they are."""
-    used = {main}
-
-    def inlined(content: str) -> Iterator[str]:
-        at = 0
-        for m in _INCLUDE.finditer(content):
-            yield content[at : m.start()]
-            at = m.end()
-            line = content[content.rfind("\n", 0, m.start()) + 1 : m.start()]
-            name = m[1].strip()
-            path = next((p for p in (f"{name}.tex", name) if p in files), None)
-            if commented(line) or path is None:
-                yield m[0]
-            elif path not in used:
-                used.add(path)
-                yield from inlined(files[path])
-        yield content[at:]
-
-    return "".join(inlined(files[main]))
+    """The main file with its includes in place, however deep: each file once, missing ones as their directive, commented directives as they are."""
+    used, out = {main}, []
+    open_ = [(files[main], 0, _INCLUDE.finditer(files[main]))]
+    while open_:
+        content, at, found = open_.pop()
+        m = next(found, None)
+        if m is None:
+            out.append(content[at:])
+            continue
+        out.append(content[at : m.start()])
+        open_.append((content, m.end(), found))
+        line = content[content.rfind("\n", 0, m.start()) + 1 : m.start()]
+        name = m[1].strip()
+        path = next((p for p in (f"{name}.tex", name) if p in files), None)
+        if commented(line) or path is None:
+            out.append(m[0])
+        elif path not in used:
+            used.add(path)
+            open_.append((files[path], 0, _INCLUDE.finditer(files[path])))
+    return "".join(out)
 
 
 def flat_sources(files: DataFrame) -> DataFrame:
@@ -73,6 +75,23 @@ def write_texts(texts: DataFrame, path: str, text: str = "text") -> None:
     texts.where(F.col(text).isNotNull()).select(F.col(text).alias("value")).write.option("lineSep", "\f").text(path)
 
 
+def write_paper_files(texts: DataFrame, path: str, extension: str = "txt") -> None:
+    """A file for each (paper, text); what was at ``path`` goes when all are written."""
+    register(texts.sparkSession)
+    texts.select("paper", "text").write.format("paper_files").mode("overwrite").option("path", path).option("extension", extension).save()
+
+
+def write_profile(profile: DataFrame, path: str, text: str = "text", name: str = "preferences") -> None:
+    """A reader's profile, one row with its text, as a Markdown file."""
+    write_paper_files(profile.limit(1).select(F.lit(name).alias("paper"), F.col(text).alias("text")), path, "md")
+
+
+def paper_files(spark: SparkSession, path: str, extension: str = "txt") -> DataFrame:
+    """(paper, text) of the files that ``write_paper_files`` wrote."""
+    register(spark)
+    return spark.read.format("paper_files").option("path", path).option("extension", extension).load()
+
+
 def paper_texts(pages: DataFrame, sources: DataFrame, force_tex: bool = False, no_references: bool = True, compat: bool = False) -> DataFrame:
     """(paper, text) from (paper, html) and (paper, latex): the page if there is one, else the source; or the source first."""
     html = pages.select("paper", paper_text(F.col("html"), no_references).alias("_html"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skimmer.operators import papers
 from skimmer.operators.bucketed import BucketedStore
 from skimmer.plans.registry import query
 from skimmer.plans.stream_queries import _folder
-from skimmer.sources.tables import ARTICLES_SQL, AS_OF, articles, conform
+from skimmer.sources.tables import ARTICLES_SQL, AS_OF, articles, conform, table
 
 A = f"WITH {ARTICLES_SQL}"
 STORE_BUCKETS = 32
@@ -47,3 +48,15 @@ def store_insert_retain(spark: SparkSession, d: str) -> DataFrame:
     store.insert(rows.withColumn("seq", F.lit(0)).unionByName(again), "seq")
     store.retain(AS_OF)
     return store.rows().select("id", "title", "source")
+
+
+@query("""SELECT 'docs/' || doc_id AS paper, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'preferences', string_agg('- ' || source || ': ' || n, chr(10) ORDER BY source)
+FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source)""")
+def paper_files_back(spark: SparkSession, d: str) -> DataFrame:
+    """Every text written as a file of its own, a profile as a Markdown file, and both read back."""
+    docs, out = table(spark, d, "documents"), _folder(spark, "files")
+    papers.write_paper_files(docs.select(F.concat(F.lit("docs/"), "doc_id").alias("paper"), "text"), f"{out}/papers")
+    lines = F.sort_array(F.collect_list(F.struct("source", F.concat(F.lit("- "), "source", F.lit(": "), "n").alias("line"))))
+    liked = docs.where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+    papers.write_profile(liked, f"{out}/profile")
+    return papers.paper_files(spark, f"{out}/papers").unionByName(papers.paper_files(spark, f"{out}/profile", "md"))

@@ -359,3 +359,17 @@ def conversation_prompt(spark: SparkSession, d: str) -> DataFrame:
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(said)), lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")
     return table(spark, d, "conversations").groupBy("conv_id").agg(joined.alias("prompt"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, coalesce(source, 'none') AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'qwen-plus' WHEN 1 THEN 'small' ELSE 'qwq-32b' END AS model, CASE WHEN doc_id % 3 = 1 THEN s ELSE s || ' /no_think' END AS system, text AS user_, CASE WHEN doc_id % 2 = 0 THEN 'false' END AS flag,
+  4000 AS max_tokens, 'A: ' || text AS answer FROM d""")
+def chat_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Each text as a chat request to one of three models at one of two hosts, read back from its JSON, and an answer read from a response."""
+    n, text = F.col("doc_id"), F.col("text")
+    model = F.element_at(F.array(*map(F.lit, ("qwen-plus", "small", "qwq-32b"))), (n % 3 + 1).cast("int"))
+    host = F.when(n % 2 == 0, "https://api.modelscope.example/v1").otherwise("https://api.example/v1")
+    body = F.from_json(G.chat_request(model, host, F.coalesce("source", F.lit("none")), text), "model string, messages array<struct<role string, content string>>, temperature double, max_tokens int, enable_thinking string")
+    response = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("A: "), text).alias("content")).alias("message"))).alias("choices")))
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", body.alias("b"), G.chat_answer(response).alias("answer"))
+    return rows.select("doc_id", "b.model", F.col("b.messages")[0]["content"].alias("system"), F.col("b.messages")[1]["content"].alias("user_"), F.col("b.enable_thinking").alias("flag"), "b.max_tokens", "answer")

@@ -232,3 +232,17 @@ def test_store_edges(spark):
     assert store.new_rows(new.limit(0), stored, "seq").count() == 0
     with pytest.raises(ValueError):
         store.listing(stored, order="score; drop table")
+
+
+def test_includes_in_a_long_chain_and_in_circles():
+    files = {"main.tex": "0 \\input{f1} end", **{f"f{k}.tex": f"{k} \\input{{f{k + 1}}}." for k in range(1, 5000)}, "f5000.tex": "\\input{main}\\input{f1}last"}
+    assert papers.flattened(files, "main.tex") == " ".join(map(str, range(5000))) + " last" + "." * 4999 + " end"
+
+
+def test_chat_request(spark):
+    ask = lambda model, host, system, user: on(spark, lambda c: G.chat_request(F.lit(model).cast("string"), F.lit(host).cast("string"), F.lit(system).cast("string"), c), user)
+    plain = '{"model":"m","messages":[{"role":"system","content":"S"},{"role":"user","content":"U \\"q\\""}],"temperature":0.3,"max_tokens":4000}'
+    assert ask("m", "https://h", "S", 'U "q"') == plain and ask("m", None, "S", 'U "q"') == plain
+    assert ask("qwq-1", "https://x.modelscope.y", "S", "U").endswith('"enable_thinking":false}') and "S /no_think" in ask("a-qwen", "h", "S", "U")
+    assert ask(None, "h", "S", "U") is None and ask("m", "h", None, "U") is None
+    assert on(spark, G.chat_answer, '{"choices":[{"message":{"content":"a"}}]}') == "a" and on(spark, G.chat_answer, "no json") is None and on(spark, G.chat_answer, '{"choices":[]}') is None

@@ -133,7 +133,7 @@ def scanned(text: str, signs: dict[str, str] | None = None, macros: bool = True)
             out.append(m[0])
             continue
         if m[0] == "~":
-            out.append(" " if signs is not None else "~")
+            out.append((signs or {}).get("~", "~"))
             continue
         if macros and (m[2] == "\\"):
             out.append("\n")

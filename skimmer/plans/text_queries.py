@@ -212,14 +212,15 @@ def html_no_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tex(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, line, tex): a LaTeX document made of each text's letters and spaces."""
-    line = F.trim(F.regexp_replace("text", r"[^A-Za-z ]", ""))
+    """(doc_id, line, tex): a LaTeX document made of each text's letters of any script, figures, marks and spaces: all that means nothing to LaTeX."""
+    line = F.trim(F.regexp_replace("text", r"[^\p{L}\p{N} .,;:?()'\"/=+*<>|@-]", ""))
     head = "\\documentclass{article}\n% note\n\\newcommand{\\R}{\\mathbb{R}}\n\\begin{document}\n\\section{First}\n"
     tail = " % cut\n50\\% of \\textbf{bold} in \\cite{a}\n\\begin{thebibliography}{9}\\bibitem{a} A\\end{thebibliography}\n\\end{document}\nafter"
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", line.alias("line"), F.concat(F.lit(head), line, F.lit(tail)).alias("tex"))
 
 
-TEX_SQL = "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS line FROM documents WHERE text IS NOT NULL)\n"
+TEX_SQL = r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[^\p{L}\p{N} .,;:?()''"/=+*<>|@-]', '', 'g')) AS line FROM documents WHERE text IS NOT NULL)
+"""
 
 
 @query(TEX_SQL + """SELECT doc_id, '\\documentclass{article}' || chr(10) || '\\newcommand{\\R}{\\mathbb{R}}' || chr(10) || '\\begin{document}' || chr(10) || '\\section{First}' || chr(10) || line || chr(10)

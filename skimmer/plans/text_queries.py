@@ -123,12 +123,12 @@ def truncate_ellipsis(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.truncated(F.col("text"), 300).alias("short"))
 
 
-@query("""WITH named AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 20) ELSE replace(text, ' ', ', ') END AS s FROM documents),
+@query("""WITH named AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ',', ';') ELSE replace(text, ' ', ', ') END AS s FROM documents),
 split_ AS (SELECT doc_id, s, list_transform(string_split(s, ','), lambda x: trim(x)) AS names FROM named)
 SELECT doc_id, CASE WHEN s IS NULL THEN '' WHEN len(names) > 5 THEN names[1] || ', ' || names[2] || ', ' || names[3] || ', et. al., ' || names[-2] || ', ' || names[-1] ELSE s END AS authors FROM split_""")
 def authors_short(spark: SparkSession, d: str) -> DataFrame:
-    """The words of every text as names, but for every third document, whose first letters make few."""
-    names = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).otherwise(F.replace("text", F.lit(" "), F.lit(", ")))
+    """The words of every text as names, but for every third document, whose text is one name."""
+    names = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(","), F.lit(";"))).otherwise(F.replace("text", F.lit(" "), F.lit(", ")))
     return table(spark, d, "documents").select("doc_id", T.short_authors(names).alias("authors"))
 
 

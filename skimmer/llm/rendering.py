@@ -13,7 +13,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -23,11 +24,6 @@ from pyspark.sql import functions as F
 from skimmer.llm.shared import slices, small_batches
 from skimmer.llm.styles import INLINE, KEYWORDS, Sheet, shows_on_screen
 
-#: Elements are nested so deep at most; what is deeper joins the deepest, so that no text is lost.
-DEPTH = 200
-#: Characters up to which a cell widens its column; a longer one runs over.
-COLUMN = 60
-
 # Element names by their part in parsing and layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -90,6 +86,7 @@ class Builder:
         self.root = Node("html", {})
         self.stack = [self.root]
         self.names = ["html"]
+        self.places = defaultdict(list, html=[0])  # of each name, where its open elements stand in the stack
         self.styles: list[str] = []
 
     def tree(self) -> Node:
@@ -106,31 +103,30 @@ class Builder:
 
     def _push(self, node: Node) -> None:
         self._place().append(node)
-        if len(self.stack) < DEPTH:
-            self.stack.append(node)
-            self.names.append(node.tag)
+        self._enter(node)
+
+    def _enter(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+        self.names.append(node.tag)
 
     def _pop_to(self, at: int) -> None:
+        for name in self.names[at:]:
+            self.places[name].pop()
         del self.stack[at:], self.names[at:]
 
     def _find(self, wanted: frozenset | set, stop: frozenset | set) -> int:
         """Where the innermost open element of ``wanted`` is, or 0."""
-        for k in range(len(self.names) - 1, 0, -1):
-            if self.names[k] in wanted:
-                return k
-            if self.names[k] in stop:
-                return 0
-        return 0
+        found = max((self.places[tag][-1] for tag in wanted if self.places[tag]), default=0)
+        return 0 if any(self.places[tag] and self.places[tag][-1] > found for tag in stop) else found
 
     def _place(self, fits: bool = True) -> list:
         """Where the next child goes; what does not fit between a table's cells goes before the table."""
         if fits or self.names[-1] not in ("table", "tbody", "thead", "tfoot", "tr"):
             return self.stack[-1].children
-        k = len(self.names) - 1
-        while self.names[k] != "table" and k:
-            k -= 1
-        if not k:
+        if not self.places["table"]:
             return self.stack[-1].children
+        k = self.places["table"][-1]
         above = self.stack[k - 1].children
         before = next((i for i in range(len(above) - 1, -1, -1) if above[i] is self.stack[k]), len(above))
         holder = Node("span", {})
@@ -143,8 +139,7 @@ class Builder:
             self._pop_to(1)
             old = next((x for x in self.root.children if isinstance(x, Node) and x.tag == "body"), None)
             if old is not None:  # text after its end belongs to it all the same
-                self.stack.append(old)
-                self.names.append("body")
+                self._enter(old)
             else:
                 self._push(Node("body", {}))
 
@@ -174,20 +169,19 @@ class Builder:
                 self.body()
                 self.stack[1].attributes = own | self.stack[1].attributes
             return ""
-        if tag in TABLE_PARTS and "table" not in names:
+        if tag in TABLE_PARTS and not self.places["table"]:
             return ""
         if names[-1] == "head" or len(names) < 2:
             if tag not in HEAD_ONLY:
                 self.body()
             elif len(names) < 2 and not any(isinstance(x, Node) and x.tag == "body" for x in self.root.children):
                 if self.root.children and self.root.children[-1].tag == "head":
-                    self.stack.append(self.root.children[-1])
-                    names.append("head")
+                    self._enter(self.root.children[-1])
                 else:
                     self._push(Node("head", {}))
             elif len(names) < 2:
                 self.body()
-        if tag in CLOSE_P and "p" in names:
+        if tag in CLOSE_P and self.places["p"]:
             k = self._find({"p"}, {"table", "td", "th", "caption", "button", "object", "template"})
             if k:
                 self._pop_to(k)
@@ -227,9 +221,7 @@ class Builder:
             self._push(node)
         else:
             self._place(False).append(node)
-            if len(self.stack) < DEPTH:
-                self.stack.append(node)
-                self.names.append(tag)
+            self._enter(node)
         return tag if tag in RAW or tag in RCDATA else ""
 
     def close(self, tag: str) -> None:
@@ -237,8 +229,8 @@ class Builder:
         if tag == "br":
             self._place(False).append(Node("br", {}))
         elif tag == "head":
-            if "head" in names:
-                self._pop_to(names.index("head"))
+            if self.places["head"]:
+                self._pop_to(self.places["head"][0])
         elif tag not in ("html", "body"):  # what comes after their end tags belongs to the body
             stop = set() if tag in ("table", "td", "th", "tr", "tbody", "thead", "tfoot", "caption") else {"table", "td", "th", "caption"}
             if tag in HEADINGS:
@@ -405,17 +397,37 @@ class Flow:
         return lines[k:]
 
 
+Steps = Generator["Steps", list[str], list[str] | None]
+
+
+def walked(first: Steps) -> list[str] | None:
+    """What ``first`` returns. The steps that a step yields are run on a stack of their own, so that elements may be nested at will."""
+    stack, made = [first], None
+    while stack:
+        try:
+            step = stack[-1].send(made)
+        except StopIteration as end:
+            stack.pop()
+            made = end.value
+        else:
+            stack.append(step)
+            made = None
+    return made
+
+
 class Renderer:
-    def __init__(self, hidden: Hidden, column: int = COLUMN):
-        self.hidden, self.column = hidden, column
+    """Lays out a tree; its methods are steps for ``walked``."""
+
+    def __init__(self, hidden: Hidden):
+        self.hidden = hidden
         self.lists = 0  # around the present element: lists in lists have no margins
 
-    def block(self, node: Node, seen: bool, kept: bool) -> list[str]:
+    def block(self, node: Node, seen: bool, kept: bool) -> Steps:
         flow = Flow()
-        self.inside(node, flow, seen, kept)
+        yield self.inside(node, flow, seen, kept)
         return flow.end()
 
-    def inside(self, node: Node, flow: Flow, seen: bool, kept: bool) -> None:
+    def inside(self, node: Node, flow: Flow, seen: bool, kept: bool) -> Steps:
         """``seen``: whether text shows; ``kept``: whether white space is kept."""
         for child in node.children:
             if isinstance(child, str):
@@ -433,9 +445,9 @@ class Renderer:
                 else:
                     flow.word(_SPACE.sub(" ", child))
             else:
-                self.element(child, flow, seen, kept)
+                yield self.element(child, flow, seen, kept)
 
-    def element(self, node: Node, flow: Flow, seen: bool, kept: bool) -> None:
+    def element(self, node: Node, flow: Flow, seen: bool, kept: bool) -> Steps:
         tag = node.tag
         how, says = self.hidden.of(node)
         if how == "none":
@@ -455,31 +467,31 @@ class Renderer:
         kept = space in ("pre", "pre-wrap", "pre-line", "break-spaces") if space not in ("", "inherit", "unset") else kept or tag in ("pre", "textarea", "xmp")
         if display in KEYWORDS["display"] and display not in INLINE and display not in ("initial", "inherit", "unset", "revert") and tag not in BLOCKS:
             flow.block(False)
-            self.inside(node, flow, seen, kept)
+            yield self.inside(node, flow, seen, kept)
             flow.block(False)
             return
         if tag not in BLOCKS or display in INLINE and tag not in LISTS and tag != "table":
-            self.inside(node, flow, seen, kept)
+            yield self.inside(node, flow, seen, kept)
             return
         spaced = tag in SPACED and not (tag in LISTS and self.lists)
         flow.block(spaced)
         if tag in LISTS:
             self.lists += 1
-            self.items(node, flow, seen, kept)
+            yield self.items(node, flow, seen, kept)
             self.lists -= 1
         elif tag == "table":
-            flow.put(self.table(node, seen, kept))
+            flow.put((yield self.table(node, seen, kept)))
         elif tag in ("blockquote", "dd"):
-            flow.put([f"  {x}" if x else x for x in self.block(node, seen, kept)])
+            flow.put([f"  {x}" if x else x for x in (yield self.block(node, seen, kept))])
         elif tag in ("pre", "xmp"):
             if node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
                 node = Node(tag, node.attributes, [node.children[0][1:], *node.children[1:]])
-            flow.put(self.block(node, seen, kept))
+            flow.put((yield self.block(node, seen, kept)))
         else:
-            self.inside(node, flow, seen, kept)
+            yield self.inside(node, flow, seen, kept)
         flow.block(spaced)
 
-    def items(self, node: Node, flow: Flow, seen: bool, kept: bool) -> None:
+    def items(self, node: Node, flow: Flow, seen: bool, kept: bool) -> Steps:
         """Each item after its marker, its further lines under its first."""
         own = [x for x in node.children if isinstance(x, Node) and x.tag == "li"]
         down = "reversed" in node.attributes
@@ -491,26 +503,26 @@ class Renderer:
                 continue
             how, _ = self.hidden.of(child)
             if child.tag != "li" or how == "none":
-                self.element(child, flow, seen, kept)
+                yield self.element(child, flow, seen, kept)
                 continue
             n = _number(child.attributes.get("value"), n)
             mark = marker(child.attributes.get("type", node.attributes.get("type", "1")), n) if node.tag == "ol" else "-"
             n += -1 if down else 1
             shows = how == "visible" or seen and how != "hidden"
-            lines = self.block(child, shows, kept)
+            lines = yield self.block(child, shows, kept)
             if lines:
                 flow.block(False)
                 flow.put([f"{mark} {lines[0]}" if shows else lines[0], *(f"{' ' * (len(mark) + 1)}{x}" if x else x for x in lines[1:])])
                 flow.block(False)
 
-    def table(self, node: Node, seen: bool, kept: bool) -> list[str]:
+    def table(self, node: Node, seen: bool, kept: bool) -> Steps:
         """Captions, then the rows: cells of a column begin at the same place. Rows that a cell spans keep its column free."""
         lines: list[str] = []
         heads: list[tuple] = []
         bodies: list[tuple] = []
         feet: list[tuple] = []
 
-        def rows(of: Node, seen: bool, into: list[tuple]) -> None:
+        def rows(of: Node, seen: bool, into: list[tuple]) -> Steps:
             for child in of.children:
                 if isinstance(child, str):
                     if seen and child.strip():
@@ -523,16 +535,16 @@ class Renderer:
                 if child.tag == "tr":
                     into.append((child, None, shows))
                 elif child.tag in ("tbody", "thead", "tfoot"):
-                    rows(child, shows, {"thead": heads, "tfoot": feet}.get(child.tag, bodies))
+                    yield rows(child, shows, {"thead": heads, "tfoot": feet}.get(child.tag, bodies))
                 elif child.tag == "caption":
-                    lines.extend(self.block(child, shows, kept))
+                    lines.extend((yield self.block(child, shows, kept)))
                 else:
                     flow = Flow()
-                    self.element(child, flow, shows, kept)
+                    yield self.element(child, flow, shows, kept)
                     if own := flow.end():
                         into.append((None, own, shows))
 
-        rows(node, seen, bodies)
+        yield rows(node, seen, bodies)
         laid: list[list[tuple[int, int, list[str]]] | list[str]] = []
         busy: dict[int, int] = {}  # column: rows for which a cell above still spans it
         widths: dict[int, int] = {}
@@ -554,7 +566,7 @@ class Renderer:
                     at += 1
                 span = min(max(1, _number(cell.attributes.get("colspan"), 1)), 1000)
                 down = _number(cell.attributes.get("rowspan"), 1)
-                text = self.block(cell, how == "visible" or shows and how != "hidden", kept)
+                text = yield self.block(cell, how == "visible" or shows and how != "hidden", kept)
                 cells.append((at, span, text))
                 for k in range(at, at + span) if down != 1 else ():
                     busy[k] = down if down > 0 else 1 << 30  # 0: all rows that follow
@@ -566,7 +578,7 @@ class Renderer:
             laid.append(cells)
             for c, span, text in cells:
                 w = max((width(x) for x in text), default=0)
-                if span == 1 and w <= self.column:
+                if span == 1:
                     widths[c] = max(widths.get(c, 0), w)
                 else:
                     widths.setdefault(c, 0)
@@ -591,17 +603,20 @@ class Renderer:
         return lines
 
 
-def render(page: str | None, column: int = COLUMN) -> str | None:
-    """The visible text of a page, lines apart by line ends. Null for null; an empty page, or one that shows nothing, gives ''."""
+def render(page: str | None) -> str | None:
+    """The visible text of a page, lines apart by line ends. Null for null; an empty page, or one that shows nothing, gives ''.
+
+    Elements may be nested at will. A column is as wide as its widest cell, so the lines of a table may be longer than its texts: memory is in proportion to what is laid out.
+    """
     if page is None:
         return None
     tree = parse(page)
     flow = Flow()
-    Renderer(Hidden(tree.styles), column).element(tree.tree(), flow, True, False)
+    walked(Renderer(Hidden(tree.styles)).element(tree.tree(), flow, True, False))
     return "\n".join(flow.end()).replace("\x00", "�")
 
 
-def extract_text(pages: DataFrame, html_column: str = "html", text_column: str = "text", column: int = COLUMN) -> DataFrame:
+def extract_text(pages: DataFrame, html_column: str = "html", text_column: str = "text") -> DataFrame:
     """``pages`` with ``text_column``, the visible text of ``html_column``; a column of that name is replaced.
 
     Each page is rendered by itself, whole. Repeated rows stay. A null page has a null text. An empty table gives an empty result.
@@ -610,7 +625,7 @@ def extract_text(pages: DataFrame, html_column: str = "html", text_column: str =
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages_ in batches:
-            yield pa.array([render(p.as_py(), column) for part in slices(pages_) for p in part], pa.string())
+            yield pa.array([render(p.as_py()) for part in slices(pages_) for p in part], pa.string())
 
     small_batches(pages.sparkSession)
 

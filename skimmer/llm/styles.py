@@ -141,6 +141,23 @@ def _split(raw: str) -> list[str]:
     return re.findall(rf"(?:{_STRING}|\([^()]*(?:\([^()]*\)[^()]*)*\)|\[[^\]]*\]|[^,\"'(\[])+", raw)
 
 
+#: Letters of a nested rule's selectors when written out; they multiply with each list in a list, and none that is meant for readers comes near.
+WRITTEN_OUT = 1 << 16
+
+
+def within(outer: str, inner: str) -> str | None:
+    """The selectors of a rule within a rule, written out: its own stand below the outer ones, or hold them where they say ``&``. None if it does not count."""
+    at = re.match(r"\s*@(?:-\w+-)?([\w-]+)(.*)", inner, re.S)
+    if at:  # a condition within a rule keeps its selectors
+        return outer if at[1].lower() in NESTED and (at[1].lower() != "media" or shows_on_screen(at[2])) else None
+    if len(inner) * len(outer) >= WRITTEN_OUT:
+        return None
+    parent = f":is({outer.strip()})"
+    first = outer.strip() if len(_split(outer)) == 1 else parent  # one selector in front is itself
+    parts = [first + x[1:].replace("&", parent) if x[:1] == "&" else x.replace("&", parent) if "&" in x else f"{first} {x}" for x in map(str.strip, _split(inner))]
+    return ", ".join(parts) if 0 < sum(map(len, parts)) < WRITTEN_OUT else None
+
+
 class Sheet:
     """The rules of a page's style sheets that bear on what shows."""
 
@@ -154,31 +171,39 @@ class Sheet:
     def _read(self, sheet: str) -> None:
         """One pass over the pieces between braces and semicolons. ``open_``: whether each open block counts, or None within declarations."""
         open_: list[bool] = []
-        head, body, inside, skipped = "", "", False, 0
+        rules: list[tuple[str, list[str]]] = []  # open rules, each within the one before it, with what was read of its declarations
+        head, skipped = "", 0
         for piece in _PIECE.findall(sheet):
             if skipped:
                 skipped += (piece == "{") - (piece == "}")
-            elif inside:
+            elif rules:
+                of, body = rules[-1]
                 if piece == "}":
-                    self._rule(head, body)
-                    head, body, inside = "", "", False
-                elif piece == "{":  # a rule within a rule: it ends the first, and is passed over
-                    skipped = 1
+                    self._rule(of, "".join(body))
+                    rules.pop()
+                elif piece == "{":
+                    k = next((k for k in range(len(body), 0, -1) if body[k - 1] == ";"), 0)
+                    inner = within(of, "".join(body[k:]))
+                    self._rule(of, "".join(body[:k]))
+                    body.clear()
+                    if inner is None:
+                        skipped = 1
+                    else:
+                        rules.append((inner, []))
                 else:
-                    body += piece
+                    body.append(piece)
             elif piece == "{":
                 at = re.match(r"\s*@(?:-\w+-)?([\w-]+)(.*)", head, re.S)
                 if not at:
                     if all(open_):
-                        inside = True
+                        rules.append((head, []))
                     else:
                         skipped = 1
                 elif at[1].lower() in NESTED:
                     open_.append(at[1].lower() != "media" or shows_on_screen(at[2]))
                 else:
                     skipped = 1
-                if not inside:
-                    head = ""
+                head = ""
             elif piece == "}":
                 if open_:
                     open_.pop()
@@ -187,8 +212,9 @@ class Sheet:
                 head = ""
             else:
                 head += piece
-        if inside:
-            self._rule(head, body)
+        while rules:
+            of, body = rules.pop()
+            self._rule(of, "".join(body))
 
     def _rule(self, head: str, body: str) -> None:
         says = declarations(body)

@@ -47,6 +47,14 @@ def test_own_styles_stand_above_rules():
     assert render("<style>p{display:none!important}</style><p style='display:block ! important'>1</p>2") == "1\n\n2"
 
 
+@pytest.mark.parametrize("css, wanted", [
+    (".a{.b{display:none}}", "1 3 4 5"), (".a{& .b{display:none}}", "1 3 4 5"), (".a{&.b{display:none}}", "1 2 3 4 5"), (".a,i{> .b{display:none}}", "1 3 4 5"), (".b{.a &{display:none}}", "1 3 4 5"), (".a{@media print{display:none}}", "1 2 3 4 5"), (".a{@media screen{display:none}}", "4 5"),
+    (".a{display:none;&{display:block}}", "1 2 3 4 5"), (".a{&{display:block} display:none}", "4 5"), ("div{.a,&.a{.b{&.b{display:none}}}} i{display:none}", "1 3 4"), ("div{div,.a &{.b,.c{&.b{display:none}}}}", "1 2 3 4 5"), (".a{.b{color:red;.c{display:none}}} i{display:none}", "1 2 3 4"), (".a{@font-face{.b{x:y}} .b{display:none}}", "1 3 4 5"),
+])
+def test_rules_within_rules(css, wanted):
+    assert render(f"<style>{css}</style><div class=a>1 <p class=b>2</p> 3</div><p class=b>4 <i>5</i>").split() == wanted.split()
+
+
 class Slow(HTMLParser):
     """The words that show of a page whose tags are all closed: every rule is tried on every element, in order of the cascade."""
 
@@ -111,9 +119,10 @@ def test_what_shows_against_a_slow_renderer():
                 n += 1
                 out += f" w{n} "
                 if depth < 5:
+                    out += "<div>" * (deep := r.choice([0, 0, 0, 0, 300]))
                     t = r.choice(["div", "span", "b", "i"])
                     attrs = r.choice(["", "", " class=a", " class='b c'", " class='a b'", " id=u", " id=v class=c", " hidden"])
-                    out += f"<{t}{attrs}>{part(depth + r.choice([1, 2, 5]))}</{t}>"
+                    out += f"<{t}{attrs}>{part(depth + r.choice([1, 2, 5]))}</{t}>" + "</div>" * deep
             return out
 
         page = f"<div>{part(0)}</div>"
@@ -140,7 +149,26 @@ def test_cells_line_up():
     assert marker("i", 1994) == "mcmxciv." and marker("A", 28) == "AB." and marker("1", -3) == "-3."
 
 
-@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "<a x='" * 20_000, "<!--" * 20_000, "<" * 50_000 + "x", "<table>" * 5_000 + "x", "<li>" * 20_000 + "x", "<b>" * 20_000 + "x", '<a b="' * 20_000 + ">", "<p><table><td>" * 500 + "x", "<td colspan=9999999999 rowspan=99999999999>" * 200 + "x"])
+def test_columns_line_up_against_their_widest_cells():
+    r = random.Random(8)
+    for _ in range(200):
+        cells = [["x" * r.choice([1, 5, 59, 61, 70, 300]) if r.random() < 0.9 else "" for _ in range(3)] for _ in range(r.randint(1, 5))]
+        around = "<div>" * r.choice([0, 250])
+        found = render(around + "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in cells) + "</table>")
+        wide = [max(len(row[k]) for row in cells) for k in range(3)]
+        slow = ["".join(c.ljust(w + 2) if w else "" for c, w in zip(row, wide)).rstrip() for row in cells]
+        slow = [x for k, x in enumerate(slow) if any(slow[: k + 1]) and any(slow[k:])]
+        assert [x for x in found.split("\n") if x] == [x for x in slow if x], cells
+
+
+def test_what_is_nested_deep_is_laid_out_alike():
+    deep = "<div>" * 250
+    assert render(f"{deep}<p style='display:none'>hid</p>seen") == "seen"
+    assert render(f"{deep}<table><tr><td>ab<td>se<tr><td>abcd<td>x</table>en") == "ab    se\nabcd  x\n\nen"
+    assert render("<ul><li>a" * 2000).split("\n")[-1] == "  " * 1999 + "- a"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "<a x='" * 20_000, "<!--" * 20_000, "<" * 50_000 + "x", "<table>" * 5_000 + "x", "<li>" * 20_000 + "x", "<b>" * 20_000 + "x", '<a b="' * 20_000 + ">", "<p><table><td>" * 500 + "x", "<td colspan=9999999999 rowspan=99999999999>" * 200 + "x", "<p>" + "<div>" * 200_000 + "</p>x", "<style>" + "a,b{& &{" * 300 + "display:none</style>x"])
 def test_hostile_pages_end_soon(page):
     start = time.time()
     assert isinstance(render(page), str)

@@ -2,8 +2,9 @@
 
 Candidate blocks are the sentences, lines, paragraphs and stretches of text that hold a cue word of licensing. Each block is compressed
 alone and with each template as zstandard raw dictionary; templates are ranked by the bytes that they save. In this order, what saves
-enough of its own size is confirmed by its exact wording: few words of the template may be worded differently, found by word alignment, and
-none that tells it from a similar template of another license. The first that is confirmed is the notice of its place.
+enough of what its own wording would is confirmed by its exact wording: few words of the template may be worded differently, found by word alignment, none
+that tells it from a similar template of another license, and no clause may be added or left out. Every place of a block that is so worded counts, and
+the first template that is confirmed is the notice of its place.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,10 @@ from skimmer.llm.shared import Kept, slices, small_batches
 
 #: Every template holds one of these, and so does every text that is looked at.
 CUES = r"licen[sc]|copyright|permission|redistribut|warrant|public\s+domain|creative\s+commons|\bcc0\b|\bcc[ -]by|\bspdx|\b[al]?gpl|\bapache\b"
-#: A template is looked at if it saves this share of its own compressed size, and confirmed if so many of its words differ at most.
+#: A template is looked at if it saves this share of what it saves of its own wording (names of some eight letters after a link save nothing, and are not found), and confirmed if so many of its words differ at most.
 SHARE, DIFFERENCES = 0.4, 0.1
+#: A notice that adds, or leaves out, so many words in one place has another clause, and is not the template's.
+CLAUSE = 8
 #: Templates up to this many words are sought in sentences and lines, too.
 SHORT_WORDS = 16
 #: Templates of two licenses are similar if so much of the longer one's words differ at most.
@@ -38,7 +43,7 @@ LEVEL = 3
 # License identifiers with the names that notices give them.
 NAMES = {
     "MIT": ["the MIT License", "the MIT license (MIT)"],
-    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0", "the Apache 2 license", "the Apache-2.0 license", "the Apache License v2"],
     "BSD-2-Clause": ["the BSD 2-Clause License", "the Simplified BSD License"],
     "BSD-3-Clause": ["the BSD 3-Clause License", "the New BSD License"],
     "ISC": ["the ISC License"],
@@ -46,12 +51,12 @@ NAMES = {
     "BSL-1.0": ["the Boost Software License, Version 1.0"],
     "MPL-2.0": ["the Mozilla Public License, Version 2.0", "the Mozilla Public License 2.0", "MPL 2.0 license"],
     "EPL-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License, Version 2.0"],
-    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "GPLv2"],
-    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "GPLv3"],
-    "LGPL-2.0": ["the GNU Library General Public License, version 2", "LGPLv2.0"],
-    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "LGPLv2.1"],
-    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "LGPLv3"],
-    "AGPL-3.0": ["the GNU Affero General Public License, version 3", "AGPLv3"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "GPLv2", "the GPL v2"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "GPLv3", "the GPL v3"],
+    "LGPL-2.0": ["the GNU Library General Public License, version 2", "the GNU Library General Public License v2.0", "LGPLv2.0"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License v2.1", "LGPLv2.1", "the LGPL v2.1"],
+    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0", "LGPLv3", "the LGPL v3"],
+    "AGPL-3.0": ["the GNU Affero General Public License, version 3", "the GNU Affero General Public License v3.0", "AGPLv3", "the AGPL v3"],
     "CC0-1.0": ["CC0 1.0", "the Creative Commons Zero v1.0 Universal license"],
     "CC-BY-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -61,6 +66,10 @@ NAMES = {
     "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
 }
 LEADS = ("licensed under", "released under", "available under", "distributed under", "under the terms of")
+#: What links a name to the notice right before it.
+LINKS = ("or", "and")
+# Short names and identifiers as lists of licenses and fields of a project's description give them.
+SHORT = {"MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "BSD-2-Clause": ["BSD-2-Clause"], "BSD-3-Clause": ["BSD-3-Clause"], "ISC": ["ISC"], "MPL-2.0": ["MPL-2.0"], "GPL-2.0": ["GPL-2.0", "GPLv2"], "GPL-3.0": ["GPL-3.0", "GPLv3"], "LGPL-2.1": ["LGPL-2.1", "LGPLv2.1"], "LGPL-3.0": ["LGPL-3.0", "LGPLv3"], "AGPL-3.0": ["AGPL-3.0", "AGPLv3"]}
 # The wording of longer notices, of one paragraph.
 NOTICES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -110,9 +119,12 @@ _ARTICLES = frozenset(("the", "a", "an"))
 
 
 def templates() -> list[tuple[str, str]]:
-    """(license, wording): every name after every lead, identifiers, the longer notices, and whole licenses."""
+    """(license, wording): every name after every lead, identifiers, the longer notices, and whole licenses; names after a link count next to another notice only."""
     short = [(k, f"{lead} {name}") for k, names in NAMES.items() for name in names for lead in LEADS]
-    return [*short, *((k, f"SPDX-License-Identifier: {k}") for k in NAMES), *NOTICES.items(), *FULL.items()]
+    fields = [(k, f"{lead} {name}") for k, names in SHORT.items() for name in names for lead in ("License:", *LINKS)]
+    links = [(k, f"{link} {name}") for k, names in NAMES.items() for name in names for link in LINKS]
+    ids = [(k, f"SPDX-License-Identifier: {k}") for k in NAMES]
+    return list(dict.fromkeys([*short, *ids, *fields, *links, *NOTICES.items(), *FULL.items()]))
 
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -151,6 +163,18 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+def other_clauses(template: list[str], stretch: list[str]) -> tuple[int, str]:
+    """(n words, the first): the clauses of CLAUSE words or more in one place that a stretch adds, or leaves out, which a minus says, by the longest runs that both share."""
+    n, first = 0, ""
+    if template == stretch or max(len(stretch), len(template)) < CLAUSE:
+        return n, first
+    for how, a, b, c, d in SequenceMatcher(None, template, stretch, autojunk=False).get_opcodes():
+        if how != "equal" and abs((d - c) - (b - a)) >= CLAUSE:
+            n += max(b - a, d - c)
+            first = first or (" ".join(stretch[c:d]) if d - c > b - a else f"-{' '.join(template[a:b])}")
+    return n, first
+
+
 def telling_words(licenses: list[str], words: list[list[str]]) -> list[tuple[frozenset[str], frozenset[str]]]:
     """For each template, the words that must be in its place, and those that may not be there.
 
@@ -179,6 +203,7 @@ class Match:
     share: float
     differing: int
     words: int
+    clause: str = ""
 
 
 class Scanner:
@@ -187,7 +212,7 @@ class Scanner:
     def __init__(self, of: list[tuple[str, str]] | None = None, share: float = SHARE, most: float = DIFFERENCES, level: int = LEVEL):
         self.of = templates() if of is None else of
         for _, wording in self.of:
-            if not _CUE.search(wording) or len(words_of(wording)[0]) > SHORT_WORDS and not _LONG_CUE.search(wording):
+            if not _CUE.search(wording) and not wording.startswith(LINKS) or len(words_of(wording)[0]) > SHORT_WORDS and not _LONG_CUE.search(wording):
                 raise ValueError(f"no cue word in {wording!r}")
         self.share, self.most = share, most
         self.words = [words_of(w)[0] for _, w in self.of]
@@ -199,7 +224,7 @@ class Scanner:
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.primed.append(zstandard.ZstdCompressor(dict_data=d, **plain))
-            self.own.append(len(self.alone.compress(raw)))
+            self.own.append(len(self.alone.compress(raw)) - len(self.primed[-1].compress(raw)))
         self.telling = telling_words([k for k, _ in self.of], self.words)
         # what is sought in blocks of each kind: sentences and lines, paragraphs, and text over paragraph ends
         size = [len(own) for own in self.words]
@@ -208,40 +233,49 @@ class Scanner:
         self.known: dict[str, list[Match]] = Kept(CACHE_BYTES, 4096)
 
     def ranked(self, block: list[str], among: list[int]) -> list[tuple[int, float, int]]:
-        """(bytes saved, share of the template's own size, template), the most bytes first."""
+        """(bytes saved, share of what the template saves of itself, template), the most bytes first."""
         raw = " ".join(block).encode()
         size = len(self.alone.compress(raw))
         saved = [(size - len(self.primed[k].compress(raw)), k) for k in among]
-        return sorted(((s, s / self.own[k], k) for s, k in saved if s > 0), key=lambda x: (-x[0], x[2]))
+        return sorted(((s, s / self.own[k], k) for s, k in saved if s > 0 < self.own[k]), key=lambda x: (-x[0], x[2]))
 
-    def confirmed(self, k: int, words: list[str]) -> tuple[int, int, int] | None:
-        """(n differing words, begin, end) of the stretch of ``words`` that is a template's wording; None if none is."""
+    def confirmed(self, k: int, words: list[str]) -> Iterator[tuple[int, int, int, str]]:
+        """(n differing words, begin, end, the clause that is added or left out) of every stretch of ``words`` that is a template's wording: the one worded most like it is judged, then what lies left and right of it."""
         must, never = self.telling[k]
-        if not must.issubset(words):
-            return None
-        n, begin, end = differences(self.words[k], words)
-        if n > self.most * len(self.words[k]) or begin >= end:
-            return None
-        own = set(words[begin:end])
-        return (n, begin, end) if must <= own and never.isdisjoint(own) else None
+        most, ahead = self.most * len(self.words[k]), [(0, len(words))]
+        while ahead:
+            lo, hi = ahead.pop()
+            own = words[lo:hi]
+            if len(own) < len(self.words[k]) / 2 or not must.issubset(own):
+                continue
+            n, begin, end = differences(self.words[k], own)
+            long = len(self.words[k]) > SHORT_WORDS
+            if n > (len(self.words[k]) / 2 if long else most) or begin >= end:
+                continue
+            clauses, first = other_clauses(self.words[k], own[begin:end]) if long else (0, "")
+            if n - clauses > most:
+                continue
+            there = set(own[begin:end])
+            if must <= there and never.isdisjoint(there):
+                yield n, lo + begin, lo + end, first
+            ahead += [(lo + end, hi), (lo, lo + begin)]
 
     def block(self, text: str, kind: int) -> list[Match]:
-        """The notices of a block: in order of bytes saved, those whose wording is confirmed and that none before them overlaps."""
+        """The notices of a block: in order of bytes saved, those whose wording is confirmed and that none before them overlaps. A license that was given another clause keeps its place."""
         key = f"{kind}{text}"
         if key in self.known:
             return self.known[key]
         words, spans = words_of(text)
         out: list[Match] = []
         for saved, share, k in self.ranked(words, self.kinds[kind][1]) if words else ():
-            if share >= self.share and (found := self.confirmed(k, words)):
-                n, begin, end = found
-                out.append(Match(self.of[k][0], k, spans[begin][0], spans[end - 1][1], saved, share, n, len(self.words[k])))
+            for n, begin, end, clause in self.confirmed(k, words) if share >= self.share else ():
+                out.append(Match(self.of[k][0], k, spans[begin][0], spans[end - 1][1], saved, share, n, len(self.words[k]), clause))
         out = best(out)
         self.known.keep(key, out, 150 * len(out))
         return out
 
-    def scan(self, text: str | None) -> list[Match]:
-        """All notices of a text, in order of place. None or empty: none."""
+    def scan(self, text: str | None, changed: bool = False) -> list[Match]:
+        """All notices of a text, in order of place. None or empty: none. ``changed``: also the licenses with a clause added or left out, each with its clause."""
         if not text or not _CUE.search(text):
             return []
         found: list[Match] = []
@@ -252,8 +286,12 @@ class Scanner:
                 a, b = at, m.start() if m else len(text)
                 at = m.end() if m else b
                 for c, d in self._windows(text, a, b, reach, self.kinds[kind][0] is _NEVER):
-                    found += [Match(x.license, x.template, x.begin + c, x.end + c, x.saved, x.share, x.differing, x.words) for x in self.block(text[c:d], kind)]
-        return sorted(best(found), key=lambda x: (x.begin, x.end))
+                    found += [replace(x, begin=x.begin + c, end=x.end + c) for x in self.block(text[c:d], kind)]
+        out: list[Match] = []
+        for x in sorted(best(found), key=lambda x: (x.begin, x.end)):
+            if not self.of[x.template][1].startswith(LINKS) or out and not text[out[-1].end : x.begin].strip(" \t\r\n,/()"):
+                out.append(x)
+        return [x for x in out if changed or not x.clause]
 
     def _windows(self, text: str, a: int, b: int, reach: int, long: bool) -> Iterator[tuple[int, int]]:
         """A block as it is, if it has a cue; a very long one as windows of three steps around the cues, so that a notice lies whole in one."""
@@ -285,6 +323,12 @@ def best(matches: list[Match]) -> list[Match]:
 SCHEMA = "array<struct<license:string,wording:string,begin:int,end:int,saved_bytes:int,share:double,n_differing:int,n_words:int>>"
 
 
+@lru_cache(4)
+def scanner(of: tuple[tuple[str, str], ...], share: float, most: float) -> Scanner:
+    """One scanner for all tasks of a worker: what tells templates apart takes longer to work out than many texts to scan."""
+    return Scanner(list(of), share, most)
+
+
 def scan_licenses(docs: DataFrame, text_column: str = "text", of: list[tuple[str, str]] | None = None, share: float = SHARE, most: float = DIFFERENCES) -> DataFrame:
     """``docs`` with _notices, an array of what ``Scanner.scan`` finds in each whole text; begin and end count code points.
 
@@ -295,12 +339,12 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", of: list[tuple[str
 
     @F.arrow_udf(SCHEMA)
     def notices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanner = Scanner(pairs, share, most)
+        own = scanner(tuple(pairs), share, most)
         kind = pa.list_(pa.struct([("license", pa.string()), ("wording", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("saved_bytes", pa.int32()), ("share", pa.float64()), ("n_differing", pa.int32()), ("n_words", pa.int32())]))
         for texts in (part for batch in batches for part in slices(batch)):
             cued = pc.fill_null(pc.match_substring_regex(texts, f"(?i){CUES}"), False).to_pylist()
-            found = [scanner.scan(t.as_py()) if c else [] for t, c in zip(texts, cued)]
-            yield pa.array([[(x.license, pairs[x.template][1], x.begin, x.end, x.saved, x.share, x.differing, x.words) for x in own] for own in found], kind)
+            found = [own.scan(t.as_py()) if c else [] for t, c in zip(texts, cued)]
+            yield pa.array([[(x.license, pairs[x.template][1], x.begin, x.end, x.saved, x.share, x.differing, x.words) for x in notices_] for notices_ in found], kind)
 
     small_batches(docs.sparkSession)
     return docs.withColumn("_notices", notices(F.col(text_column).cast("string")))

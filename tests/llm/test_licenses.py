@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import zstandard
 
-from skimmer.llm.licenses import DIFFERENCES, FULL, NOTICES, SHARE, Scanner, differences, op2_license_scan, scan_licenses, templates, words_of
+from skimmer.llm.licenses import DIFFERENCES, FULL, LINKS, NOTICES, SHARE, Scanner, differences, op2_license_scan, scan_licenses, templates, words_of
 
 SCANNER = Scanner()
 
@@ -49,6 +49,8 @@ def test_scan(text, licenses):
 
 def test_every_template_finds_itself():
     for license_, wording in templates():
+        if wording.startswith(LINKS):
+            continue
         found = SCANNER.scan(f"Some words before. {wording}. And after it.")
         assert [x.license for x in found] == [license_], wording
         assert found[0].differing == 0
@@ -69,6 +71,26 @@ def test_licenses_that_are_worded_alike(text, licenses):
     assert [x.license for x in SCANNER.scan(f"Before it.\n\n{text}\n\nAfter it.")] == licenses
 
 
+ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. "
+X11 = " Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale."
+
+
+@pytest.mark.parametrize("text, licenses", [
+    ("A is licensed under the MIT License and B is licensed under the MIT License", ["MIT"] * 2), (f"{FULL['MIT']} {FULL['MIT']}", ["MIT"] * 2), (f"{FULL['BSD-2-Clause']}\n\nOther words.\n\n{FULL['BSD-2-Clause']}", ["BSD-2-Clause"] * 2), ("released under the ISC License, " * 7, ["ISC"] * 7),
+    (f"{FULL['ISC']}\n\n{FULL['MIT']} {FULL['Zlib']} {FULL['MIT']}", ["ISC", "MIT", "Zlib", "MIT"]), (FULL["BSD-3-Clause"].replace("Neither", ADVERTISING + "Neither"), []), (FULL["MIT"] + X11, ["MIT"]), (FULL["MIT"].replace(" THE SOFTWARE IS", X11 + " THE SOFTWARE IS"), []),
+    ("Available under the GNU Affero General Public License v3.0 or later", ["AGPL-3.0"]), ("Licensed under the AGPL v3", ["AGPL-3.0"]), ("License: MIT", ["MIT"]), ("Released under the Apache 2 license", ["Apache-2.0"]), ("License: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("It is released under the MIT License or the GNU General Public License, version 3", ["MIT", "GPL-3.0"]), ("We read of patents and the MIT License, a license of note", []), ("Licensed under the MIT License. And the Apache License 2.0 is a license, too", ["MIT"]), ("licensed under the MIT License, or the BSD 3-Clause License and GPL-2.0", ["MIT", "BSD-3-Clause", "GPL-2.0"]),
+])
+def test_every_notice_and_no_other_clause(text, licenses):
+    assert [x.license for x in SCANNER.scan(text)] == licenses
+
+
+def test_other_clauses_are_named():
+    found = SCANNER.scan(FULL["BSD-3-Clause"].replace("Neither", ADVERTISING + "Neither"), changed=True)
+    assert [x.license for x in found] == ["BSD-3-Clause"] and "advertising materials mentioning features" in found[0].clause
+    assert [x.clause for x in SCANNER.scan(FULL["MIT"], changed=True)] == [""]
+
+
 def by_force(text, of):
     """The licenses of a text of one block: every template against every stretch, each compressed anew; what tells two licenses apart is worked out by pairs."""
     words = words_of(text)[0]
@@ -83,22 +105,26 @@ def by_force(text, of):
     for k, (license_, wording) in enumerate(of):
         own = words_of(wording)[0]
         saved = size(raw) - size(raw, own)
-        if saved < SHARE * size(" ".join(own).encode()) or saved <= 0:
-            continue
-        best_ = min((edit(own, words[a:b]), b, a) for a in range(len(words)) for b in range(a + 1, min(len(words), a + 2 * len(own)) + 1))
-        n, b, a = best_
-        if n > DIFFERENCES * len(own):
+        alone = " ".join(own).encode()
+        if saved < SHARE * (size(alone) - size(alone, own)) or saved <= 0 or size(alone) <= size(alone, own):
             continue
-        there = Counter(words[a:b])
-        ok = all(there[w] for w in own if w[0].isdigit())
-        for other, said in of:
-            rest = words_of(said)[0]
-            if other != license_:
-                gone, new = Counter(own) - Counter(rest), Counter(rest) - Counter(own)
-                if max(gone.total(), new.total(), abs(len(rest) - len(own))) <= 0.5 * max(len(rest), len(own)):
-                    ok &= all(there[w] for w in gone if w not in rest) and not any(there[w] for w in new if w not in own)
-        if ok:
-            found.append((-saved, n, a - b, a, k, b, license_))
+        most = DIFFERENCES * len(own)
+        near = sorted((edit(own, words[a:b]), b, a) for a in range(len(words)) for b in range(a + 1, len(words) + 1) if abs(b - a - len(own)) <= most)
+        judged = []  # every stretch, the nearest first, that none before it overlaps
+        for n, b, a in near:
+            if n > most or any(a < y and x < b for x, y in judged):
+                continue
+            judged.append((a, b))
+            there = Counter(words[a:b])
+            ok = all(there[w] for w in own if w[0].isdigit())
+            for other, said in of:
+                rest = words_of(said)[0]
+                if other != license_:
+                    gone, new = Counter(own) - Counter(rest), Counter(rest) - Counter(own)
+                    if max(gone.total(), new.total(), abs(len(rest) - len(own))) <= 0.5 * max(len(rest), len(own)):
+                        ok &= all(there[w] for w in gone if w not in rest) and not any(there[w] for w in new if w not in own)
+            if ok:
+                found.append((-saved, n, a - b, a, k, b, license_))
     out = []
     for x in sorted(found):
         if all(x[5] <= y[3] or x[3] >= y[5] for y in out):
@@ -128,7 +154,9 @@ def test_against_all_templates_and_stretches():
             own[k] = r.choice(["the", "3", "2.0", "Lesser", "Affero", "NC", "License", "GNU", own[k]])
             text = " ".join(own)
         if r.random() < 0.4:
-            text = f"{text} and {r.choice(names)}"
+            text = f"{text} and {r.choice([text, *names])}"
+        if r.random() < 0.2:
+            text = f"{text}, {text}"
         text = f"{r.choice(['See', 'Text that is', ''])} {text}".strip()
         assert [x.license for x in sorted(scanner.block(text, 1), key=lambda x: x.begin)] == by_force(text, of), text
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +153,21 @@ def kmeans_negative(spark: SparkSession, d: str) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], C.CENTROIDS)
 
 
+@query(A + """, rated AS (SELECT CASE WHEN a.status = -1 THEN 'negative' ELSE 'positive' END AS type, CASE WHEN a.status = 2 THEN 2.0 ELSE 1.0 END AS w, e.embedding
+  FROM articles a JOIN embeddings e USING (vec_id) WHERE a.status IN (-1, 1, 2) AND e.embedding IS NOT NULL)
+SELECT type, least(10, count(DISTINCT embedding)) AS n_clusters, CAST(sum(w) AS DOUBLE) AS weight, true AS at_rest FROM rated GROUP BY type HAVING count(*) >= 5""")
+def kmeans_at_rest(spark: SparkSession, d: str) -> DataFrame:
+    """Of each type the clusters, the weight of all their vectors, and whether each centroid is the weighted mean of the vectors that are nearest to it."""
+    out = []
+    for kind in ("positive", "negative"):
+        found = C.fit_centroids(_rated(spark, d), kind)
+        if found is not None:
+            centers = np.array([r["centroid"] for r in found.orderBy("cluster_id").collect()])  # ten at most
+            means, weight, _ = C.moved(C.weighted_vectors(_rated(spark, d), kind), {0: centers})[0]
+            out.append((kind, len(centers), float(weight.sum()), bool(np.abs(means - centers).max() < 1e-4)))
+    return spark.createDataFrame(out, "type string, n_clusters long, weight double, at_rest boolean")
+
+
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     """Articles of two days: those that 7 divides were tagged on the first, those that 11 divides on the second."""
     n = F.col("id").cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 
 import __spark_entry__
 from skimmer.functions.providers import hashed_embedding
@@ -56,6 +58,35 @@ def test_clusters_are_weighted_means_of_their_vectors(spark):
     assert cost < (w * ((v - np.average(v, axis=0, weights=w)) ** 2).sum(1)).sum()
 
 
+def test_restarts_cost_no_more_than_one_after_another(spark):
+    r = np.random.default_rng(5)
+    v = np.concatenate([r.normal(size=(60, 3)) + 6 * r.normal(size=3) for _ in range(6)])
+    rows = spark.createDataFrame([(x.tolist(), 2 if k % 3 else 1) for k, x in enumerate(v)], "vector array<double>, status int")
+    w = np.array([2.0 if k % 3 else 1.0 for k in range(len(v))])
+    cost = lambda centers: float((w * ((v[:, None, :] - centers[None]) ** 2).sum(2).min(1)).sum())
+    data = spark.createDataFrame([(x.tolist(), float(y)) for x, y in zip(v, w)], "v array<double>, w double").select(array_to_vector("v").alias("features"), "w")
+    theirs = min(cost(np.array(KMeans(k=6, seed=42 + k, weightCol="w", maxIter=50).fit(data).clusterCenters())) for k in range(10))
+    found = [c["centroid"] for c in C.fit_centroids(rows, "positive", most=6).orderBy("cluster_id").collect()]
+    assert cost(np.array(found)) <= theirs * (1 + 1e-6)
+    assert found == [c["centroid"] for c in C.fit_centroids(rows.repartition(7), "positive", most=6).orderBy("cluster_id").collect()]
+
+
+def test_first_centers_are_drawn_by_weight(spark):
+    data = [([float(k), 0.0], 2 if k % 2 else 1) for k in range(2)]
+    rows = spark.createDataFrame([x for x in data for _ in range(3)], "vector array<double>, status int")
+    assert sorted((r["v"][0], r["w"], r["n"]) for r in C.weighted_vectors(rows, "positive").collect()) == [(0.0, 3.0, 3), (1.0, 6.0, 3)]
+    first = [own[0][0] for own in C._drawn(C.weighted_vectors(rows, "positive"), [np.empty((0, 2))] * 3000, 1)]
+    assert abs(np.mean(first) - 2 / 3) < 0.04
+
+
+def test_clusters_of_odd_vectors(spark):
+    rows = [(None, 2), ([], 2), ([1.0, None], 2), ([float("nan"), 1.0], 2), ([float("inf"), 1.0], 1), ([1.0, 2.0, 3.0], 2), *[([1.0, 2.0], 2)] * 5]
+    got = C.fit_centroids(spark.createDataFrame(rows, "vector array<double>, status int"), "positive").collect()
+    assert [(r["type"], r["cluster_id"], r["centroid"]) for r in got] == [("positive", 0, [1.0, 2.0])]
+    assert C.fit_centroids(spark.createDataFrame(rows[:8], "vector array<double>, status int"), "positive") is None
+    assert C.fit_centroids(spark.createDataFrame([], "vector array<double>, status int"), "positive") is None
+
+
 def test_vectors_of_whole_texts_against_one_by_one(spark, sf_dir):
     made = {r["doc_id"]: r["vector"] for r in catalogue.queries()["embed_with_provider"](spark, sf_dir).collect()}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

@@ -6,6 +6,7 @@ restart in a pass; then each pass moves the centers of all restarts that still m
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ WEIGHTS = {CLICKED: 1.0, LIKED: 2.0}
 MOST, LEAST, SEED, RESTARTS = 10, 5, 42, 10
 #: Passes at most, and how far a center that has come to rest may still move.
 PASSES, REST = 100, 1e-6
+#: Components of vectors that a task reads in a pass; few vectors are few tasks, as there are many passes.
+TASK = 1 << 20
 CENTROIDS = "type string, cluster_id int, centroid array<float>"
 
 
@@ -40,7 +43,7 @@ def weighted_vectors(rows: DataFrame, kind: str, vector: str = "vector") -> Data
 
 def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     """Numbers between 0 and 1 by rows' hashes and a salt."""
-    x = h.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(salt + 1)
+    x = h.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (salt + 1) % 2**64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
@@ -115,7 +118,7 @@ def fit_centroids(rows: DataFrame, kind: str, most: int = MOST, least: int = LEA
         sizes = data.groupBy(F.size("v").alias("d")).agg(F.sum("n").alias("n"), F.count("*").alias("different")).orderBy(F.desc("n"), "d").first()
         if sizes is None or sizes["n"] < least:
             return None
-        own = data.where(F.size("v") == sizes["d"])
+        own = data.where(F.size("v") == sizes["d"]).coalesce(math.ceil(sizes["different"] * sizes["d"] / TASK))
         centers = [np.empty((0, sizes["d"]))] * restarts
         for _ in range(min(most, sizes["different"])):
             centers = _drawn(own, centers, seed)

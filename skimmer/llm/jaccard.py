@@ -209,15 +209,11 @@ def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     texts = written(texts, "texts")
 
     links: list[DataFrame] = []
-    sets: DataFrame | None = None
     bands = np.zeros(BANDS)
     for length in range(depth, 0, -1):
         met = written(_members(texts, length, depth, trees, block), "met")
         if not met.isEmpty():
-            fresh = met.select("_node") if sets is None else met.select("_node").join(sets, "_node", "left_anti")
-            more = written(_shingle_sets(docs, texts, fresh, words), "sets")
-            sets = more if sets is None else sets.union(more)
-            found = written(_verified(met, sets, length, depth, trees, threshold), "links")
+            found = written(_verified(docs, met, words, length, depth, trees, threshold), "links")
             links.append(found)
             rows = found.select(F.posexplode("bands").alias("band", "n")).groupBy("band").agg(F.sum("n").alias("n")).collect()  # BANDS rows
             for r in rows:
@@ -256,7 +252,8 @@ def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int)
     part = lambda n: F.xxhash64("_tree", F.substring("_label", 1, 2 * n))
     label = F.expr(f"substring(_marks, 1 + {2 * depth} * _tree, {2 * depth})")
     forest = texts.select("_node", "_marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")).select("_node", "_tree", label.alias("_label"))
-    forest = forest.select("_node", part(length).alias("_trie"), part(min(depth, length + 1)).alias("_child"))
+    following = F.hash(F.substring("_label", 1 + 2 * length, 2))  # tells the children of a node apart, in half the bytes of a node's number
+    forest = forest.select("_node", part(length).alias("_trie"), following.alias("_child"))
     held = forest.groupBy("_trie").agg(F.count("*").alias("_n"), F.min("_child").alias("_a"), F.max("_child").alias("_b"))
     held = held.where("_n > 1" if length == depth else "_n > 1 and _a <> _b").select("_trie", "_n")
     shares = written(forest.select("_node", "_trie").join(_small(written(held, "tries")), "_trie").select("_node", F.struct("_n", "_trie").alias("_at")), "shares")
@@ -270,9 +267,9 @@ def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int)
     return lives.join(room, "_home").select("_node", "_row", "_weight", "_marks", place, "_meets")
 
 
-def _shingle_sets(docs: DataFrame, texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(_node, _shingles) for the texts ``wanted``: one row of each is read again."""
-    rows = written(texts.join(wanted, "_node", "left_semi").select("_row").distinct(), "rows")
+def _shingle_sets(docs: DataFrame, met: DataFrame, words: int) -> DataFrame:
+    """(_node, _shingles) for the texts ``met``, and perhaps others: one row of each is read again."""
+    rows = written(met.select("_row").distinct(), "rows")
     chosen = docs.select(F.coalesce("_row", F.lit(NO_ID)).alias("_row"), "_text").join(_small(rows), "_row", "left_semi").select("_text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,15 +279,16 @@ def _shingle_sets(docs: DataFrame, texts: DataFrame, wanted: DataFrame, words: i
                 sets = [(k, s.tobytes()) for s, k in shingler.sets(part.column(0)) if k]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.binary()), pa.array([s for _, s in sets], pa.binary())], names=["_node", "_shingles"])
 
-    # rows may repeat their id with other words
-    return chosen.mapInArrow(shingled, "_node binary, _shingles binary").join(wanted, "_node", "left_semi").dropDuplicates(["_node"])
+    # rows may repeat, and may repeat their id with other words
+    return chosen.mapInArrow(shingled, "_node binary, _shingles binary").dropDuplicates(["_node"])
 
 
-def _verified(met: DataFrame, sets: DataFrame, length: int, depth: int, trees: int, threshold: float) -> DataFrame:
+def _verified(docs: DataFrame, met: DataFrame, words: int, length: int, depth: int, trees: int, threshold: float) -> DataFrame:
     """(node, low, n_texts, n_docs, bands) of the texts that are linked with a text that they first meet at prefixes of ``length``.
 
     ``low`` is a text that links connect the node with; the counts are of this step's links. A unit of work is two blocks that
-    share a trie node, or one; each pair of texts is in one unit. ``bands`` stands once for each unit, with a null node.
+    share a trie node, or one; each pair of texts is in one unit. ``bands`` stands once for each unit, with a null node. The units of each text
+    are settled before any shingles are made, so that a set moves twice: to its text, where repeated ones go, and to its units.
     """
     spark = met.sparkSession
     shared = met.select("_block", F.explode("_meets").alias("_trie")).distinct()
@@ -300,9 +298,9 @@ def _verified(met: DataFrame, sets: DataFrame, length: int, depth: int, trees: i
     pairs = crossed.join(other, "_trie").where("_block < _j").select(F.col("_block").alias("_i"), "_j").distinct()
     alone = met.groupBy(F.col("_block").alias("_i")).agg(F.count("*").alias("_n")).where("_n > 1").select("_i", F.col("_i").alias("_j"))
     units = pairs.union(alone)
-    rows = met.join(sets, "_node").select("_node", "_weight", "_marks", "_block", "_shingles")
     sides = units.select("_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_block"))
-    spread = rows.join(sides, "_block").select("_i", "_j", "_block", "_node", "_weight", "_marks", "_shingles")
+    places = written(met.select("_node", "_weight", "_marks", "_block").join(sides, "_block"), "places")
+    spread = _shingle_sets(docs, met, words).join(places, "_node").select("_i", "_j", "_block", "_node", "_weight", "_marks", "_shingles")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = spread.repartition(parts, "_i", "_j").sortWithinPartitions("_i", "_j")
 

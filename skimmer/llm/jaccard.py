@@ -243,7 +243,7 @@ def _small(side: DataFrame) -> DataFrame:
 
 
 def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int) -> DataFrame:
-    """The texts that share a prefix of ``length`` values with another, dealt into blocks: (_node, _row, _weight, _marks, _block, _meets).
+    """The texts that share a prefix of ``length`` values with another, dealt into blocks: (_node, _row, _weight, _marks, _size, _block, _meets).
 
     Of the trie nodes that it, or a text that it shares one with, is in, a text lives in the one that holds most; texts of one home with more than
     ``block`` shingles, or very many of them, are dealt into blocks by hash. _meets are the trie nodes of a text in all trees, each a number. When prefixes have been shortened before, only trie
@@ -264,7 +264,7 @@ def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int)
     lives = written(own.join(texts, "_node").select("_node", "_row", "_weight", "_marks", "_size", F.col("_home._trie").alias("_home"), "_meets"), "homes")
     room = lives.groupBy("_home").agg(F.ceil(F.greatest(F.sum("_size") / block, F.count("*") / F.lit(BLOCK_TEXTS))).cast("long").alias("_parts"))
     place = F.xxhash64("_home", F.pmod(F.xxhash64("_node"), F.col("_parts"))).alias("_block")
-    return lives.join(room, "_home").select("_node", "_row", "_weight", "_marks", place, "_meets")
+    return lives.join(room, "_home").select("_node", "_row", "_weight", "_marks", "_size", place, "_meets")
 
 
 def _shingle_sets(docs: DataFrame, met: DataFrame, words: int) -> DataFrame:
@@ -287,8 +287,8 @@ def _verified(docs: DataFrame, met: DataFrame, words: int, length: int, depth: i
     """(node, low, n_texts, n_docs, bands) of the texts that are linked with a text that they first meet at prefixes of ``length``.
 
     ``low`` is a text that links connect the node with; the counts are of this step's links. A unit of work is two blocks that
-    share a trie node, or one; each pair of texts is in one unit. ``bands`` stands once for each unit, with a null node. The units of each text
-    are settled before any shingles are made, so that a set moves twice: to its text, where repeated ones go, and to its units.
+    share a trie node, or one; each pair of texts is in one unit. ``bands`` stands once for each unit, with a null node. Signatures and
+    sizes settle first which texts have a pair to verify in which units. Only their sets are made, and move twice: to the text, where repeated ones go, and to its units.
     """
     spark = met.sparkSession
     shared = met.select("_block", F.explode("_meets").alias("_trie")).distinct()
@@ -299,23 +299,57 @@ def _verified(docs: DataFrame, met: DataFrame, words: int, length: int, depth: i
     alone = met.groupBy(F.col("_block").alias("_i")).agg(F.count("*").alias("_n")).where("_n > 1").select("_i", F.col("_i").alias("_j"))
     units = pairs.union(alone)
     sides = units.select("_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_block"))
-    places = written(met.select("_node", "_weight", "_marks", "_block").join(sides, "_block"), "places")
-    spread = _shingle_sets(docs, met, words).join(places, "_node").select("_i", "_j", "_block", "_node", "_weight", "_marks", "_shingles")
+    placed = met.select("_node", "_weight", "_marks", "_size", "_block").join(sides, "_block")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = spread.repartition(parts, "_i", "_j").sortWithinPartitions("_i", "_j")
 
-    def unit(rows: list[tuple]) -> pa.RecordBatch:
-        rows = sorted(rows, key=lambda r: r[3])
+    def by_unit(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select("_i", "_j", "_block", "_node", "_weight", "_marks", *columns).repartition(parts, "_i", "_j").sortWithinPartitions("_i", "_j")
+
+    def each_unit(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[list[tuple]]:
+        held: list[tuple] = []
+        for batch in batches:
+            for part in slices(batch, batch.column(wide)):
+                for row in zip(*(c.to_pylist() for c in part.columns)):
+                    if held and held[0][:2] != row[:2]:
+                        yield held
+                        held = []
+                    held.append(row)
+        if held:
+            yield held
+        give_back()
+
+    def to_verify(rows: list[tuple], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts of either block, and which pairs of them first meet here and may be linked by their sizes."""
         i, j = rows[0][0], rows[0][1]
         at = np.array([r[2] for r in rows])
         left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        own, weights = [r[5] for r in rows], np.array([r[4] for r in rows], np.int64)
+        own = [r[5] for r in rows]
         meet = _met(prefix_marks(own, trees, depth, length), left, right)
         if length < depth:
             meet &= ~_met(prefix_marks(own, trees, depth, length + 1), left, right)
         if i == j:
             meet = np.triu(meet, 1)
-        links, likeness = compare([np.frombuffer(r[6], np.uint64) for r in rows], meet, left, right, threshold)
+        small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
+        return left, right, meet & (small >= threshold * large - 1e-9)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in each_unit(batches, 5):
+            rows.sort(key=lambda r: r[3])
+            left, right, meet = to_verify(rows, np.array([r[6] for r in rows], np.int64))
+            kept = [rows[k][:6] for k in np.union1d(left[meet.any(1)], right[meet.any(0)]).tolist()]
+            if kept:
+                long, binary = pa.int64(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), (long, long, long, binary, long, binary))], names=["_i", "_j", "_block", "_node", "_weight", "_marks"])
+
+    places = written(by_unit(placed, "_size").mapInArrow(cut, "_i long, _j long, _block long, _node binary, _weight long, _marks binary"), "places")
+    wanted = met.join(places.select("_node").distinct(), "_node", "left_semi")
+    ordered = by_unit(_shingle_sets(docs, wanted, words).join(places, "_node"), "_shingles")
+
+    def unit(rows: list[tuple]) -> pa.RecordBatch:
+        rows = sorted(rows, key=lambda r: r[3])
+        shingles, weights = [np.frombuffer(r[6], np.uint64) for r in rows], np.array([r[4] for r in rows], np.int64)
+        left, right, meet = to_verify(rows, np.array([len(x) for x in shingles], np.int64))
+        links, likeness = compare(shingles, meet, left, right, threshold)
         n_texts, n_docs = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         np.add.at(n_texts, left, links.sum(1))
         np.add.at(n_texts, right, links.sum(0))
@@ -335,17 +369,8 @@ def _verified(docs: DataFrame, met: DataFrame, words: int, length: int, depth: i
         )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for part in slices(batch, batch.column(6)):
-                for row in zip(*(c.to_pylist() for c in part.columns)):
-                    if held and held[0][:2] != row[:2]:
-                        yield unit(held)
-                        held = []
-                    held.append(row)
-        if held:
-            yield unit(held)
-        give_back()
+        for rows in each_unit(batches, 6):
+            yield unit(rows)
 
     return ordered.mapInArrow(verify, "node binary, low binary, n_texts long, n_docs long, bands array<long>")
 

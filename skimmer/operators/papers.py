@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skimmer.functions.latex import latex_text
 from skimmer.functions.paper_html import paper_text
+from skimmer.functions.steady import SLICE_BYTES, give_back
 from skimmer.sources.paper_files import register
 
 MAIN_NAMES = ("main.tex", "paper.tex", "index.tex")
@@ -62,12 +63,19 @@ def flat_sources(files: DataFrame) -> DataFrame:
     """(paper, latex): each paper's main file with its includes. A group is one paper's source tree; papers without a main file are left out."""
     trees = files.where(F.col("path").isNotNull() & F.col("content").isNotNull()).groupBy("paper").agg(F.sort_array(F.collect_list(F.struct("path", "content"))).alias("files"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            texts = [flattened({f["path"]: f["content"] for f in own}, main) for own, main in zip(df["files"], df["path"])]
-            yield pd.DataFrame({"paper": df["paper"], "latex": texts})
-
-    return trees.join(main_files(files), "paper").mapInPandas(run, "paper string, latex string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, size = [], 0
+            for k in range(len(batch)):  # one tree at a time: a batch of them may be large
+                own = {f["path"]: f["content"] for f in batch["files"][k].as_py()}
+                made.append((batch["paper"][k].as_py(), flattened(own, batch["path"][k].as_py())))
+                size += len(made[-1][1])
+                if size > SLICE_BYTES or k == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*made)], ["paper", "latex"])
+                    made, size = [], 0
+            give_back()
+
+    return trees.join(main_files(files), "paper").select(F.col("paper").cast("string"), "files", "path").mapInArrow(run, "paper string, latex string")
 
 
 def write_texts(texts: DataFrame, path: str, text: str = "text") -> None:

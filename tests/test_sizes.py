@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
+from skimmer.functions import providers as P
+from skimmer.functions import steady
+from skimmer.functions.latex import closing
+from skimmer.functions.tex_scanner import scanned
 from skimmer.plans import catalogue
 
 
@@ -30,3 +38,27 @@ def odd_texts(spark, tmp_path):
 def test_texts_without_letters_keep_their_space(spark, odd_texts):
     found, wanted = against_sql(spark, odd_texts, "feed_xml")
     assert found == wanted and any("'d0 '" in x for x in found)
+
+
+def test_workers_see_a_megabyte_at_a_time():
+    seen, texts = [], pa.array(["x" * 300_000, None, ""] * 40)
+    for part in steady.slices(texts):
+        seen.append(pa.compute.sum(pa.compute.binary_length(part)).as_py())
+    assert sum(seen) == 12_000_000 and max(seen) <= steady.SLICE_BYTES + 300_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", "b"])], ["id", "text"])
+    assert [len(p) for p in steady.slices(batch, batch.column(1))] == [2] and list(steady.slices(texts[:0])) == []
+
+
+def test_long_plain_text_is_passed_over():
+    text = "\\textbf{W}" + "Some words. " * 1_000_000 + "{x~"
+    begun = time.process_time()
+    assert scanned(text) == "W" + "Some words. " * 1_000_000 + "{x~"
+    assert closing("{" + "a" * 5_000_000 + "\\}{}}", 0) == 5_000_005
+    assert time.process_time() - begun < 0.25
+
+
+def test_only_what_is_asked_goes_to_workers(spark):
+    rows = spark.createDataFrame([(k, "é" * 9000 if k % 2 else None) for k in range(50)], "id long, text string")
+    plan = P.translated(rows, lambda t: [f"T:{x}" for x in t], "id")
+    assert "substring" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["id"] % 2, r["translation"]) for r in plan.collect()} == {(1, "T:" + "é" * 6000), (0, "T:")}

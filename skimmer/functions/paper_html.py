@@ -6,12 +6,10 @@ Title, authors, abstract and the sections' headings and paragraphs are picked an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skimmer.functions.steady import text_udf
 from skimmer.functions.tag_scanner import CLASSES, ENTITIES, Paper
 from skimmer.functions.text import collapse, replaced_in_order, substituted_in_order
 
@@ -88,13 +86,7 @@ def sections(page: Column) -> Column:
 def paper_text(page: Column, no_references: bool = False, compat: bool = False) -> Column:
     """The paper as plain text; null for null. Sections in sections and elements without an end are read; ``compat`` ends each at its first end tag."""
     if not compat:
-
-        @F.pandas_udf("string")
-        def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for pages in batches:
-                yield pages.map(lambda p: None if p is None else Paper(p, no_references).text())
-
-        return read(page)
+        return text_udf(lambda p: Paper(p, no_references).text())(page)
     clean = without_unwanted(math_to_latex(page))
     if no_references:
         clean = without_references(clean)

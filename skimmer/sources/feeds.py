@@ -9,10 +9,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skimmer.functions import text as T
+from skimmer.functions.steady import give_back
 from skimmer.operators.store import first_by
 
 FEED_URL = "https://rss.arxiv.org/rss/"
@@ -32,6 +34,30 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
+def read_items(spark: SparkSession, path: str, mark: str = "<item>") -> DataFrame:
+    """(path, block, item_no, item): what follows each mark in each file, up to the next, as ``items`` of the whole file gives; but a file is read item by item,
+    in as many tasks as it has blocks. ``item_no`` counts within a block; blocks are known by where they begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = n = None
+        for batch in batches:
+            files = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            begins = [k for k, own in enumerate(files) if own != (files[k - 1] if k else file)]
+            for a, b in zip([0, *begins], [*begins, len(files)]):
+                if a == b:
+                    continue
+                if files[a] != file:
+                    file, n = files[a], 0
+                    a += file[1] == 0  # what stands before a file's first mark is no item
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(range(n, n + b - a), pa.int64()), part.column(2)], ["path", "block", "item_no", "item"])
+                n += b - a
+            give_back()
+
+    rows = spark.read.text(path, lineSep=mark).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("item"))
+    return rows.mapInArrow(run, "path string, block long, item_no long, item string")
+
+
 def items(content: Column, mark: str = "<item>") -> Column:
     """What follows each mark, up to the next."""
     parts = F.split(content, mark, -1)
@@ -40,13 +66,18 @@ def items(content: Column, mark: str = "<item>") -> Column:
 
 def parsed_items(feeds: DataFrame, content: str = "content", compat: bool = False) -> DataFrame:
     """Rows of articles from RSS texts; items without title or link, and replacements, are left out. Other columns of ``feeds`` are kept."""
-    rows = feeds.select("*", F.posexplode(items(F.col(content))).alias("item_no", "_item"))
-    item = F.col("_item")
+    rows = feeds.select(*[c for c in feeds.columns if c != content], F.posexplode(items(F.col(content))).alias("item_no", "_item"))
+    return articles_of_items(rows, "_item", compat)
+
+
+def articles_of_items(rows: DataFrame, item: str = "item", compat: bool = False) -> DataFrame:
+    """Rows of articles from single items of RSS texts; those without title or link, and replacements, are left out. Other columns of ``rows`` are kept."""
+    kept, item = [c for c in rows.columns if c != item], F.col(item)
     title, link = T.trim_all(T.first_tag(item, "title")), T.trim_all(T.first_tag(item, "link"))
     rows = rows.where((title != "") & (link != "") & T.announced(T.tag_or_null(item, "arxiv:announce_type")))
     description = T.first_tag(item, "description")
     return rows.select(
-        *[c for c in feeds.columns if c != content], "item_no", T.id_from_link(link, compat).alias("id"), title.alias("title"), link.alias("link"),
+        *kept, T.id_from_link(link, compat).alias("id"), title.alias("title"), link.alias("link"),
         T.abstract_of(description).alias("abstract"), F.lit("arxiv").alias("source"), F.nullif(T.trim_all(T.first_tag(item, "dc:creator")), F.lit("")).alias("author"), T.all_tags(item, "category").alias("category"),
     )
 

@@ -8,12 +8,14 @@ import duckdb
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
+from pyspark.sql import functions as F
 
 from skimmer.functions import providers as P
 from skimmer.functions import steady
 from skimmer.functions.latex import closing
 from skimmer.functions.tex_scanner import scanned
 from skimmer.plans import catalogue
+from skimmer.sources import feeds
 
 
 def against_sql(spark, folder, name):
@@ -62,3 +64,26 @@ def test_only_what_is_asked_goes_to_workers(spark):
     plan = P.translated(rows, lambda t: [f"T:{x}" for x in t], "id")
     assert "substring" in plan._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["id"] % 2, r["translation"]) for r in plan.collect()} == {(1, "T:" + "é" * 6000), (0, "T:")}
+
+
+def test_items_of_a_file_as_those_of_the_whole(spark, tmp_path):
+    head = "<rss><channel><title>not this</title><link>https://x/abs/0</link>"
+    own = lambda k: f"<item><title>t{k}</title><link>https://x/abs/{k}</link><description>{'日本 ' * (k % 50)}</description></item>\n"
+    texts = [head + "".join(own(k) for k in range(900)) + "</channel></rss>", "".join(own(k) for k in range(5)) + "<item>", head, "", "<item><item>" + own(7) + "<item"]
+    (tmp_path / "feeds").mkdir()
+    for k, t in enumerate(texts):
+        (tmp_path / f"feeds/f{k}.xml").write_text(t)
+    wanted = sorted(r["item"] for r in feeds.read_files(spark, str(tmp_path / "feeds")).select(F.explode(feeds.items(F.col("content"))).alias("item")).collect() if r["item"])
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    for size in (before, "3000b", "777b"):  # a file is read in blocks, and a task reads blocks of several files
+        spark.conf.set(key, size)
+        try:
+            got = feeds.read_items(spark, str(tmp_path / "feeds")).collect()
+        finally:
+            spark.conf.set(key, before)
+        assert sorted(r["item"] for r in got if r["item"]) == wanted
+        assert len({(r["path"], r["block"], r["item_no"]) for r in got}) == len(got)
+        assert size == before or len({r["block"] for r in got}) > 5
+    first = sorted((r for r in got if r["path"].endswith("f0.xml")), key=lambda r: (r["block"], r["item_no"]))
+    assert [r["item"][:10].split("<")[1] for r in first[:3]] == ["title>t0", "title>t1", "title>t2"]

@@ -18,7 +18,7 @@ from skimmer.sources.tables import CLICKED, DISLIKED, LIKED
 
 WEIGHTS = {CLICKED: 1.0, LIKED: 2.0}
 MOST, LEAST, SEED, RESTARTS = 10, 5, 42, 10
-#: Passes at most, and how far a center that has come to rest may still move.
+#: Passes of all restarts at most, and how far a center that has come to rest may still move.
 PASSES, REST = 100, 1e-6
 #: Components of vectors that a task reads in a pass; few vectors are few tasks, as there are many passes.
 TASK = 1 << 20
@@ -52,7 +52,7 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
 def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Squared distances of rows to centers; what lies within rounding of a center has none."""
     own = (x * x).sum(1)[:, None]
-    found = own - 2 * x @ centers.T + (centers * centers).sum(1)[None]
+    found = own - 2 * np.einsum("nd,kd->nk", x, centers) + (centers * centers).sum(1)[None]  # row by row: a product of matrices rounds by a batch's size
     return np.where(found > 1e-12 * (own + 1), found, 0.0)
 
 
@@ -77,28 +77,40 @@ def _drawn(data: DataFrame, centers: list[np.ndarray], seed: int) -> list[np.nda
     return [np.concatenate([own, found[run]]) if run in found and len(own) else found.get(run, own) for run, own in enumerate(centers)]
 
 
-def moved(data: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+def _binary(data: DataFrame) -> tuple[int, int]:
+    """Binary places that sums of weighted components, and of weighted squared distances, have in 62 bits. Whole sums are the same in any order of the rows."""
+    most, weight, size = data.agg(F.max(F.array_max(F.transform("v", F.abs))), F.sum("w"), F.max(F.size("v"))).first()
+    places = lambda bound: 61 - math.frexp(bound)[1]
+    return places((most or 1.0) * (weight or 1.0)), places(4 * (size or 1) * (most or 1.0) ** 2 * (weight or 1.0))
+
+
+def moved(data: DataFrame, centers: dict[int, np.ndarray], binary: tuple[int, int] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """run: (weighted means of the rows nearest to each center, weights, cost). A center without rows stays. What comes to the driver are the sums of clusters."""
+    places, cost_places = binary or _binary(data)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {run: np.zeros((len(own), own.shape[1] + 2)) for run, own in centers.items()}
+        total = {run: np.zeros((len(own), own.shape[1] + 2), np.int64) for run, own in centers.items()}
         for part in batches:
             if not len(part):
                 continue
             x, w = np.array(part["v"].tolist()), part["w"].to_numpy()
+            whole = w.astype(np.int64)
+            moments = np.column_stack([np.rint(np.ldexp(x, places)).astype(np.int64) * whole[:, None], whole, np.zeros(len(x), np.int64)])
             for run, own in centers.items():
                 far = _squares(x, own)
                 nearest = far.argmin(1)
-                share = np.zeros_like(far)
-                share[np.arange(len(x)), nearest] = w
-                total[run] += np.column_stack([share.T @ x, share.sum(0), (share * far).sum(0)])
+                moments[:, -1] = np.rint(np.ldexp(far[np.arange(len(x)), nearest], cost_places)).astype(np.int64) * whole
+                order = np.argsort(nearest, kind="stable")
+                found, begins = np.unique(nearest[order], return_index=True)
+                total[run][found] += np.add.reduceat(moments[order], begins)
         rows = [(run, k, row) for run, own in total.items() for k, row in enumerate(own) if row[-2] > 0]
         yield pd.DataFrame(rows, columns=["run", "k", "s"])
 
-    parts = data.mapInPandas(sums, "run int, k int, s array<double>").select("run", "k", F.posexplode("s").alias("i", "x"))
+    parts = data.mapInPandas(sums, "run int, k int, s array<long>").select("run", "k", F.posexplode("s").alias("i", "x"))
     total = {run: np.zeros((len(own), own.shape[1] + 2)) for run, own in centers.items()}
     for r in parts.groupBy("run", "k", "i").agg(F.sum("x").alias("x")).collect():
-        total[r["run"]][r["k"], r["i"]] = r["x"]
+        at = r["i"] - total[r["run"]].shape[1]  # -2: the weight, -1: the cost
+        total[r["run"]][r["k"], r["i"]] = r["x"] if at == -2 else math.ldexp(r["x"], -(cost_places if at == -1 else places))
     out = {}
     for run, own in centers.items():
         weight = total[run][:, -2]
@@ -111,7 +123,8 @@ def fit_centroids(rows: DataFrame, kind: str, most: int = MOST, least: int = LEA
     """(type, cluster_id, centroid) of the cheapest of ``restarts`` runs, or None if fewer than ``least`` vectors are there: the stored ones then stay.
 
     Repeated vectors count as often as they are there; of vectors of several lengths those of the most frequent (of equally frequent, the shortest) are clustered.
-    A run ends when no center moves by more than ``REST``, or after ``PASSES`` passes. Ties go to the first run.
+    A run ends when no center moves by more than ``REST``; after ``PASSES`` passes only the cheapest goes on, until it rests. Ties go to the first run.
+    Sums are of whole numbers, so that the result does not depend on how the rows are dealt over tasks.
     """
     data = weighted_vectors(rows, kind, vector).persist()
     try:
@@ -123,16 +136,19 @@ def fit_centroids(rows: DataFrame, kind: str, most: int = MOST, least: int = LEA
         for _ in range(min(most, sizes["different"])):
             centers = _drawn(own, centers, seed)
         ends: dict[int, tuple[float, np.ndarray]] = {}
-        going = dict(enumerate(centers))
-        for _ in range(PASSES):
-            for run, (means, _, cost) in moved(own, going).items():
+        going, binary, passes = dict(enumerate(centers)), _binary(own), 0
+        while going:
+            for run, (means, _, cost) in moved(own, going, binary).items():
+                fell = run not in ends or cost < ends[run][0]
                 ends[run] = cost, means
-                if np.abs(means - going[run]).max() <= REST:
+                if np.abs(means - going[run]).max() <= REST or not fell:
                     del going[run]
                 else:
                     going[run] = means
-            if not going:
-                break
+            passes += 1
+            if passes >= PASSES:  # the others have shown what they are worth; the cheapest goes on until it is at rest
+                first = min(ends, key=lambda run: (ends[run][0], run))
+                going = {run: own_ for run, own_ in going.items() if run == first}
         best = ends[min(ends, key=lambda run: (ends[run][0], run))][1]
     finally:
         data.unpersist()

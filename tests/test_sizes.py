@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
@@ -14,6 +15,7 @@ from skimmer.functions import providers as P
 from skimmer.functions import steady
 from skimmer.functions.latex import closing
 from skimmer.functions.tex_scanner import scanned
+from skimmer.operators import clusters as C
 from skimmer.plans import catalogue
 from skimmer.sources import feeds
 
@@ -87,3 +89,15 @@ def test_items_of_a_file_as_those_of_the_whole(spark, tmp_path):
         assert size == before or len({r["block"] for r in got}) > 5
     first = sorted((r for r in got if r["path"].endswith("f0.xml")), key=lambda r: (r["block"], r["item_no"]))
     assert [r["item"][:10].split("<")[1] for r in first[:3]] == ["title>t0", "title>t1", "title>t2"]
+
+
+def test_clusters_go_on_until_they_rest(spark, monkeypatch):
+    v = np.random.default_rng(11).normal(size=(900, 3))
+    rows = spark.createDataFrame([(x.tolist(), 2) for x in v], "vector array<double>, status int")
+    monkeypatch.setattr(C, "PASSES", 2)  # all runs would end far from rest
+    found = C.fit_centroids(rows, "positive", restarts=2)
+    centers = np.array([r["centroid"] for r in found.orderBy("cluster_id").collect()])
+    means, weight, _ = C.moved(C.weighted_vectors(rows, "positive"), {0: centers})[0]
+    assert weight.sum() == 1800 and np.abs(means - centers).max() < 1e-4
+    again = C.fit_centroids(rows.repartition(5), "positive", restarts=2)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))

@@ -7,7 +7,8 @@ it was or as it should be, and running the same change again ends the same. One
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,18 @@ from skimmer.operators.store import last_by, merge, new_rows
 from skimmer.sources.tables import ARTICLE, SKIPPED, UNREAD
 
 BUCKET = "bucket"
+_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def _dealt_by_less(spark: SparkSession) -> Iterator[None]:
+    """Joins that are planned within take rows as they are dealt, if that is by some of the join's keys."""
+    before = spark.conf.get(_ALL_KEYS)
+    spark.conf.set(_ALL_KEYS, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ALL_KEYS, before)
 
 
 class BucketedStore:
@@ -39,9 +52,9 @@ class BucketedStore:
     def rows(self) -> DataFrame:
         return self._all().drop(BUCKET)
 
-    def _put(self, rows: DataFrame, mode: str) -> None:
-        """Writes rows to their buckets; rows of a bucket come together, so that each is one file."""
-        out = rows.select(*self.schema.fieldNames(), self._bucket()).repartition(BUCKET)
+    def _put(self, rows: DataFrame, mode: str, together: bool = False) -> None:
+        """Writes rows to their buckets; rows of a bucket come together, so that each is one file. ``together``: they do already, in ``rows`` with their bucket."""
+        out = rows.select(*self.schema.fieldNames(), BUCKET) if together else rows.select(*self.schema.fieldNames(), self._bucket()).repartition(BUCKET)
         out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
     def create(self, rows: DataFrame) -> None:
@@ -77,11 +90,24 @@ class BucketedStore:
         """Sets ``columns`` by key, nulls included; of several changes of a key the last in ``order`` counts. Unknown keys change nothing."""
         if order is not None:
             changes = last_by(changes.select(self.key, *columns, order), [self.key], F.col(order))
-        return self.rewrite(self._touched(changes), lambda rows: merge(rows, changes.select(self.key, *columns), columns, self.key))
+        touched = self._touched(changes)
+        if touched:
+            # both sides are dealt by the bucket, which the key decides: what is merged lies as it is written, and the rows move once
+            rows = self._all().where(F.col(BUCKET).isin(touched)).repartition(BUCKET)
+            new = changes.select(self.key, *columns, self._bucket()).repartition(BUCKET)
+            with _dealt_by_less(self.spark):
+                self._put(merge(rows, new, columns, self.key, BUCKET), "overwrite", together=True)
+        return touched
 
     def update_where(self, condition: Column, values: dict[str, Column]) -> list[int]:
         """Sets columns of the rows for which ``condition`` holds; buckets without any stay as they are."""
-        return self.rewrite(self._holding(condition), lambda rows: rows.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()}))
+        return self._rewrite_in_place(self._holding(condition), lambda rows: rows.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()}))
+
+    def _rewrite_in_place(self, touched: list[int], change: Callable[[DataFrame], DataFrame]) -> list[int]:
+        """As ``rewrite`` for a change of single rows that leaves keys alone: rows stay in the tasks that read them. A bucket in several pieces may be as many files again."""
+        if touched:
+            self._put(change(self._all().where(F.col(BUCKET).isin(touched))), "overwrite", together=True)
+        return touched
 
     def delete_where(self, condition: Column) -> list[int]:
         """Removes the rows for which ``condition`` holds; where it is null they stay. A bucket from which all rows go loses its folder."""

@@ -41,10 +41,14 @@ def existing(ids: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
     return ids.select(key).distinct().join(stored.select(key), key, "left_semi")
 
 
-def merge(stored: DataFrame, updates: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """``stored`` with ``columns`` from ``updates`` (one row for each key) where it has the key, nulls included; unknown keys change nothing."""
-    new = updates.select(F.col(key).alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
-    both = stored.join(new, F.col(key) == F.col("_key"), "left")
+def merge(stored: DataFrame, updates: DataFrame, columns: list[str], key: str = "id", dealt: str | None = None) -> DataFrame:
+    """``stored`` with ``columns`` from ``updates`` (one row for each key) where it has the key, nulls included; unknown keys change nothing.
+
+    ``dealt``: a column of both that the key decides, by which they may be dealt already.
+    """
+    new = updates.select(F.col(key).alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns], *([F.col(dealt).alias("_dealt")] if dealt else []))
+    same = F.col(key) == F.col("_key")
+    both = stored.join(new, same & (F.col(dealt) == F.col("_dealt")) if dealt else same, "left")
     return both.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in stored.columns])
 
 

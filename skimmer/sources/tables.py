@@ -51,8 +51,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(SKIPPED)
     )
     n = F.col("doc_id")
-    return d.join(marks, "doc_id", "left").select(
-        n.cast("string").alias("id"), F.split("text", "\n", 2)[0].alias("title"), F.substring("text", 1, 2000).alias("abstract"),
+    # texts are cut before the join, so that it moves what is kept of them
+    cut = d.select("doc_id", "source", "lang", F.split("text", "\n", 2)[0].alias("title"), F.substring("text", 1, 2000).alias("abstract"))
+    return cut.join(marks, "doc_id", "left").select(
+        n.cast("string").alias("id"), "title", "abstract",
         F.concat(F.lit("https://arxiv.org/abs/"), n.cast("string")).alias("link"), "source", F.col("lang").alias("category"), status.cast("int").alias("status"),
         ((n * 7919 % 1000) / F.lit(1000.0) - F.lit(0.2)).alias("score"), F.timestamp_add("DAY", (n % 45).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("timestamp"),
     )

@@ -16,8 +16,10 @@ from skimmer.functions import steady
 from skimmer.functions.latex import closing
 from skimmer.functions.tex_scanner import scanned
 from skimmer.operators import clusters as C
+from skimmer.operators.bucketed import BucketedStore
 from skimmer.plans import catalogue
 from skimmer.sources import feeds
+from skimmer.sources.tables import conform
 
 
 def against_sql(spark, folder, name):
@@ -101,3 +103,27 @@ def test_clusters_go_on_until_they_rest(spark, monkeypatch):
     assert weight.sum() == 1800 and np.abs(means - centers).max() < 1e-4
     again = C.fit_centroids(rows.repartition(5), "positive", restarts=2)
     assert sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
+
+
+def test_a_change_moves_the_store_once(spark, tmp_path):
+    rows = conform(spark.range(2000).selectExpr("CAST(id AS STRING) AS id", "repeat(md5(CAST(id AS STRING)), 30) AS title", "'l' AS link", "'s' AS source", "CAST(id % 4 AS INT) AS status"))
+    store = BucketedStore(spark, f"{tmp_path}/articles", 8)
+    store.create(rows)
+    changes = spark.range(0, 2000, 2).selectExpr("CAST(id AS STRING) AS id", "'c' AS comment")
+    moved = []
+    stages = spark._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0)
+
+    def shuffled():
+        it, total = stages.stageList(None, False, False, quantiles, None).iterator(), 0
+        while it.hasNext():
+            total += it.next().shuffleWriteBytes()
+        return total
+
+    for change in (lambda: store.rows().repartition(8, "id").write.format("noop").mode("overwrite").save(), lambda: store.update(changes, ["comment"]), store.mark_all_read):
+        before = shuffled()
+        change()
+        time.sleep(1)  # what stages have moved is told a little later
+        moved.append(shuffled() - before)
+    assert moved[1] < 1.5 * moved[0] and moved[2] < 0.1 * moved[0]
+    assert store.rows().where("comment = 'c'").count() == 1000 and store.rows().where("status = 3").count() == 1000

@@ -35,7 +35,7 @@ class _LastStatus(StatefulProcessor):
         self.last = handle.getValueState("last", "us long, event_id long, status int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.last.get() if self.last.exists() else None
+        before = self.last.get()  # each call to the state is a way to the JVM and back
         best = before
         for row in rows:  # one that is late or comes again is not later than what is known
             if best is None or (row["us"], row["event_id"]) > (best[0], best[1]):
@@ -77,21 +77,26 @@ class _Memory(StatefulProcessor):
         self.seen = handle.getValueState("seen", "first long, last long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = tuple(self.seen.get()) if self.seen.exists() else None
+        known = stored = self.seen.get()  # each call to the state is a way to the JVM and back
         for us in sorted(row["us"] for row in rows):
             if known and us > known[1] + self.keep:  # the watermark had not come by yet
                 yield self._told(key, known)
                 known = None
             first, last, n = known or (us, us, 0)
             known = (min(first, us), max(last, us), n + 1)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-(known[1] + self.keep) // 1000))
+        before, now = stored and self._timer(stored), self._timer(known)
+        if before != now:  # the timer of a key is that of what is stored of it
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(now)
         self.seen.update(known)
 
+    def _timer(self, known) -> int:
+        return -(-(known[1] + self.keep) // 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.seen.exists():
-            yield self._told(key, tuple(self.seen.get()))
+        if (known := self.seen.get()) is not None:
+            yield self._told(key, known)
             self.seen.clear()
 
     def _told(self, key, known) -> Row:

@@ -20,6 +20,7 @@ from skimmer.operators.bucketed import BucketedStore
 from skimmer.plans import catalogue
 from skimmer.sources import feeds
 from skimmer.sources.tables import conform
+from skimmer.streaming import stateful as K
 
 
 def against_sql(spark, folder, name):
@@ -127,3 +128,55 @@ def test_a_change_moves_the_store_once(spark, tmp_path):
         moved.append(shuffled() - before)
     assert moved[1] < 1.5 * moved[0] and moved[2] < 0.1 * moved[0]
     assert store.rows().where("comment = 'c'").count() == 1000 and store.rows().where("status = 3").count() == 1000
+
+
+class _State:
+    def __init__(self, calls, value=None):
+        self.calls, self.value = calls, value
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+
+class _Handle:
+    def __init__(self, calls):
+        self.calls, self.timers = calls, set()
+
+    def listTimers(self):
+        self.calls.append("listTimers")
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.calls.append("deleteTimer")
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+        self.timers.add(at)
+
+
+def test_states_are_asked_no_more_than_needed():
+    calls = []
+    memory = K._Memory(5_000)
+    memory.handle, memory.seen = _Handle(calls), _State(calls)
+    assert list(memory.handleInputRows((1,), iter([{"us": 3_000}, {"us": 1_000}]), None)) == []
+    assert calls == ["get", "registerTimer", "update"] and memory.handle.timers == {8}
+    calls.clear()
+    assert list(memory.handleInputRows((1,), iter([{"us": 2_000}]), None)) == [] and calls == ["get", "update"]
+    calls.clear()
+    told = list(memory.handleInputRows((1,), iter([{"us": 20_000}]), None))
+    assert [(r["first"], r["last"], r["n"]) for r in told] == [(1_000, 3_000, 3)] and memory.handle.timers == {25}
+    assert calls == ["get", "deleteTimer", "registerTimer", "update"]
+    calls.clear()
+    last = K._LastStatus()
+    last.last = _State(calls)
+    assert len(list(last.handleInputRows((1,), iter([{"us": 1, "event_id": 1, "status": 2}]), None))) == 1 and calls == ["get", "update"]

@@ -7,7 +7,6 @@ cuts might not be exact goes to the library whole, so the ids equal ``Tokenizer.
 
 from __future__ import annotations
 
-import struct
 import unicodedata
 from functools import lru_cache
 
@@ -27,9 +26,13 @@ _OTHER = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 _CONTEXT = rf"[ {_OTHER}][\s{_OTHER}]|[\s{_OTHER}][ {_OTHER}]|\n\n\n|\n\n\z|\x01"
 #: A letter before a sign: the pre-tokenizers always cut there.
 _SIGN = r"([\pL\pN])([^\s\pL\pN\pM\x01])"
+#: A unit of the pre-tokenizer: letters with at most one space before them; if the tokenizer normalizes texts, only letters that it leaves as they are.
+_UNIT, _LOW_UNIT = r"^ ?\pL+\z", r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+\z"
 #: Byte-level vocabularies write each byte as a printable character: itself, or one from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: b for b in _SHOWN} | {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: The same as a table, but for the line end, which keeps units apart.
+_IN_LINES = np.array([10 if b == 10 else _BYTES[b] for b in range(256)], "<u2")
 
 
 @lru_cache(maxsize=1)
@@ -45,11 +48,19 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         #: whether white space yields ids (byte-level) or only separates words
         self.keeps_space = self._ids("a b") != self._ids("a") + self._ids("b")
+        #: the same model for units, a line each, and how many bytes each id stands for
+        self.lines = Tokenizer(self.tokenizer.model)
+        self.lines.pre_tokenizer = CharDelimiterSplit("\n")
+        vocabulary = self.lines.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        ending = self.tokenizer.model.end_of_word_suffix or ""
+        self.sizes[[*vocabulary.values()]] = [len(t.removesuffix(ending)) for t in vocabulary]
         self.known: dict[str, bytes] = Kept(CACHE_BYTES)
 
     def _ids(self, text: str) -> list[int]:
@@ -58,21 +69,25 @@ class PieceEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _coded(self, pieces: list[str]) -> dict[str, bytes]:
-        """Letters with at most one space before them are one unit of the pre-tokenizer; the rest goes through all steps."""
-        unit, odd, out = self.tokenizer.model.tokenize, [], {}
-        for p in pieces:
-            word = p[1:] if p[:1] == " " else p
-            if word.isalpha() and (self.keeps_space or word < "\u0100" and word.islower() and max(word) < "\u0100"):
-                ids = [t.id for t in unit(p.encode().decode("latin-1").translate(_BYTES))]
-                out[p] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                odd.append(p)
+    def _units(self, units: list[str]) -> list[bytes]:
+        """ids of units of the pre-tokenizer, by one call of the model: which are whose, the bytes that they stand for tell."""
+        raw = np.frombuffer("\n".join(units).encode(), np.uint8)
+        ids = np.array(self.lines.encode_batch_fast([_IN_LINES[raw].tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(raw == 10), len(raw)) - np.arange(len(units))
+        reach = np.cumsum(self.sizes[ids])
+        last = np.searchsorted(reach, ends)
+        if not len(reach) or reach[-1] != ends[-1] or (reach[last] != ends).any():  # another kind of vocabulary
+            return self._whole(units)
+        whole, cuts = ids.tobytes(), (4 * (last + 1)).tolist()
+        return [whole[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+
+    def _coded(self, units: list[str], odd: list[str]) -> dict[str, bytes]:
+        """Units go to the model together; the rest goes through all steps."""
+        out = dict(zip(units, self._units(units))) if units else {}
         for k in range(0, len(odd), 2000):
             part = odd[k : k + 2000]
             out.update(zip(part, self._whole(part)))
-        for p, b in out.items():
-            self.known.keep(p, b, len(b))
+        self.known.keep_all(out)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +95,8 @@ class PieceEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if texts.nbytes <= CHUNK_BYTES + (CHUNK_BYTES >> 3):  # a slice as it is: what it took is used again for the next one
+            return self._encode(texts)
         parts = [self._encode(part) for part in slices(texts, size=CHUNK_BYTES)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
@@ -98,17 +115,24 @@ class PieceEncoder:
             cut = pc.if_else(whole, pa.scalar("", pa.large_string()), cut)
         lists = pc.split_pattern(cut, "\x01")
         coded = pc.dictionary_encode(pc.list_flatten(lists))
-        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found, index = coded.dictionary, coded.indices.to_numpy()
+        pieces = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found), pa.scalar("\x01", pa.large_string()))[0].as_py().split("\x01")  # no piece holds it
         raw = [*map(self.known.get, pieces)]
-        new = self._coded([p for p, b in zip(pieces, raw) if b is None])
+        unit = pc.match_substring_regex(found, _UNIT if self.keeps_space else _LOW_UNIT).to_pylist()
+        new = self._coded([p for p, b, u in zip(pieces, raw, unit) if b is None and u], [p for p, b, u in zip(pieces, raw, unit) if b is None and not u])
         if new:
             raw = [new[p] if b is None else b for p, b in zip(pieces, raw)]
         long = np.fromiter(map(len, raw), np.int32, len(raw)) >> 2
         flat = np.frombuffer(b"".join(raw), "<u4")
         first = np.cumsum(long, dtype=np.int32) - long
         n = long[index]
-        ends = np.cumsum(n, dtype=np.int32)
-        ids = flat[np.repeat(first[index] - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)]
+        ends = np.cumsum(n, dtype=np.int64)
+        # where each id is taken from: one further than the one before, but at a piece's first
+        some = np.flatnonzero(n)
+        begin, size = first[index[some]].astype(np.int64), n[some]
+        step = np.ones(ends[-1], np.int64)
+        step[ends[some] - size] = begin - np.concatenate([[0], begin[:-1] + size[:-1] - 1])[: len(some)]
+        ids = flat.take(np.cumsum(step))
         words = np.diff(lists.offsets.to_numpy())
         ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
         counts = np.diff(ends)

@@ -43,58 +43,82 @@ def grammar(ids: np.ndarray, first_of: np.ndarray, base: int, round_pairs: int =
     used = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
     number = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
     number[used] = np.arange(len(used))
-    first_new = len(used)
-    symbols = number[ids].astype(np.uint32)
-    starts = np.asarray(first_of, np.int64).copy()
-    rules: list[np.ndarray] = []
-    lengths = np.ones(first_new, np.int64)
-    top = first_new
-    while len(symbols) > 1:
-        kind = np.uint32 if top < 1 << 16 else np.uint64
-        inside = np.iinfo(kind).max  # stands for a pair that crosses a document's start
-        keys = symbols[:-1].astype(kind) * kind(top) + symbols[1:]
-        keys[starts[(starts > 0) & (starts < len(symbols))] - 1] = inside
-        ordered = np.sort(keys)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        n = np.diff(np.append(edge, len(ordered)))
-        pairs = ordered[edge]
-        good = (n >= least) & (pairs != inside)
-        pairs, n = pairs[good].astype(np.int64), n[good]
-        if not len(pairs):
+    first_new = top = len(used)
+    symbols = number.astype(np.int32).take(ids)
+    n_ids = len(symbols)
+    starts = np.asarray(first_of, np.int64)
+    rules, lengths = [], np.ones(first_new, np.int64)
+    # a symbol that went into the one before it stays as a gap: each knows the places beside it; place n_ids is outside
+    after, before = np.arange(1, n_ids + 2, dtype=np.int32), np.arange(-1, n_ids, dtype=np.int32)
+    before[:1] = n_ids
+    gone, touched, ends = np.zeros(n_ids + 1, bool), np.zeros(n_ids + 1, bool), np.zeros(n_ids + 1, bool)
+    ends[-1:] = True
+    ends[n_ids - 1 : n_ids] = True
+    ends[starts[(starts > 0) & (starts < n_ids)] - 1] = True
+    # places whose pair may still be replaced: a pair never gets more frequent, so one that is rare is looked at again only after a symbol of it changed
+    live = np.flatnonzero(~ends[:-1])
+    while len(live):
+        keys = symbols.take(live).astype(np.int64)
+        keys *= top
+        keys += symbols.take(after.take(live))
+        bits = len(live).bit_length()
+        if (top * top).bit_length() + bits <= 63:
+            keys <<= bits  # the place beside its pair: one sort for both
+            keys |= np.arange(len(live))
+            keys.sort()
+            order = keys & ((1 << bits) - 1)
+            keys >>= bits
+        else:
+            order = np.argsort(keys, kind="stable")
+            keys = keys.take(order)
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(edge, append=len(keys))
+        good = np.flatnonzero(n >= least)
+        if not len(good):
             break
-        if len(pairs) > round_pairs:
-            pairs = pairs[np.lexsort((pairs, -n))[:round_pairs]]
-        pairs = np.sort(pairs)
-        # where a chosen pair stands: by the ranks of its two symbols among the chosen ones
-        lefts, rights = np.unique(pairs // top), np.unique(pairs % top)
-        row, column = np.full(top, -1, np.int32), np.full(top, -1, np.int32)
-        row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
-        chosen = np.full((len(lefts), len(rights)), -1, np.int32)
-        chosen[row[pairs // top], column[pairs % top]] = np.arange(len(pairs))
-        at = np.flatnonzero((row >= 0)[symbols[:-1]] & (column >= 0)[symbols[1:]])
-        where = chosen[row[symbols[at]], column[symbols[at + 1]]]
-        hit = (where >= 0) & (keys[at] != inside)
-        at, where = at[hit], where[hit]
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
-        place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-        at, where = at[place % 2 == 0], where[place % 2 == 0]
+        pairs, n_good = keys.take(edge.take(good)), n.take(good)
+        chosen = np.ones(len(good), bool)
+        if len(good) > round_pairs:
+            chosen[np.lexsort((pairs, -n_good))[round_pairs:]] = False
+        rank = np.full(len(n), -2, np.int32)
+        rank[good] = np.where(chosen, np.cumsum(chosen) - 1, -1)
+        pairs = pairs[chosen]
+        rank = np.repeat(rank, n)
+        rest = live.take(order.take(np.flatnonzero(rank == -1)))
+        hit = np.flatnonzero(rank >= 0)
+        at = np.sort(live.take(order.take(hit)) << 20 | rank.take(hit))  # by place
+        at, where = at >> 20, at & ((1 << 20) - 1)
+        begin = np.flatnonzero(np.concatenate([[True], after.take(at[:-1]) != at[1:]]))
+        place = np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))
+        even = np.flatnonzero(place % 2 == 0)
+        at, where = at.take(even), where.take(even)
         times = np.bincount(where, minlength=len(pairs))
         pairs = pairs[times > 0]
         where = (np.cumsum(times > 0) - 1)[where]
         rules.append(np.stack([pairs // top, pairs % top], 1))
         lengths = np.concatenate([lengths, lengths[pairs // top] + lengths[pairs % top]])
         symbols[at] = top + where
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        starts -= np.searchsorted(at + 1, starts)
-        symbols = symbols[keep]
+        taken = after.take(at)
+        gone[taken] = True
+        ends[at] = ends.take(taken)
+        follows = after.take(taken)
+        after[at] = follows
+        before[follows] = at
+        touched[at] = True
+        left = before.take(at)
+        new = np.concatenate([at, left.take(np.flatnonzero(~touched.take(left)))])
+        touched[new] = True
+        rest = rest.take(np.flatnonzero(~(touched.take(rest) | gone.take(rest))))
+        touched[new] = False
+        live = np.concatenate([rest, new.take(np.flatnonzero(~ends.take(new)))])
         top += len(pairs)
+    kept = np.flatnonzero(~gone[:-1])
     outside = np.concatenate([used, base + np.arange(top - first_new)])
     return (
-        outside[symbols].astype("<u4"),
+        outside[symbols[kept]].astype("<u4"),
         (outside[np.concatenate(rules)] if rules else np.zeros((0, 2))).astype("<u4"),
         lengths[first_new:].astype("<u4"),
-        starts,
+        np.searchsorted(kept, starts),
     )
 
 
@@ -159,7 +183,17 @@ class Record:
         return self.expand(self.symbols[lo:hi])[a - before : b - before]
 
     def all_ids(self) -> np.ndarray:
-        return self.expand(self.symbols)
+        """Every rule is expanded once, then copied wherever it stands."""
+        own = self.symbols.astype(np.int64) - self.base
+        plain = own < 0
+        texts = np.concatenate([self.expand(self.base + np.arange(len(self.rules))), self.symbols[plain].astype("<u4")])
+        lengths = self.lengths.astype(np.int64)
+        first, sizes = np.empty(len(own), np.int64), self._sizes(self.symbols)
+        first[plain] = lengths.sum() + np.arange(plain.sum())
+        first[~plain] = (np.cumsum(lengths) - lengths)[own[~plain]]
+        step = np.ones(self.n_ids, np.int64)
+        step[np.cumsum(sizes) - sizes] = first - np.concatenate([[0], first[:-1] + sizes[:-1] - 1])[: len(first)]
+        return texts.take(np.cumsum(step))
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_column: str = "doc_id", text_column: str = "text") -> None:

@@ -108,6 +108,17 @@ class Kept(dict):
             self.weight = weight + len(key) + 200
         self[key] = value
 
+    def keep_all(self, found: dict) -> None:
+        """Keeps values that are bytes together, as far as the budget holds them all."""
+        short = found if max(map(len, found), default=0) <= self.longest else {k: v for k, v in found.items() if len(k) <= self.longest}
+        weight = sum(map(len, short)) + sum(map(len, short.values())) + 200 * len(short)
+        if self.weight + weight > self.budget:
+            self.clear()
+            self.weight = 0
+        if weight <= self.budget:
+            self.update(short)
+            self.weight += weight
+
 
 _made: list[str] = []
 

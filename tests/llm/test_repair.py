@@ -76,3 +76,53 @@ def test_query_against_the_library(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = R.op5_repair_shards(spark, sf_dir).orderBy("start").collect()
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == expected(rows)
+
+
+def rounds(ids, first_of, round_pairs, least):
+    """The rounds of ``grammar`` as they are told, over all symbols each time: how many there are, and what is left as nested pairs."""
+    owner = np.searchsorted(first_of, np.arange(len(ids)), "right")
+    symbols, n_rules, top = list(zip(ids.tolist(), owner.tolist())), 0, int(ids.max()) + 1
+    while True:
+        pairs = [(a[0], b[0]) if a[1] == b[1] else None for a, b in zip(symbols, symbols[1:])]
+        n = {}
+        for p in pairs:
+            if p:
+                n[p] = n.get(p, 0) + 1
+        best = sorted(sorted((p for p in n if n[p] >= least), key=lambda p: (-n[p], p))[:round_pairs])
+        if not best:
+            return [s for s, _ in symbols], n_rules
+        hits, used = [k for k, p in enumerate(pairs) if p in set(best)], set()
+        for k in hits:
+            if k - 1 not in used:
+                used.add(k)
+        names = {p: top + k for k, p in enumerate(p for p in best if any(pairs[u] == p for u in used))}
+        symbols = [(names[pairs[k]], s[1]) if k in used else s for k, s in enumerate(symbols) if k - 1 not in used]
+        n_rules, top = n_rules + len(names), top + len(names)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_looking_only_where_something_changed_gives_the_same_grammar(seed):
+    r = np.random.default_rng(seed)
+    counts = r.integers(0, 60, 12) + 1
+    first = np.cumsum(counts) - counts
+    ids = np.resize(r.integers(0, [2, 5, 12][seed % 3], 90), counts.sum()).astype("<u4")
+    ids[: len(np.unique(ids))] = np.arange(len(np.unique(ids)))
+    base = int(ids.max()) + 1
+    symbols, rules, _, _ = R.grammar(ids, first, base, 3, 4)
+    assert (symbols.tolist(), len(rules)) == rounds(ids, first, 3, 4)
+
+
+def test_units_go_to_the_model_in_one_call():
+    from skimmer.llm.bpe import PieceEncoder
+
+    import pyarrow as pa
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own, library = PieceEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        library.encode_special_tokens = True
+        calls, lines = [], own._units
+        own._units = lambda units: calls.append(len(units)) or lines(units)
+        texts = ["Some plain words and naïve élan", "ªº µm ß 漢字 mixed1 <|endoftext|>", "", "a" * 5000, "x\ny \x01 z"]
+        ids, n = own.encode(pa.array(texts))
+        want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [*map(len, want)] and len(calls) == 1 and calls[0] > 4

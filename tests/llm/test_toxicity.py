@@ -122,3 +122,31 @@ def test_edges_of_tables(spark):
     got = X.score_toxicity(docs, labels).collect()
     assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
     assert X.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_words_with_accents_and_parted_words_are_told_apart_quickly(monkeypatch):
+    heads, calls = X.Heads({"=stupid", "idio*", "=éclat", "=moron"}), []
+    fit = X.Heads.fit
+    monkeypatch.setattr(X.Heads, "fit", lambda self, token: calls.append(token) or fit(self, token))
+    assert heads.among(["écran", "naïve", "été", "«ü»", "éclat,", "zz", ""]) == [3, 4] and calls == ["«ü»", "éclat,", "zz", ""]
+    calls.clear()
+    assert heads.among(["st up id", "ab cd", "mo ro n", "x st", "a b c d"]) == [0, 2] and len(calls) == 5  # no call for each of the words in them
+    assert [heads.fit(t) for t in ("iddiotic", "sttupid", "stuppid", "bookkeeper", "mmoorroonn", "aabbcc dd")] == [True, True, True, False, True, False]
+
+
+def test_beginnings_rule_out_no_word_that_fits():
+    r = np.random.default_rng(1)
+    heads = X.Heads({"=abab", "aab*", "=bba", "abba*", "=cabb"})
+
+    def fits(token):
+        at, words = [k for k in range(len(token) - 1) if token[k] == token[k + 1]], {token}
+        for k in reversed(at):
+            words |= {w[:k] + w[k + 1 :] for w in words}
+        return any(not heads.names.isdisjoint(X.marks(w)) for w in words)
+
+    tokens = ["".join(r.choice([*"abc"], r.integers(1, 9))) for _ in range(4000)]
+    assert all(heads.fit(t) for t in tokens if fits(t)) and not all(heads.fit(t) for t in tokens)
+    parts = [" ".join("".join(r.choice([*"abc"], r.integers(1, 4))) for _ in range(r.integers(2, 5))) for _ in range(2000)]
+    for p in parts:
+        own = p.split(" ")
+        assert heads.fit(p) or not any(fits("".join(own[i:j])) for i in range(len(own)) for j in range(i + 1, len(own) + 1))

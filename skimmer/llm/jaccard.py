@@ -252,10 +252,14 @@ def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int)
     part = lambda n: F.xxhash64("_tree", F.substring("_label", 1, 2 * n))
     label = F.expr(f"substring(_marks, 1 + {2 * depth} * _tree, {2 * depth})")
     forest = texts.select("_node", "_marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")).select("_node", "_tree", label.alias("_label"))
-    following = F.hash(F.substring("_label", 1 + 2 * length, 2))  # tells the children of a node apart, in half the bytes of a node's number
-    forest = forest.select("_node", part(length).alias("_trie"), following.alias("_child"))
-    held = forest.groupBy("_trie").agg(F.count("*").alias("_n"), F.min("_child").alias("_a"), F.max("_child").alias("_b"))
-    held = held.where("_n > 1" if length == depth else "_n > 1 and _a <> _b").select("_trie", "_n")
+    forest = forest.select("_node", part(length).alias("_trie"), F.substring("_label", 1 + 2 * length, 2).alias("_child"))
+    if length == depth:
+        held = forest.groupBy("_trie").agg(F.count("*").alias("_n")).where("_n > 1")
+    else:  # a child's value and its complement side by side, in half the bytes of a node's number: only those of different children have a bit of both
+        value = F.conv(F.hex("_child"), 16, 10).cast("int")
+        held = forest.withColumn("_value", value).groupBy("_trie").agg(F.count("*").alias("_n"), F.bit_or(F.expr("_value | (65535 - _value) << 16")).alias("_bits"))
+        held = held.where("_n > 1 and (_bits & shiftrightunsigned(_bits, 16) & 65535) <> 0")
+    held = held.select("_trie", "_n")
     shares = written(forest.select("_node", "_trie").join(_small(written(held, "tries")), "_trie").select("_node", F.struct("_n", "_trie").alias("_at")), "shares")
     # the trie node that holds most of the texts that a text shares any with: copies of each other agree on one, whatever else they share
     largest = shares.groupBy("_node").agg(F.max("_at").alias("_home"))

@@ -177,3 +177,11 @@ def test_query_against_all_pairs(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_text_links"], r["n_copies"]) for r in op6_jaccard_forest(spark, sf_dir).collect()}
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("one, other", [(0, 65535), (0, 1), (32767, 32768), (65534, 65535), (0, 0), (65535, 65535), (32768, 32768)])
+def test_shortened_prefixes_count_where_children_differ(spark, one, other):
+    marks = [np.array([7, v], ">u2").tobytes() for v in (one, other)] + [np.array([8, 9], ">u2").tobytes()]
+    texts = spark.createDataFrame([(bytes([k]), k, 1, bytearray(m), 5) for k, m in enumerate(marks)], "_node binary, _row long, _weight long, _marks binary, _size long")
+    rows = J._members(texts, 1, 2, 1, 1 << 19).collect()
+    assert sorted(r["_row"] for r in rows) == ([0, 1] if one != other else [])

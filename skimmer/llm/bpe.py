@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from skimmer.llm.shared import Kept, slices
+from skimmer.llm.shared import slices
 
-#: Bytes of pieces that a worker remembers.
-CACHE_BYTES = 48 << 20
+#: Bytes of pieces that a worker remembers, with their ids, and the longest that it remembers beyond that.
+CACHE_BYTES, LONGEST = 16 << 20, 256
 #: Bytes of text that are cut at once, about.
 CHUNK_BYTES = 2 << 20
 
@@ -61,34 +61,57 @@ class PieceEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         ending = self.tokenizer.model.end_of_word_suffix or ""
         self.sizes[[*vocabulary.values()]] = [len(t.removesuffix(ending)) for t in vocabulary]
-        self.known: dict[str, bytes] = Kept(CACHE_BYTES)
+        #: the pieces that are remembered, all their ids, the number of ids of each, and in how many slices it was met
+        self.pieces, self.ids = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+        self.counts, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of texts by all steps of the library, one after another, and the number of each."""
+        own = [np.array(x.ids, "<u4") for k in range(0, len(texts), 2000) for x in self.tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *own]), np.fromiter(map(len, own), np.int64, len(own))
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        """ids of units of the pre-tokenizer, by one call of the model: which are whose, the bytes that they stand for tell."""
-        raw = np.frombuffer("\n".join(units).encode(), np.uint8)
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of units of the pre-tokenizer, by one call of the model: which are whose, the bytes that they stand for tell."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units), pa.scalar("\n", pa.large_string()))
+        raw = np.frombuffer(joined[0].as_buffer(), np.uint8)
         ids = np.array(self.lines.encode_batch_fast([_IN_LINES[raw].tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, "<u4")
         ends = np.append(np.flatnonzero(raw == 10), len(raw)) - np.arange(len(units))
         reach = np.cumsum(self.sizes[ids])
         last = np.searchsorted(reach, ends)
         if not len(reach) or reach[-1] != ends[-1] or (reach[last] != ends).any():  # another kind of vocabulary
-            return self._whole(units)
-        whole, cuts = ids.tobytes(), (4 * (last + 1)).tolist()
-        return [whole[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
-
-    def _coded(self, units: list[str], odd: list[str]) -> dict[str, bytes]:
-        """Units go to the model together; the rest goes through all steps."""
-        out = dict(zip(units, self._units(units))) if units else {}
-        for k in range(0, len(odd), 2000):
-            part = odd[k : k + 2000]
-            out.update(zip(part, self._whole(part)))
-        self.known.keep_all(out)
-        return out
+            return self._whole(units.to_pylist())
+        return ids, np.diff(last, prepend=-1)
+
+    def _places(self, found: pa.Array) -> np.ndarray:
+        """Where each of different pieces is among those that are remembered; new ones are encoded, units together, and remembered."""
+        place = pc.fill_null(pc.index_in(found, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = found.take(pa.array(missing))
+            unit = pc.match_substring_regex(new, _UNIT if self.keeps_space else _LOW_UNIT).to_numpy(zero_copy_only=False)
+            order, n = np.argsort(~unit, kind="stable"), int(unit.sum())
+            new = new.take(pa.array(order))
+            coded = ([self._units(new[:n])] if n else []) + ([self._whole(new[n:].to_pylist())] if n < len(new) else [])
+            place[missing[order]] = len(self.pieces) + np.arange(len(new))
+            self.pieces = pa.concat_arrays([self.pieces, new])
+            self.ids, self.counts = (np.concatenate(x) for x in zip((self.ids, self.counts), *coded))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        self.uses[place] += 1
+        return place
+
+    def _forget(self) -> None:
+        """Beyond the budget what was met in one slice only since the last time goes; if that is not half of it, all goes."""
+        if self.pieces.nbytes + self.ids.nbytes + self.counts.nbytes + self.uses.nbytes <= CACHE_BYTES:
+            return
+        stays = (self.uses > 1) & (pc.binary_length(self.pieces).to_numpy() <= LONGEST)
+        pieces, ids = self.pieces.filter(pa.array(stays)), self.ids[np.repeat(stays, self.counts)]
+        if pieces.nbytes + ids.nbytes + 12 * len(pieces) > CACHE_BYTES >> 1:
+            stays[:], pieces, ids = False, self.pieces[:0], ids[:0]
+        self.pieces, self.ids, self.counts = pa.concat_arrays([pieces]), ids.copy(), self.counts[stays]
+        self.uses = np.ones(len(pieces), np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text. A null counts as empty."""
@@ -115,33 +138,25 @@ class PieceEncoder:
             cut = pc.if_else(whole, pa.scalar("", pa.large_string()), cut)
         lists = pc.split_pattern(cut, "\x01")
         coded = pc.dictionary_encode(pc.list_flatten(lists))
-        found, index = coded.dictionary, coded.indices.to_numpy()
-        pieces = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found), pa.scalar("\x01", pa.large_string()))[0].as_py().split("\x01")  # no piece holds it
-        raw = [*map(self.known.get, pieces)]
-        unit = pc.match_substring_regex(found, _UNIT if self.keeps_space else _LOW_UNIT).to_pylist()
-        new = self._coded([p for p, b, u in zip(pieces, raw, unit) if b is None and u], [p for p, b, u in zip(pieces, raw, unit) if b is None and not u])
-        if new:
-            raw = [new[p] if b is None else b for p, b in zip(pieces, raw)]
-        long = np.fromiter(map(len, raw), np.int32, len(raw)) >> 2
-        flat = np.frombuffer(b"".join(raw), "<u4")
-        first = np.cumsum(long, dtype=np.int32) - long
+        index, place = coded.indices.to_numpy(), self._places(coded.dictionary)
+        flat, first, long = self.ids, (np.cumsum(self.counts) - self.counts)[place], self.counts[place]
         n = long[index]
         ends = np.cumsum(n, dtype=np.int64)
         # where each id is taken from: one further than the one before, but at a piece's first
         some = np.flatnonzero(n)
-        begin, size = first[index[some]].astype(np.int64), n[some]
+        begin, size = first[index[some]], n[some]
         step = np.ones(ends[-1], np.int64)
         step[ends[some] - size] = begin - np.concatenate([[0], begin[:-1] + size[:-1] - 1])[: len(some)]
         ids = flat.take(np.cumsum(step))
+        self._forget()
         words = np.diff(lists.offsets.to_numpy())
         ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
         counts = np.diff(ends)
         if len(at):
-            own = self._whole(texts.take(pa.array(at)).to_pylist())
+            own, counts[at] = self._whole(texts.take(pa.array(at)).to_pylist())
             parts = np.split(ids, ends[1:-1])
-            for k, b in zip(at.tolist(), own):
-                parts[k] = np.frombuffer(b, "<u4")
-                counts[k] = len(parts[k])
+            for k, x in zip(at.tolist(), np.split(own, np.cumsum(counts[at])[:-1])):
+                parts[k] = x
             ids = np.concatenate(parts)
         return ids, counts
 

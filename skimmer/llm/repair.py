@@ -55,48 +55,53 @@ def grammar(ids: np.ndarray, first_of: np.ndarray, base: int, round_pairs: int =
     ends[-1:] = True
     ends[n_ids - 1 : n_ids] = True
     ends[starts[(starts > 0) & (starts < n_ids)] - 1] = True
-    # places whose pair may still be replaced: a pair never gets more frequent, so one that is rare is looked at again only after a symbol of it changed
-    live = np.flatnonzero(~ends[:-1])
-    while len(live):
-        keys = symbols.take(live).astype(np.int64)
+    # a pair comes up in one round, where a symbol is new, and from then on only loses places: its group of places is sorted once
+    pair_of, n_of, begin = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)  # of each group: its pair, how many places are left, where they begin
+    places, group = np.zeros(0, np.int32), np.full(n_ids + 1, -1, np.int32)  # the group of each place; -1: its pair is rare or gone
+    new = np.flatnonzero(~ends[:-1])
+    while len(new) or len(n_of):
+        keys = symbols.take(new).astype(np.int64)
         keys *= top
-        keys += symbols.take(after.take(live))
-        bits = len(live).bit_length()
+        keys += symbols.take(after.take(new))
+        bits = len(new).bit_length()
         if (top * top).bit_length() + bits <= 63:
             keys <<= bits  # the place beside its pair: one sort for both
-            keys |= np.arange(len(live))
+            keys |= np.arange(len(new))
             keys.sort()
             order = keys & ((1 << bits) - 1)
             keys >>= bits
         else:
             order = np.argsort(keys, kind="stable")
             keys = keys.take(order)
-        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        edge = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]])[: len(keys)])
         n = np.diff(edge, append=len(keys))
-        good = np.flatnonzero(n >= least)
-        if not len(good):
+        good = n >= least
+        held = new.take(order.take(np.flatnonzero(np.repeat(good, n))))
+        keys, n = keys.take(edge[good]), n[good]
+        group[held] = np.repeat(np.arange(len(n_of), len(n_of) + len(n), dtype=np.int32), n)
+        places = np.concatenate([places, held.astype(np.int32)])
+        pair_of, n_of, begin = np.concatenate([pair_of, keys // top << 32 | keys % top]), np.concatenate([n_of, n]), np.concatenate([begin, begin[-1] + np.cumsum(n)])
+        best = np.flatnonzero(n_of >= least)
+        if not len(best):
             break
-        pairs, n_good = keys.take(edge.take(good)), n.take(good)
-        chosen = np.ones(len(good), bool)
-        if len(good) > round_pairs:
-            chosen[np.lexsort((pairs, -n_good))[round_pairs:]] = False
-        rank = np.full(len(n), -2, np.int32)
-        rank[good] = np.where(chosen, np.cumsum(chosen) - 1, -1)
-        pairs = pairs[chosen]
-        rank = np.repeat(rank, n)
-        rest = live.take(order.take(np.flatnonzero(rank == -1)))
-        hit = np.flatnonzero(rank >= 0)
-        at = np.sort(live.take(order.take(hit)) << 20 | rank.take(hit))  # by place
+        if len(best) > round_pairs:
+            best = best[np.lexsort((pair_of[best], -n_of[best]))[:round_pairs]]
+        best = best[np.argsort(pair_of[best])]
+        n = begin[best + 1] - begin[best]
+        at = places.take(np.arange(n.sum()) + np.repeat(begin[best] - (np.cumsum(n) - n), n))
+        rank = np.repeat(np.arange(len(best)), n)
+        still = np.flatnonzero(group.take(at) == np.repeat(best, n))
+        at = np.sort(at.take(still).astype(np.int64) << 20 | rank.take(still))  # by place
         at, where = at >> 20, at & ((1 << 20) - 1)
-        begin = np.flatnonzero(np.concatenate([[True], after.take(at[:-1]) != at[1:]]))
-        place = np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))
-        even = np.flatnonzero(place % 2 == 0)
+        head = np.flatnonzero(np.concatenate([[True], after.take(at[:-1]) != at[1:]]))
+        even = np.flatnonzero((np.arange(len(at)) - np.repeat(head, np.diff(head, append=len(at)))) % 2 == 0)
         at, where = at.take(even), where.take(even)
-        times = np.bincount(where, minlength=len(pairs))
-        pairs = pairs[times > 0]
+        times = np.bincount(where, minlength=len(best))
         where = (np.cumsum(times > 0) - 1)[where]
-        rules.append(np.stack([pairs // top, pairs % top], 1))
-        lengths = np.concatenate([lengths, lengths[pairs // top] + lengths[pairs % top]])
+        pairs = pair_of[best[times > 0]]
+        pairs = np.stack([pairs >> 32, pairs & ((1 << 32) - 1)], 1)
+        rules.append(pairs)
+        lengths = np.concatenate([lengths, lengths[pairs].sum(1)])
         symbols[at] = top + where
         taken = after.take(at)
         gone[taken] = True
@@ -107,10 +112,12 @@ def grammar(ids: np.ndarray, first_of: np.ndarray, base: int, round_pairs: int =
         touched[at] = True
         left = before.take(at)
         new = np.concatenate([at, left.take(np.flatnonzero(~touched.take(left)))])
-        touched[new] = True
-        rest = rest.take(np.flatnonzero(~(touched.take(rest) | gone.take(rest))))
-        touched[new] = False
-        live = np.concatenate([rest, new.take(np.flatnonzero(~ends.take(new)))])
+        touched[at] = False
+        lost = np.concatenate([new, taken])
+        own = group.take(lost)
+        n_of -= np.bincount(own[own >= 0], minlength=len(n_of))
+        group[lost] = -1
+        new = new.take(np.flatnonzero(~ends.take(new)))
         top += len(pairs)
     kept = np.flatnonzero(~gone[:-1])
     outside = np.concatenate([used, base + np.arange(top - first_new)])

@@ -126,3 +126,24 @@ def test_units_go_to_the_model_in_one_call():
         ids, n = own.encode(pa.array(texts))
         want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
         assert ids.tolist() == sum(want, []) and n.tolist() == [*map(len, want)] and len(calls) == 1 and calls[0] > 4
+
+
+def test_pieces_met_again_stay_remembered_when_others_go(monkeypatch):
+    from skimmer.llm import bpe
+
+    import pyarrow as pa
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+        own, library = bpe.PieceEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        asked, lines = [], own._units
+        own._units = lambda units: asked.extend(map(str, units)) or lines(units)
+        letters = np.array(list("abcdefghij"))
+        for k in range(12):
+            rare = ["".join(letters[[int(c) for c in str(k * 1000 + j)]]) for j in range(1000, 1100)]
+            text = " usual " + " ".join(rare) + " usual"
+            ids, n = own.encode(pa.array([text, "z" * 400]))
+            want = [x.ids for x in library.encode_batch([text, "z" * 400], add_special_tokens=False)]
+            assert ids.tolist() == sum(want, []) and n.tolist() == [*map(len, want)]
+        assert sum(w.strip() == "usual" for w in asked) == 1 and len(asked) > 1000
+        assert own.pieces.nbytes + own.ids.nbytes <= 20_000

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,8 @@ TREES, DEPTH = 32, 7
 HEEDED = 0.999
 #: Shingles and texts of a block, about; two blocks are compared in one step.
 BLOCK, BLOCK_TEXTS = 1 << 19, 1024
-#: A side of a join of up to so many rows, counted before, of a few numbers each, is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 100_000
+#: A side of a join of up to so many rows, counted before, of one number each, is broadcast, so that texts and signatures that it does not name stay where they are.
+BROADCAST_ROWS = 2_000_000
 #: Bands of similarity, from the threshold to 1, in which links are counted.
 BANDS = 20
 #: Stands for a null row, which counts as the smallest.
@@ -211,7 +211,9 @@ def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     links: list[DataFrame] = []
     bands = np.zeros(BANDS)
     for length in range(depth, 0, -1):
-        met = written(_members(texts, length, depth, trees, block), "met")
+        if length != depth - 1:  # else the table at hand tells it too
+            near = written(_near(texts, max(length - (length == depth), 1), depth, trees), "near")
+        met = written(_members(texts, length, depth, trees, block, near), "met")
         if not met.isEmpty():
             found = written(_verified(docs, met, words, length, depth, trees, threshold), "links")
             links.append(found)
@@ -238,34 +240,46 @@ def text_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 
 
 def _small(side: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has few rows."""
+    """A written table of one column of numbers, to be broadcast if it has few rows."""
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int) -> DataFrame:
-    """The texts that share a prefix of ``length`` values with another, dealt into blocks: (_node, _row, _weight, _marks, _size, _block, _meets).
+def _near(texts: DataFrame, length: int, depth: int, trees: int) -> DataFrame:
+    """The trie nodes at ``length`` values that a text shares with another: (_id, _trie, _child, _n, _alike, _apart).
+
+    _id and _trie are numbers of a text and of a trie node; _child stands for the next value. _n texts are below the trie node, _alike below the child; _apart
+    says whether it has more than one child. So one shuffle tells of prefixes of ``length`` and of a value more.
+    """
+    value = lambda at, n: F.expr(f"substring(_marks, {1 + 2 * at} + {2 * depth} * _tree, {2 * n})")
+    forest = texts.select(F.xxhash64("_node").alias("_id"), "_marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"))
+    child = F.shiftright(F.crc32(value(length, min(1, depth - length))), 16).cast("int")  # different for any two values
+    forest = forest.select("_id", F.xxhash64("_tree", value(0, length)).alias("_trie"), child.alias("_child"))
+    below, beside = Window.partitionBy("_trie"), Window.partitionBy("_trie", "_child")
+    counted = forest.repartition("_trie").sortWithinPartitions("_trie", "_child").withColumn("_alike", F.count("*").over(beside))
+    counted = counted.withColumn("_n", F.count("*").over(below)).withColumn("_apart", F.min("_child").over(below) < F.max("_child").over(below))
+    return counted.where("_alike > 1 or _apart").select("_id", "_trie", "_child", "_n", "_alike", "_apart")
+
+
+def _members(texts: DataFrame, length: int, depth: int, trees: int, block: int, near: DataFrame | None = None) -> DataFrame:
+    """The texts that share a prefix of ``length`` values with another, as ``near`` tells, dealt into blocks: (_node, _row, _weight, _marks, _size, _block, _meets).
 
     Of the trie nodes that it, or a text that it shares one with, is in, a text lives in the one that holds most; texts of one home with more than
     ``block`` shingles, or very many of them, are dealt into blocks by hash. _meets are the trie nodes of a text in all trees, each a number. When prefixes have been shortened before, only trie
     nodes count that have more than one child: all pairs below a child have met.
     """
-    part = lambda n: F.xxhash64("_tree", F.substring("_label", 1, 2 * n))
-    label = F.expr(f"substring(_marks, 1 + {2 * depth} * _tree, {2 * depth})")
-    forest = texts.select("_node", "_marks", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")).select("_node", "_tree", label.alias("_label"))
-    forest = forest.select("_node", part(length).alias("_trie"), F.substring("_label", 1 + 2 * length, 2).alias("_child"))
+    near = _near(texts, max(length - (length == depth), 1), depth, trees) if near is None else near
     if length == depth:
-        held = forest.groupBy("_trie").agg(F.count("*").alias("_n")).where("_n > 1")
-    else:  # a child's value and its complement side by side, in half the bytes of a node's number: only those of different children have a bit of both
-        value = F.conv(F.hex("_child"), 16, 10).cast("int")
-        held = forest.withColumn("_value", value).groupBy("_trie").agg(F.count("*").alias("_n"), F.bit_or(F.expr("_value | (65535 - _value) << 16")).alias("_bits"))
-        held = held.where("_n > 1 and (_bits & shiftrightunsigned(_bits, 16) & 65535) <> 0")
-    held = held.select("_trie", "_n")
-    shares = written(forest.select("_node", "_trie").join(_small(written(held, "tries")), "_trie").select("_node", F.struct("_n", "_trie").alias("_at")), "shares")
+        shares = near.where("_alike > 1").select("_id", F.struct(F.col("_alike").alias("_n"), F.xxhash64("_trie", "_child").alias("_trie")).alias("_at"))
+    else:
+        shares = near.where("_apart").select("_id", F.struct("_n", "_trie").alias("_at"))
+    shares = written(shares, "shares")
     # the trie node that holds most of the texts that a text shares any with: copies of each other agree on one, whatever else they share
-    largest = shares.groupBy("_node").agg(F.max("_at").alias("_home"))
-    near = shares.join(largest, "_node").groupBy("_at").agg(F.max("_home").alias("_home"))
-    own = shares.join(near, "_at").groupBy("_node").agg(F.max("_home").alias("_home"), F.collect_set("_at._trie").alias("_meets"))  # at most `trees` of them
-    lives = written(own.join(texts, "_node").select("_node", "_row", "_weight", "_marks", "_size", F.col("_home._trie").alias("_home"), "_meets"), "homes")
+    largest = shares.groupBy("_id").agg(F.max("_at").alias("_home"))
+    around = shares.join(largest, "_id").groupBy("_at").agg(F.max("_home").alias("_home"))
+    own = shares.join(around, "_at").groupBy("_id").agg(F.max("_home").alias("_home"), F.collect_set("_at._trie").alias("_meets"))  # at most `trees` of them
+    own = written(own, "own")
+    texts = texts.withColumn("_id", F.xxhash64("_node")).join(_small(own.select("_id")), "_id", "left_semi")
+    lives = written(own.join(texts, "_id").select("_node", "_row", "_weight", "_marks", "_size", F.col("_home._trie").alias("_home"), "_meets"), "homes")
     room = lives.groupBy("_home").agg(F.ceil(F.greatest(F.sum("_size") / block, F.count("*") / F.lit(BLOCK_TEXTS))).cast("long").alias("_parts"))
     place = F.xxhash64("_home", F.pmod(F.xxhash64("_node"), F.col("_parts"))).alias("_block")
     return lives.join(room, "_home").select("_node", "_row", "_weight", "_marks", "_size", place, "_meets")

@@ -185,3 +185,23 @@ def test_shortened_prefixes_count_where_children_differ(spark, one, other):
     texts = spark.createDataFrame([(bytes([k]), k, 1, bytearray(m), 5) for k, m in enumerate(marks)], "_node binary, _row long, _weight long, _marks binary, _size long")
     rows = J._members(texts, 1, 2, 1, 1 << 19).collect()
     assert sorted(r["_row"] for r in rows) == ([0, 1] if one != other else [])
+
+
+def test_one_shuffle_of_the_forest_tells_of_two_prefix_lengths(spark):
+    schema, trees, depth = "_node binary, _row long, _weight long, _marks binary, _size long", 2, 3
+    values = np.random.default_rng(3).integers(0, 4, (90, trees, depth)).astype(">u2")
+    texts = spark.createDataFrame([(bytes([k]), k, 1, bytearray(v.tobytes()), 5) for k, v in enumerate(values)], schema)
+    near = J._near(texts, depth - 1, depth, trees)
+    got = sorted((r["_n"], r["_alike"], r["_apart"]) for r in near.collect())
+    want = []
+    for t in range(trees):
+        for k in range(len(values)):
+            below = (values[:, t, : depth - 1] == values[k, t, : depth - 1]).all(1)
+            alike = int((below & (values[:, t, depth - 1] == values[k, t, depth - 1])).sum())
+            if below.sum() > 1:
+                want.append((int(below.sum()), alike, alike < below.sum()))
+    assert got == sorted(want)
+    assert near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    # no two of all values count as one child
+    every = spark.range(65536).selectExpr("cast(id AS binary) AS _node", "unhex('0007' || lpad(hex(id), 4, '0')) AS _marks")
+    assert J._near(every, 1, 2, 1).selectExpr("max(_alike)", "min(_n)", "count(*)").first()[:] == (1, 65536, 65536)

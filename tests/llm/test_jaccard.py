@@ -203,5 +203,5 @@ def test_one_shuffle_of_the_forest_tells_of_two_prefix_lengths(spark):
     assert got == sorted(want)
     assert near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
     # no two of all values count as one child
-    every = spark.range(65536).selectExpr("cast(id AS binary) AS _node", "unhex('0007' || lpad(hex(id), 4, '0')) AS _marks")
+    every = spark.range(65536).selectExpr("encode(string(id), 'UTF-8') AS _node", "unhex('0007' || lpad(hex(id), 4, '0')) AS _marks")
     assert J._near(every, 1, 2, 1).selectExpr("max(_alike)", "min(_n)", "count(*)").first()[:] == (1, 65536, 65536)
